@@ -47,8 +47,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id``, the text with null as empty, and named further columns."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    """``doc_id``, the text with null as empty, and named further columns.
+
+    Rows without doc_id are left out, because no row of a result could name them.
+    """
+    return docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def parts(spark: SparkSession) -> int:

@@ -10,7 +10,8 @@ next bits of the hash, and each file is treated the same way with the bits after
 
 Defined results: a null text counts as empty; all empty texts are copies of each other;
 of copies the largest ``doc_id`` stays; an empty table gives an empty table; columns other
-than ``doc_id`` and ``text`` are ignored.  ``doc_id`` must be unique.
+than ``doc_id`` and ``text`` are ignored; rows without doc_id are left out; rows that
+repeat a doc_id give a row each.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +79,17 @@ class ContentTable:
 
 
 def _merge_local(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Per input row (doc_id, rep_id); the representative's row also has text, count and largest id."""
-    table, reps, counts, tops = ContentTable(), [], [], []
+    """Per input row (doc_id, rep_id); a representative's row also has text, count and largest id."""
+    table, reps, ids, counts, tops = ContentTable(), [], [], [], []
+    number = TaskContext.get().partitionId() << 33
 
     def flush() -> Iterator[pa.RecordBatch]:
         step = 256
         for i in range(0, len(reps), step):
             part = slice(i, i + step)
-            ids = reps[part]
             signed = [h - (1 << 64) if h >> 63 else h for h in table.hashes[part]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip((ids, ids, signed, [c.decode() for c in table.contents[part]], counts[part], tops[part]), _LOCAL_ARROW.types, strict=True)],
+                [pa.array(x, t) for x, t in zip((ids[part], reps[part], signed, [c.decode() for c in table.contents[part]], counts[part], tops[part]), _LOCAL_ARROW.types, strict=True)],
                 schema=_LOCAL_ARROW,
             )
 
@@ -97,7 +99,9 @@ def _merge_local(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterato
             content = text.encode()
             entry, new = table.find(xxhash.xxh64_intdigest(content), content)
             if new:
-                reps.append(doc_id)
+                number += 1
+                reps.append(number)
+                ids.append(doc_id)
                 counts.append(1)
                 tops.append(doc_id)
             else:
@@ -112,7 +116,7 @@ def _merge_local(batches: Iterator[pa.RecordBatch], table_bytes: int) -> Iterato
             )
         if table.held > table_bytes:
             yield from flush()
-            table, reps, counts, tops = ContentTable(), [], [], []
+            table, reps, ids, counts, tops = ContentTable(), [], [], [], []
     yield from flush()
 
 

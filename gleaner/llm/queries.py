@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, exact_dedup, packing, warc
 
-_MODULES = (exact_dedup, byte_bpe)
+_MODULES = (exact_dedup, byte_bpe, packing, warc)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
