@@ -59,6 +59,74 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_cells(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
+    """``rows`` with columns ``cell`` (long) and ``side`` (0 or 1), for a self-join inside each key.
+
+    A group of up to ``most`` rows is one cell.  A larger one is dealt by the hash of
+    ``by`` into chunks of about ``most`` rows, and each pair of chunks (i, j), i <= j, is a
+    cell: side 0 holds chunk i and side 1 chunk j.  So every pair of rows of a group meets
+    in exactly one cell, and no task holds more than about two chunks of one.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    chunk = F.pmod(F.xxhash64(by), F.col("_g")).cast("int")
+    return (
+        rows.join(large, keys, "left")
+        .withColumn("_g", F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(most)).cast("int"))
+        .withColumn("_c", chunk)
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+        .withColumn("cell", F.xxhash64(*keys, F.least("_c", "_o"), F.greatest("_c", "_o")))
+        .withColumn("side", (F.col("_c") > F.col("_o")).cast("int"))
+        .drop("_n", "_g", "_c", "_o")
+    )
+
+
+def whole_groups(batches, most: int = 8192):
+    """Regroup sorted Arrow batches into tables that hold whole runs of equal first columns.
+
+    A table is closed at the end of a run once it has ``most`` rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+        held, rows = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def smallest_linked(n: int, a, b):
+    """For nodes 0..n-1 and links ``a[i]``-``b[i]`` the smallest node that each can reach (numpy)."""
+    import numpy as np
+
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, a, least)
+        np.minimum.at(now, b, least)
+        np.minimum.at(now, label[a], least)
+        np.minimum.at(now, label[b], least)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    return label
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, root), root the smallest node.
 
