@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, exact_dedup, packing, simhash, warc
+from . import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, simhash, warc
 
-_MODULES = (exact_dedup, byte_bpe, packing, embedding_dedup, warc, simhash)
+_MODULES = (line_dedup, exact_dedup, language_id, byte_bpe, packing, embedding_dedup, warc, simhash)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
