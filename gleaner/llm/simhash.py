@@ -3,8 +3,9 @@
 Fingerprints that differ in at most ``budget`` bits agree in full on at least ``agree``
 of ``budget + agree`` blocks of bits.  So each distinct fingerprint goes, for every choice
 of ``agree`` blocks, to the cell of its bits there, and cells are joined with themselves.
-``agree`` is the smallest number for which cells are expected to be small; every choice
-finds the same links.  Inside a cell the sorted fingerprints are an implicit binary
+Every ``agree`` finds the same links; 2 gives 15 cells of 21 bits to a fingerprint, which
+stay small up to some hundred million distinct fingerprints, 3 gives 35 cells of 27 bits.
+Inside a cell the sorted fingerprints are an implicit binary
 trie.  The join walks it level by level on pairs of nodes, adds up the bits in which a
 pair differs, and drops the pair once they exceed the budget.
 
@@ -32,8 +33,7 @@ from .common import components, in_cells, small_batches, smallest_linked, stored
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: Fingerprints that a cell is expected to hold at most, by which ``agree`` is chosen.
-CELL = 32
+AGREE = 2
 #: Fingerprints in a chunk of a cell that is larger than expected.
 CHUNK = 1024
 
@@ -122,10 +122,9 @@ def _stars(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[first[linked]].view(np.int64))], names=["a", "b"])
 
 
-def near_links(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
+def near_links(distinct: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct.fp`` within ``budget`` bits."""
     small_batches(distinct.sparkSession, 8192)
-    agree = next(k for k in range(1, 65) if n <= CELL << (64 * k // (budget + k)) or k + budget >= 16)
     blocks = budget + agree
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
@@ -145,7 +144,7 @@ def near_classes(docs: DataFrame, words: int = SHINGLE, budget: int = BUDGET) ->
     spark = docs.sparkSession
     found = stored(fingerprints(docs, words), "simhash")
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = stored(components(near_links(distinct, distinct.count(), budget)), "simhash-roots")
+    roots = stored(components(near_links(distinct, budget)), "simhash-roots")
     small_batches(spark)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
