@@ -30,8 +30,6 @@ from .common import new_path, small_batches
 END = "\r\n\r\n"
 #: Records in one archive file; bounds the memory of a task that reads it.
 RECORDS_PER_FILE = 500
-#: Archive files in one Arrow batch.
-FILES_PER_BATCH = 1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
@@ -152,7 +150,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow.types, strict=True)], schema=arrow)
 
-    small_batches(spark, FILES_PER_BATCH)
+    small_batches(spark)  # a task's files are bounded by spark.sql.files.maxPartitionBytes
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, _HEADER + (", payload string" if payload else ""))
 
