@@ -1,0 +1 @@
+"""Gleaner: DataFrame operators that judge harvested web data on Spark."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import pages  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
