@@ -12,7 +12,10 @@ Shared by suffix-array dedup (symbols are bytes) and substring dedup (symbols ar
    holds is repeated as a whole.  The first holder of a context whose gram has other
    contexts too (the ends of a shared passage) asks for its text.
 3. ``_contexts`` cuts the texts that are asked for, and ``_windows`` orders the windows of
-   all contexts of a gram by content and finds those that an earlier document has.
+   all contexts of a gram by content and finds those that an earlier document has.  A gram
+   of more than ``MOST_CONTEXTS`` contexts is not gathered: each of its windows is a row
+   with a hash of 128 bits, the smallest document per hash comes from a partial
+   aggregation, and the join back may be split.
 4. ``_apply`` cuts the spans found out of each document.
 
 Anchors, spans and requests travel as packed arrays, a row per bucket, so a row stands for
@@ -31,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, whole_groups
+from .common import parts, small_batches, stored, whole_groups
 
 LENGTH = 50
 #: Text bytes after which a task sends what it has gathered.
@@ -41,7 +44,10 @@ ANCHOR_BUCKETS, DOC_BUCKETS = 8, 4
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 
-ANCHORS, SPANS, REQUESTS, HISTORY = 0, 1, 2, 3
+#: Contexts of one gram that a task puts into suffix order; larger groups are settled by window.
+MOST_CONTEXTS = 50_000
+
+ANCHORS, SPANS, REQUESTS, HISTORY, LARGE = 0, 1, 2, 3, 4
 PACKED = "part int, kind int, payload binary"
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -251,19 +257,21 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
 # Step 2 ---------------------------------------------------------------------------------
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], kind: str, gram: int, doc_buckets: int, keep_history: bool) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], kind: str, gram: int, doc_buckets: int, keep_history: bool, most: int) -> Iterator[pa.RecordBatch]:
     """Spans and requests of the anchors of whole buckets, against each other and against history."""
     width = LENGTH - gram + 1
-    waiting: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    waiting: list[list[np.ndarray]] = [[] for _ in range(7)]
     count = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list] = ([], [], [])
-        d, a, b, rd, rp, _ = (np.concatenate(x) if x else np.empty(0, np.int64) for x in waiting)
+        d, a, b, rd, rp, ld, lp = (np.concatenate(x) if x else np.empty(0, np.int64) for x in waiting)
         if len(d):
             _send_spans(d, a, b, doc_buckets, out)
         if len(rd):
             _send_spans(rd, rp, rp, doc_buckets, out, REQUESTS)
+        if len(ld):
+            _send_spans(ld, lp, lp, doc_buckets, out, LARGE)
         yield from _rows(out)
 
     for t in whole_groups(batches, 1):
@@ -310,9 +318,11 @@ def _resolve(batches: Iterator[pa.RecordBatch], kind: str, gram: int, doc_bucket
                 asks = (ds == first) & mixed[group]
                 for x, y in zip(waiting[:3], (ds[whole], ps[whole] - (width - 1), ps[whole] + LENGTH), strict=True):
                     x.append(y)  # cut to the document's ends when it is applied
-                waiting[3].append(ds[asks])
-                waiting[4].append(ps[asks])
-                count += int(whole.sum()) + int(asks.sum())
+                large = asks & (np.bincount(group, asks) > most)[group]
+                asks &= ~large
+                for x, y in zip(waiting[3:], (ds[asks], ps[asks], ds[large], ps[large]), strict=True):
+                    x.append(y)
+                count += int(whole.sum()) + int(asks.sum()) + int(large.sum())
             if keep_history:
                 stays = order[(ds == first) & new_s] if len(fs) else order
                 at = np.concatenate([alone, stays])
@@ -323,7 +333,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], kind: str, gram: int, doc_bucket
         yield from _rows(history_rows)
         if count > 1_000_000:
             yield from flush()
-            waiting, count = [[], [], [], [], [], []], 0
+            waiting, count = [[] for _ in range(7)], 0
     yield from flush()
 
 
@@ -445,6 +455,36 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) ->
         yield from _rows(out)
 
 
+_WINDOW = "h1 long, h2 long, doc_id long, start int"
+
+
+def _hash_windows(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """A row per window of each context: two hashes, and where it starts."""
+    symbols, one, two = Symbols(kind), Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
+    for b in batches:
+        h1, h2, docs, starts = [], [], [], []
+        for _, doc_id, at, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            s = symbols.of(context)
+            n = len(s) - LENGTH + 1
+            if n > 0:
+                here = np.arange(n)
+                h1.append(_mix(Hasher(s, one).runs(here, here + LENGTH)).view(np.int64))
+                h2.append(_mix(Hasher(_mix(s), two).runs(here, here + LENGTH)).view(np.int64))
+                docs.append(np.full(n, doc_id, np.int64))
+                starts.append((here + at).astype(np.int32))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h1, h2, docs, starts)], names=["h1", "h2", "doc_id", "start"])
+
+
+def _pack_windows(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        start = b.column(1).to_numpy()
+        if len(start):
+            _send_spans(b.column(0).to_numpy(), start, start + LENGTH, doc_buckets, out)
+        yield from _rows(out)
+
+
 # Step 4 ---------------------------------------------------------------------------------
 
 
@@ -484,10 +524,11 @@ def anchors(docs: DataFrame, kind: str, gram: int) -> DataFrame:
     return docs.mapInArrow(lambda it: _anchor(it, kind, gram, a, b), PACKED)
 
 
-def resolve(packed: DataFrame, kind: str, gram: int, doc_buckets: int, keep_history: bool = False) -> DataFrame:
+def resolve(packed: DataFrame, kind: str, gram: int, doc_buckets: int, keep_history: bool = False, most: int | None = None) -> DataFrame:
     """Spans and requests of packed anchors, each bucket in one task."""
     small_batches(packed.sparkSession)
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _resolve(it, kind, gram, doc_buckets, keep_history), PACKED)
+    most = MOST_CONTEXTS if most is None else most
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _resolve(it, kind, gram, doc_buckets, keep_history, most), PACKED)
 
 
 def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets: int, row: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -506,4 +547,12 @@ def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets:
         .mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
         .select("part", "payload")
     )
-    return dealt.groupBy("part").cogroup(spans.union(more).groupBy("part")).applyInArrow(lambda a, b: _apply(a, b, row, schema), ddl)
+    spans = spans.union(more)
+    large = resolved.where(F.col("kind") == LARGE).select("part", "payload")
+    if not large.isEmpty():
+        wide = dealt.groupBy("part").cogroup(large.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
+        windows = stored(wide.mapInArrow(lambda it: _hash_windows(it, kind), _WINDOW), "passage-windows")
+        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+        later = windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start")
+        spans = spans.union(later.mapInArrow(lambda it: _pack_windows(it, doc_buckets), PACKED).select("part", "payload"))
+    return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _apply(a, b, row, schema), ddl)
