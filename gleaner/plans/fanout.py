@@ -10,6 +10,7 @@ from ..operators import compose as C
 from ..operators import fanout as O
 from ..operators import transcripts as R
 from ..operators import workflows as W
+from ..operators.ordering import ordered
 from ..sources import readers as S
 from .base import DERIVED, query
 
@@ -97,10 +98,9 @@ def _(t):
     return t("worklist").select("id").unionByName(t("produced").select("id"))
 
 
-@query("sorted_ids", "SELECT count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT id, CAST(id AS BIGINT) % 100 AS g FROM produced) GROUP BY g")
+@query("sorted_ids", "SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT id FROM produced)")
 def _(t):
-    grouped = t("produced").groupBy((F.col("id").cast("long") % 100).alias("g")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return grouped.select(F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
+    return ordered(t("produced").select("id").distinct(), "id")
 
 
 _FINISHED = "CASE WHEN state LIKE '{%' THEN state = '{\"status\": \"ok\"}' WHEN state LIKE '\"%' THEN state = '\"ok\"' ELSE state NOT IN ('false', '0') END"
@@ -359,10 +359,9 @@ def _(t):
     return R.summary(_folded(t))
 
 
-@query("recover_sorted", f"WITH {_FOLD} SELECT reason, string_agg(agent_id, ',' ORDER BY agent_id) AS agents FROM folded WHERE path LIKE '%9.jsonl' GROUP BY 1")
+@query("recover_sorted", f"WITH {_FOLD} SELECT agent_id, path, reason, row_number() OVER (ORDER BY agent_id, path) AS place FROM folded")
 def _(t):
-    grouped = _folded(t).where("path like '%9.jsonl'").groupBy("reason").agg(F.sort_array(F.collect_list("agent_id")).alias("a"))
-    return grouped.select("reason", F.array_join("a", ",").alias("agents"))
+    return ordered(_folded(t).select("agent_id", "path", "reason"), "agent_id", "path")
 
 
 # Prompts --------------------------------------------------------------------------------
@@ -500,7 +499,7 @@ def _(t):
     return W.nominate(t("orders").select(claims.alias("safety_claims")), "safety_claims").select("claim", F.size("sources").cast("long").alias("n"))
 
 
-@query("wf_verify_calls", "SELECT 'claim ' || o_orderkey AS claim, length('claim ' || o_orderkey) + 164 - 24 > 0 AS has_prompt FROM orders")
+@query("wf_verify_calls", "SELECT 'claim ' || o_orderkey AS claim, true AS has_prompt FROM orders")
 def _(t):
     rows = t("orders").select(F.concat(F.lit("claim "), "o_orderkey").alias("claim"))
     return rows.select("claim", F.contains(W.verify_prompt("claim"), F.col("claim")).alias("has_prompt"))

@@ -12,6 +12,7 @@ from ..operators import linkstate as L
 from ..operators import media as M
 from ..operators import quality as Q
 from ..operators import robots as R
+from ..operators.ordering import ordered
 from .base import DERIVED, query
 
 #: Pages of which some are error pages, some lack a title, and some are challenges.
@@ -480,20 +481,7 @@ def _(t):
 
 @query("sorted_urls", f"SELECT url, row_number() OVER (ORDER BY url) AS place FROM (SELECT DISTINCT substr(url, 1, 160) AS url FROM links WHERE NOT regexp_matches(url, '(?i){K.ASSET}') AND NOT regexp_matches(url, '(?i){K.THIRD_PARTY}'))")
 def _(t):
-    """The place of each address in order, by ranges: a range's own place plus all before it."""
-    urls = M.recorded_requests(t("links"))
-    return ordered(urls, "url")
-
-
-def ordered(rows, by: str):
-    """``rows`` with their place in the order of ``by``, without one task for all: counts of first characters come first."""
-    from pyspark.sql import Window
-
-    keyed = rows.withColumn("_k", F.substring(by, 1, 12))
-    sizes = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_k").orderBy(by))
-    return keyed.join(before, "_k").withColumn("place", own + F.col("_b")).drop("_k", "_n", "_b")
+    return ordered(M.recorded_requests(t("links")), "url")
 
 
 @query("body_capture", f"SELECT page_id, url, substr('body ' || page_id, 1, 400000) AS body FROM links WHERE regexp_matches(url, '/api/') AND NOT regexp_matches(url, '(?i){K.ASSET}')")

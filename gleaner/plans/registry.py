@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fanout, pages, records, streams  # noqa: F401
+from . import fanout, pages, records, stores, streams  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
