@@ -105,7 +105,8 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_records(records: DataFrame, path: str) -> None:
     """Write a column of record texts as archive files below ``path``."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer = records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_responses(pages: DataFrame, path: str, date: str) -> None:
@@ -120,39 +121,54 @@ def write_responses(pages: DataFrame, path: str, date: str) -> None:
     write_records(pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "value string"), path)
 
 
-_HEADER = "page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to long"
+_HEADER = "file string, page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 _HEADER_ARROW = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())]
+    [
+        ("file", pa.string()),
+        ("page_id", pa.int64()),
+        ("url", pa.string()),
+        ("record_id", pa.string()),
+        ("record_type", pa.string()),
+        ("payload_digest", pa.string()),
+        ("payload_bytes", pa.int64()),
+        ("refers_to", pa.int64()),
+    ]
 )
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The headers of all records below ``path``, with the payload of responses if asked for."""
-    arrow = _HEADER_ARROW.append(pa.field("payload", pa.string())) if payload else _HEADER_ARROW
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the archive files below ``path``."""
+    small_batches(spark)  # a task's files are bounded by spark.sql.files.maxPartitionBytes
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The headers of all records below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                out: list[list] = [[] for _ in arrow]
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out: list[list] = [[] for _ in _HEADER_ARROW]
                 for h, block in parse_archive(data):
-                    body = block.partition(b"\r\n\r\n")[2]
-                    is_response = h["WARC-Type"] == "response"
-                    row = [
+                    if h["WARC-Type"] == "response":
+                        size = len(block) - block.index(b"\r\n\r\n") - 4
+                    else:
+                        size = int(h["Payload-Length"])
+                    row = (
+                        file,
                         int(h["Page-Id"]),
                         h.get("WARC-Target-URI"),
                         h["WARC-Record-ID"],
                         h["WARC-Type"],
                         h["WARC-Payload-Digest"].removeprefix("sha1:"),
-                        len(body) if is_response else int(h["Payload-Length"]),
+                        size,
                         int(h["Refers-To-Page-Id"]) if "Refers-To-Page-Id" in h else None,
-                    ]
-                    for column, value in zip(out, [*row, body.decode() if is_response else None], strict=False):
+                    )
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow.types, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _HEADER_ARROW.types, strict=True)], schema=_HEADER_ARROW)
 
-    small_batches(spark)  # a task's files are bounded by spark.sql.files.maxPartitionBytes
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, _HEADER + (", payload string" if payload else ""))
+    return archive_files(spark, path).mapInArrow(run, _HEADER)
 
 
 def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, least_bytes: int = 0) -> None:
@@ -160,35 +176,40 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, l
 
     Only headers are shuffled by digest and length.  The side with the original of each
     digest holds a digest once, from a partial aggregation; the other side may be skewed
-    and is joined with splitting.  The payloads then meet their decision by record id.
+    and is joined with splitting.  The decisions then meet the compressed files that they
+    are about: at most ``RECORDS_PER_FILE`` to a file.
     """
-    headers = read_archives(spark, source)
+    headers = read_headers(spark, source)
     key = ["payload_digest", "payload_bytes"]
     originals = (
         headers.where(F.col("payload_bytes") >= least_bytes)
         .groupBy(*key)
-        .agg(F.max(F.struct("page_id", "record_id", "url")).alias("first"))
+        .agg(F.max(F.struct("page_id", "url")).alias("first"))
     )
     revisits = (
         headers.join(originals, key)
         .where("page_id < first.page_id")
-        .select("record_id", F.col("first.page_id").alias("ref_page"), F.col("first.url").alias("ref_url"))
+        .groupBy("file")
+        .agg(F.collect_list(F.struct("record_id", "first.page_id", "first.url")).alias("revisits"))
     )
-    rows = read_archives(spark, source, payload=True).join(revisits, "record_id", "left")
+    files = archive_files(spark, source).join(revisits, F.col("path") == F.col("file"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page_id, url, digest, size, body, ref_page, ref_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if ref_page is None:
-                    out.append(response_record(page_id, url, body, digest, date))
-                else:
-                    ref_record = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{ref_page} {date}')}>"
-                    out.append(revisit_record(page_id, url, digest, size, date, ref_page, ref_record, ref_url))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            for data, decided in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                known = {r["record_id"]: (r["page_id"], r["url"]) for r in decided or []}
+                out = []
+                for h, block in parse_archive(data):
+                    page_id, url, digest = int(h["Page-Id"]), h.get("WARC-Target-URI"), h["WARC-Payload-Digest"].removeprefix("sha1:")
+                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                    if (ref := known.get(h["WARC-Record-ID"])) is None:
+                        out.append(response_record(page_id, url, payload.decode(), digest, date))
+                    else:
+                        ref_record = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{ref[0]} {date}')}>"
+                        out.append(revisit_record(page_id, url, digest, len(payload), date, ref[0], ref_record, ref[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    fields = ["page_id", "url", "payload_digest", "payload_bytes", F.when(F.col("ref_page").isNull(), F.col("payload")).alias("payload"), "ref_page", "ref_url"]
-    write_records(rows.select(*fields).mapInArrow(run, "value string"), target)
+    write_records(files.select("content", "revisits").mapInArrow(run, "value string"), target)
 
 
 def deduplicate_pages(pages: DataFrame, least_bytes: int = 0, date: str | None = None) -> DataFrame:
@@ -198,7 +219,7 @@ def deduplicate_pages(pages: DataFrame, least_bytes: int = 0, date: str | None =
     source, target = new_path(spark, "warc-source"), new_path(spark, "warc")
     write_responses(pages, source, date)
     resolve_revisits(spark, source, target, date, least_bytes)
-    return read_archives(spark, target)
+    return read_headers(spark, target)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
