@@ -47,6 +47,22 @@ PAGE_EXTENSIONS = (".html", ".htm", ".php", ".asp", ".aspx")
 ASSET = r"\.(png|jpe?g|webp|avif|gif|svg|ico|woff2?|ttf|css|mp4|webm)(\?|$)"
 THIRD_PARTY = r"google|gstatic|facebook|analytics|doubleclick|yandex\.ru/metrika|hotjar|segment|sentry"
 
+# Patterns (Java regular expressions).
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+ERROR_ICON = r"(?i)<img[^>]+(error|warning)\.(png|gif|svg)"
+TOKEN = "[a-zA-Zа-яА-ЯёЁ]{4,}"
+URL_SCHEME = "https?://"
+PERCENT_ESCAPE = "%[0-9A-Fa-f]{2}"
+FENCE = r"(?s)```([\w+-]*)[ \t]*\n(.*?)\n[ \t]*```"
+SELF_REPORT = r"(?i)verification:\s*(\d+)\s+of\s+(\d+)\b([^\n]*)"
+PLACEHOLDER = r"\{\{(\w+)\}\}"
+VERSION = r"\*\*Prompt version:\s*(\d+)\s*\(([^)]+)\)\.?\*\*"
+
+# Anchors and headings of prompt documents.
+PROMPT_BEGIN = "<!-- BEGIN PROMPT -->"
+PROMPT_END = "<!-- END PROMPT -->"
+REQUIRED_HEADINGS = ("## Drift guard", "## Provenance")
+
 # Flat grey in the lower half of an image that was cut off.
 GREY_BANDS = {"bands": 4, "height_start": 0.5, "height_span": 0.45, "strip_px": 4, "target_level": 128, "mean_tolerance": 4, "variance_max": 30, "min_bad_bands": 2}
 

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .text import text_or_empty
 
-FENCE = r"(?s)```([\w+-]*)[ \t]*\n(.*?)\n[ \t]*```"
-REPORT = r"(?i)verification:\s*(\d+)\s+of\s+(\d+)\b([^\n]*)"
-
 
 def blocks(text: Column | str) -> Column:
     """All fenced blocks as array of struct(language, body, pos), in order."""
     text = text_or_empty(text)
-    languages = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
-    bodies = F.regexp_extract_all(text, F.lit(FENCE), F.lit(2))
+    languages = F.regexp_extract_all(text, F.lit(K.FENCE), F.lit(1))
+    bodies = F.regexp_extract_all(text, F.lit(K.FENCE), F.lit(2))
     return F.transform(languages, lambda x, i: F.struct(F.lower(x).alias("language"), F.get(bodies, i).alias("body"), i.alias("pos")))
 
 
@@ -55,14 +52,14 @@ def json_status(text: Column | str, marker: str | None = None) -> Column:
 def self_report(text: Column | str) -> Column:
     """struct(n, m, excluded) of a ``verification: N of M`` line; null without one."""
     text = text_or_empty(text)
-    rest = F.regexp_extract(text, REPORT, 3)
+    rest = F.regexp_extract(text, K.SELF_REPORT, 3)
     listed = F.regexp_replace(F.trim(F.regexp_extract(rest, r"(?i)excluded:\s*(.*)", 1)), r"\.+$", "")
     names = F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x != "")
     excluded = F.when(F.lower(listed).isin("", "none", '"none"'), F.array().cast("array<string>")).otherwise(names)
     return F.when(
-        text.rlike(REPORT),
+        text.rlike(K.SELF_REPORT),
         F.struct(
-            F.regexp_extract(text, REPORT, 1).cast("long").alias("n"), F.regexp_extract(text, REPORT, 2).cast("long").alias("m"), excluded.alias("excluded")
+            F.regexp_extract(text, K.SELF_REPORT, 1).cast("long").alias("n"), F.regexp_extract(text, K.SELF_REPORT, 2).cast("long").alias("m"), excluded.alias("excluded")
         ),
     )
 
@@ -70,8 +67,8 @@ def self_report(text: Column | str) -> Column:
 def strip_self_report(text: Column | str) -> Column:
     """The text without the lines of a self report."""
     text = text_or_empty(text)
-    kept = F.array_join(F.filter(F.split(text, "\r?\n"), lambda line: ~line.rlike(REPORT)), "\n")
-    return F.when(text.rlike(REPORT), F.regexp_replace(kept, r"^\s+|\s+$", "")).otherwise(text)
+    kept = F.array_join(F.filter(F.split(text, "\r?\n"), lambda line: ~line.rlike(K.SELF_REPORT)), "\n")
+    return F.when(text.rlike(K.SELF_REPORT), F.regexp_replace(kept, r"^\s+|\s+$", "")).otherwise(text)
 
 
 def marker_item(text: Column | str, marker: str = K.ITEM_MARKER) -> Column:

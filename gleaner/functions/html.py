@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as K
 from .text import col, text_or_empty
 
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 LD_JSON = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
 NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -23,7 +23,7 @@ def visible_text(html: Column | str) -> Column:
 def title(html: Column | str) -> Column:
     """The first title, trimmed; null without one."""
     html = text_or_empty(html)
-    return F.when(html.rlike(TITLE), F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"(?U)^\s+|\s+$", ""))
+    return F.when(html.rlike(K.TITLE), F.regexp_replace(F.regexp_extract(html, K.TITLE, 1), r"(?U)^\s+|\s+$", ""))
 
 
 def decode_entities(c: Column | str) -> Column:

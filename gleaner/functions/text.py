@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-TOKEN = "[a-zA-Zа-яА-ЯёЁ]{4,}"
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -53,7 +51,7 @@ def _sql(c: Column | str) -> str:
 
 def tokens(c: Column | str) -> Column:
     """The set of folded words of at least four Latin or Cyrillic letters."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(TOKEN), F.lit(0)), fold))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(K.TOKEN), F.lit(0)), fold))
 
 
 def overlap(a: Column | str, b: Column | str) -> Column:
@@ -108,8 +106,8 @@ def echo_reasons(c: Column | str, kind: str = "title") -> Column:
         (ratio > 0.6, F.concat(F.lit(f"{kind} is "), F.round(ratio * 100, 0).cast("int").cast("string"), F.lit("% non-letter characters"))),
     )
     return (
-        F.when(c.rlike("https?://"), F.array(F.lit(f"{kind} contains a URL")))
-        .when(c.rlike("%[0-9A-Fa-f]{2}"), F.array(F.lit(f"{kind} contains a percent-escape")))
+        F.when(c.rlike(K.URL_SCHEME), F.array(F.lit(f"{kind} contains a URL")))
+        .when(c.rlike(K.PERCENT_ESCAPE), F.array(F.lit(f"{kind} contains a percent-escape")))
         .otherwise(weak)
     )
 
@@ -122,7 +120,7 @@ def _ends_with(c: Column, ends: tuple[str, ...]) -> Column:
 
 
 def is_echo(c: Column | str, kind: str = "title") -> Column:
-    conclusive = text_or_empty(c).rlike("https?://|%[0-9A-Fa-f]{2}")
+    conclusive = text_or_empty(c).rlike(f"{K.URL_SCHEME}|{K.PERCENT_ESCAPE}")
     return conclusive | (F.size(echo_reasons(c, kind)) >= 2)
 
 

@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import collapse, col, text_or_empty
 
-BEGIN, END = "<!-- BEGIN PROMPT -->", "<!-- END PROMPT -->"
-VERSION = r"\*\*Prompt version:\s*(\d+)\s*\(([^)]+)\)\.?\*\*"
-REQUIRED = ("## Drift guard", "## Provenance")
-PLACEHOLDER = r"\{\{(\w+)\}\}"
-
 #: The order of the parts of a composed prompt; an empty part is left out.
 SECTIONS = ("role", "process", "grounding", "census", "blocked", "anti_list", "field_rules", "schema", "self_report", "output", "restatement")
 
 
-def slice_anchors(text: Column | str, begin: str = BEGIN, end: str = END) -> Column:
+def slice_anchors(text: Column | str, begin: str = K.PROMPT_BEGIN, end: str = K.PROMPT_END) -> Column:
     """struct(body, error): the text between two anchors without line ends around it."""
     t = text_or_empty(text)
     start, stop = F.locate(begin, t), F.locate(end, t)
@@ -52,7 +47,7 @@ def lift_block(docs: DataFrame, key: str, text: str, title: str, language: str =
 
 
 def placeholders(template: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text_or_empty(template), F.lit(PLACEHOLDER), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text_or_empty(template), F.lit(K.PLACEHOLDER), F.lit(1))))
 
 
 def unknown_placeholders(template: Column | str, known: list[str]) -> Column:
@@ -78,7 +73,7 @@ def fill(template: Column | str, values: dict[str, Column]) -> Column:
 def version(text: Column | str) -> Column:
     """struct(number, dated) of the version line; null without one."""
     t = text_or_empty(text)
-    return F.when(t.rlike(VERSION), F.struct(F.regexp_extract(t, VERSION, 1).cast("int").alias("number"), F.trim(F.regexp_extract(t, VERSION, 2)).alias("dated")))
+    return F.when(t.rlike(K.VERSION), F.struct(F.regexp_extract(t, K.VERSION, 1).cast("int").alias("number"), F.trim(F.regexp_extract(t, K.VERSION, 2)).alias("dated")))
 
 
 def missing_phrases(text: Column | str, phrases: list[str] | tuple[str, ...], collapsed: bool = True) -> Column:

@@ -125,7 +125,7 @@ def soft_errors(pages: DataFrame, key: str = "page_id", html: str = "html", min_
         (F.col("text_chars") < min_text, F.concat(F.lit("only "), F.col("text_chars").cast("string"), F.lit(" chars of visible text"))),
         (F.coalesce("_title", F.lit("")) == "", "no <title>"),
         (F.col("_phrase").isNotNull(), F.concat(F.lit("error phrase: '"), F.col("_phrase"), F.lit("'"))),
-        (T.text_or_empty(html).rlike(r"(?i)<img[^>]+(error|warning)\.(png|gif|svg)"), "error icon"),
+        (T.text_or_empty(html).rlike(K.ERROR_ICON), "error icon"),
     )
     conclusive = F.col("_phrase").isNotNull() & (F.col("text_chars") < ceiling)
     return seen.withColumn("reasons", why).withColumn("suspect", conclusive | (F.size("reasons") >= 2)).drop("_text", "_title", "_phrase")

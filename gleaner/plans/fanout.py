@@ -425,7 +425,7 @@ def _(t):
 
 @query("check_protocol", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '## Drift guard' ELSE '' END AS missing FROM prompt_docs")
 def _(t):
-    return t("prompt_docs").select("doc_id", F.array_join(C.missing_phrases("doc", C.REQUIRED, collapsed=False), ",").alias("missing"))
+    return t("prompt_docs").select("doc_id", F.array_join(C.missing_phrases("doc", K.REQUIRED_HEADINGS, collapsed=False), ",").alias("missing"))
 
 
 @query("guard_phrases", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'keep this,never' ELSE 'never' END AS missing FROM prompt_docs")
