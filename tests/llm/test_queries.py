@@ -1,11 +1,17 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import os
+import re
+import struct
+import zlib
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleaner.llm import queries, simhash, substring_dedup
+from gleaner.llm import language_id, line_dedup, packing, queries, simhash, substring_dedup
+from tests.llm.test_operators import plain_fingerprint, reach
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
@@ -36,6 +42,74 @@ def test_pipeline_stages(spark):
     assert substring_dedup.repeats_digest(before).where("n_removed > 0").count() == 0
 
 
+def plain_pipeline(spark):
+    """The five stages one after the other in plain Python; the model is fitted as in the first stage."""
+    table = spark.read.parquet(f"{TABLES}/documents.parquet")
+    model = language_id.fit(language_id.training_rows(table, ~language_id.held_out()))
+    docs = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    names, scores = model.predict(list(docs.values()))
+    docs = {i: t for (i, t), n, s in zip(docs.items(), names, scores, strict=True) if n != "und" and s >= language_id.LEAST_SCORE}
+
+    run, seen, kept = line_dedup.RUN, set(), {}
+    for i in sorted(docs):
+        lines, gone = docs[i].split("\n"), set()
+        for at in range(len(lines) - run + 1):
+            key = tuple(lines[at : at + run])
+            if key in seen:
+                gone.update(range(at, at + run))
+            seen.add(key)
+        if len(gone) < len(lines):
+            kept[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    docs = kept
+
+    fps = {i: plain_fingerprint(t) for i, t in docs.items()}
+    root = reach(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    docs = {i: t for i, t in docs.items() if root[i] == i}
+
+    word, first = re.compile(r"[^\x20\x09-\x0D]+"), {}
+    places = {i: list(word.finditer(t)) for i, t in docs.items()}
+    for i in sorted(docs):
+        w = tuple(m[0] for m in places[i])
+        for at in range(len(w) - 49):
+            first.setdefault(w[at : at + 50], i)
+    kept = {}
+    for i, text in docs.items():
+        w, gone = tuple(m[0] for m in places[i]), set()
+        for at in range(len(w) - 49):
+            if first[w[at : at + 50]] < i:
+                gone.update(range(at, at + 50))
+        if w and len(gone) == len(w):
+            continue
+        out, at = [], 0
+        for k, m in enumerate(places[i]):
+            if k in gone:
+                if k - 1 not in gone:
+                    out.append(text[at : places[i][k - 1].end() if k else 0])
+                at = m.end()
+        kept[i] = "".join([*out, text[at:]])
+    return kept
+
+
+def test_pipeline_equals_the_plain_version(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = {}
+    for i, text in plain_pipeline(spark).items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[i, piece] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    rows = corpus_pipeline.run(spark, TABLES).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    bins = []  # best-fit decreasing, one piece after the other
+    for n in sorted((r["length"] for r in rows), reverse=True):
+        room = [(b, k) for k, b in enumerate(bins) if b >= n]
+        if room:
+            bins[min(room)[1]] -= n
+        else:
+            bins.append(4096 - n)
+    assert len({r["sequence_id"] for r in rows}) == len(bins)
+
+
 def test_pipeline_run_packs_all_that_stays(spark):
     found = corpus_pipeline.run(spark, TABLES)
     assert found.where("offset + length > 4096").count() == 0
