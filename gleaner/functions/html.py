@@ -29,8 +29,8 @@ def title(html: Column | str) -> Column:
 def decode_entities(c: Column | str) -> Column:
     """Named and numeric character references as characters; unknown ones stay.
 
-    Numeric references become XML text that ``xpath_string`` decodes, so this stays in
-    the JVM.  References outside what XML allows are left as they are.
+    Numeric references in the Basic Multilingual Plane are decoded from their two bytes, so
+    this stays in the JVM; others are left as they are.
     """
     c = col(c)
     numeric = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
@@ -44,7 +44,7 @@ def decode_entities(c: Column | str) -> Column:
             F.lower(F.substring(x, 3, 1)) == "x",
             F.conv(F.regexp_extract(x, "[xX]([0-9a-fA-F]+)", 1), 16, 10),
         ).otherwise(F.regexp_extract(x, "#([0-9]+)", 1))
-        number = F.expr("cast(0 as long)") + F.coalesce(code.try_cast("long"), F.lit(0))
+        number = F.coalesce(code.try_cast("long"), F.lit(0))
         bytes2 = F.lpad(F.hex(number), 4, "0")
         char = F.when((number > 0) & (number < 0xD800), F.decode(F.unhex(bytes2), "UTF-16BE"))
         return F.when(x.rlike(f"^{numeric}$"), F.coalesce(char, x)).otherwise(x)
