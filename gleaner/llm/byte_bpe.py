@@ -170,7 +170,7 @@ class Remembered(dict):
     def __missing__(self, token: str) -> bytes:
         found = self.old.get(token)
         if found is None:
-            ids = self.encode(token.encode())
+            ids = self.encode(token)
             found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.most:
             self.old = dict(self)
@@ -186,7 +186,7 @@ def _coder(name: str) -> tuple:
 
     bpe = RankQueueBPE(read_ranks(public_tokenizers.path(name)))
     sizes = np.fromiter(map(len, bpe.tokens), np.int64, len(bpe.tokens))
-    return splitter(public_tokenizers.PATTERN), Remembered(bpe.encode), bpe.tokens, sizes
+    return splitter(public_tokenizers.PATTERN), Remembered(lambda token: bpe.encode(token.encode())), bpe.tokens, sizes
 
 
 def encode_text(text: str, name: str) -> bytes:

@@ -54,7 +54,12 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.find = splitter(WORDS)
         self.normal = unicodedata.is_normalized
-        self.words = Remembered(lambda word: self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        # The model sees a word's bytes as printable characters, as the byte-level step hands them on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = (b for b in range(256) if b not in shown)
+        table = dict(zip(hidden, range(256, 512), strict=False))
+        model = self.tokenizer.model
+        self.words = Remembered(lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))])
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
