@@ -71,6 +71,10 @@ class RankQueueBPE:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        #: The queue, empty between two pre-tokens: a bucket per rank, a bit per rank in words of 256, a bit per word.
+        self.buckets: list[list[int] | None] = [None] * len(self.tokens)
+        self.low = [0] * (len(self.tokens) // 256 + 1)
+        self.bit = [1 << i for i in range(max(256, len(self.low)))]
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         #: The rank that two neighbouring parts have as one, by left id * 2^32 + right id.
         self.merged: dict[int, int] = {}
@@ -90,65 +94,58 @@ class RankQueueBPE:
         before = list(range(-1, n - 1))
         pair = [rank_of(a << 32 | b, -1) for a, b in zip(part, part[1:], strict=False)]
         pair.append(-1)  # pair[i]: the rank of the pair that begins at i, as it is now
-        buckets: dict[int, list[int]] = {}
-        low: dict[int, int] = {}
+        buckets, low, bit = self.buckets, self.low, self.bit
         top = 0
         for i, r in enumerate(pair):
             if r >= 0:
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
+                held = buckets[r]
+                if held is None:
                     buckets[r] = [i]
-                    high = r >> 8
-                    if high in low:
-                        low[high] |= 1 << (r & 255)
-                    else:
-                        low[high] = 1 << (r & 255)
-                        top |= 1 << high
+                    low[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
+                else:
+                    held.append(i)
         while top:
             high = (top & -top).bit_length() - 1
             bits = low[high]
             first = bits & -bits
-            r = (high << 8) + first.bit_length() - 1
+            low[high] = bits ^ first
             if bits == first:
-                del low[high]
-                top ^= 1 << high
-            else:
-                low[high] = bits ^ first
-            held = buckets.pop(r)
+                top ^= bit[high]
+            r = (high << 8) + first.bit_length() - 1
+            held = buckets[r]
+            buckets[r] = None
             if len(held) > 1:
                 held.sort()  # of equal ranks the leftmost is merged first
             for i in held:
                 if pair[i] != r:
                     continue  # stale
-                j = after[i]
                 part[i] = r
+                j = after[i]
                 pair[j] = -1
                 after[i] = k = after[j]
                 if k < n:
                     before[k] = i
                     pair[i] = q = rank_of(r << 32 | part[k], -1)
                     if q >= 0:
-                        if q in buckets:
-                            buckets[q].append(i)
-                        else:
+                        if buckets[q] is None:
                             buckets[q] = [i]
-                            high = q >> 8
-                            low[high] = low.get(high, 0) | 1 << (q & 255)
-                            top |= 1 << high
+                            low[q >> 8] |= bit[q & 255]
+                            top |= bit[q >> 8]
+                        else:
+                            buckets[q].append(i)
                 else:
                     pair[i] = -1
                 h = before[i]
                 if h >= 0:
                     pair[h] = q = rank_of(part[h] << 32 | r, -1)
                     if q >= 0:
-                        if q in buckets:
-                            buckets[q].append(h)
-                        else:
+                        if buckets[q] is None:
                             buckets[q] = [h]
-                            high = q >> 8
-                            low[high] = low.get(high, 0) | 1 << (q & 255)
-                            top |= 1 << high
+                            low[q >> 8] |= bit[q & 255]
+                            top |= bit[q >> 8]
+                        else:
+                            buckets[q].append(h)
         ids, i = [], 0
         while i < n:
             ids.append(part[i])
