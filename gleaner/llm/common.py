@@ -38,12 +38,24 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt over all cores if its files give fewer splits than there are cores.
+
+    A small file with one row group is one task however many cores wait.  A large input has
+    more splits than cores and is left as it is.
+    """
+    context = docs.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    few = 0 < len(docs.inputFiles()) < cores and docs.rdd.getNumPartitions() <= cores
+    return docs.repartition(cores) if few else docs
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, the text with null as empty, and named further columns.
 
     Rows without doc_id are left out, because no row of a result could name them.
     """
-    return docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return spread(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more))
 
 
 def parts(spark: SparkSession) -> int:
