@@ -38,16 +38,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Inputs below this size are dealt over all cores before Python tasks.
+SMALL_BYTES = 64 << 20
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt over all cores if its files give fewer splits than there are cores.
+    """``docs``, dealt over all cores if Spark's own estimate of its size is less than a usual split.
 
-    A small file with one row group is one task however many cores wait.  A large input has
-    more splits than cores and is left as it is.
+    A small file with one row group is one task however many cores wait.  Only the dealing
+    depends on the estimate, never the rows.
     """
     context = docs.sparkSession.sparkContext
-    cores = context.defaultParallelism
-    few = 0 < len(docs.inputFiles()) < cores and docs.rdd.getNumPartitions() <= cores
-    return docs.repartition(cores) if few else docs
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(context.defaultParallelism) if size < SMALL_BYTES else docs
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -131,7 +134,7 @@ def smallest_linked(n: int, a, b):
     return label
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, root), root the smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges
@@ -146,7 +149,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         "edges",
     )
     before = None
-    for _ in range(rounds):
+    while True:  # the state can't return to an earlier one: each round only lowers ends of edges
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = (
@@ -170,7 +173,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b"), F.col("b"))).distinct()

@@ -10,7 +10,8 @@ length from counts by (length, bucket), and its place from the plan.
 
 Defined results: a null text is empty and still has its closing id; only documents longer
 than ``size`` are cut; rows without doc_id are left out; an empty table gives an empty
-table; rows that repeat a doc_id are packed each; other columns are ignored.
+table; rows that repeat a doc_id are packed each; other columns are ignored; the text of a
+special token is that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import Remembered, splitter
 from .common import small_batches, stored, texts
 
 SIZE = 4096
@@ -33,40 +33,67 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in one rank bucket, about.
 BUCKET_ROWS = 2000
-#: How the tokenizer splits lower-cased text; white space is dropped.
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Rows of the plan that are broadcast; a longer plan is joined by its lengths instead.
+BROADCAST_ROWS = 200_000
+#: Buckets of one length that are added up together.
+UPPER = 1024
+#: Chunks in one generation of a worker's memory, and the longest chunk that is remembered.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class WordEncoder:
-    """Ids of a whole text by a word-wise tokenizer, with the ids of recent words kept.
+    """Ids of whole texts by a word-wise tokenizer, with the ids of recent chunks kept.
 
-    Lower-casing and splitting here equal the tokenizer's own for texts in normal form C
-    without the two letters whose lower case depends on what stands around them or
-    changes the split; any other text goes whole through the tokenizer.
+    A chunk is what stands between ASCII white space.  The tokenizer drops white space, and
+    neither its normal form, nor its lower case, nor its splitting looks across, so the ids
+    of a text are those of its chunks.  A chunk of ASCII letters with ASCII punctuation
+    behind it is two pieces by the tokenizer's pattern and needs no Unicode tables; all
+    others are encoded by the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
-        import unicodedata
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = splitter(WORDS)
-        self.normal = unicodedata.is_normalized
-        # The model sees a word's bytes as printable characters, as the byte-level step hands them on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = (b for b in range(256) if b not in shown)
-        table = dict(zip(hidden, range(256, 512), strict=False))
-        model = self.tokenizer.model
-        self.words = Remembered(lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))])
-
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if "İ" in text or "Σ" in text or not (text.isascii() or self.normal("NFC", text)):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.words.__getitem__, self.find(text.lower())))
+        self.model = self.tokenizer.model
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ascii(self, letters: bytes, rest: bytes) -> list[int]:
+        return [t.id for part in (letters.lower(), rest) if part for t in self.model.tokenize(part.decode())]
+
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not remembered."""
+        found, others = {}, []
+        for chunk in chunks:
+            letters = chunk.rstrip(b".,;:!?")
+            if letters.isalpha() and len(chunk) <= LONGEST:
+                ids = self._ascii(letters, chunk[len(letters) :])
+                found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(chunk)
+        for chunk, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
+            ids = e.ids
+            found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.encode().split() for t in texts]  # bytes: splits at ASCII white space only
+        found: dict[bytes, bytes] = {}
+        missing = set()
+        for chunk in set().union(*split):
+            ids = self.new.get(chunk) or self.old.get(chunk)
+            if ids is None:
+                missing.add(chunk)
+            else:
+                found[chunk] = ids
+        found.update(self._learn(missing))
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
+        for chunks in split:
+            yield b"".join(map(found.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
@@ -88,8 +115,8 @@ def token_pieces(docs: DataFrame, size: int = SIZE, name: str = TOKENIZER, with_
         encode = _encoder(name).packed
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
@@ -189,17 +216,24 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     by_bucket = stored(keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     counts = {r["length"]: r["n"] for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
-    plan = spark.createDataFrame(best_fit_plan(counts, size), _PLAN)
-    running = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    rows_of_plan = best_fit_plan(counts, size)
+    plan = spark.createDataFrame(rows_of_plan, _PLAN)
+    # Counts before a bucket are summed on two levels, so the most frequent length is no one task's work.
+    upper = by_bucket.withColumn("upper", F.floor(F.col("bucket") / UPPER))
+    preceding = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    above = upper.groupBy("length", "upper").agg(F.sum("n").alias("n"))
+    above = above.select("length", "upper", F.coalesce(F.sum("n").over(preceding("length", "upper")), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum("n").over(preceding("length", "upper", "bucket")), F.lit(0))
+    before = upper.withColumn("inside", inside).join(above, ["length", "upper"]).select("length", "bucket", (F.col("above") + F.col("inside")).alias("before"))
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         keyed.withColumn("own", F.row_number().over(own) - 1)
         .join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("own"))
     )
-    # The plan is bounded by the square of ``size``, in practice a few rows to a length.
-    placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n")))
+    if len(rows_of_plan) <= BROADCAST_ROWS:  # in practice a few rows to a length
+        plan = F.broadcast(plan)
+    placed = ranked.join(plan, (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n")))
     i = F.col("rank") - F.col("from_rank")
     return placed.select(
         *(pieces[c] for c in pieces.columns),

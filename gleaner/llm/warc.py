@@ -5,11 +5,19 @@ reaches, and a task that is lost is simply run again.  A record ends with CR LF
 that is the sink's line separator, so each file is a plain (gzip-compressed) WARC file.
 Reading goes by ``Content-Length``, never by separators, so payloads may hold anything.
 
+Every record has an id of its own, and decisions are about records, so rows that share a
+page_id keep their payloads.  Payloads are equal if length, SHA-1 and SHA-256 are.
+
+A file holds at most ``RECORDS_PER_FILE`` records of up to ``LARGE_BYTES``; larger ones lie
+in files of their own kind, of so few records that they too stay within ``FILE_BYTES`` (or
+hold one).  So the file that a task holds in memory is bounded in bytes, whatever a page is.
+
 Defined results: a null html is the empty payload; a null or empty url has no
 ``WARC-Target-URI``; rows without page_id are left out, as no record could be named;
-rows that repeat a page_id give a record each, and of equal payloads all rows with the
-largest page_id are responses; payloads shorter than ``least_bytes`` are never revisits;
-an empty table gives an archive without records; other columns are ignored.
+rows that repeat a page_id give a record each, and of equal payloads with the largest
+page_id one record is the response, which the others revisit; payloads shorter than
+``least_bytes`` are never revisits; an empty table gives an archive without records; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, stored
 
 END = "\r\n\r\n"
-#: Records in one archive file; bounds the memory of a task that reads it.
-RECORDS_PER_FILE = 500
+#: Records in one archive file, payloads that lie apart, and what a file of those may hold.
+RECORDS_PER_FILE, LARGE_BYTES, FILE_BYTES = 500, 128 << 10, 64 << 20
+KINDS = ("usual", "large")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
@@ -47,40 +56,40 @@ def _clean(url: str | None) -> str | None:
     return url and "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
 
 
-def response_record(page_id: int, url: str | None, html: str, digest: str, date: str) -> str:
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}{END}{html}"
-    return _record(
-        [
-            ("WARC-Type", "response"),
-            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {date}')}>"),
-            ("WARC-Target-URI", _clean(url)),
-            ("WARC-Date", date),
-            ("WARC-Payload-Digest", f"sha1:{digest}"),
-            ("Page-Id", page_id),
-            ("Content-Type", "application/http;msgtype=response"),
-        ],
-        block,
-    )
+def fresh_id(record_id: str, date: str) -> str:
+    """The id of the record that is written anew from ``record_id``; as unique as that."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{record_id} {date}')}>"
 
 
-def revisit_record(page_id: int, url: str | None, digest: str, size: int, date: str, ref_page: int, ref_record: str, ref_url: str | None) -> str:
-    return _record(
-        [
-            ("WARC-Type", "revisit"),
-            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {date}')}>"),
-            ("WARC-Target-URI", _clean(url)),
-            ("WARC-Date", date),
-            ("WARC-Payload-Digest", f"sha1:{digest}"),
-            ("WARC-Profile", REVISIT_PROFILE),
-            ("WARC-Refers-To", ref_record),
-            ("WARC-Refers-To-Target-URI", _clean(ref_url)),
-            ("Refers-To-Page-Id", ref_page),
-            ("Payload-Length", size),
-            ("Page-Id", page_id),
-            ("Content-Type", "application/http;msgtype=response"),
-        ],
-        "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n",
-    )
+def _name(record_id: str, page_id: int, url: str | None, digest: str, strong: str, date: str, kind: str) -> list[tuple[str, object]]:
+    return [
+        ("WARC-Type", kind),
+        ("WARC-Record-ID", record_id),
+        ("WARC-Target-URI", _clean(url)),
+        ("WARC-Date", date),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("Payload-SHA256", strong),
+        ("Page-Id", page_id),
+        ("Content-Type", "application/http;msgtype=response"),
+    ]
+
+
+def response_record(record_id: str, page_id: int, url: str | None, html: str, digest: str, strong: str, date: str) -> str:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}{END}{html}"
+    return _record(_name(record_id, page_id, url, digest, strong, date, "response"), block)
+
+
+def revisit_record(record_id: str, page_id: int, url: str | None, digest: str, strong: str, size: int, date: str, original: dict) -> str:
+    """``original``: page_id, url, record_id and date of the response that is revisited."""
+    refers = [
+        ("WARC-Profile", REVISIT_PROFILE),
+        ("WARC-Refers-To", original["record_id"]),
+        ("WARC-Refers-To-Target-URI", _clean(original["url"])),
+        ("WARC-Refers-To-Date", original["date"]),
+        ("Refers-To-Page-Id", original["page_id"]),
+        ("Payload-Length", size),
+    ]
+    return _record(_name(record_id, page_id, url, digest, strong, date, "revisit") + refers, "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -103,25 +112,38 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Write a column of record texts as archive files below ``path``."""
-    writer = records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
+def write_records(records: DataFrame, path: str, most: int = RECORDS_PER_FILE) -> None:
+    """Write a column of record texts as archive files below ``path``, ``most`` records to a file."""
+    writer = records.write.option("lineSep", END).option("maxRecordsPerFile", most)
     writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def write_responses(pages: DataFrame, path: str, date: str) -> None:
-    """One response record per page."""
+def _most(largest: int | None) -> dict[str, int]:
+    """Records to a file, by kind; ``largest``: bytes of the largest payload."""
+    return {"usual": RECORDS_PER_FILE, "large": max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, largest or 0)))}
+
+
+def write_responses(pages: DataFrame, path: str, date: str) -> dict[str, int]:
+    """One response record per page, below ``path``/kind; returns the records to a file of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([response_record(i, u, h, payload_digest(h.encode()), date) for i, u, h in rows], pa.string())], names=["value"])
+            out = []
+            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = html.encode()
+                out.append(response_record(f"<{uuid.uuid4().urn}>", page_id, url, html, payload_digest(data), hashlib.sha256(data).hexdigest(), date))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     small_batches(pages.sparkSession)
-    write_records(pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "value string"), path)
+    rows = pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    size = F.octet_length("html")
+    most = _most(rows.agg(F.max(size)).first()[0])
+    for kind, chosen in zip(KINDS, (size <= LARGE_BYTES, size > LARGE_BYTES), strict=True):
+        write_records(rows.where(chosen).mapInArrow(run, "value string"), f"{path}/{kind}", most[kind])
+    return most
 
 
-_HEADER = "file string, page_id long, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to long"
+_HEADER = "file string, page_id long, url string, record_id string, record_type string, payload_digest string, strong string, date string, payload_bytes long, refers_to long"
 _HEADER_ARROW = pa.schema(
     [
         ("file", pa.string()),
@@ -130,6 +152,8 @@ _HEADER_ARROW = pa.schema(
         ("record_id", pa.string()),
         ("record_type", pa.string()),
         ("payload_digest", pa.string()),
+        ("strong", pa.string()),
+        ("date", pa.string()),
         ("payload_bytes", pa.int64()),
         ("refers_to", pa.int64()),
     ]
@@ -137,9 +161,9 @@ _HEADER_ARROW = pa.schema(
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the archive files below ``path``."""
-    small_batches(spark)  # a task's files are bounded by spark.sql.files.maxPartitionBytes
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """(path, content) of the archive files below ``path``, one to an Arrow batch for large ones."""
+    small_batches(spark, 8)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -161,6 +185,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                         h["WARC-Record-ID"],
                         h["WARC-Type"],
                         h["WARC-Payload-Digest"].removeprefix("sha1:"),
+                        h["Payload-SHA256"],
+                        h["WARC-Date"],
                         size,
                         int(h["Refers-To-Page-Id"]) if "Refers-To-Page-Id" in h else None,
                     )
@@ -171,45 +197,51 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return archive_files(spark, path).mapInArrow(run, _HEADER)
 
 
-def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, least_bytes: int = 0) -> None:
+def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, most: dict[str, int], least_bytes: int = 0) -> None:
     """Rewrite the archives of ``source`` into ``target``: equal payloads are held once.
 
     Only headers are shuffled by digest and length.  The side with the original of each
-    digest holds a digest once, from a partial aggregation; the other side may be skewed
-    and is joined with splitting.  The decisions then meet the compressed files that they
-    are about: at most ``RECORDS_PER_FILE`` to a file.
+    digest holds a digest once, from a partial aggregation, and is stored; the other side may
+    be skewed and is joined with splitting.  The decisions then meet the compressed files
+    that they are about: at most ``RECORDS_PER_FILE`` to a file.
     """
-    headers = read_headers(spark, source)
-    key = ["payload_digest", "payload_bytes"]
-    originals = (
+    headers = stored(read_headers(spark, source), "warc-headers")
+    key = ["payload_digest", "strong", "payload_bytes"]
+    originals = stored(
         headers.where(F.col("payload_bytes") >= least_bytes)
         .groupBy(*key)
-        .agg(F.max(F.struct("page_id", "url")).alias("first"))
+        .agg(F.max(F.struct("page_id", "record_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .drop("n"),
+        "warc-originals",
     )
     revisits = (
         headers.join(originals, key)
-        .where("page_id < first.page_id")
+        .where("record_id <> first.record_id")
         .groupBy("file")
-        .agg(F.collect_list(F.struct("record_id", "first.page_id", "first.url")).alias("revisits"))
+        .agg(F.collect_list(F.struct("record_id", F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url"), F.col("first.record_id").alias("first_id"))).alias("revisits"))
     )
-    files = archive_files(spark, source).join(revisits, F.col("path") == F.col("file"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, decided in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                known = {r["record_id"]: (r["page_id"], r["url"]) for r in decided or []}
+                known = {r["record_id"]: {"record_id": fresh_id(r["first_id"], date), "page_id": r["page_id"], "url": r["url"], "date": date} for r in decided or []}
                 out = []
                 for h, block in parse_archive(data):
-                    page_id, url, digest = int(h["Page-Id"]), h.get("WARC-Target-URI"), h["WARC-Payload-Digest"].removeprefix("sha1:")
+                    record_id = fresh_id(h["WARC-Record-ID"], date)
+                    name = (record_id, int(h["Page-Id"]), h.get("WARC-Target-URI"))
+                    digests = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["Payload-SHA256"]
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    if (ref := known.get(h["WARC-Record-ID"])) is None:
-                        out.append(response_record(page_id, url, payload.decode(), digest, date))
+                    original = known.get(h["WARC-Record-ID"])
+                    if original is None:
+                        out.append(response_record(*name, payload.decode(), *digests, date))
                     else:
-                        ref_record = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{ref[0]} {date}')}>"
-                        out.append(revisit_record(page_id, url, digest, len(payload), date, ref[0], ref_record, ref[1]))
+                        out.append(revisit_record(*name, *digests, len(payload), date, original))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    write_records(files.select("content", "revisits").mapInArrow(run, "value string"), target)
+    for kind in KINDS:
+        files = archive_files(spark, f"{source}/{kind}").join(revisits, F.col("path") == F.col("file"), "left")
+        write_records(files.select("content", "revisits").mapInArrow(run, "value string"), f"{target}/{kind}", most[kind])
 
 
 def deduplicate_pages(pages: DataFrame, least_bytes: int = 0, date: str | None = None) -> DataFrame:
@@ -217,8 +249,8 @@ def deduplicate_pages(pages: DataFrame, least_bytes: int = 0, date: str | None =
     spark = pages.sparkSession
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     source, target = new_path(spark, "warc-source"), new_path(spark, "warc")
-    write_responses(pages, source, date)
-    resolve_revisits(spark, source, target, date, least_bytes)
+    most = write_responses(pages, source, date)
+    resolve_revisits(spark, source, target, date, most, least_bytes)
     return read_headers(spark, target)
 
 

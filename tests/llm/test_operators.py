@@ -365,3 +365,42 @@ def test_warc(spark, tmp_path, least):
     found = warc.deduplicate_pages(pages, least).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert collect(found, "page_id") == want
     assert warc.deduplicate_pages(pages.limit(0)).count() == 0
+
+
+def test_warc_keeps_the_payloads_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_BYTES", 12)
+    rows = [(5, "u", "shared payload"), (5, "u", "a payload of its own"), (9, "v", "shared payload"), (9, "v", "shared payload"), (1, None, "small")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    date, source, target = "2024-01-01T00:00:00Z", warc.new_path(spark, "s"), warc.new_path(spark, "t")
+    most = warc.write_responses(pages, source, date)
+    assert most == {"usual": 500, "large": 500}
+    warc.resolve_revisits(spark, source, target, date, most)
+    records = [r for row in warc.archive_files(spark, target).collect() for r in warc.parse_archive(bytes(row["content"]))]
+    assert len({h["WARC-Record-ID"] for h, _ in records}) == 5
+    payloads = sorted(block.split(b"\r\n\r\n", 1)[1] for h, block in records if h["WARC-Type"] == "response")
+    assert payloads == [b"a payload of its own", b"shared payload", b"small"]
+    originals = {h["WARC-Record-ID"] for h, _ in records if h["WARC-Type"] == "response"}
+    revisits = [h for h, _ in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and all(h["WARC-Refers-To"] in originals and h["Refers-To-Page-Id"] == "9" for h in revisits)
+
+
+def test_word_ids_are_the_librarys_for_every_character():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    r = random.Random(1)
+    odd = ["a", "B", "É", "Σ", "ΑΣ", "İ", " ", "\t", "\n", "\x1c", "\x85", "'s", "'S", ".", ",", "!?", "5", "٣", "漢", "<|endoftext|>", "\U0001f600", "\u0301", "ß", "x" * 90]
+    texts = [f"a{chr(c)}b {chr(c)} A{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(r.choice(odd) for _ in range(r.randint(0, 25))) for _ in range(10_000)]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        assert list(encoder.packed(part)) == want
+
+
+def test_packing_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
+    found = packing.pack_documents(rows).collect()
+    assert len(found) == 4 and len({(r["sequence_id"], r["offset"]) for r in found}) == 4
