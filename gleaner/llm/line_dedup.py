@@ -1,23 +1,28 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A window is ``run`` consecutive lines of one document.  Its fingerprint is the smallest
-line hash in it (the rightmost of equals), so two equal windows have equal fingerprints
-at the same place: a repeated run of ``run`` lines or more is guaranteed to share one.
-Fingerprints at one position only are dropped.  Around each of the others the match is
-extended both ways, by the 128-bit hash of every window that chose that position; windows
-of one hash are one run of lines, which stays where it stands first in the order of
-(doc_id, line).  Overlapping and adjacent later windows of a document merge into maximal
-runs, and their lines are deleted.
-
-The sides that hold a fingerprint or a first window once come from partial aggregations;
-the other side of these joins may be skewed and is joined with splitting.  A document's
+1. Winnow: of every ``run`` consecutive lines of a document the smallest line hash is
+   selected (the rightmost of equals).  Only the selected lines are indexed, about two in
+   ``run + 1``, each with the hashes of the ``run - 1`` lines on both sides.  Two equal runs
+   of ``run`` lines select the same line of them, so a repeated run is guaranteed to share one.
+2. Join positions: selected lines whose hash stands at one place only are dropped.
+3. Extend both ways: a shared line is extended over its neighbours to every run of ``run``
+   lines that holds it.  Lines are equal if both of their 64-bit hashes are.  Each run of
+   lines has its first place, in the order of (doc_id, row, line); places after that match
+   it, and matches that overlap or touch extend each other to maximal runs.
+4. The lines of these later runs are deleted.
+
+The sides of the joins that hold a line or a run once come from partial aggregations and are
+stored, so that the other side, which may be skewed, is joined with splitting.  A document's
 positions are the only group that is gathered, and it is as large as the document.
 
-Defined results: a null text counts as empty, and an empty text is one empty line; lines
-end at line feeds and are compared unchanged; windows are judged on the input, so windows
-of a document may repeat its own earlier ones; documents of fewer than ``run`` lines stay
-whole; rows without doc_id are left out; rows that repeat a doc_id share their removals;
-an empty table gives an empty table.
+A row is known by doc_id and a hash of its text (``row``), so rows that share a doc_id keep
+lines of their own.  Defined results: a null text counts as empty, and an empty text is one
+empty line; lines end at line feeds and are compared unchanged; runs are judged on the
+input, so a document may repeat its own earlier lines; documents of fewer than ``run`` lines
+stay whole; rows without doc_id are left out; rows that repeat a doc_id with the same text
+are one document, of which each row keeps what that keeps; of different texts under one
+doc_id the one with the smaller row hash comes first; an empty table gives an empty table;
+other columns are passed on, but for n_lines, n_removed and n_runs, which are set.
 """
 
 from __future__ import annotations
@@ -30,44 +35,59 @@ from .common import stored
 RUN = 3
 
 
-def _lines(text: str = "text") -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _lines(text: Column | str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n", -1)
 
 
-def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, first line ``i``, fingerprint and its line, and the window's hash of two longs."""
+def _row(text: Column | str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def selected_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, row, the selected line ``at``, its hash ``fp``, and two hashes of each line from ``start`` on around it."""
     hashed = docs.where("doc_id is not null").select(
         "doc_id",
+        _row().alias("row"),
         F.transform(_lines(), lambda x, i: F.struct(F.xxhash64(x).alias("h"), (-i).alias("p"))).alias("a"),
         F.transform(_lines(), lambda x: F.xxhash64(F.lit(run), x)).alias("b"),
     )
+    size = F.size("a")
 
-    def window(i: Column) -> Column:
-        a, b = F.slice("a", i + 1, run), F.slice("b", i + 1, run)
-        return F.struct(i.alias("i"), F.array_min(a).alias("m"), F.xxhash64(a["h"]).alias("k1"), F.xxhash64(b).alias("k2"))
+    def position(m: Column) -> Column:
+        at = -m["p"]
+        start = F.greatest(at - (run - 1), F.lit(0))
+        n = F.least(at + run, size) - start
+        return F.struct(m["h"].alias("fp"), at.alias("at"), start.alias("start"), F.slice("a", start + 1, n)["h"].alias("h"), F.slice("b", start + 1, n).alias("k"))
 
-    return (
-        hashed.where(F.size("a") >= run)
-        .select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - run), window)).alias("w"))
-        .select("doc_id", "w.i", F.col("w.m.h").alias("fp"), (-F.col("w.m.p")).alias("at"), "w.k1", "w.k2")
-    )
+    minima = F.array_distinct(F.transform(F.sequence(F.lit(0), size - run), lambda i: F.array_min(F.slice("a", i + 1, run))))
+    chosen = hashed.where(size >= run).withColumn("minima", minima)
+    return chosen.select("doc_id", "row", F.explode(F.transform("minima", position)).alias("s")).select("doc_id", "row", "s.*")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Maximal runs of lines to delete: doc_id, first line, and the line after the last."""
-    found = stored(windows(docs, run), "line-windows")
-    place = F.struct("doc_id", "at")
-    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    near = found.join(shared, "fp", "left_semi")
-    here = F.struct("doc_id", "i")
-    first = near.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").select("k1", "k2", "first")
-    later = near.join(first, ["k1", "k2"]).where(here > F.col("first")).select("doc_id", "i").distinct()
-    by_place = Window.partitionBy("doc_id").orderBy("i")
+    """Maximal runs of lines to delete: doc_id, row, first line, and the line after the last."""
+    index = stored(selected_lines(docs, run), "line-index")
+    place = F.struct("doc_id", "row", "at")
+    shared = stored(index.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "line-shared")
+
+    def extended(i: Column) -> Column:
+        at = i - F.col("start") + 1
+        return F.struct(i.alias("i"), F.xxhash64(F.slice("h", at, run)).alias("k1"), F.xxhash64(F.slice("k", at, run)).alias("k2"))
+
+    last = F.least(F.col("at"), F.col("start") + F.size("h") - run)
+    near = index.join(shared, "fp", "left_semi")
+    matches = near.select("doc_id", "row", F.explode(F.transform(F.sequence("start", last), extended)).alias("w")).select("doc_id", "row", "w.*")
+    here = F.struct("doc_id", "row", "i")
+    first = stored(
+        matches.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").select("k1", "k2", "first"), "line-first"
+    )
+    later = matches.join(first, ["k1", "k2"]).where(here > F.col("first")).select("doc_id", "row", "i").distinct()
+    by_place = Window.partitionBy("doc_id", "row").orderBy("i")
     begins = F.coalesce(F.col("i") > F.lag("i").over(by_place) + run, F.lit(True))
     return (
         later.withColumn("new", begins.cast("int"))
         .withColumn("nr", F.sum("new").over(by_place))
-        .groupBy("doc_id", "nr")
+        .groupBy("doc_id", "row", "nr")
         .agg(F.min("i").alias("first_line"), (F.max("i") + run).alias("end_line"))
         .drop("nr")
     )
@@ -75,30 +95,39 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def delete_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with ``text`` after deletion, and n_lines, n_removed and n_runs."""
-    by_place = Window.partitionBy("doc_id").orderBy("first_line")
+    by_place = Window.partitionBy("doc_id", "row").orderBy("first_line")
     kept_before = F.col("first_line") - F.coalesce(F.lag("end_line").over(by_place), F.lit(0))
     marks = F.concat(F.expr("repeat('k', cast(gap as int))"), F.expr("repeat('d', cast(end_line - first_line as int))"))
-    per_doc = (
+    per_row = (
         repeated_runs(docs, run)
         .withColumn("gap", kept_before)
-        .select("doc_id", "first_line", (F.col("end_line") - F.col("first_line")).alias("n"), marks.alias("marks"))
-        .groupBy("doc_id")
+        .select("doc_id", "row", "first_line", (F.col("end_line") - F.col("first_line")).alias("n"), marks.alias("marks"))
+        .groupBy("doc_id", "row")
         .agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_line", "marks"))), lambda x: x["marks"]), "").cast("binary").alias("_marks"),
-            F.sum("n").alias("_removed"),
-            F.count(F.lit(1)).alias("n_runs"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_line", "marks"))), lambda x: x["marks"]), "").cast("binary").alias("marks"),
+            F.sum("n").alias("removed"),
+            F.count(F.lit(1)).alias("runs"),
         )
     )
+    # All columns of a document go in one, so no name can clash.
+    whole = docs.where("doc_id is not null").select("doc_id", _row().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    lines = _lines(F.col("doc")["text"])
     # A byte of the marks is read in constant time, so long documents take linear time.
-    stays = lambda _, i: (i >= F.length("_marks")) | (F.substring(F.col("_marks"), i + 1, F.lit(1)) == F.lit(b"k"))
-    joined = docs.where("doc_id is not null").join(per_doc, "doc_id", "left")
-    kept = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_lines(), stays), "\n"))
-    return joined.select(
-        *(F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed", "n_runs")),
-        kept.alias("text"),
-        F.size(_lines()).cast("long").alias("n_lines"),
-        F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"),
+    stays = lambda _, i: (i >= F.length("marks")) | (F.substring(F.col("marks"), i + 1, F.lit(1)) == F.lit(b"k"))
+    kept = F.when(F.col("marks").isNull(), F.col("doc")["text"]).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    found = whole.join(per_row, ["doc_id", "row"], "left").select(
+        "doc",
+        kept.alias("kept"),
+        F.size(lines).cast("long").alias("lines"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("removed"),
+        F.coalesce("runs", F.lit(0)).cast("long").alias("runs"),
+    )
+    return found.select(
+        *(F.col("doc")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed", "n_runs")),
+        F.col("kept").alias("text"),
+        F.col("lines").alias("n_lines"),
+        F.col("removed").alias("n_removed"),
+        F.col("runs").alias("n_runs"),
     )
 
 

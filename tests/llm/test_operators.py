@@ -404,3 +404,20 @@ def test_packing_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, None)], "doc_id long, text string")
     found = packing.pack_documents(rows).collect()
     assert len(found) == 4 and len({(r["sequence_id"], r["offset"]) for r in found}) == 4
+
+
+def test_line_dedup_rows_that_share_an_id(spark):
+    text = "a\nb\nc\nd"
+    rows = [(1, text, 0, "m"), (2, text, 1, "m"), (2, "u1\nu2\nu3\nu4", 2, "m"), (2, None, 3, None), (3, text + "\ne", 4, "m"), (3, text + "\ne", 5, "m")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, marks string")
+    found = line_dedup.delete_runs(table.withColumn("row", F.lit(7)).withColumn("doc", F.lit("x"))).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in found) == [(1, text), (2, ""), (2, ""), (2, "u1\nu2\nu3\nu4"), (3, "e"), (3, "e")]
+    assert {r["row"] for r in found} == {7} and {r["doc"] for r in found} == {"x"}
+
+
+def test_winnowing_indexes_selected_lines_only(spark):
+    lines = [f"line {i * 7919 % 1000}" for i in range(400)]
+    index = line_dedup.selected_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()
+    assert 0.35 * len(lines) < len(index) < 0.65 * len(lines)
+    at = sorted(r["at"] for r in index)
+    assert at[0] < line_dedup.RUN and all(b - a <= line_dedup.RUN for a, b in zip(at, at[1:], strict=False))
