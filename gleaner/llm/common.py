@@ -38,6 +38,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of ``df``, from the sizes of its files; nothing is read for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: Inputs below this size are dealt over all cores before Python tasks.
 SMALL_BYTES = 64 << 20
 
@@ -48,9 +53,7 @@ def spread(docs: DataFrame) -> DataFrame:
     A small file with one row group is one task however many cores wait.  Only the dealing
     depends on the estimate, never the rows.
     """
-    context = docs.sparkSession.sparkContext
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(context.defaultParallelism) if size < SMALL_BYTES else docs
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if plan_bytes(docs) < SMALL_BYTES else docs
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,26 +1,28 @@
 """Passages of ``LENGTH`` symbols that also start in a document with a smaller doc_id.
 
 Shared by suffix-array dedup (symbols are bytes) and substring dedup (symbols are words).
+Hashes only say where to look; what is removed is decided on contents.
 
 1. ``_anchor`` picks anchors: in every run of ``LENGTH`` symbols the smallest hash of
    ``gram`` symbols (all of equals), so two equal runs have equal anchors at equal places.
-   An anchor is sent as two hashes: of its gram, and of its context, which is all that any
-   window choosing it can cover.  Copies that one task reads itself are settled there and
-   only the smallest document's anchors are sent, so a passage that a third of all
-   documents share arrives once per task, not once per document.
-2. ``_resolve`` takes all anchors of a hash bucket.  A context that a smaller document
-   holds is repeated as a whole.  The first holder of a context whose gram has other
-   contexts too (the ends of a shared passage) asks for its text.
-3. ``_contexts`` cuts the texts that are asked for, and ``_windows`` orders the windows of
-   all contexts of a gram by content and finds those that an earlier document has.  A gram
-   of more than ``MOST_CONTEXTS`` contexts is not gathered: each of its windows is a row
-   with a hash of 128 bits, the smallest document per hash comes from a partial
-   aggregation, and the join back may be split.
-4. ``_apply`` cuts the spans found out of each document.
-
-Anchors, spans and requests travel as packed arrays, a row per bucket, so a row stands for
-thousands of them; buckets are several to a shuffle partition, and the number of
-partitions is the session's.  Documents are dealt by a hash of doc_id.
+   An anchor's context is all that any window choosing it can cover.  Contexts that one task
+   reads twice are compared there, and only the smallest document's anchors are sent, so a
+   passage that a third of all documents share arrives once per task, not once per document.
+2. ``_resolve`` takes all anchors of a hash bucket.  Where documents of different doc_id have
+   a gram, all its holders ask for their contexts.  A gram of many holders is split: its
+   contexts are cut into shares of their windows, and each share goes to its own core, the
+   symbols that all windows of the share have in common (in the end the window itself).
+3. ``_contexts`` cuts the contexts, or their shares, out of the texts; equal ones in one task
+   are compared there again, so only the smallest document's is sent to the core.
+4. ``_windows`` takes all contexts of a core: equal ones are repeated as a whole, and the
+   windows of different ones are put into suffix order.  The longest previous factor, from
+   the next smaller documents before and behind in that order, decides (``suffixes``).
+5. ``_apply`` cuts the spans found out of each document.
+
+A row is known by doc_id and a hash of its text, so rows that share a doc_id keep their own
+spans.  Anchors, spans and requests travel as packed arrays, a row per bucket, so a row
+stands for thousands of them; the number of buckets follows the input and the session's
+shuffle partitions.  Documents are dealt by a hash of doc_id.
 """
 
 from __future__ import annotations
@@ -34,20 +36,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, stored, whole_groups
+from .common import parts, plan_bytes, small_batches, whole_groups
+from .suffixes import repeated_windows
 
 LENGTH = 50
 #: Text bytes after which a task sends what it has gathered.
 CHUNK_BYTES = 24 << 20
-#: Anchor buckets, and document buckets, to a shuffle partition.
-ANCHOR_BUCKETS, DOC_BUCKETS = 8, 4
+#: Anchor buckets and document buckets to a shuffle partition, the most of either; input bytes to a bucket.
+ANCHOR_BUCKETS, DOC_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 8, 4, 64, 32 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
+#: Holders of one gram that go to one core; those of more are dealt over several.
+SHARE = 128
+#: Values of a payload from which it is worth compressing.
+LEAST_COMPRESSED = 24
 
-#: Contexts of one gram that a task puts into suffix order; larger groups are settled by window.
-MOST_CONTEXTS = 50_000
-
-ANCHORS, SPANS, REQUESTS, HISTORY, LARGE = 0, 1, 2, 3, 4
+ANCHORS, SPANS, REQUESTS, HISTORY = 0, 1, 2, 3
 PACKED = "part int, kind int, payload binary"
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -76,6 +80,10 @@ def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return np.mod(h.view(np.int64), n).astype(np.int32)
 
 
+def row_hash(data: bytes) -> int:
+    return xxhash.xxh64_intdigest(data, 5)
+
+
 class Powers:
     """Powers of an odd number and of its inverse mod 2^64, as long as the longest text so far."""
 
@@ -143,23 +151,43 @@ class Symbols:
         return np.fromiter(map(memory.__getitem__, words), _U, len(words))
 
 
+class Places:
+    """Where runs of symbols stand in a text's bytes; words are taken as joined by one space."""
+
+    def __init__(self, data: bytes, kind: str) -> None:
+        if kind == "bytes":
+            self.data, self.starts, self.n = data, None, len(data)
+        else:
+            words = data.split()
+            self.data, self.n = b" ".join(words), len(words)
+            self.starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, self.n) + 1)]
+
+    def pieces(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        data = self.data
+        if self.starts is not None:
+            start, end = self.starts[start], self.starts[end] - 1
+        return [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 # Packed payloads ------------------------------------------------------------------------
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length; the first two as they are (hashes), the others compressed."""
-    head = np.array([len(arrays[0])], np.uint32).tobytes()
-    rest = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays[2:])
-    return head + arrays[0].tobytes() + arrays[1].tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
+    """Arrays of one length; the first as it is (a hash), the others compressed if they are long."""
+    n = len(arrays[0])
+    rest = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays[1:])
+    if n >= LEAST_COMPRESSED:
+        rest = zstandard.ZstdCompressor(level=1).compress(rest)
+    return np.array([n], np.uint32).tobytes() + arrays[0].tobytes() + rest
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, np.uint32, 1)[0]), 4, []
-    for kind in kinds[:2]:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
-    rest, at = zstandard.ZstdDecompressor().decompress(data[at:]), 0
-    for kind in kinds[2:]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out = [np.frombuffer(data, kinds[0], n, 4)]
+    rest, at = data[4 + out[0].nbytes :], 0
+    if n >= LEAST_COMPRESSED:
+        rest = zstandard.ZstdDecompressor().decompress(rest)
+    for kind in kinds[1:]:
         out.append(np.frombuffer(rest, kind, n, at))
         at += out[-1].nbytes
     return out
@@ -169,65 +197,97 @@ def _steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
-def _send(part: np.ndarray, buckets: int, kind: int, pack: Callable[[np.ndarray], bytes], out: tuple[list, list, list]) -> None:
+Rows = tuple[list, list, list]
+
+
+def _send(part: np.ndarray, kind: int, pack: Callable[[np.ndarray], bytes], out: Rows) -> None:
     """A row per bucket that has something; ``pack`` gets the positions of its values."""
     order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=buckets))
-    start = 0
-    for bucket, end in enumerate(ends.tolist()):
-        if end > start:
-            out[0].append(bucket)
-            out[1].append(kind)
-            out[2].append(pack(order[start:end]))
-        start = end
+    sorted_part = part[order]
+    starts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]]) if len(part) else np.empty(0, np.int64)
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False):
+        out[0].append(int(sorted_part[start]))
+        out[1].append(kind)
+        out[2].append(pack(order[start:end]))
 
 
-def _rows(out: tuple[list, list, list]) -> Iterator[pa.RecordBatch]:
+def _rows(out: Rows) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(out[0]), 1024):
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 1024], t) for x, t in zip(out, _PACKED.types, strict=True)], schema=_PACKED)
 
 
-def _send_spans(docs: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int, out: tuple[list, list, list], kind: int = SPANS) -> None:
-    order = np.lexsort((start, docs))
-    docs, start, end = docs[order], start[order].astype(np.int32), end[order].astype(np.int32)
-    _send(doc_bucket(docs, buckets), buckets, kind, lambda at: _pack(start[at], end[at], _steps(docs[at])), out)
+def _send_spans(docs: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int, out: Rows, kind: int = SPANS) -> None:
+    """Spans, or requests (anchor and share level), to the buckets of their documents."""
+    order = np.lexsort((start, row, docs))
+    docs, row, start, end = docs[order], row[order], start[order].astype(np.int32), end[order].astype(np.int32)
+    _send(doc_bucket(docs, buckets), kind, lambda at: _pack(start[at], end[at], _steps(docs[at]), row[at]), out)
 
 
-def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, end, steps = _unpack(data, "i4", "i4", "i8")
-    return np.cumsum(steps), start, end
+def _spans(payloads: list[bytes]) -> list[np.ndarray]:
+    """doc_id, row, start and end (as longs) of packed spans, in the order of (doc_id, row)."""
+    found = [_unpack(x, "i4", "i4", "i8", "u8") for x in payloads]
+    if not found:
+        return [np.empty(0, np.int64), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)]
+    d = np.concatenate([np.cumsum(x[2]) for x in found])
+    r, a, b = (np.concatenate([x[i] for x in found]) for i in (3, 0, 1))
+    order = np.lexsort((r, d))
+    return [d[order], r[order], a[order].astype(np.int64), b[order].astype(np.int64)]
+
+
+def _of_row(d: np.ndarray, r: np.ndarray, doc_id: int, row: int) -> slice:
+    """The places of a row in arrays in the order of (doc_id, row)."""
+    low, high = np.searchsorted(d, doc_id, "left"), np.searchsorted(d, doc_id, "right")
+    inside = r[low:high]
+    return slice(low + int(np.searchsorted(inside, _U(row), "left")), low + int(np.searchsorted(inside, _U(row), "right")))
 
 
 # Step 1 ---------------------------------------------------------------------------------
 
 
-def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buckets: int, doc_buckets: int, with_context: bool) -> Iterator[pa.RecordBatch]:
     width = LENGTH - gram + 1
     symbols, powers = Symbols(kind), Powers(0x9E3779B97F4A7C15)
     held: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        f, c, p, left, right = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
-        d = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-        out: tuple[list, list, list] = ([], [], [])
-        key = f ^ _mix(c)
-        order = np.lexsort((d, key))
-        key, fo, co, do = key[order], f[order], c[order], d[order]
-        begins = np.r_[True, key[1:] != key[:-1]]
+        f, c, p, left, right = (np.concatenate([h[i] for h in held]) for i in range(3, 8))
+        sizes = [len(h[3]) for h in held]
+        d, r, text = (np.repeat(np.array(x, t), sizes) for x, t in (([h[0] for h in held], np.int64), ([h[1] for h in held], _U), (range(len(held)), np.int64)))
+        out: Rows = ([], [], [])
+        order = np.lexsort((d, c, f))
+        fo, co, do = f[order], c[order], d[order]
+        begins = np.r_[True, (fo[1:] != fo[:-1]) | (co[1:] != co[:-1])]
         first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        settled = (do > do[first]) & (fo == fo[first]) & (co == co[first])
+        later = np.flatnonzero(do > do[first])
+        settled = np.zeros(len(order), bool)
+        if len(later):  # equal by hash: compare
+            both = np.stack([order[later], order[first[later]]])
+            places: dict[int, Places] = {}
+            one, other = np.empty(len(later), object), np.empty(len(later), object)
+            for ids, found in zip(both, (one, other), strict=True):
+                by_text = np.argsort(text[ids], kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(text[ids][by_text]) != 0])
+                for some in np.split(by_text, cuts[1:]):
+                    t = int(text[ids[some[0]]])
+                    if t not in places:
+                        places[t] = Places(held[t][2], kind)
+                    found[some] = places[t].pieces((p - left)[ids[some]], (p + right)[ids[some]])
+            settled[later] = one == other
         at = order[settled]
         if len(at):
-            _send_spans(d[at], p[at] - left[at], p[at] + right[at], doc_buckets, out)
+            _send_spans(d[at], r[at], p[at] - left[at], p[at] + right[at], doc_buckets, out)
             # Spans travel on with the anchors, dealt over all buckets.
             out[0][:] = [(b * 7919) % anchor_buckets for b in out[0]]
         at = np.sort(order[~settled])
-        f, c, d, p = f[at], c[at], d[at], p[at].astype(np.uint32)
+        f, c, d, r, p = f[at], c[at], d[at], r[at], p[at].astype(np.uint32)
+        by_doc = np.lexsort((p, r, d))
+        f, c, d, r, p = f[by_doc], c[by_doc], d[by_doc], r[by_doc], p[by_doc]
         bucket = ((f >> _U(32)) % _U(anchor_buckets)).astype(np.int32)
-        by_doc = np.lexsort((p, d))
-        f, c, d, p, bucket = f[by_doc], c[by_doc], d[by_doc], p[by_doc], bucket[by_doc]
-        _send(bucket, anchor_buckets, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), p[at]), out)
+        if with_context:
+            _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at]), out)
+        else:
+            _send(bucket, ANCHORS, lambda at: _pack(f[at], _steps(d[at]), r[at], p[at]), out)
         yield from _rows(out)
 
     for b in batches:
@@ -245,7 +305,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
             start, end = np.maximum(p - (width - 1), 0), np.minimum(p + LENGTH, n)
             left, right = p - start, end - p
             c = _mix(h.runs(start, end) + left.astype(_U) * _U(0x9FB21C651E98DF25) + right.astype(_U) * _U(0xA24BAED4963EE407))
-            held.append((doc_id, g[p], c, p, left, right))
+            held.append((doc_id, row_hash(data), data, g[p], c, p, left, right))
             size += len(data)
         if size >= CHUNK_BYTES:
             yield from flush()
@@ -257,235 +317,173 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
 # Step 2 ---------------------------------------------------------------------------------
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], kind: str, gram: int, doc_buckets: int, keep_history: bool, most: int) -> Iterator[pa.RecordBatch]:
-    """Spans and requests of the anchors of whole buckets, against each other and against history."""
-    width = LENGTH - gram + 1
-    waiting: list[list[np.ndarray]] = [[] for _ in range(7)]
-    count = 0
+class Requests:
+    """Requests and spans of a task, sent on once there are many."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        d, a, b, rd, rp, ld, lp = (np.concatenate(x) if x else np.empty(0, np.int64) for x in waiting)
-        if len(d):
-            _send_spans(d, a, b, doc_buckets, out)
-        if len(rd):
-            _send_spans(rd, rp, rp, doc_buckets, out, REQUESTS)
-        if len(ld):
-            _send_spans(ld, lp, lp, doc_buckets, out, LARGE)
+    def __init__(self, doc_buckets: int) -> None:
+        self.doc_buckets, self.count = doc_buckets, 0
+        self.spans: list = []
+        self.requests: list = []
+
+    def ask(self, d: np.ndarray, r: np.ndarray, p: np.ndarray, holders: np.ndarray) -> None:
+        """``holders``: how many the gram of each has; decides on the shares of its context."""
+        level = np.ceil(np.log2(np.maximum(holders / SHARE, 1))).astype(np.int32)
+        self.requests.append((d, r, p, level))
+        self.count += len(d)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        out: Rows = ([], [], [])
+        for waiting, kind in ((self.spans, SPANS), (self.requests, REQUESTS)):
+            if waiting:
+                _send_spans(*(np.concatenate(x) for x in zip(*waiting, strict=True)), self.doc_buckets, out, kind)
+        self.spans, self.requests, self.count = [], [], 0
         yield from _rows(out)
 
+
+def _several(f: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted grams: the number of each one's group, group sizes, and whether documents differ in it."""
+    begins = np.r_[True, f[1:] != f[:-1]]
+    starts = np.flatnonzero(begins)
+    group = np.cumsum(begins) - 1
+    return group, np.diff(np.r_[starts, len(f)]), np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans and requests of the anchors of whole buckets."""
+    out = Requests(doc_buckets)
     for t in whole_groups(batches, 1):
-        bucket = t.column("part").to_numpy()
-        kinds = t.column("kind").to_numpy()
-        payloads = t.column("payload").to_pylist()
-        history_rows: tuple[list, list, list] = ([], [], [])
+        bucket, kinds, payloads = t.column("part").to_numpy(), t.column("kind").to_numpy(), t.column("payload").to_pylist()
         for part in np.unique(bucket).tolist():
-            new, old = [], []
-            for i in np.flatnonzero(bucket == part).tolist():
-                if kinds[i] == SPANS:
-                    d, a, b = _spans(payloads[i])
-                    for x, y in zip(waiting, (d, a, b), strict=False):
-                        x.append(y)
-                    count += len(d)
-                else:
-                    f, c, steps, p = _unpack(payloads[i], "u8", "u8", "i8", "u4")
-                    (old if kinds[i] == HISTORY else new).append((f, c, np.cumsum(steps), p.astype(np.int64)))
-            if not new:
+            here = np.flatnonzero(bucket == part)
+            if len(spans := [payloads[i] for i in here[kinds[here] == SPANS].tolist()]):
+                out.spans.append(_spans(spans))
+                out.count += len(out.spans[-1][0])
+            found = [_unpack(payloads[i], "u8", "i8", "u8", "u4") for i in here[kinds[here] == ANCHORS].tolist()]
+            if not found:
                 continue
-            is_new = np.repeat([True, False], [sum(len(x[0]) for x in y) for y in (new, old)])
-            f, c, d, p = (np.concatenate([x[i] for x in [*new, *old]]) for i in range(4))
-            # History and the new run are both in order of the gram's hash: sorting merges them.
+            f, r, p = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
+            d = np.concatenate([np.cumsum(x[1]) for x in found])
             order = np.argsort(f, kind="stable")
-            fs = f[order]
-            begins = np.r_[True, fs[1:] != fs[:-1]]
-            group = np.cumsum(begins) - 1
-            several = (np.bincount(group) > 1)[group]
-            if keep_history:
-                alone = order[~several & is_new[order]]
-            order = order[several]
-            order = order[np.lexsort((p[order], d[order], c[order], f[order]))]
-            fs, cs, ds, ps, new_s = f[order], c[order], d[order], p[order], is_new[order]
-            if len(fs):
-                begins = np.r_[True, fs[1:] != fs[:-1]]
-                context = begins | np.r_[True, cs[1:] != cs[:-1]]
-                starts = np.flatnonzero(begins)
-                group = np.cumsum(begins) - 1
-                mixed = (np.minimum.reduceat(ds, starts) < np.maximum.reduceat(ds, starts)) & (np.bincount(group, context) > 1)
-                if keep_history:  # a request is of use only where something new is
-                    mixed &= np.maximum.reduceat(new_s.astype(np.int8), starts) > 0
-                first = ds[np.flatnonzero(context)][np.cumsum(context) - 1]
-                whole = (ds > first) & new_s
-                asks = (ds == first) & mixed[group]
-                for x, y in zip(waiting[:3], (ds[whole], ps[whole] - (width - 1), ps[whole] + LENGTH), strict=True):
-                    x.append(y)  # cut to the document's ends when it is applied
-                large = asks & (np.bincount(group, asks) > most)[group]
-                asks &= ~large
-                for x, y in zip(waiting[3:], (ds[asks], ps[asks], ds[large], ps[large]), strict=True):
-                    x.append(y)
-                count += int(whole.sum()) + int(asks.sum()) + int(large.sum())
-            if keep_history:
-                stays = order[(ds == first) & new_s] if len(fs) else order
-                at = np.concatenate([alone, stays])
-                at = at[np.lexsort((c[at], f[at]))]
-                history_rows[0].append(part)
-                history_rows[1].append(HISTORY)
-                history_rows[2].append(_pack(f[at], c[at], _steps(d[at]), p[at].astype(np.uint32)))
-        yield from _rows(history_rows)
-        if count > 1_000_000:
-            yield from flush()
-            waiting, count = [[] for _ in range(7)], 0
-    yield from flush()
+            group, sizes, differ = _several(f[order], d[order])
+            asks = differ[group]
+            at = order[asks]
+            out.ask(d[at], r[at], p[at].astype(np.int64), sizes[group[asks]])
+        if out.count > 1_000_000:
+            yield from out.flush()
+    yield from out.flush()
 
 
 # Step 3 ---------------------------------------------------------------------------------
 
 
-def _symbol_starts(data: bytes, kind: str) -> np.ndarray | None:
-    """For words: where each begins in the words joined by one space, and the end plus one."""
-    if kind == "bytes":
-        return None
-    sizes = np.fromiter(map(len, data.split()), np.int64)
-    return np.r_[0, np.cumsum(sizes + 1)]
+_CONTEXT = "core long, doc_id long, row long, at int, end int, context binary"
+_CONTEXT_ARROW = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())])
 
 
-_CONTEXT = "f long, doc_id long, at int, context binary"
-_CONTEXT_ARROW = pa.schema([("f", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("context", pa.binary())])
+def shares(width: int, level: int) -> list[tuple[int, int]]:
+    """The offsets lo..hi of the windows in each share of a context."""
+    n = min(width, 1 << level)
+    edges = [width * i // n for i in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Table:
-    """Per request: the hash of the gram, and the context with its place."""
-    width = LENGTH - gram + 1
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    found = [_spans(x) for x in packed.column("payload").to_pylist()]
-    if found:
-        d, p = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])]
-        d, p = d[new], p[new]
-        seen = set()
-        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            low, high = np.searchsorted(d, doc_id, "left"), np.searchsorted(d, doc_id, "right")
-            if low == high or doc_id in seen:
-                continue
-            seen.add(doc_id)
-            data = text.encode()
-            starts = _symbol_starts(data, kind)
-            if starts is not None:
-                data = b" ".join(data.split())
-            n = len(data) if starts is None else len(starts) - 1
-            for at in p[low:high].tolist():
-                if at + gram > n:
-                    continue
-                begin, end = max(0, at - width + 1), min(n, at + LENGTH)
-                piece = data[begin:end] if starts is None else data[starts[begin] : starts[end] - 1]
-                anchor = data[at : at + gram] if starts is None else data[starts[at] : starts[at + gram] - 1]
-                for column, value in zip(out, (xxhash.xxh64_intdigest(anchor) - (1 << 63), doc_id, begin, piece), strict=True):
-                    column.append(value)
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
-
-
-def window_ranks(symbols: np.ndarray, length: int, packed: bool) -> np.ndarray:
-    """Rank of every suffix by its first ``length`` symbols, by prefix doubling.
-
-    Equal ranks are equal prefixes, and ranks are in suffix order.  ``packed``: symbols
-    are bytes, eight of which are one number to begin with.
-    """
-    if packed:
-        key, have = np.zeros(len(symbols), _U), 8
-        padded = np.r_[symbols.astype(_U), np.zeros(8, _U)]
-        for i in range(8):
-            key = (key << _U(8)) | padded[i : i + len(symbols)]
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    else:
-        rank, have = np.unique(symbols, return_inverse=True)[1].astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        behind = np.r_[rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)]
-        rank = np.unique(rank << 32 | behind, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
-
-
-def earlier_windows(contexts: list[bytes], docs: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of the windows of ``LENGTH`` symbols that start in a smaller document too.
-
-    The suffix array of all contexts is cut at depth ``LENGTH``.  Within a stretch of the
-    suffix order whose neighbours share ``LENGTH`` symbols, the longest previous factor of
-    a window reaches that length exactly if a smaller document stands in the stretch.
-    """
-    if kind == "bytes":
-        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-        symbols = np.frombuffer(b"".join(contexts), np.uint8)
-    else:
-        names: dict[bytes, int] = {}
-        split = [c.split(b" ") for c in contexts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        symbols = np.fromiter((names.setdefault(w, len(names)) for words in split for w in words), np.int64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    offset = np.arange(len(symbols)) - (ends - sizes)[owner]
-    inside = offset + LENGTH <= sizes[owner]
-    rank = window_ranks(symbols, LENGTH, kind == "bytes")[inside]
-    owner, offset = owner[inside], offset[inside]
-    if not len(rank):
-        return owner, offset
-    order = np.argsort(rank, kind="stable")
-    begins = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-    d = docs[owner[order]]
-    smallest = np.repeat(np.minimum.reduceat(d, begins), np.diff(np.r_[begins, len(d)]))
-    at = order[d > smallest]
-    return owner[at], offset[at]
+    """Per request: its context, or the shares of it, with the hash of the core; equal ones are settled.
 
-
-def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, 8192):
-        docs, at = t.column("doc_id").to_numpy(), t.column("at").to_numpy().astype(np.int64)
-        owner, offset = earlier_windows(t.column("context").to_pylist(), docs, kind)
-        if not len(owner):
+    A row without context is such a settled span.
+    """
+    width = LENGTH - gram + 1
+    d, r, p, levels = _spans(packed.column("payload").to_pylist())
+    columns: list[list] = [[] for _ in range(6)]
+    digest = xxhash.xxh64_intdigest
+    seen = set()
+    for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        if not len(d):
+            break
+        low = int(np.searchsorted(d, doc_id, "left"))
+        if low == len(d) or d[low] != doc_id:
             continue
-        d, start = docs[owner], at[owner] + offset
-        order = np.lexsort((start, d))
-        d, start = d[order], start[order]
-        begins = np.r_[True, (d[1:] != d[:-1]) | (start[1:] > start[:-1] + LENGTH)]
-        first = np.flatnonzero(begins)
-        last = np.r_[first[1:], len(d)] - 1
-        out: tuple[list, list, list] = ([], [], [])
-        _send_spans(d[first], start[first], start[last] + LENGTH, doc_buckets, out)
-        yield from _rows(out)
+        data = text.encode()
+        row = row_hash(data)
+        some = _of_row(d, r, doc_id, row)
+        if some.start == some.stop or (doc_id, row) in seen:
+            continue
+        seen.add((doc_id, row))
+        places = Places(data, kind)
+        asked = np.unique(np.stack([levels[some], p[some]]), axis=1)
+        for level in np.unique(asked[0]).tolist():
+            at = asked[1][asked[0] == level]
+            for share, (lo, hi) in enumerate(shares(width, level)):
+                start, end = np.maximum(at - hi, 0), np.minimum(at - lo + LENGTH, places.n)
+                ok = end - start >= LENGTH
+                a, start, end = at[ok], start[ok], end[ok]
+                seed = level << 8 | share
+                cores = [digest(x, seed) - (1 << 63) for x in places.pieces(a - lo, a - hi + LENGTH)]
+                n = len(cores)
+                for column, values in zip(columns, (cores, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), places.pieces(start, end)), strict=True):
+                    column.extend(values)
+    first: dict[tuple[int, bytes], int] = {}
+    cores, ids, _, _, _, texts = columns
+    for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True):
+        if doc_id < first.setdefault(key, doc_id):
+            first[key] = doc_id
+    for i, (core, doc_id, text) in enumerate(zip(cores, ids, texts, strict=True)):
+        if doc_id > first[core, text]:
+            cores[i], texts[i] = digest(b"%d %d" % (doc_id, i)) - (1 << 63), None
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
 
 
-_WINDOW = "h1 long, h2 long, doc_id long, start int"
+# Step 4 ---------------------------------------------------------------------------------
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    """A row per window of each context: two hashes, and where it starts."""
-    symbols, one, two = Symbols(kind), Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
-    for b in batches:
-        h1, h2, docs, starts = [], [], [], []
-        for _, doc_id, at, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            s = symbols.of(context)
-            n = len(s) - LENGTH + 1
-            if n > 0:
-                here = np.arange(n)
-                h1.append(_mix(Hasher(s, one).runs(here, here + LENGTH)).view(np.int64))
-                h2.append(_mix(Hasher(_mix(s), two).runs(here, here + LENGTH)).view(np.int64))
-                docs.append(np.full(n, doc_id, np.int64))
-                starts.append((here + at).astype(np.int32))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h1, h2, docs, starts)], names=["h1", "h2", "doc_id", "start"])
-
-
-def _pack_windows(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        start = b.column(1).to_numpy()
-        if len(start):
-            _send_spans(b.column(0).to_numpy(), start, start + LENGTH, doc_buckets, out)
+def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    for t in whole_groups(batches, 8192):
+        core, docs, row, at, end = (t.column(i).to_numpy() for i in range(5))
+        row = row.view(_U) ^ _U(1 << 63)
+        texts = t.column(5).to_pylist()
+        names: dict[bytes | None, int] = {}
+        text = np.fromiter((names.setdefault(x, len(names)) for x in texts), np.int64, len(texts))
+        settled = text == names.get(None, -1)
+        # Equal contexts of a core: those of larger documents are repeated as a whole.
+        order = np.lexsort((docs, text, core))
+        begins = np.r_[True, (core[order][1:] != core[order][:-1]) | (text[order][1:] != text[order][:-1])]
+        kind_of = np.empty(len(order), np.int64)
+        kind_of[order] = np.cumsum(begins) - 1
+        firsts = order[begins]
+        whole = settled | (docs > docs[firsts][kind_of])
+        # Different contexts of a core, each with its smallest document.
+        one = firsts[~settled[firsts]]
+        found_d, found_r, found_a, found_b = [docs[whole]], [row[whole]], [at[whole].astype(np.int64)], [end[whole].astype(np.int64)]
+        if len(one):
+            group, sizes, differ = _several(core[one], docs[one])
+            one = one[differ[group]]
+        if len(one):
+            which, offset = repeated_windows([texts[i] for i in one.tolist()], docs[one], kind, LENGTH)
+            # Every row that is first with this context has its windows.
+            holders = np.flatnonzero(~whole)
+            holders = holders[np.argsort(kind_of[holders], kind="stable")]
+            mine = kind_of[one[which]]
+            low, high = np.searchsorted(kind_of[holders], mine, "left"), np.searchsorted(kind_of[holders], mine, "right")
+            times = high - low
+            inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            who = holders[np.repeat(low, times) + inside]
+            start = at[who].astype(np.int64) + np.repeat(offset, times)
+            found_d.append(docs[who])
+            found_r.append(row[who])
+            found_a.append(start)
+            found_b.append(start + LENGTH)
+        d, r, a, b = (np.concatenate(x) for x in (found_d, found_r, found_a, found_b))
+        if not len(d):
+            continue
+        order = np.lexsort((a, r, d))
+        d, r, a, b = d[order], r[order], a[order], b[order]
+        begins = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > b[:-1])])
+        out: Rows = ([], [], [])
+        _send_spans(d[begins], r[begins], a[begins], np.maximum.reduceat(b, begins), doc_buckets, out)
         yield from _rows(out)
 
 
-# Step 4 ---------------------------------------------------------------------------------
+# Step 5 ---------------------------------------------------------------------------------
 
 
 def merged(start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -496,63 +494,58 @@ def merged(start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(start[begins].tolist(), end[np.r_[begins[1:], len(end)] - 1].tolist(), strict=True))
 
 
-def _apply(docs: pa.Table, packed: pa.Table, row: Callable[[int, bytes, list], tuple], schema: pa.Schema) -> pa.Table:
-    """``row(doc_id, text bytes, merged spans)`` for each document."""
-    found = [_spans(x) for x in packed.column("payload").to_pylist()]
-    d, a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(3))
-    order = np.argsort(d, kind="stable")
-    d, a, b = d[order], a[order].astype(np.int64), b[order].astype(np.int64)
+def _apply(docs: pa.Table, packed: pa.Table, row: Callable[[int, bytes, tuple | None], tuple], schema: pa.Schema) -> pa.Table:
+    """``row(doc_id, text bytes, spans)`` for each document, and what else the document carries."""
+    d, r, a, b = _spans(packed.column("payload").to_pylist())
     rows = []
     for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        low, high = np.searchsorted(d, doc_id, "left"), np.searchsorted(d, doc_id, "right")
-        rows.append(row(doc_id, text.encode(), (a[low:high], b[low:high]) if high > low else None))
+        data = text.encode()
+        low = int(np.searchsorted(d, doc_id, "left"))
+        some = _of_row(d, r, doc_id, row_hash(data)) if low < len(d) and d[low] == doc_id else slice(0, 0)
+        rows.append(row(doc_id, data, (a[some], b[some]) if some.stop > some.start else None))
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
+    table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
+    return table.append_column("carried", docs.column("carried")) if "carried" in docs.column_names else table
 
 
 # The plan -------------------------------------------------------------------------------
 
 
-def buckets(spark) -> tuple[int, int]:
-    return ANCHOR_BUCKETS * parts(spark), DOC_BUCKETS * parts(spark)
+def buckets(docs: DataFrame) -> tuple[int, int]:
+    """Anchor and document buckets for ``docs``, from the session's partitions and Spark's estimate of the size."""
+    n = parts(docs.sparkSession)
+    by_size = min(plan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS * n)  # the estimate may be far too high
+    return max(ANCHOR_BUCKETS * n, by_size), max(DOC_BUCKETS * n, by_size)
 
 
-def anchors(docs: DataFrame, kind: str, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, kind: str, gram: int, dealt: tuple[int, int], with_context: bool = False) -> DataFrame:
     """Packed anchors of ``docs`` (doc_id, text)."""
-    a, b = buckets(docs.sparkSession)
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(lambda it: _anchor(it, kind, gram, a, b), PACKED)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _anchor(it, kind, gram, *dealt, with_context), PACKED)
 
 
-def resolve(packed: DataFrame, kind: str, gram: int, doc_buckets: int, keep_history: bool = False, most: int | None = None) -> DataFrame:
+def resolve(packed: DataFrame, doc_buckets: int) -> DataFrame:
     """Spans and requests of packed anchors, each bucket in one task."""
     small_batches(packed.sparkSession)
-    most = MOST_CONTEXTS if most is None else most
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _resolve(it, kind, gram, doc_buckets, keep_history, most), PACKED)
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _resolve(it, doc_buckets), PACKED)
 
 
-def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets: int, row: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
-    """Settle the requests of ``resolved`` and apply all spans to ``docs`` (doc_id, text).
+def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets: int, row: Callable, schema: pa.Schema, ddl: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Settle the requests of ``resolved`` on contents and apply all spans to ``docs``.
 
-    Both uses of the documents are dealt alike, so that Spark can shuffle them once.
+    ``docs`` has doc_id, text, and may have a struct ``carried``, which is handed on.  Texts that are asked
+    for are those of ``corpus`` (doc_id, text), or of ``docs``; then both uses are dealt alike, so that Spark
+    can shuffle them once.
     """
     small_batches(docs.sparkSession)
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(doc_buckets)).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(doc_buckets)).cast("int")
+    dealt = docs.withColumn("part", part)
+    asked = dealt if corpus is None else corpus.select("doc_id", "text").withColumn("part", part)
     spans = resolved.where(F.col("kind") == SPANS).select("part", "payload")
     requests = resolved.where(F.col("kind") == REQUESTS).select("part", "payload")
-    contexts = dealt.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
-    more = (
-        contexts.repartition("f")
-        .sortWithinPartitions("f")
-        .mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
-        .select("part", "payload")
-    )
-    spans = spans.union(more)
-    large = resolved.where(F.col("kind") == LARGE).select("part", "payload")
-    if not large.isEmpty():
-        wide = dealt.groupBy("part").cogroup(large.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
-        windows = stored(wide.mapInArrow(lambda it: _hash_windows(it, kind), _WINDOW), "passage-windows")
-        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-        later = windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start")
-        spans = spans.union(later.mapInArrow(lambda it: _pack_windows(it, doc_buckets), PACKED).select("part", "payload"))
+    contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
+    more = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
+    spans = spans.union(more.select("part", "payload"))
+    if "carried" in docs.columns:
+        ddl += f", carried {docs.schema['carried'].dataType.simpleString()}"
     return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _apply(a, b, row, schema), ddl)

@@ -1,15 +1,18 @@
 """Suffix-array dedup: remove later copies of byte strings, keep the first.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a
-smaller doc_id.  Candidates are found by anchors (see ``passages``); windows at the ends
-of shared passages are put into suffix order, and the longest previous factor, taken from
-the neighbours with smaller documents in that order, decides.
+smaller doc_id.  Anchors say which contexts may repeat (see ``passages``); the suffixes of
+these contexts are put into order, core by core, and the longest-previous-factor array, from
+the previous and next smaller documents in that order, tells which strings have an earlier
+match (see ``suffixes``).  Contexts that are equal byte by byte are merged before they are
+ordered: all but those of the smallest document are repeated as a whole.
 
 Defined results: a null text counts as empty; texts are UTF-8 bytes, matches never cross
 documents, and a removal may cut through a character (the kept bytes are then no longer
 UTF-8, which ``kept_text`` repairs by dropping the broken bytes); rows without doc_id are
-left out; rows that repeat a doc_id do not count as earlier to each other; an empty table
-gives an empty table; other columns are ignored.
+left out; rows that share a doc_id do not count as earlier to each other and keep bytes of
+their own, by a hash of their text; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import stored, texts
 from .passages import anchors, buckets, cut, merged, resolve
 
-GRAM = 16
+GRAM = 24
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_text", pa.string())])
@@ -49,9 +52,9 @@ def text_row(doc_id: int, data: bytes, spans) -> tuple:
 
 def _run(docs: DataFrame, row, schema: pa.Schema, ddl: str) -> DataFrame:
     rows = texts(docs)
-    _, doc_buckets = buckets(docs.sparkSession)
-    resolved = stored(resolve(anchors(rows, "bytes", GRAM), "bytes", GRAM, doc_buckets), "suffix-resolved")
-    return cut(rows, resolved, "bytes", GRAM, doc_buckets, row, schema, ddl)
+    dealt = buckets(rows)
+    resolved = stored(resolve(anchors(rows, "bytes", GRAM, dealt), dealt[1]), "suffix-resolved")
+    return cut(rows, resolved, "bytes", GRAM, dealt[1], row, schema, ddl)
 
 
 def remove_copies(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, passages, simhash, substring_dedup, suffix_dedup, warc
+from gleaner.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, passages, simhash, substring_dedup, suffix_dedup, suffixes, warc
 from gleaner.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, part int, start string"
@@ -256,9 +256,9 @@ def brute_passages(symbols_of, length=50):
     return out
 
 
-@pytest.mark.parametrize("most", [50_000, 1])
-def test_suffix_dedup(docs, empty, monkeypatch, most):
-    monkeypatch.setattr(passages, "MOST_CONTEXTS", most)
+@pytest.mark.parametrize("share", [128, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, share):
+    monkeypatch.setattr(passages, "SHARE", share)
     want = {}
     for i, (s, gone) in brute_passages(str.encode).items():
         kept = bytes(b for b, g in zip(s, gone, strict=True) if not g)
@@ -266,36 +266,104 @@ def test_suffix_dedup(docs, empty, monkeypatch, most):
         want[i] = (len(s), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     assert collect(suffix_dedup.copies_digest(docs)) == want
     assert sum(w[1] for w in want.values()) > 1000
-    if most > 1:
+    if share > 1:
         assert suffix_dedup.copies_digest(empty).count() == 0
         assert {r["doc_id"]: len(r["spans"]) for r in suffix_dedup.remove_copies(docs).collect()} == {i: w[2] for i, w in want.items()}
 
 
-@pytest.mark.parametrize("batches,most_runs", [(1, 4), (4, 2)])
-def test_substring_dedup(docs, empty, monkeypatch, batches, most_runs):
-    monkeypatch.setattr(substring_dedup.FingerprintIndex.__init__, "__defaults__", (most_runs,))
-    word = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def word_passages():
     want = {}
-    for i, (s, gone) in brute_passages(lambda t: tuple(word.findall(t))).items():
+    for i, (s, gone) in brute_passages(lambda t: tuple(WORD.findall(t))).items():
         kept = " ".join(w for w, g in zip(s, gone, strict=True) if not g)
         want[i] = (len(s), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("batches,share", [(1, 128), (4, 1)])
+def test_substring_dedup(docs, empty, monkeypatch, batches, share):
+    monkeypatch.setattr(passages, "SHARE", share)
+    want = word_passages()
     assert collect(substring_dedup.repeats_digest(docs, batches)) == want
     assert sum(w[1] for w in want.values()) > 100
     for i, row in collect(substring_dedup.remove_repeats(docs, batches)).items():
-        assert hashlib.sha256(" ".join(word.findall(row[2])).encode()).hexdigest() == want[i][2]
+        assert hashlib.sha256(" ".join(WORD.findall(row[2])).encode()).hexdigest() == want[i][2]
     if batches == 1:
         assert substring_dedup.repeats_digest(empty).count() == 0
 
 
+def test_fingerprint_index_is_opened_again_appended_and_compacted(spark, docs):
+    want, ids = word_passages(), [i for i, _ in TEXTS]
+    path = f"{passages_path(spark)}/index"
+    index = substring_dedup.FingerprintIndex.create(spark, path, docs, most_runs=2)
+    seen, versions = docs.where("false"), set()
+    for low in range(min(ids), max(ids) + 1, 12):
+        index = substring_dedup.FingerprintIndex.open(spark, path, most_runs=2)
+        versions.add((index.version, index.runs))
+        batch = docs.where(f"doc_id between {low} and {low + 11}")
+        for i, row in collect(substring_dedup.add_documents(index, batch, seen)).items():
+            assert row[:2] == want[i][:2]
+            assert hashlib.sha256(" ".join(WORD.findall(row[2])).encode()).hexdigest() == want[i][2]
+        seen = seen.union(batch)
+    assert {(0, 0), (0, 1), (0, 2), (1, 1)} <= versions
+    plan = index.stored_runs().groupBy("part").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a batch reads the runs where they lie
+
+
+def passages_path(spark):
+    from gleaner.llm.common import new_path
+
+    return new_path(spark, "test")
+
+
+@pytest.mark.parametrize("run", [suffix_dedup.copies_digest, substring_dedup.repeats_digest])
+def test_passages_of_rows_that_share_an_id(spark, run):
+    a, b, c = prose(201, 120), prose(202, 150), prose(203, 130)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, a + " " + c), (3, c), (4, None)]
+    found = run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    kept = sorted((r["doc_id"], r["kept_sha256"]) for r in found)
+    after = (" " if run is suffix_dedup.copies_digest else "") + c
+    assert kept == sorted([(1, digest(a)), (2, digest("")), (2, digest(b)), (2, digest(b)), (3, digest(after)), (3, digest(c)), (4, digest(""))])
+
+
+def test_longest_previous_factors_by_brute_force():
+    r = random.Random(6)
+    for depth in (5, 12):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(12)]
+        owner = np.array([r.randint(0, 5) for _ in texts])
+        data, docs = b"".join(texts), np.repeat(owner, [len(t) for t in texts])
+        order = suffixes.SuffixOrder(np.frombuffer(data, np.uint8), depth, depth >= 8)
+        at = np.argsort(order.rank, kind="stable")
+        share = lambda i, j: next((k for k in range(depth) if data[i + k : i + k + 1] != data[j + k : j + k + 1] or max(i, j) + k >= len(data)), depth)  # noqa: B023, E731
+        common = np.r_[0, order.common_prefix(at[:-1], at[1:])].astype(np.int16)
+        assert common[1:].tolist() == [share(i, j) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        found = suffixes.longest_previous_factors(docs[at], common)
+        for place, i in zip(found.tolist(), at.tolist(), strict=True):
+            assert place == max((share(i, j) for j in range(len(data)) if docs[j] < docs[i]), default=0)
+
+
+def test_previous_smaller_by_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 100):
+        values, common = r.integers(0, 9, n), r.integers(0, 50, n)
+        where, least = suffixes.previous_smaller(values, common)
+        for i in range(n):
+            j = next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1)
+            assert where[i] == j and least[i] == (common[j + 1 : i + 1].min() if j >= 0 else 0)
+
+
 def test_bucket_hash_is_sparks(spark):
     ids = [0, 1, -1, 5, 2**62, -(2**63), 12345678901]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(97))).collect()]
     assert passages.doc_bucket(np.array(ids), 97).tolist() == want
 
 
-def test_window_ranks_are_suffix_order():
+def test_ranks_are_suffix_order():
     data = b"banana bandana banana"
-    ranks = passages.window_ranks(np.frombuffer(data, np.uint8), 11, True)
+    ranks = suffixes.SuffixOrder(np.frombuffer(data, np.uint8), 11, True).rank
     cut = [data[i : i + 11] for i in range(len(data))]
     for i, a in enumerate(cut):
         for j, b in enumerate(cut):
