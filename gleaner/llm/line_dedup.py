@@ -12,8 +12,9 @@
 4. The lines of these later runs are deleted.
 
 The sides of the joins that hold a line or a run once come from partial aggregations and are
-stored, so that the other side, which may be skewed, is joined with splitting.  A document's
-positions are the only group that is gathered, and it is as large as the document.
+stored, so that the other side, which may be skewed, is joined with splitting; they grow with
+the input, so none is broadcast.  A document's positions are the only group that is gathered,
+and it is as large as the document.
 
 A row is known by doc_id and a hash of its text (``row``), so rows that share a doc_id keep
 lines of their own.  Defined results: a null text counts as empty, and an empty text is one
@@ -75,13 +76,13 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
         return F.struct(i.alias("i"), F.xxhash64(F.slice("h", at, run)).alias("k1"), F.xxhash64(F.slice("k", at, run)).alias("k2"))
 
     last = F.least(F.col("at"), F.col("start") + F.size("h") - run)
-    near = index.join(shared, "fp", "left_semi")
+    near = index.join(shared.hint("merge"), "fp", "left_semi")
     matches = near.select("doc_id", "row", F.explode(F.transform(F.sequence("start", last), extended)).alias("w")).select("doc_id", "row", "w.*")
     here = F.struct("doc_id", "row", "i")
     first = stored(
         matches.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").select("k1", "k2", "first"), "line-first"
     )
-    later = matches.join(first, ["k1", "k2"]).where(here > F.col("first")).select("doc_id", "row", "i").distinct()
+    later = matches.join(first.hint("merge"), ["k1", "k2"]).where(here > F.col("first")).select("doc_id", "row", "i").distinct()
     by_place = Window.partitionBy("doc_id", "row").orderBy("i")
     begins = F.coalesce(F.col("i") > F.lag("i").over(by_place) + run, F.lit(True))
     return (
@@ -115,7 +116,7 @@ def delete_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     # A byte of the marks is read in constant time, so long documents take linear time.
     stays = lambda _, i: (i >= F.length("marks")) | (F.substring(F.col("marks"), i + 1, F.lit(1)) == F.lit(b"k"))
     kept = F.when(F.col("marks").isNull(), F.col("doc")["text"]).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    found = whole.join(per_row, ["doc_id", "row"], "left").select(
+    found = whole.join(per_row.hint("merge"), ["doc_id", "row"], "left").select(
         "doc",
         kept.alias("kept"),
         F.size(lines).cast("long").alias("lines"),
