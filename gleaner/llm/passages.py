@@ -35,6 +35,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import parts, plan_bytes, small_batches, whole_groups
 from .suffixes import repeated_windows
@@ -546,6 +547,7 @@ def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets:
     contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
     more = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
     spans = spans.union(more.select("part", "payload"))
+    result = StructType.fromDDL(ddl)
     if "carried" in docs.columns:
-        ddl += f", carried {docs.schema['carried'].dataType.simpleString()}"
-    return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _apply(a, b, row, schema), ddl)
+        result = result.add("carried", docs.schema["carried"].dataType)
+    return dealt.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda a, b: _apply(a, b, row, schema), result)

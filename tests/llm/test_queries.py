@@ -1,12 +1,14 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import os
+import random
 import re
 import struct
 import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -114,3 +116,22 @@ def test_pipeline_run_packs_all_that_stays(spark):
     found = corpus_pipeline.run(spark, TABLES)
     assert found.where("offset + length > 4096").count() == 0
     assert found.select("doc_id", "piece").distinct().count() == found.count()
+
+
+def test_stages_keep_rows_that_share_an_id_and_columns_of_any_name(spark):
+    """Unique texts stay whole, k rows stay k, and the operators' own column names are no harm."""
+    r = random.Random(3)
+    text = lambda: "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(8))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "en"), (2, a, "en"), (2, b, "en"), (2, b, "en"), (3, c, None)]
+    names = ("n_lines", "n_words", "n_removed", "n_runs", "kept_text", "row", "doc", "part", "marks", "payload", "core")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text"))
+    table = table.select("*", *(F.lit(9).alias(n) for n in names))
+    for stage in (corpus_pipeline.delete_lines, corpus_pipeline.delete_passages):
+        found = stage(spark, table, TABLES)
+        assert found.columns == table.columns
+        rows = found.collect()
+        assert sorted((x["doc_id"], x["text"]) for x in rows) == sorted([(1, a), (2, b), (2, b), (3, c)])
+        assert all(x[n] == 9 for x in rows for n in names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), TABLES).count() == 0
