@@ -13,14 +13,16 @@ from gleaner.llm import language_id, line_dedup, packing, simhash, substring_ded
 from gleaner.llm.common import stored
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in one struct, so that no name can clash."""
+    return docs.select("doc_id", "text", F.struct(F.col("doc_id"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("carried"))
+
+
 def _with_text(docs: DataFrame, found: DataFrame, text: str, emptied) -> DataFrame:
     """``found`` with the columns of ``docs``; rows that a stage emptied are gone."""
-    return found.where(~emptied).select(
-        *(
-            F.col(text).alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        )
-    )
+    size = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    made = {"text": F.col(text), "n_chars": size, "doc_id": F.col("doc_id")}
+    return found.where(~emptied).select(*(made.get(c, F.col("carried")[c] if c not in made else None).alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go; so do documents that held nothing else."""
-    found = line_dedup.delete_runs(docs)
+    found = line_dedup.delete_runs(_carried(docs))
     return _with_text(docs, found, "text", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))
 
 
@@ -42,9 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def delete_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 words go; so do documents that held nothing else."""
-    found = substring_dedup.remove_repeats(docs)
-    joined = docs.drop("text").join(found, "doc_id")
-    return _with_text(docs, joined, "kept_text", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words")))
+    found = substring_dedup.remove_repeats(_carried(docs))
+    return _with_text(docs, found, "kept_text", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
