@@ -1,22 +1,25 @@
 """Passages of ``LENGTH`` symbols that also start in a document with a smaller doc_id.
 
 Shared by suffix-array dedup (symbols are bytes) and substring dedup (symbols are words).
-Hashes only say where to look; what is removed is decided on contents.
+Running hashes only say where to look; what is removed is decided on contents, or for whole
+contexts that meet over the network on 128-bit digests of their contents.
 
 1. ``_anchor`` picks anchors: in every run of ``LENGTH`` symbols the smallest hash of
    ``gram`` symbols (all of equals), so two equal runs have equal anchors at equal places.
    An anchor's context is all that any window choosing it can cover.  Contexts that one task
    reads twice are compared there, and only the smallest document's anchors are sent, so a
    passage that a third of all documents share arrives once per task, not once per document.
-2. ``_resolve`` takes all anchors of a hash bucket.  Where documents of different doc_id have
-   a gram, all its holders ask for their contexts.  A gram of many holders is split: its
-   contexts are cut into shares of their windows, and each share goes to its own core, the
+2. ``_resolve`` takes all anchors of a hash bucket.  Contexts that seem equal ask to be
+   verified.  Where a gram has different contexts of different documents, the first holder of
+   each asks for its text to be put into suffix order.  A gram of many contexts is split:
+   they are cut into shares of their windows, and each share goes to its own core, the
    symbols that all windows of the share have in common (in the end the window itself).
-3. ``_contexts`` cuts the contexts, or their shares, out of the texts; equal ones in one task
-   are compared there again, so only the smallest document's is sent to the core.
-4. ``_windows`` takes all contexts of a core: equal ones are repeated as a whole, and the
-   windows of different ones are put into suffix order.  The longest previous factor, from
-   the next smaller documents before and behind in that order, decides (``suffixes``).
+3. ``_contexts`` cuts the contexts, or their shares, out of the texts, or takes the digests;
+   equal ones in one task are settled there, so only the smallest document's is sent.
+4. ``_windows`` takes all digests, and all contexts of a core: equal ones are repeated as a
+   whole, and the windows of different ones are put into suffix order.  The longest previous
+   factor, from the next smaller documents before and behind in that order, decides
+   (``suffixes``).
 5. ``_apply`` cuts the spans found out of each document.
 
 A row is known by doc_id and a hash of its text, so rows that share a doc_id keep their own
@@ -47,12 +50,12 @@ CHUNK_BYTES = 24 << 20
 ANCHOR_BUCKETS, DOC_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 8, 4, 64, 32 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
-#: Holders of one gram that go to one core; those of more are dealt over several.
+#: Contexts of one gram that go to one core; more are dealt over several.
 SHARE = 128
 #: Values of a payload from which it is worth compressing.
 LEAST_COMPRESSED = 24
 
-ANCHORS, SPANS, REQUESTS, HISTORY = 0, 1, 2, 3
+ANCHORS, SPANS, TEXTS, DIGESTS, HISTORY = 0, 1, 2, 3, 4
 PACKED = "part int, kind int, payload binary"
 _PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -174,21 +177,22 @@ class Places:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length; the first as it is (a hash), the others compressed if they are long."""
+    """Arrays of one length; the first two as they are (hashes), the others compressed if they are long."""
     n = len(arrays[0])
-    rest = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays[1:])
+    rest = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays[2:])
     if n >= LEAST_COMPRESSED:
         rest = zstandard.ZstdCompressor(level=1).compress(rest)
-    return np.array([n], np.uint32).tobytes() + arrays[0].tobytes() + rest
+    return np.array([n], np.uint32).tobytes() + arrays[0].tobytes() + arrays[1].tobytes() + rest
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     out = [np.frombuffer(data, kinds[0], n, 4)]
-    rest, at = data[4 + out[0].nbytes :], 0
+    out.append(np.frombuffer(data, kinds[1], n, 4 + out[0].nbytes))
+    rest, at = data[4 + out[0].nbytes + out[1].nbytes :], 0
     if n >= LEAST_COMPRESSED:
         rest = zstandard.ZstdDecompressor().decompress(rest)
-    for kind in kinds[1:]:
+    for kind in kinds[2:]:
         out.append(np.frombuffer(rest, kind, n, at))
         at += out[-1].nbytes
     return out
@@ -245,7 +249,7 @@ def _of_row(d: np.ndarray, r: np.ndarray, doc_id: int, row: int) -> slice:
 # Step 1 ---------------------------------------------------------------------------------
 
 
-def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buckets: int, doc_buckets: int, with_context: bool) -> Iterator[pa.RecordBatch]:
+def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     width = LENGTH - gram + 1
     symbols, powers = Symbols(kind), Powers(0x9E3779B97F4A7C15)
     held: list[tuple] = []
@@ -285,10 +289,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
         by_doc = np.lexsort((p, r, d))
         f, c, d, r, p = f[by_doc], c[by_doc], d[by_doc], r[by_doc], p[by_doc]
         bucket = ((f >> _U(32)) % _U(anchor_buckets)).astype(np.int32)
-        if with_context:
-            _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at]), out)
-        else:
-            _send(bucket, ANCHORS, lambda at: _pack(f[at], _steps(d[at]), r[at], p[at]), out)
+        _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at]), out)
         yield from _rows(out)
 
     for b in batches:
@@ -318,35 +319,63 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
 # Step 2 ---------------------------------------------------------------------------------
 
 
+def entries(payloads: list[bytes]) -> list[np.ndarray]:
+    """Gram hash, context hash, doc_id, row and place of packed anchors."""
+    found = [_unpack(x, "u8", "u8", "i8", "u8", "u4") for x in payloads]
+    columns = [np.concatenate([x[i] for x in found]) for i in range(5)]
+    columns[2] = np.concatenate([np.cumsum(x[2]) for x in found])
+    return columns
+
+
 class Requests:
     """Requests and spans of a task, sent on once there are many."""
 
     def __init__(self, doc_buckets: int) -> None:
         self.doc_buckets, self.count = doc_buckets, 0
-        self.spans: list = []
-        self.requests: list = []
-
-    def ask(self, d: np.ndarray, r: np.ndarray, p: np.ndarray, holders: np.ndarray) -> None:
-        """``holders``: how many the gram of each has; decides on the shares of its context."""
-        level = np.ceil(np.log2(np.maximum(holders / SHARE, 1))).astype(np.int32)
-        self.requests.append((d, r, p, level))
-        self.count += len(d)
+        self.waiting: dict[int, list] = {SPANS: [], TEXTS: [], DIGESTS: []}
+
+    def add(self, kind: int, *columns: np.ndarray) -> None:
+        self.waiting[kind].append(columns)
+        self.count += len(columns[0])
+
+    def ask(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray, new: np.ndarray | None = None) -> None:
+        """What the holders of grams have to send; only groups with something ``new`` matter, if that is given."""
+        order = np.lexsort((p, r, d, c, f))
+        f, c, d, r, p = f[order], c[order], d[order], r[order], p[order].astype(np.int64)
+        begins = np.r_[True, f[1:] != f[:-1]]
+        context = begins | np.r_[True, c[1:] != c[:-1]]
+        firsts = np.flatnonzero(context)
+        inside = np.cumsum(context) - 1
+        later = d > d[firsts][inside]
+        starts, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+        contexts = np.bincount(group, context)
+        mixed = (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
+        if new is not None:
+            new = new[order]
+            later &= new
+            mixed &= np.logical_or.reduceat(new, starts)
+        verify = later.copy()
+        verify[firsts[np.logical_or.reduceat(later, firsts)]] = True
+        self.add(DIGESTS, d[verify], r[verify], p[verify], np.zeros(int(verify.sum()), np.int32))
+        texts = (d == d[firsts][inside]) & mixed[group]
+        level = np.ceil(np.log2(np.maximum(contexts[group[texts]] / SHARE, 1))).astype(np.int32)
+        self.add(TEXTS, d[texts], r[texts], p[texts], level)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         out: Rows = ([], [], [])
-        for waiting, kind in ((self.spans, SPANS), (self.requests, REQUESTS)):
+        for kind, waiting in self.waiting.items():
             if waiting:
                 _send_spans(*(np.concatenate(x) for x in zip(*waiting, strict=True)), self.doc_buckets, out, kind)
-        self.spans, self.requests, self.count = [], [], 0
+                waiting.clear()
+        self.count = 0
         yield from _rows(out)
 
 
-def _several(f: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted grams: the number of each one's group, group sizes, and whether documents differ in it."""
-    begins = np.r_[True, f[1:] != f[:-1]]
-    starts = np.flatnonzero(begins)
-    group = np.cumsum(begins) - 1
-    return group, np.diff(np.r_[starts, len(f)]), np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts)
+def shared(f: np.ndarray) -> np.ndarray:
+    """Places of the values of ``f`` that occur more than once."""
+    order = np.argsort(f, kind="stable")
+    same = f[order][1:] == f[order][:-1]
+    return order[np.r_[False, same] | np.r_[same, False]] if len(f) else order
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -356,19 +385,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
         bucket, kinds, payloads = t.column("part").to_numpy(), t.column("kind").to_numpy(), t.column("payload").to_pylist()
         for part in np.unique(bucket).tolist():
             here = np.flatnonzero(bucket == part)
-            if len(spans := [payloads[i] for i in here[kinds[here] == SPANS].tolist()]):
-                out.spans.append(_spans(spans))
-                out.count += len(out.spans[-1][0])
-            found = [_unpack(payloads[i], "u8", "i8", "u8", "u4") for i in here[kinds[here] == ANCHORS].tolist()]
-            if not found:
-                continue
-            f, r, p = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
-            d = np.concatenate([np.cumsum(x[1]) for x in found])
-            order = np.argsort(f, kind="stable")
-            group, sizes, differ = _several(f[order], d[order])
-            asks = differ[group]
-            at = order[asks]
-            out.ask(d[at], r[at], p[at].astype(np.int64), sizes[group[asks]])
+            if spans := [payloads[i] for i in here[kinds[here] == SPANS].tolist()]:
+                out.add(SPANS, *_spans(spans))
+            if mine := [payloads[i] for i in here[kinds[here] == ANCHORS].tolist()]:
+                columns = entries(mine)
+                several = shared(columns[0])
+                if len(several):
+                    out.ask(*(x[several] for x in columns))
         if out.count > 1_000_000:
             yield from out.flush()
     yield from out.flush()
@@ -377,8 +400,11 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
 # Step 3 ---------------------------------------------------------------------------------
 
 
-_CONTEXT = "core long, doc_id long, row long, at int, end int, context binary"
-_CONTEXT_ARROW = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())])
+_CONTEXT = "core long, rest long, doc_id long, row long, at int, end int, context binary"
+_CONTEXT_ARROW = pa.schema(
+    [("core", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())]
+)
+_LOW = (1 << 64) - 1
 
 
 def shares(width: int, level: int) -> list[tuple[int, int]]:
@@ -389,28 +415,39 @@ def shares(width: int, level: int) -> list[tuple[int, int]]:
 
 
 def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Table:
-    """Per request: its context, or the shares of it, with the hash of the core; equal ones are settled.
+    """Per request: the digest of its context, or the text of it or of its shares with the hash of the core.
 
-    A row without context is such a settled span.
+    Equal ones are settled here: a row with neither text nor ``rest`` is a span that is repeated.
     """
     width = LENGTH - gram + 1
-    d, r, p, levels = _spans(packed.column("payload").to_pylist())
-    columns: list[list] = [[] for _ in range(6)]
-    digest = xxhash.xxh64_intdigest
+    asked_kind, payloads = packed.column("kind").to_pylist(), packed.column("payload").to_pylist()
+    d, r, p, levels = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == TEXTS])
+    vd, vr, vp, _ = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == DIGESTS])
+    columns: list[list] = [[] for _ in range(7)]
+    digest, strong = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
     seen = set()
+    known = np.unique(np.concatenate([d, vd]))
     for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        if not len(d):
-            break
-        low = int(np.searchsorted(d, doc_id, "left"))
-        if low == len(d) or d[low] != doc_id:
+        low = int(np.searchsorted(known, doc_id, "left"))
+        if low == len(known) or known[low] != doc_id:
             continue
         data = text.encode()
         row = row_hash(data)
-        some = _of_row(d, r, doc_id, row)
-        if some.start == some.stop or (doc_id, row) in seen:
+        some, verify = _of_row(d, r, doc_id, row), _of_row(vd, vr, doc_id, row)
+        if (some.start == some.stop and verify.start == verify.stop) or (doc_id, row) in seen:
             continue
         seen.add((doc_id, row))
         places = Places(data, kind)
+
+        def send(cores: list, rests: list, start: np.ndarray, end: np.ndarray, found: list) -> None:
+            n = len(cores)
+            for column, values in zip(columns, (cores, rests, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), found), strict=True):  # noqa: B023
+                column.extend(values)
+
+        at = np.unique(vp[verify])
+        start, end = np.maximum(at - (width - 1), 0), np.minimum(at + LENGTH, places.n)
+        digests = [strong(x) for x in places.pieces(start, end)]
+        send([(x >> 64) - (1 << 63) for x in digests], [(x & _LOW) - (1 << 63) for x in digests], start, end, [None] * len(at))
         asked = np.unique(np.stack([levels[some], p[some]]), axis=1)
         for level in np.unique(asked[0]).tolist():
             at = asked[1][asked[0] == level]
@@ -418,19 +455,17 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Tabl
                 start, end = np.maximum(at - hi, 0), np.minimum(at - lo + LENGTH, places.n)
                 ok = end - start >= LENGTH
                 a, start, end = at[ok], start[ok], end[ok]
-                seed = level << 8 | share
-                cores = [digest(x, seed) - (1 << 63) for x in places.pieces(a - lo, a - hi + LENGTH)]
-                n = len(cores)
-                for column, values in zip(columns, (cores, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), places.pieces(start, end)), strict=True):
-                    column.extend(values)
-    first: dict[tuple[int, bytes], int] = {}
-    cores, ids, _, _, _, texts = columns
-    for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True):
+                cores = [digest(x, level << 8 | share) - (1 << 63) for x in places.pieces(a - lo, a - hi + LENGTH)]
+                send(cores, [None] * len(a), start, end, places.pieces(start, end))
+    first: dict[tuple, int] = {}
+    cores, rests, ids, _, _, _, texts = columns
+    for *key, doc_id in zip(cores, rests, texts, ids, strict=True):
+        key = tuple(key)
         if doc_id < first.setdefault(key, doc_id):
             first[key] = doc_id
-    for i, (core, doc_id, text) in enumerate(zip(cores, ids, texts, strict=True)):
-        if doc_id > first[core, text]:
-            cores[i], texts[i] = digest(b"%d %d" % (doc_id, i)) - (1 << 63), None
+    for i, (*key, doc_id) in enumerate(zip(cores, rests, texts, ids, strict=True)):
+        if doc_id > first[tuple(key)]:
+            cores[i], rests[i], texts[i] = digest(b"%d %d" % (doc_id, i)) - (1 << 63), None, None
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
 
 
@@ -439,41 +474,41 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Tabl
 
 def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, 8192):
-        core, docs, row, at, end = (t.column(i).to_numpy() for i in range(5))
+        core, docs, row, at, end = (t.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
         row = row.view(_U) ^ _U(1 << 63)
-        texts = t.column(5).to_pylist()
-        names: dict[bytes | None, int] = {}
-        text = np.fromiter((names.setdefault(x, len(names)) for x in texts), np.int64, len(texts))
-        settled = text == names.get(None, -1)
-        # Equal contexts of a core: those of larger documents are repeated as a whole.
-        order = np.lexsort((docs, text, core))
-        begins = np.r_[True, (core[order][1:] != core[order][:-1]) | (text[order][1:] != text[order][:-1])]
-        kind_of = np.empty(len(order), np.int64)
-        kind_of[order] = np.cumsum(begins) - 1
+        texts = t.column("context").to_pylist()
+        is_text = ~np.array(t.column("context").is_null())
+        settled = ~is_text & np.array(t.column("rest").is_null())
+        names: dict = {}
+        contents = (x if x is not None else y for x, y in zip(texts, t.column("rest").to_pylist(), strict=True))
+        content = np.fromiter((names.setdefault(x, len(names)) for x in contents), np.int64, len(texts))
+        # Of equal contents those of larger documents are repeated as a whole.
+        order = np.lexsort((docs, content, core))
+        begins = np.r_[True, (core[order][1:] != core[order][:-1]) | (content[order][1:] != content[order][:-1])]
+        same = np.empty(len(order), np.int64)
+        same[order] = np.cumsum(begins) - 1
         firsts = order[begins]
-        whole = settled | (docs > docs[firsts][kind_of])
+        whole = settled | (docs > docs[firsts][same])
+        found = [(docs[whole], row[whole], at[whole].astype(np.int64), end[whole].astype(np.int64))]
         # Different contexts of a core, each with its smallest document.
-        one = firsts[~settled[firsts]]
-        found_d, found_r, found_a, found_b = [docs[whole]], [row[whole]], [at[whole].astype(np.int64)], [end[whole].astype(np.int64)]
+        one = firsts[is_text[firsts]]
         if len(one):
-            group, sizes, differ = _several(core[one], docs[one])
-            one = one[differ[group]]
+            starts = np.flatnonzero(np.r_[True, core[one][1:] != core[one][:-1]])
+            differ = np.minimum.reduceat(docs[one], starts) < np.maximum.reduceat(docs[one], starts)
+            one = one[np.repeat(differ, np.diff(np.r_[starts, len(one)]))]
         if len(one):
             which, offset = repeated_windows([texts[i] for i in one.tolist()], docs[one], kind, LENGTH)
             # Every row that is first with this context has its windows.
-            holders = np.flatnonzero(~whole)
-            holders = holders[np.argsort(kind_of[holders], kind="stable")]
-            mine = kind_of[one[which]]
-            low, high = np.searchsorted(kind_of[holders], mine, "left"), np.searchsorted(kind_of[holders], mine, "right")
+            holders = np.flatnonzero(~whole & is_text)
+            holders = holders[np.argsort(same[holders], kind="stable")]
+            mine = same[one[which]]
+            low, high = np.searchsorted(same[holders], mine, "left"), np.searchsorted(same[holders], mine, "right")
             times = high - low
             inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             who = holders[np.repeat(low, times) + inside]
             start = at[who].astype(np.int64) + np.repeat(offset, times)
-            found_d.append(docs[who])
-            found_r.append(row[who])
-            found_a.append(start)
-            found_b.append(start + LENGTH)
-        d, r, a, b = (np.concatenate(x) for x in (found_d, found_r, found_a, found_b))
+            found.append((docs[who], row[who], start, start + LENGTH))
+        d, r, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(d):
             continue
         order = np.lexsort((a, r, d))
@@ -519,10 +554,10 @@ def buckets(docs: DataFrame) -> tuple[int, int]:
     return max(ANCHOR_BUCKETS * n, by_size), max(DOC_BUCKETS * n, by_size)
 
 
-def anchors(docs: DataFrame, kind: str, gram: int, dealt: tuple[int, int], with_context: bool = False) -> DataFrame:
+def anchors(docs: DataFrame, kind: str, gram: int, dealt: tuple[int, int]) -> DataFrame:
     """Packed anchors of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _anchor(it, kind, gram, *dealt, with_context), PACKED)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _anchor(it, kind, gram, *dealt), PACKED)
 
 
 def resolve(packed: DataFrame, doc_buckets: int) -> DataFrame:
@@ -543,7 +578,7 @@ def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets:
     dealt = docs.withColumn("part", part)
     asked = dealt if corpus is None else corpus.select("doc_id", "text").withColumn("part", part)
     spans = resolved.where(F.col("kind") == SPANS).select("part", "payload")
-    requests = resolved.where(F.col("kind") == REQUESTS).select("part", "payload")
+    requests = resolved.where(F.col("kind").isin(TEXTS, DIGESTS))
     contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
     more = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
     spans = spans.union(more.select("part", "payload"))

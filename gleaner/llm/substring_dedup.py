@@ -6,8 +6,9 @@ with a smaller doc_id.  Documents come in batches of ascending doc_id.
 The index is a folder of sorted immutable runs, dealt by gram hash into buckets of a bucketed
 table: of each context (see ``passages``) it holds the first document and place, in the order
 of (gram hash, context hash).  A batch is dealt into the same buckets and merge-joined with
-the runs where they lie, which are not shuffled again.  Every hit is verified: all holders of
-a shared gram, new ones and historical ones, are compared on their words.  What is new becomes
+the runs where they lie, which are not shuffled again.  Every hit is verified: what seems equal
+is compared by 128-bit digests of the words, and where contexts differ around a shared gram the
+words themselves are, new ones with historical ones.  What is new becomes
 a run; when there are more than ``most_runs``, they are merged into one in a new version of
 the table.  A manifest in the folder names the version in force, so an index can be opened
 again, in another session too, and go on with later batches.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, parts, small_batches, stored, texts, whole_groups
-from .passages import ANCHORS, HISTORY, PACKED, SPANS, Requests, Rows, _pack, _rows, _several, _spans, _steps, _unpack, anchors, buckets, cut, merged
+from .passages import ANCHORS, HISTORY, PACKED, SPANS, Requests, Rows, _pack, _rows, _spans, _steps, anchors, buckets, cut, entries, merged, shared
 
 GRAM = 25
 BATCHES = 4
@@ -45,14 +46,6 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _TEXT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _entries(payloads: list[bytes]) -> list[np.ndarray]:
-    """Gram hash, context hash, doc_id, row and place of packed index entries or anchors."""
-    found = [_unpack(x, "u8", "u8", "i8", "u8", "u4") for x in payloads]
-    columns = [np.concatenate([x[i] for x in found]) for i in range(5)]
-    columns[2] = np.concatenate([np.cumsum(x[2]) for x in found])
-    return columns
-
-
 def _payload(f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray) -> bytes:
     """Entries in the order of (gram hash, context hash), of equal ones the first document and place."""
     order = np.lexsort((p, r, d, c, f))
@@ -62,31 +55,29 @@ def _payload(f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.n
 
 
 def _merge_join(batch: pa.Table, runs: pa.Table, doc_buckets: int) -> pa.Table:
-    """One bucket of a batch against all runs: requests for every holder of a shared gram, and the new run."""
+    """One bucket of a batch against all runs: requests of the holders of shared grams, and the new run."""
     out: Rows = ([], [], [])
     ask = Requests(doc_buckets)
     kinds, payloads = batch.column("kind").to_numpy(), batch.column("payload").to_pylist()
     if spans := [payloads[i] for i in np.flatnonzero(kinds == SPANS).tolist()]:
-        ask.spans.append(_spans(spans))
+        ask.add(SPANS, *_spans(spans))
     if mine := [payloads[i] for i in np.flatnonzero(kinds == ANCHORS).tolist()]:
-        f, c, d, r, p = _entries(mine)
+        f, c, d, r, p = entries(mine)
         order = np.lexsort((c, f))
         f, c, d, r, p = (x[order] for x in (f, c, d, r, p))
         grams = f[np.r_[True, f[1:] != f[:-1]]]
         held = [[], [], [], [], []]
         for payload in runs.column("payload").to_pylist():
-            entries = _entries([payload])  # sorted, as the batch is: both are walked by search
-            low, high = np.searchsorted(entries[0], grams, "left"), np.searchsorted(entries[0], grams, "right")
+            run = entries([payload])  # sorted, as the batch is: both are walked by search
+            low, high = np.searchsorted(run[0], grams, "left"), np.searchsorted(run[0], grams, "right")
             hit = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            for column, values in zip(held, entries, strict=True):
+            for column, values in zip(held, run, strict=True):
                 column.append(values[hit])
         old = [np.concatenate(x) if x else np.empty(0, y.dtype) for x, y in zip(held, (f, c, d, r, p), strict=True)]
         both = [np.concatenate(x) for x in zip((f, c, d, r, p), old, strict=True)]
-        by_gram = np.argsort(both[0], kind="stable")
-        group, sizes, differ = _several(both[0][by_gram], both[2][by_gram])
-        asked = differ[group]
-        at = by_gram[asked]
-        ask.ask(both[2][at], both[3][at], both[4][at].astype(np.int64), sizes[group[asked]])
+        several = shared(both[0])
+        if len(several):
+            ask.ask(*(x[several] for x in both), several < len(f))
         known = np.zeros(len(f), bool)
         if len(old[0]):
             pair = np.unique(np.stack([old[0], old[1]]), axis=1)
@@ -106,7 +97,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, 1):
         part, payloads = t.column(0).to_numpy(), t.column(2).to_pylist()
         for b in np.unique(part).tolist():
-            whole = _payload(*_entries([payloads[i] for i in np.flatnonzero(part == b).tolist()]))
+            whole = _payload(*entries([payloads[i] for i in np.flatnonzero(part == b).tolist()]))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([whole], pa.binary())], names=["part", "run", "payload"])
 
 
@@ -154,7 +145,7 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """The spans and requests of ``batch`` (doc_id, text) against itself and all runs."""
         small_batches(self.spark)
-        dealt = anchors(batch, "words", GRAM, (self.anchor_buckets, self.doc_buckets), with_context=True).repartition(self.files, "part")
+        dealt = anchors(batch, "words", GRAM, (self.anchor_buckets, self.doc_buckets)).repartition(self.files, "part")
         doc_buckets = self.doc_buckets
         joined = dealt.groupBy("part").cogroup(self.stored_runs().groupBy("part")).applyInArrow(lambda a, b: _merge_join(a, b, doc_buckets), PACKED)
         found = stored(joined, "substring-run")

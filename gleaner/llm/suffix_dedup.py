@@ -4,8 +4,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 smaller doc_id.  Anchors say which contexts may repeat (see ``passages``); the suffixes of
 these contexts are put into order, core by core, and the longest-previous-factor array, from
 the previous and next smaller documents in that order, tells which strings have an earlier
-match (see ``suffixes``).  Contexts that are equal byte by byte are merged before they are
-ordered: all but those of the smallest document are repeated as a whole.
+match (see ``suffixes``).  Equal contexts are merged before they are ordered: all but those
+of the smallest document are repeated as a whole.
 
 Defined results: a null text counts as empty; texts are UTF-8 bytes, matches never cross
 documents, and a removal may cut through a character (the kept bytes are then no longer
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import stored, texts
 from .passages import anchors, buckets, cut, merged, resolve
 
-GRAM = 24
+GRAM = 20
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_text", pa.string())])
