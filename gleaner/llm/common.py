@@ -22,11 +22,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` below the shared folder and read it back with the same schema."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder, or anew to ``path``, and read it back with the same schema."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    mode, path = ("overwrite", path) if path else ("errorifexists", new_path(spark, name))
+    df.write.mode(mode).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,21 +72,22 @@ def parts(spark: SparkSession) -> int:
 def in_cells(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
     """``rows`` with columns ``cell`` (long) and ``side`` (0 or 1), for a self-join inside each key.
 
-    A group of up to ``most`` rows is one cell.  A larger one is dealt by the hash of
-    ``by`` into chunks of about ``most`` rows, and each pair of chunks (i, j), i <= j, is a
-    cell: side 0 holds chunk i and side 1 chunk j.  So every pair of rows of a group meets
-    in exactly one cell, and no task holds more than about two chunks of one.
+    A group of one row has nothing to join and is left out.  One of up to ``most`` rows is a
+    cell.  A larger one is dealt by the hash of ``by`` into chunks of about ``most`` rows, and
+    each pair of chunks (i, j), i <= j, is a cell: side 0 holds chunk i and side 1 chunk j.  So
+    every pair of rows of a group meets in exactly one cell, and no task holds more than about
+    two chunks of one.  Cells are hashes: rows of other keys in a cell are to be told apart.
     """
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
-    chunk = F.pmod(F.xxhash64(by), F.col("_g")).cast("int")
+    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_here")).where("n_here > 1"), "cell-sizes")
+    chunks = F.ceil(F.col("n_here") / F.lit(most)).cast("int")
     return (
-        rows.join(large, keys, "left")
-        .withColumn("_g", F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(most)).cast("int"))
-        .withColumn("_c", chunk)
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-        .withColumn("cell", F.xxhash64(*keys, F.least("_c", "_o"), F.greatest("_c", "_o")))
-        .withColumn("side", (F.col("_c") > F.col("_o")).cast("int"))
-        .drop("_n", "_g", "_c", "_o")
+        rows.join(sizes, keys)
+        .withColumn("chunks", chunks)
+        .withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("cell", F.xxhash64(*keys, F.least("chunk", "other"), F.greatest("chunk", "other")))
+        .withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))
+        .drop("n_here", "chunks", "chunk", "other")
     )
 
 
@@ -142,39 +143,43 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges
     form stars.  A step joins each edge with the smallest neighbour of its node; that
-    side holds a node once, and the other side may be skewed, which Spark's adaptive
-    skew join splits.  Nodes without an edge are not returned.
+    side holds a node once and is stored, and the other side may be skewed, which Spark's
+    adaptive skew join splits.  Nodes without an edge are not returned.  Rounds take turns
+    in two sets of tables, so their number does not add to what is stored.
     """
+    spark = edges.sparkSession
+    paths = [{t: new_path(spark, t) for t in ("edges", "least", "large", "low")} for _ in range(2)]
     now = stored(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         "edges",
     )
-    before = None
-    while True:  # the state can't return to an earlier one: each round only lowers ends of edges
+    before, turn = None, 0
+    while True:  # ends: each round only lowers ends of edges
+        here = paths[turn % 2]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least", path=here["least"])
+        large = stored(
             both.join(least, "u")
             .where("v > u")
             .select(F.col("v").alias("a"), F.col("m").alias("b"))
             .where("a <> b")
-            .distinct()
+            .distinct(),
+            "large",
+            path=here["large"],
         )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low", path=here["low"])
         small = (
             large.join(low, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
         )
-        now = stored(small, "edges")
-        state = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+        now = stored(small, "edges", path=here["edges"])
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, turn = state, turn + 1
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b"), F.col("b"))).distinct()

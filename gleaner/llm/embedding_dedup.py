@@ -7,13 +7,15 @@ link is below the threshold.  A pair counts in the first table in which it meets
 
 ``k`` grows with the logarithm of the largest label, so that buckets stay small, and
 ``tables`` with it, so that a pair just at the threshold meets with probability
-``recall`` (closer ones with a higher one).  A bucket of more than ``CHUNK`` vectors is
-checked in pairs of chunks, so a hot bucket is dealt over tasks and loses no pair.  Equal
+``recall`` (closer ones with a higher one).  Only keys are grouped first: vectors move to
+buckets of two or more, which are few.  A bucket of more than ``CHUNK`` vectors is checked in
+pairs of chunks, so a hot bucket is dealt over tasks and loses no pair.  What meets in a task
+is told apart by label, length, table and bucket themselves, not by hashes of them.  Equal
 vectors of a label are one class from the start; copies count in ``n_links`` by number.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite
 components, or whose label is null, has no links and stays; vectors of different length
-have no links; rows without vec_id are left out; an empty table gives an empty table;
+have no links; labels of any type are compared as text; rows without vec_id are left out; an empty table gives an empty table;
 rows that repeat a vec_id are copies of each other; other columns are ignored.
 """
 
@@ -69,7 +71,7 @@ def _bucket_keys(unit: np.ndarray, k: int, tables: int, width: float) -> np.ndar
     return mixed.sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-_HASHED = "id long, label int, size int, n long, vector binary, keys binary, key_list array<long>"
+_HASHED = "id long, label string, size int, n long, vector binary, keys binary, key_list array<long>"
 
 
 def _hash(batches: Iterator[pa.RecordBatch], k: int, tables: int, width: float) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,7 @@ def _hash(batches: Iterator[pa.RecordBatch], k: int, tables: int, width: float)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in rows], pa.int64()),
-                    pa.array([labels[i] for i in rows], pa.int32()),
+                    pa.array([labels[i] for i in rows], pa.string()),
                     pa.array([size] * len(rows), pa.int32()),
                     pa.array([counts[i] for i in rows], pa.int64()),
                     pa.array([v.astype(np.float32).tobytes() if (v.astype(np.float32) == v).all() else v.tobytes() for v in vectors], pa.binary()),
@@ -105,9 +107,13 @@ def _vector(data: bytes, size: int) -> np.ndarray:
 def _check(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per vector with links in its cell: id, the copies linked there, and the first vector reached."""
     for t in whole_groups(batches, 2048):
-        cells = t.column(0).to_numpy()
-        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-        ends = np.r_[starts[1:], len(cells)]
+        names: dict[str, int] = {}
+        labels = np.fromiter((names.setdefault(x, len(names)) for x in t.column("label").to_pylist()), np.int64, t.num_rows)
+        keys = [t.column("cell").to_numpy(), labels, *(t.column(c).to_numpy() for c in ("size", "table", "bucket"))]
+        order = np.lexsort(keys[::-1])
+        t, keys = t.take(pa.array(order)), [k[order] for k in keys]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+        ends = np.r_[starts[1:], t.num_rows]
         out: tuple[list, list, list] = ([], [], [])
         for start, end in zip(starts, ends, strict=True):
             if end - start < 2:
@@ -153,7 +159,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.where("vec_id is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where("vec_id is not null").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
     good = F.coalesce(
         F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)
@@ -164,11 +170,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     )
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k, tables = plan_tables(largest, threshold, recall, width)
-    hashed = classes.select("id", F.col("label").cast("int"), "n", "embedding").mapInArrow(lambda it: _hash(it, k, tables, width), _HASHED)
-    buckets = hashed.select("id", "label", "size", "n", "vector", "keys", F.posexplode("key_list").alias("table", "bucket"))
+    hashed = stored(classes.select("id", "label", "n", "embedding").mapInArrow(lambda it: _hash(it, k, tables, width), _HASHED), "vector-keys")
+    buckets = hashed.select("id", "label", "size", F.posexplode("key_list").alias("table", "bucket"))
     cells = in_cells(buckets, ["label", "size", "table", "bucket"], "id", CHUNK)
     checked = stored(
-        cells.select("cell", "side", "table", "size", "id", "n", "vector", "keys")
+        cells.join(hashed.select("id", "n", "vector", "keys"), "id")
+        .select("cell", "side", "label", "table", "bucket", "size", "id", "n", "vector", "keys")
         .repartition("cell")
         .sortWithinPartitions("cell")
         .mapInArrow(lambda it: _check(it, threshold), "id long, add long, first long"),

@@ -1,13 +1,16 @@
-"""SimHash near-duplicates by a self-join of binary tries.
+"""SimHash near-duplicates by a self-join of one binary trie.
 
-Fingerprints that differ in at most ``budget`` bits agree in full on at least ``agree``
-of ``budget + agree`` blocks of bits.  So each distinct fingerprint goes, for every choice
-of ``agree`` blocks, to the cell of its bits there, and cells are joined with themselves.
-Every ``agree`` finds the same links; 2 gives 15 cells of 21 bits to a fingerprint, which
-stay small up to some hundred million distinct fingerprints, 3 gives 35 cells of 27 bits.
-Inside a cell the sorted fingerprints are an implicit binary
-trie.  The join walks it level by level on pairs of nodes, adds up the bits in which a
-pair differs, and drops the pair once they exceed the budget.
+Distinct fingerprints are the leaves of a binary trie; a node is all that share the bits from
+the top down to its level.  The join walks pairs of nodes together, from both ends at once:
+it adds up the bits in which a pair differs, and drops the pair once they exceed the budget.
+
+The walk begins at the nodes of a depth that follows the number of fingerprints.  Each pair of
+them within the budget is a cell, and its two nodes go there, so every pair of fingerprints
+can meet in exactly one cell.  Below, the sorted fingerprints of a cell are an implicit trie: a
+node is a range of them.  Pairs of nodes are taken in pieces, depth first, so memory is bounded.
+Bits are taken in the order of how evenly they split the fingerprints, so that nodes of a depth
+are about equal.  For n fingerprints the walk meets about n times the number of ways to choose
+the budget's bits among log2(n), however the work is dealt.
 
 Equal fingerprints are one node from the start, so copies never meet each other.
 
@@ -20,7 +23,6 @@ doc_id give a row each; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_cells, small_batches, smallest_linked, stored, texts, whole_groups
+from .common import components, small_batches, smallest_linked, stored, texts, whole_groups
 
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-AGREE = 2
-#: Fingerprints in a chunk of a cell that is larger than expected.
-CHUNK = 1024
+#: The least depth at which nodes are dealt, and the fingerprints of a node from which it grows.
+DEPTH, NODE = 4, 1 << 18
+#: Pairs of nodes that are taken down a level at once.
+PIECE = 1 << 18
 
 
 def fingerprint(text: str, words: int = SHINGLE) -> int:
@@ -65,77 +68,96 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(cells: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of fingerprints of one cell within ``budget`` bits; both sorted by (cell, fp).
+def in_order(fps: np.ndarray, order: list[int]) -> np.ndarray:
+    """Fingerprints with their bits rearranged: bit ``order[0]`` comes to the top."""
+    out = np.zeros(len(fps), np.uint64)
+    for bit in order:
+        out = out << np.uint64(1) | fps >> np.uint64(bit) & np.uint64(1)
+    return out
+
 
-    A trie node is the range of rows that share a cell and the bits above a level.
+def trie_pairs(fps: np.ndarray, pairs: list[tuple[int, int, int, int, int]], level: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) within ``budget`` bits, of sorted distinct ``fps``.
+
+    ``pairs``: nodes to begin with, as ranges (from, to, from, to) whose values agree above
+    ``level`` in each range, and the bits in which the two differ there.  A node may be
+    paired with itself.
     """
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    ends = np.r_[starts[1:], len(cells)]
-    keep = ends - starts > 1
-    a0, a1 = starts[keep], ends[keep]
-    b0, b1, d = a0.copy(), a1.copy(), np.zeros(len(a0), np.int8)
     found_a, found_b = [], []
-    for level in range(63, -1, -1):
+    stack = [(level, *(np.array(x, np.int64) for x in zip(*pairs, strict=True)))] if pairs else []
+    ones: dict[int, np.ndarray] = {}
+    while stack:
+        level, a0, a1, b0, b1, d = stack.pop()
+        if len(a0) > PIECE:
+            stack += [(level, *(x[at : at + PIECE] for x in (a0, a1, b0, b1, d))) for at in range(0, len(a0), PIECE)]
+            continue
+        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
+        i, j = a0[leaves], b0[leaves]
+        near = (i != j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
+        found_a.append(i[near])
+        found_b.append(j[near])
+        if level < 0:
+            continue
+        a0, a1, b0, b1, d = (x[~leaves] for x in (a0, a1, b0, b1, d))
         if not len(a0):
-            break
-        ones = np.r_[0, np.cumsum((fps >> np.uint64(level)) & np.uint64(1), dtype=np.int64)]
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])  # zeros stand before ones
-        same = a0 == b0
-        parts = (
-            (a0, am, b0, bm, d, None),
-            (am, a1, bm, b1, d, None),
-            (a0, am, bm, b1, d + 1, None),
-            (am, a1, b0, bm, d + 1, ~same),
-        )
+            continue
+        if level not in ones:
+            ones[level] = np.r_[0, np.cumsum(fps >> np.uint64(level) & np.uint64(1), dtype=np.int64)]
+        n = ones[level]
+        am, bm = a1 - (n[a1] - n[a0]), b1 - (n[b1] - n[b0])  # zeros stand before ones
+        same, more = a0 == b0, d + 1
+        parts = ((a0, am, b0, bm, d, None), (am, a1, bm, b1, d, None), (a0, am, bm, b1, more, None), (am, a1, b0, bm, more, ~same))
         kept = []
         for p0, p1, q0, q1, e, also in parts:
-            ok = (p1 > p0) & (q1 > q0) & (e <= budget) & ~((p0 == q0) & (p1 - p0 == 1))
+            ok = (p1 > p0) & (q1 > q0) & (e <= budget)
             if also is not None:
                 ok &= also
             kept.append((p0[ok], p1[ok], q0[ok], q1[ok], e[ok]))
-        a0, a1, b0, b1, d = (np.concatenate(x) for x in zip(*kept, strict=True))
-        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if leaves.any():
-            i, j = a0[leaves], b0[leaves]
-            near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
-            found_a.append(i[near])
-            found_b.append(j[near])
-            a0, a1, b0, b1, d = (x[~leaves] for x in (a0, a1, b0, b1, d))
-    # What is left at the lowest level holds equal fingerprints: chain them.
-    for i0, i1, j0, j1 in zip(a0, a1, b0, b1, strict=True):
-        rows = np.r_[np.arange(i0, i1), np.arange(j0, j1)]
-        found_a.append(rows[:-1])
-        found_b.append(rows[1:])
+        stack.append((level - 1, *(np.concatenate(x) for x in zip(*kept, strict=True))))
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64),) * 2
 
 
-def _stars(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], order: list[int], depth: int, budget: int) -> Iterator[pa.RecordBatch]:
     """Each fingerprint that is linked inside its cell with the first one it can reach there."""
-    for t in whole_groups(batches):
-        cells, fps = t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64)
-        order = np.lexsort((fps, cells))
-        cells, fps = cells[order], fps[order]
-        a, b = trie_pairs(cells, fps, budget)
-        first = smallest_linked(len(fps), a, b)
-        linked = first != np.arange(len(fps))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[first[linked]].view(np.int64))], names=["a", "b"])
-
-
-def near_links(distinct: DataFrame, budget: int = BUDGET, agree: int = AGREE) -> DataFrame:
+    for t in whole_groups(batches, 1):
+        cells, raw = t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64)
+        fps = in_order(raw, order)
+        by = np.lexsort((fps, cells))
+        cells, raw, fps = cells[by], raw[by], fps[by]
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True):
+            u, v = divmod(int(cells[start]), 1 << depth)
+            here, values = fps[start:end], raw[start:end]
+            if u == v:
+                pair = (0, len(here), 0, len(here), 0)
+            else:  # the smaller node stands before
+                middle = int(np.searchsorted(here, np.uint64(v << (64 - depth))))
+                pair = (0, middle, middle, len(here), (u ^ v).bit_count())
+            a, b = trie_pairs(here, [pair] if pair[1] > pair[0] and pair[3] > pair[2] else [], 63 - depth, budget)
+            first = smallest_linked(len(here), a, b)
+            linked = first != np.arange(len(here))
+            yield pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[first[linked]].view(np.int64))], names=["a", "b"])
+
+
+def near_links(distinct: DataFrame, budget: int = BUDGET, depth: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct.fp`` within ``budget`` bits."""
     small_batches(distinct.sparkSession, 8192)
-    blocks = budget + agree
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), agree):
-        mask = sum(((1 << edge[i + 1]) - (1 << edge[i])) for i in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.bits")
-    cells = in_cells(rows, ["block", "bits"], "fp", CHUNK).select("cell", "fp")
+    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
+    counts = distinct.agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64))).first()
+    n = counts["n"]
+    order = sorted(range(64), key=lambda i: (abs(2 * (counts[f"b{i}"] or 0) - n), -i))
+    if depth is None:
+        depth = max(DEPTH, (max(0, n - 1) // NODE).bit_length())
+    node = sum((bit(b) * F.lit(1 << (depth - 1 - i)) for i, b in enumerate(order[:depth])), F.lit(0))
+    masks = F.array(*(F.lit(m) for m in range(1 << depth) if m.bit_count() <= budget))
+    both = distinct.select("fp", node.cast("long").alias("u"), F.explode(masks).alias("m")).withColumn("v", F.col("u").bitwiseXOR(F.col("m").cast("long")))
+    cells = both.select((F.least("u", "v") * F.lit(1 << depth) + F.greatest("u", "v")).alias("cell"), "fp")
     return (
-        cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _stars(it, budget), "a long, b long").where("a <> b").distinct()
+        cells.repartition("cell")
+        .sortWithinPartitions("cell")
+        .mapInArrow(lambda it: _stars(it, order, depth, budget), "a long, b long")
+        .where("a <> b")
+        .distinct()
     )
 
 

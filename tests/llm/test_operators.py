@@ -132,19 +132,37 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
-def test_kernel_is_the_presence_kernel():
-    rows = [("aa", "abc abd"), ("bb", "xyz abc"), ("aa", "bcd bcd bcd")]
-    model = language_id.fit(rows)
+def spectrum(text):
+    t = " ".join(text.lower().split())
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    def grams(t):
-        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    chosen = ["abc abd", "bcd bcd bcd", "xyz abc"]
-    for text in ("abc", "zzz abd", "q"):
-        # Characters that the sample lacks are one symbol.
-        a = {"".join(c if c in "abcdxyz " else "?" for c in g) for g in grams(text)}
-        want = [len(a & grams(c)) / (len(a) * len(grams(c))) ** 0.5 for c in chosen]
-        assert np.allclose(model.kernel([text])[0], want, atol=1e-5)
+def test_kernel_is_the_presence_kernel():
+    rows = [("aa", "abc abd"), ("bb", "xyz  ABC"), ("aa", "bcd bcd bcd"), ("zh", "漢字 \U0001f600"), ("ja", "日本の字")]
+    model = language_id.fit(rows)
+    chosen = ["abc abd", "bcd bcd bcd", "xyz abc", "日本の字", "漢字 \U0001f600"]  # by language
+    for text in ("abc", "zzz abd", "q", "漢字", "日字"):
+        a = spectrum(text)
+        want = [len(a & spectrum(c)) / (len(a) * len(spectrum(c))) ** 0.5 for c in [chosen[0], chosen[1], chosen[2], chosen[3], chosen[4]]]
+        assert np.allclose(model.kernel([language_id.ngrams(text)])[0], want, atol=1e-6)
+    assert language_id.ngrams("").size == 0
+
+
+def test_ridge_solution_by_brute_force():
+    """Nystroem features and weighted ridge regression, written out with plain loops and a general solver."""
+    r = random.Random(12)
+    rows = [(lang, " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(r.randint(2, 12)))) for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "efghi")) for _ in range(9)]
+    model = language_id.fit(rows, landmarks=9, ridge=0.01)
+    k = lambda a, b: len(spectrum(a) & spectrum(b)) / (len(spectrum(a)) * len(spectrum(b))) ** 0.5
+    marks = [t for name in ("aa", "bb", "cc") for lang, t in rows if lang == name][:3] + [t for lang, t in rows if lang == "bb"][:3] + [t for lang, t in rows if lang == "cc"][:3]
+    among = np.array([[k(a, b) for b in marks] for a in marks])
+    cross = np.array([[k(t, m) for m in marks] for _, t in rows])
+    # In kernel form: coefficients w minimise sum of share * (cross w - y)^2 + ridge * w' among w.
+    share = np.diag([1 / 9] * len(rows))
+    for column, name in enumerate(("aa", "bb", "cc")):
+        y = np.array([float(lang == name) for lang, _ in rows])
+        w = np.linalg.lstsq(cross.T @ share @ cross + 0.01 * among, cross.T @ share @ y, rcond=None)[0]
+        assert np.allclose(cross @ w, cross @ model.weights[:, column], atol=1e-4)
 
 
 def test_byte_bpe_like_tiktoken(docs, empty):
@@ -387,9 +405,9 @@ def test_simhash(docs, empty):
     assert simhash.near_classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("agree,chunk", [(1, 1024), (2, 1024), (1, 3)])
-def test_near_links(spark, monkeypatch, agree, chunk):
-    monkeypatch.setattr(simhash, "CHUNK", chunk)
+@pytest.mark.parametrize("depth,piece", [(None, 1 << 18), (1, 5), (7, 64)])
+def test_near_links(spark, monkeypatch, depth, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
     r = random.Random(4)
     fps = {r.getrandbits(64) for _ in range(30)}
     for f in list(fps):
@@ -402,10 +420,46 @@ def test_near_links(spark, monkeypatch, agree, chunk):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = reach(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
     table = spark.createDataFrame([(s,) for s in signed], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash.near_links(table, 4, agree)).collect()}
+    found = {r["node"]: r["root"] for r in components(simhash.near_links(table, 4, depth)).collect()}
     assert {s: found.get(s, s) for s in signed} == want
 
 
+def test_trie_pairs_are_all_pairs():
+    r = np.random.default_rng(3)
+    fps = np.unique(r.integers(0, 1 << 12, 600).astype(np.uint64) << np.uint64(50))
+    a, b = simhash.trie_pairs(fps, [(0, len(fps), 0, len(fps), 0)], 63, 3)
+    found = [tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    want = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    assert sorted(found) == want
+
+
+def test_simhash_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (1, None, "z"), (2, "a b c d e", "w")], "doc_id long, text string, fp string")
+    found = simhash.near_classes(rows).collect()
+    assert len(found) == 4 and {r["component_id"] for r in found} == {1}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "array<int>"])
+def test_embedding_labels_of_any_type(spark, kind):
+    rows = [(1, [1.0, 0.0], 3_000_000_000), (2, [1.0, 0.01], 3_000_000_000), (3, [1.0, 0.0], 4), (3, [1.0, 0.0], 4), (4, [1.0, 0.0], None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    label = F.col("label").cast(kind) if kind != "array<int>" else F.when(F.col("label").isNotNull(), F.array((F.col("label") % 1000).cast("int")))
+    found = embedding_dedup.near_vectors(table.withColumn("label", label)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3), (4, 0, 4)]
+
+
+def test_cells_that_collide_are_told_apart():
+    """Vectors of different labels, tables or buckets in one cell do not meet."""
+    import pyarrow as pa
+
+    v = np.array([1.0, 0.0], np.float32).tobytes()
+    rows = [("a", 0, 5, 1), ("b", 0, 5, 2), ("a", 1, 5, 3), ("a", 0, 6, 4), ("a", 0, 5, 5)]
+    columns = {"cell": [1] * 5, "side": [0] * 5, "label": [x[0] for x in rows], "table": [x[1] for x in rows], "bucket": [x[2] for x in rows],
+               "size": [2] * 5, "id": [x[3] for x in rows], "n": [1] * 5, "vector": [v] * 5, "keys": [np.array([5, 5]).tobytes()] * 5}
+    found = [r for b in embedding_dedup._check(iter([pa.RecordBatch.from_pydict(columns)]), 0.9) for r in b.to_pylist()]
+    assert found == [{"id": 1, "add": 1, "first": 1}, {"id": 5, "add": 1, "first": 1}]
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]

@@ -135,3 +135,17 @@ def test_stages_keep_rows_that_share_an_id_and_columns_of_any_name(spark):
         assert all(x[n] == 9 for x in rows for n in names)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table.limit(0), TABLES).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_language_id_on_documents_that_were_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    found = queries.QUERIES["op3_language_id"](spark, folder).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    assert len(found) == len(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert all((r["lang_pred"] == "und") == (not letters(docs[r["doc_id"]]["text"])) for r in found)
+    judged = [r for r in found if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != "und"]
+    right = sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in judged)
+    assert len(judged) > 200 and right >= 0.95 * len(judged)
