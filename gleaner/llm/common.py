@@ -91,22 +91,23 @@ def in_cells(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
     )
 
 
-def whole_groups(batches, most: int = 8192):
+def whole_groups(batches, most: int = 8192, most_bytes: int = 64 << 20):
     """Regroup sorted Arrow batches into tables that hold whole runs of equal first columns.
 
-    A table is closed at the end of a run once it has ``most`` rows.
+    A table is closed at the end of a run once it has ``most`` rows or ``most_bytes``.
     """
     import numpy as np
     import pyarrow as pa
 
     held: list = []
-    rows = 0
+    rows = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         rows += b.num_rows
-        if rows < most:
+        size += b.nbytes
+        if rows < most and size < most_bytes:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         key = table.column(0).to_numpy()
@@ -114,7 +115,7 @@ def whole_groups(batches, most: int = 8192):
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
-        held, rows = rest.to_batches(), rest.num_rows
+        held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

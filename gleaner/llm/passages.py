@@ -46,8 +46,8 @@ from .suffixes import repeated_windows
 LENGTH = 50
 #: Text bytes after which a task sends what it has gathered.
 CHUNK_BYTES = 24 << 20
-#: Anchor buckets and document buckets to a shuffle partition, the most of either; input bytes to a bucket.
-ANCHOR_BUCKETS, DOC_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 8, 4, 64, 32 << 20
+#: Buckets to a shuffle partition, at least and at most, and input bytes to a bucket between.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1, 64, 8 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 #: Contexts of one gram that go to one core; more are dealt over several.
@@ -207,7 +207,8 @@ Rows = tuple[list, list, list]
 
 def _send(part: np.ndarray, kind: int, pack: Callable[[np.ndarray], bytes], out: Rows) -> None:
     """A row per bucket that has something; ``pack`` gets the positions of its values."""
-    order = np.argsort(part, kind="stable")
+    small = part.astype(np.int16) if len(part) and part.max() < 1 << 15 else part  # sorted by radix
+    order = np.argsort(small, kind="stable")
     sorted_part = part[order]
     starts = np.flatnonzero(np.r_[True, sorted_part[1:] != sorted_part[:-1]]) if len(part) else np.empty(0, np.int64)
     for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=False):
@@ -260,14 +261,16 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
         sizes = [len(h[3]) for h in held]
         d, r, text = (np.repeat(np.array(x, t), sizes) for x, t in (([h[0] for h in held], np.int64), ([h[1] for h in held], _U), (range(len(held)), np.int64)))
         out: Rows = ([], [], [])
-        order = np.lexsort((d, c, f))
+        settled = np.zeros(len(f), bool)
+        order = shared(f ^ _mix(c))
+        order = order[np.lexsort((d[order], c[order], f[order]))]
         fo, co, do = f[order], c[order], d[order]
-        begins = np.r_[True, (fo[1:] != fo[:-1]) | (co[1:] != co[:-1])]
+        begins = np.r_[True, (fo[1:] != fo[:-1]) | (co[1:] != co[:-1])] if len(order) else np.empty(0, bool)
         first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
         later = np.flatnonzero(do > do[first])
-        settled = np.zeros(len(order), bool)
         if len(later):  # equal by hash: compare
             both = np.stack([order[later], order[first[later]]])
+            begin, end = p - left, p + right
             places: dict[int, Places] = {}
             one, other = np.empty(len(later), object), np.empty(len(later), object)
             for ids, found in zip(both, (one, other), strict=True):
@@ -277,18 +280,17 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
                     t = int(text[ids[some[0]]])
                     if t not in places:
                         places[t] = Places(held[t][2], kind)
-                    found[some] = places[t].pieces((p - left)[ids[some]], (p + right)[ids[some]])
-            settled[later] = one == other
-        at = order[settled]
+                    found[some] = places[t].pieces(begin[ids[some]], end[ids[some]])
+            settled[order[later]] = one == other
+        at = np.flatnonzero(settled)
         if len(at):
             _send_spans(d[at], r[at], p[at] - left[at], p[at] + right[at], doc_buckets, out)
             # Spans travel on with the anchors, dealt over all buckets.
             out[0][:] = [(b * 7919) % anchor_buckets for b in out[0]]
-        at = np.sort(order[~settled])
+        at = np.flatnonzero(~settled)
         f, c, d, r, p = f[at], c[at], d[at], r[at], p[at].astype(np.uint32)
-        by_doc = np.lexsort((p, r, d))
-        f, c, d, r, p = f[by_doc], c[by_doc], d[by_doc], r[by_doc], p[by_doc]
         bucket = ((f >> _U(32)) % _U(anchor_buckets)).astype(np.int32)
+        f = f.astype(np.uint32)  # the rest of the hash is in the bucket
         _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at]), out)
         yield from _rows(out)
 
@@ -321,7 +323,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
 
 def entries(payloads: list[bytes]) -> list[np.ndarray]:
     """Gram hash, context hash, doc_id, row and place of packed anchors."""
-    found = [_unpack(x, "u8", "u8", "i8", "u8", "u4") for x in payloads]
+    found = [_unpack(x, "u4", "u8", "i8", "u8", "u4") for x in payloads]
     columns = [np.concatenate([x[i] for x in found]) for i in range(5)]
     columns[2] = np.concatenate([np.cumsum(x[2]) for x in found])
     return columns
@@ -340,24 +342,22 @@ class Requests:
 
     def ask(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray, new: np.ndarray | None = None) -> None:
         """What the holders of grams have to send; only groups with something ``new`` matter, if that is given."""
-        order = np.lexsort((p, r, d, c, f))
+        order = np.lexsort((c, f))
         f, c, d, r, p = f[order], c[order], d[order], r[order], p[order].astype(np.int64)
         begins = np.r_[True, f[1:] != f[:-1]]
         context = begins | np.r_[True, c[1:] != c[:-1]]
-        firsts = np.flatnonzero(context)
-        inside = np.cumsum(context) - 1
-        later = d > d[firsts][inside]
+        firsts, inside = np.flatnonzero(context), np.cumsum(context) - 1
         starts, group = np.flatnonzero(begins), np.cumsum(begins) - 1
+        least, most = np.minimum.reduceat(d, firsts), np.maximum.reduceat(d, firsts)
         contexts = np.bincount(group, context)
-        mixed = (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
+        same, mixed = least < most, (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
         if new is not None:
             new = new[order]
-            later &= new
+            same &= np.logical_or.reduceat(new, firsts)
             mixed &= np.logical_or.reduceat(new, starts)
-        verify = later.copy()
-        verify[firsts[np.logical_or.reduceat(later, firsts)]] = True
+        verify = same[inside]
         self.add(DIGESTS, d[verify], r[verify], p[verify], np.zeros(int(verify.sum()), np.int32))
-        texts = (d == d[firsts][inside]) & mixed[group]
+        texts = (d == least[inside]) & mixed[group]
         level = np.ceil(np.log2(np.maximum(contexts[group[texts]] / SHARE, 1))).astype(np.int32)
         self.add(TEXTS, d[texts], r[texts], p[texts], level)
 
@@ -400,11 +400,12 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
 # Step 3 ---------------------------------------------------------------------------------
 
 
-_CONTEXT = "core long, rest long, doc_id long, row long, at int, end int, context binary"
+#: A context or a share of it; or packed digests (``at`` is DIGESTED) or spans (REPEATED) in place of the text.
+_CONTEXT = "core long, doc_id long, row long, at int, end int, context binary"
 _CONTEXT_ARROW = pa.schema(
-    [("core", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())]
+    [("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())]
 )
-_LOW = (1 << 64) - 1
+DIGESTED, REPEATED = -1, -2
 
 
 def shares(width: int, level: int) -> list[tuple[int, int]]:
@@ -414,17 +415,18 @@ def shares(width: int, level: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Table:
-    """Per request: the digest of its context, or the text of it or of its shares with the hash of the core.
+def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buckets: int, doc_buckets: int) -> pa.Table:
+    """Per request the digest of its context, or the text of it or of its shares with the hash of the core.
 
-    Equal ones are settled here: a row with neither text nor ``rest`` is a span that is repeated.
+    Equal ones are settled here, as spans that are repeated.
     """
     width = LENGTH - gram + 1
     asked_kind, payloads = packed.column("kind").to_pylist(), packed.column("payload").to_pylist()
     d, r, p, levels = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == TEXTS])
     vd, vr, vp, _ = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == DIGESTS])
-    columns: list[list] = [[] for _ in range(7)]
-    digest, strong = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
+    columns: list[list] = [[] for _ in range(6)]
+    digests: list[tuple] = []
+    digest, strong = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     seen = set()
     known = np.unique(np.concatenate([d, vd]))
     for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
@@ -438,16 +440,10 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Tabl
             continue
         seen.add((doc_id, row))
         places = Places(data, kind)
-
-        def send(cores: list, rests: list, start: np.ndarray, end: np.ndarray, found: list) -> None:
-            n = len(cores)
-            for column, values in zip(columns, (cores, rests, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), found), strict=True):  # noqa: B023
-                column.extend(values)
-
-        at = np.unique(vp[verify])
-        start, end = np.maximum(at - (width - 1), 0), np.minimum(at + LENGTH, places.n)
-        digests = [strong(x) for x in places.pieces(start, end)]
-        send([(x >> 64) - (1 << 63) for x in digests], [(x & _LOW) - (1 << 63) for x in digests], start, end, [None] * len(at))
+        if verify.stop > verify.start:
+            at = np.unique(vp[verify])
+            start, end = np.maximum(at - (width - 1), 0), np.minimum(at + LENGTH, places.n)
+            digests.append((doc_id, row, start, end, b"".join(map(strong, places.pieces(start, end)))))
         asked = np.unique(np.stack([levels[some], p[some]]), axis=1)
         for level in np.unique(asked[0]).tolist():
             at = asked[1][asked[0] == level]
@@ -456,68 +452,138 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int) -> pa.Tabl
                 ok = end - start >= LENGTH
                 a, start, end = at[ok], start[ok], end[ok]
                 cores = [digest(x, level << 8 | share) - (1 << 63) for x in places.pieces(a - lo, a - hi + LENGTH)]
-                send(cores, [None] * len(a), start, end, places.pieces(start, end))
-    first: dict[tuple, int] = {}
-    cores, rests, ids, _, _, _, texts = columns
-    for *key, doc_id in zip(cores, rests, texts, ids, strict=True):
-        key = tuple(key)
+                n = len(cores)
+                found = (cores, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), places.pieces(start, end))
+                for column, values in zip(columns, found, strict=True):
+                    column.extend(values)
+    cores, ids, rows, starts, ends, texts = columns
+    first: dict[tuple[int, bytes], int] = {}
+    for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True):
         if doc_id < first.setdefault(key, doc_id):
             first[key] = doc_id
-    for i, (*key, doc_id) in enumerate(zip(cores, rests, texts, ids, strict=True)):
-        if doc_id > first[tuple(key)]:
-            cores[i], rests[i], texts[i] = digest(b"%d %d" % (doc_id, i)) - (1 << 63), None, None
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
+    stays = [doc_id == first[key] for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True)]
+    gone = ~np.array(stays, bool)
+    spans = [(np.array(ids, np.int64)[gone], np.array(rows, np.int64).view(_U)[gone] ^ _U(1 << 63), np.array(starts, np.int64)[gone], np.array(ends, np.int64)[gone])]
+    table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
+    table = table.filter(pa.array(stays, pa.bool_()))
+    out: Rows = ([], [], [])
+    if digests:
+        sizes = [len(x[2]) for x in digests]
+        vd, vr = np.repeat(np.array([x[0] for x in digests], np.int64), sizes), np.repeat(np.array([x[1] for x in digests], _U), sizes)
+        start, end = np.concatenate([x[2] for x in digests]), np.concatenate([x[3] for x in digests])
+        h = np.frombuffer(b"".join(x[4] for x in digests), _U).reshape(-1, 2)
+        again = later_of_equals(h[:, 0], h[:, 1], vd)
+        spans.append((vd[again], vr[again], start[again], end[again]))
+        vd, vr, start, end, h = vd[~again], vr[~again], start[~again].astype(np.uint32), (end - start)[~again].astype(np.uint16), h[~again]
+        _send((h[:, 0] % _U(anchor_buckets)).astype(np.int32), DIGESTED, lambda at: _pack(h[at, 0], h[at, 1], _steps(vd[at]), vr[at], start[at], end[at]), out)
+    d, r, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
+    if len(d):
+        _send_spans(*_joined(d, r, a, b), doc_buckets, out, REPEATED)
+    n = len(out[0])
+    # Digests go by their bucket; spans, which are settled, anywhere.
+    keys = [digest(b"%d %d" % (part, 0 if k == DIGESTED else i)) - (1 << 63) for i, (part, k) in enumerate(zip(out[0], out[1], strict=True))]
+    packed_rows = [pa.array(x, t) for x, t in zip((keys, [0] * n, [0] * n, out[1], out[0], out[2]), _CONTEXT_ARROW.types, strict=True)]
+    return pa.concat_tables([table, pa.Table.from_arrays(packed_rows, schema=_CONTEXT_ARROW)])
 
 
 # Step 4 ---------------------------------------------------------------------------------
 
 
+def later_of_equals(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which of the digests (h1, h2) a smaller document has too."""
+    again = np.zeros(len(docs), bool)
+    at = shared(h1)
+    if len(at):
+        at = at[np.lexsort((h2[at], h1[at]))]
+        begins = np.r_[True, (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1])]
+        least = np.minimum.reduceat(docs[at], np.flatnonzero(begins))
+        again[at] = docs[at] > least[np.cumsum(begins) - 1]
+    return again
+
+
+def _joined(d: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each row in order, with those that overlap or touch joined."""
+    order = np.lexsort((a, r, d))
+    d, r, a, b = d[order], r[order], a[order], b[order]
+    begins = np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])]
+    # The furthest end so far, row by row: rows are set apart by an offset that no end exceeds.
+    apart = (np.cumsum(begins) - 1) * (int(b.max()) + 2)
+    furthest = np.maximum.accumulate(b + apart)
+    first = np.flatnonzero(begins | np.r_[True, (a + apart)[1:] > furthest[:-1]])
+    return d[first], r[first], a[first], np.maximum.reduceat(b, first)
+
+
+def _verified(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Spans of the contexts whose digests a smaller document has too."""
+    found = [_unpack(x, "u8", "u8", "i8", "u8", "u4", "u2") for x in payloads]
+    h1, h2, r, a, n = (np.concatenate([x[i] for x in found]) for i in (0, 1, 3, 4, 5))
+    d = np.concatenate([np.cumsum(x[2]) for x in found])
+    again = later_of_equals(h1, h2, d)
+    a = a[again].astype(np.int64)
+    return d[again], r[again], a, a + n[again]
+
+
+def _ordered(t: pa.Table, kind: str) -> list[tuple[np.ndarray, ...]]:
+    """Spans of the contexts of whole cores that start in smaller documents too, as a whole or window by window."""
+    core, docs, row, at, end = (t.column(i).to_numpy() for i in range(5))
+    row = row.view(_U) ^ _U(1 << 63)
+    texts = t.column("context").to_pylist()
+    names: dict[bytes, int] = {}
+    content = np.fromiter((names.setdefault(x, len(names)) for x in texts), np.int64, len(texts))
+    # Of equal contexts those of larger documents are repeated as a whole.
+    order = np.lexsort((docs, content, core))
+    begins = np.r_[True, (core[order][1:] != core[order][:-1]) | (content[order][1:] != content[order][:-1])]
+    same = np.empty(len(order), np.int64)
+    same[order] = np.cumsum(begins) - 1
+    firsts = order[begins]
+    whole = docs > docs[firsts][same]
+    found = [(docs[whole], row[whole], at[whole].astype(np.int64), end[whole].astype(np.int64))]
+    # Different contexts of a core, each with its smallest document.
+    starts = np.flatnonzero(np.r_[True, core[firsts][1:] != core[firsts][:-1]])
+    differ = np.minimum.reduceat(docs[firsts], starts) < np.maximum.reduceat(docs[firsts], starts)
+    one = firsts[np.repeat(differ, np.diff(np.r_[starts, len(firsts)]))]
+    if len(one):
+        which, offset = repeated_windows([texts[i] for i in one.tolist()], docs[one], kind, LENGTH)
+        # Every row that is first with this context has its windows.
+        holders = np.flatnonzero(~whole)
+        holders = holders[np.argsort(same[holders], kind="stable")]
+        mine = same[one[which]]
+        low, high = np.searchsorted(same[holders], mine, "left"), np.searchsorted(same[holders], mine, "right")
+        times = high - low
+        inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        who = holders[np.repeat(low, times) + inside]
+        start = at[who].astype(np.int64) + np.repeat(offset, times)
+        found.append((docs[who], row[who], start, start + LENGTH))
+    return found
+
+
 def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, 8192):
-        core, docs, row, at, end = (t.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
-        row = row.view(_U) ^ _U(1 << 63)
-        texts = t.column("context").to_pylist()
-        is_text = ~np.array(t.column("context").is_null())
-        settled = ~is_text & np.array(t.column("rest").is_null())
-        names: dict = {}
-        contents = (x if x is not None else y for x, y in zip(texts, t.column("rest").to_pylist(), strict=True))
-        content = np.fromiter((names.setdefault(x, len(names)) for x in contents), np.int64, len(texts))
-        # Of equal contents those of larger documents are repeated as a whole.
-        order = np.lexsort((docs, content, core))
-        begins = np.r_[True, (core[order][1:] != core[order][:-1]) | (content[order][1:] != content[order][:-1])]
-        same = np.empty(len(order), np.int64)
-        same[order] = np.cumsum(begins) - 1
-        firsts = order[begins]
-        whole = settled | (docs > docs[firsts][same])
-        found = [(docs[whole], row[whole], at[whole].astype(np.int64), end[whole].astype(np.int64))]
-        # Different contexts of a core, each with its smallest document.
-        one = firsts[is_text[firsts]]
-        if len(one):
-            starts = np.flatnonzero(np.r_[True, core[one][1:] != core[one][:-1]])
-            differ = np.minimum.reduceat(docs[one], starts) < np.maximum.reduceat(docs[one], starts)
-            one = one[np.repeat(differ, np.diff(np.r_[starts, len(one)]))]
-        if len(one):
-            which, offset = repeated_windows([texts[i] for i in one.tolist()], docs[one], kind, LENGTH)
-            # Every row that is first with this context has its windows.
-            holders = np.flatnonzero(~whole & is_text)
-            holders = holders[np.argsort(same[holders], kind="stable")]
-            mine = same[one[which]]
-            low, high = np.searchsorted(same[holders], mine, "left"), np.searchsorted(same[holders], mine, "right")
-            times = high - low
-            inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            who = holders[np.repeat(low, times) + inside]
-            start = at[who].astype(np.int64) + np.repeat(offset, times)
-            found.append((docs[who], row[who], start, start + LENGTH))
-        d, r, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(d):
-            continue
-        order = np.lexsort((a, r, d))
-        d, r, a, b = d[order], r[order], a[order], b[order]
-        begins = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > b[:-1])])
+    waiting: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
         out: Rows = ([], [], [])
-        _send_spans(d[begins], r[begins], a[begins], np.maximum.reduceat(b, begins), doc_buckets, out)
+        d, r, a, b = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else [np.empty(0, np.int64)] * 4
+        if len(d):
+            _send_spans(*_joined(d, r, a, b), doc_buckets, out)
         yield from _rows(out)
 
+    for t in whole_groups(batches, 8192, 16 << 20):
+        mark = t.column("at").to_numpy()
+        repeated = t.filter(pa.array(mark == REPEATED))
+        yield from _rows((repeated.column("end").to_pylist(), [SPANS] * repeated.num_rows, repeated.column("context").to_pylist()))
+        digested = t.filter(pa.array(mark == DIGESTED))
+        if digested.num_rows:
+            waiting.append(_verified(digested.column("context").to_pylist()))
+        texts = t.filter(pa.array(mark >= 0)).combine_chunks()
+        if texts.num_rows:
+            waiting += _ordered(texts, kind)
+        count += sum(len(x[0]) for x in waiting[-3:])
+        if count > 1_000_000:
+            yield from flush()
+            waiting, count = [], 0
+    yield from flush()
+
 
 # Step 5 ---------------------------------------------------------------------------------
 
@@ -551,7 +617,7 @@ def buckets(docs: DataFrame) -> tuple[int, int]:
     """Anchor and document buckets for ``docs``, from the session's partitions and Spark's estimate of the size."""
     n = parts(docs.sparkSession)
     by_size = min(plan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS * n)  # the estimate may be far too high
-    return max(ANCHOR_BUCKETS * n, by_size), max(DOC_BUCKETS * n, by_size)
+    return max(LEAST_BUCKETS * n, by_size), max(LEAST_BUCKETS * n, by_size)
 
 
 def anchors(docs: DataFrame, kind: str, gram: int, dealt: tuple[int, int]) -> DataFrame:
@@ -566,7 +632,7 @@ def resolve(packed: DataFrame, doc_buckets: int) -> DataFrame:
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _resolve(it, doc_buckets), PACKED)
 
 
-def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets: int, row: Callable, schema: pa.Schema, ddl: str, corpus: DataFrame | None = None) -> DataFrame:
+def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, dealt_by: tuple[int, int], row: Callable, schema: pa.Schema, ddl: str, corpus: DataFrame | None = None) -> DataFrame:
     """Settle the requests of ``resolved`` on contents and apply all spans to ``docs``.
 
     ``docs`` has doc_id, text, and may have a struct ``carried``, which is handed on.  Texts that are asked
@@ -574,12 +640,13 @@ def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, doc_buckets:
     can shuffle them once.
     """
     small_batches(docs.sparkSession)
+    anchor_buckets, doc_buckets = dealt_by
     part = F.pmod(F.xxhash64("doc_id"), F.lit(doc_buckets)).cast("int")
     dealt = docs.withColumn("part", part)
     asked = dealt if corpus is None else corpus.select("doc_id", "text").withColumn("part", part)
     spans = resolved.where(F.col("kind") == SPANS).select("part", "payload")
     requests = resolved.where(F.col("kind").isin(TEXTS, DIGESTS))
-    contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram), _CONTEXT)
+    contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram, anchor_buckets, doc_buckets), _CONTEXT)
     more = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
     spans = spans.union(more.select("part", "payload"))
     result = StructType.fromDDL(ddl)

@@ -187,14 +187,14 @@ def _run(docs: DataFrame, batches: int, row, schema: pa.Schema, ddl: str, carrie
             batch = batch.where(F.col("doc_id") <= high)
         found = index.add(batch)
         resolved = found if resolved is None else resolved.union(found)
-    return cut(rows, resolved, "words", GRAM, index.doc_buckets, row, schema, ddl)
+    return cut(rows, resolved, "words", GRAM, (index.anchor_buckets, index.doc_buckets), row, schema, ddl)
 
 
 def add_documents(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of a later batch; ``corpus`` holds the texts of all that the index has seen."""
     rows = texts(batch)
     resolved = index.add(rows)
-    return cut(rows, resolved, "words", GRAM, index.doc_buckets, text_row, _TEXT, _TEXT_DDL, texts(corpus).union(rows))
+    return cut(rows, resolved, "words", GRAM, (index.anchor_buckets, index.doc_buckets), text_row, _TEXT, _TEXT_DDL, texts(corpus).union(rows))
 
 
 def digest_row(doc_id: int, data: bytes, spans) -> tuple:

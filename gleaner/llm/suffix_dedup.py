@@ -54,7 +54,7 @@ def _run(docs: DataFrame, row, schema: pa.Schema, ddl: str) -> DataFrame:
     rows = texts(docs)
     dealt = buckets(rows)
     resolved = stored(resolve(anchors(rows, "bytes", GRAM, dealt), dealt[1]), "suffix-resolved")
-    return cut(rows, resolved, "bytes", GRAM, dealt[1], row, schema, ddl)
+    return cut(rows, resolved, "bytes", GRAM, dealt, row, schema, ddl)
 
 
 def remove_copies(docs: DataFrame) -> DataFrame:
