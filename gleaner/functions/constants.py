@@ -133,3 +133,18 @@ def offered(vocabulary: str) -> list[str]:
 
 def derived(vocabulary: str) -> list[str]:
     return [v for v, from_agent in VOCABULARIES[vocabulary].items() if not from_agent]
+
+
+_MISSING = object()
+
+
+def get(path: str, default: object = _MISSING) -> object:
+    """A fixed value by its dotted name, like ``LOCALES.en.consent_labels``; an unknown name raises unless there is a default."""
+    found: object = globals()
+    for part in path.split("."):
+        if not isinstance(found, dict) or part not in found or part.startswith("_"):
+            if default is _MISSING:
+                raise KeyError(path)
+            return default
+        found = found[part]
+    return found

@@ -49,9 +49,13 @@ def is_avatar(url: Column | str, markers: tuple[str, ...] = K.AVATAR_MARKERS) ->
 
 
 def hires(template: Column, media_id: Column, width: int = K.HIRES_WIDTH) -> Column:
-    """The first {id} and the first {w} of a template filled in."""
-    once = F.regexp_replace(template, r"^(.*?)\{id\}", F.concat(F.lit("$1"), media_id))
-    return F.regexp_replace(once, r"^(.*?)\{w\}", F.lit(f"$1{width}"))
+    """The first {id} and the first {w} of a template filled in; ids are taken as they are."""
+
+    def filled(text: Column, place: str, value: Column) -> Column:
+        at = F.locate(place, text)
+        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), value, F.substr(text, at + len(place)))).otherwise(text)
+
+    return filled(filled(template, "{id}", media_id), "{w}", F.lit(str(width)))
 
 
 def media_id(url: Column | str, pattern: str) -> Column:

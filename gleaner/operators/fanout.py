@@ -142,3 +142,43 @@ def normalize(values: DataFrame, maps: DataFrame) -> DataFrame:
     return joined.where(~(hit & F.col("new").isNull())).select(
         "id", "field", F.when(hit, F.col("new")).otherwise(F.col("value")).alias("value"), hit.alias("changed")
     )
+
+
+def lookup(worklist: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The item of each wanted id, of repeated ones the last; unknown ids have nulls."""
+    last = F.max_by(F.struct(*[c for c in worklist.columns if c != key]), F.col("ordinal"))
+    index = worklist.groupBy(key).agg(last.alias("item"))
+    return ids.select(key).distinct().join(index, key, "left").select(key, "item.*")
+
+
+def worklist_size(worklist: DataFrame, key: str = "id") -> DataFrame:
+    """(items, keys): repeated ids count in items, and once in keys."""
+    return worklist.agg(F.count(F.lit(1)).alias("items"), F.countDistinct(key).alias("keys"))
+
+
+def mapped(replies: DataFrame, keymap: DataFrame, item: str = "item_id") -> DataFrame:
+    """``replies`` with ``target`` by ``keymap`` (item, target) and ``reason``: unknown-key where it has none."""
+    known = keymap.select(F.col(keymap.columns[0]).alias("known_item"), F.col(keymap.columns[1]).alias("target"))
+    joined = replies.join(known, replies[item] == known["known_item"], "left").drop("known_item")
+    return joined.withColumn("reason", F.when(F.col("target").isNull(), F.lit("unknown-key")))
+
+
+def drive_summary(outcomes: DataFrame, item: str = "item", state: str = "state") -> DataFrame:
+    """(state, n, items): the items of each outcome, counted and in order."""
+    return outcomes.groupBy(state).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def outcome_census(outcomes: DataFrame, group: str, status: str = "status") -> DataFrame:
+    """(group, ok, bad): outcomes in and out of the range of success."""
+    fine = F.coalesce(ok_range(status), F.lit(False))
+    return outcomes.groupBy(group).agg(F.count_if(fine).alias("ok"), F.count_if(~fine).alias("bad"))
+
+
+def ok_range(status: Column | str) -> Column:
+    """Whether a status is a success or a redirect (200 to 399)."""
+    return T.col(status).between(200, 399)
+
+
+def ok_exit(status: Column | str) -> Column:
+    """The exit code for a status: 0 in the range of success, else 1."""
+    return F.when(ok_range(status), 0).otherwise(1)

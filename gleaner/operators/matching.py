@@ -9,78 +9,144 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..sources.store import stored
+
+
+def two_nearest(pairs: DataFrame, query: str, distance: str, ordinal: str) -> DataFrame:
+    """(query, ordinal, distance, runner_up): the nearest candidate and the next distance; ties go to the smaller ordinal.
+
+    Each pair is read once: Spark limits every task to the first two of a query before it shuffles.
+    """
+    d = F.col(distance)
+    by = Window.partitionBy(query).orderBy(d, F.col(ordinal))
+    first = pairs.where(d.isNotNull() & ~F.isnan(d)).withColumn("nr", F.row_number().over(by)).where("nr <= 2")
+    one, two = F.col("nr") == 1, F.col("nr") == 2
+    return first.groupBy(query).agg(F.max(F.when(one, F.col(ordinal))).alias(ordinal), F.max(F.when(one, d)).alias(distance), F.max(F.when(two, d)).alias("runner_up"))
 
 
 def best_under(pairs: DataFrame, query: str, distance: str, ordinal: str, floor: float) -> DataFrame:
     """Per query the nearest candidate if its distance is below ``floor``, else no row.
 
-    Adds runner_up (the next distance or null), margin, and skipped (candidates without a
-    distance).  Ties go to the smaller ``ordinal``.  Each pair is read once: a partial
-    aggregation keeps the two smallest of every query.
+    Adds runner_up (the next distance, above the floor too, or null), margin, and skipped
+    (candidates without a distance).
     """
     d = F.col(distance)
-    usable = d.isNotNull() & ~F.isnan(d)
-    best = pairs.groupBy(query).agg(
-        F.min(F.when(usable, F.struct(d.alias("d"), F.col(ordinal).alias("o")))).alias("first"),
-        F.count_if(~usable).alias("skipped"),
-    )
-    second = (
-        pairs.where(usable)
-        .join(best.select(query, "first"), query)
-        .where(F.struct(d.alias("d"), F.col(ordinal).alias("o")) > F.col("first"))
-        .groupBy(query)
-        .agg(F.min(d).alias("runner_up"))
-    )
-    chosen = best.where(F.col("first.d") < floor).join(second, query, "left")
-    return chosen.select(
-        query,
-        F.col("first.o").alias(ordinal),
-        F.col("first.d").alias(distance),
-        "runner_up",
-        (F.col("runner_up") - F.col("first.d")).alias("margin"),
-        "skipped",
-    )
+    chosen = two_nearest(pairs, query, distance, ordinal).where(d < floor)
+    skipped = pairs.where(d.isNull() | F.isnan(d)).groupBy(query).agg(F.count(F.lit(1)).alias("skipped"))
+    return _judged(chosen.join(skipped, query, "left").withColumn("skipped", F.coalesce("skipped", F.lit(0)).cast("long")), query, ordinal, distance)
+
+
+def _judged(chosen: DataFrame, query: str, ordinal: str, distance: str) -> DataFrame:
+    return chosen.select(query, ordinal, distance, "runner_up", (F.col("runner_up") - F.col(distance)).alias("margin"), "skipped")
+
+
+def nearest(pairs: DataFrame, query: str, distance: str, ordinal: str) -> DataFrame:
+    """(query, ordinal) of the nearest candidate, however far."""
+    d = F.col(distance)
+    return pairs.where(d.isNotNull() & ~F.isnan(d)).groupBy(query).agg(F.min_by(ordinal, F.struct(d, F.col(ordinal))).alias(ordinal))
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return F.lit(2 * K.EARTH_RADIUS_M) * F.asin(F.sqrt(h))
+    return F.lit(2 * K.EARTH_RADIUS_M) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
 
 
-def near_pairs(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M) -> DataFrame:
-    """Pairs (query, ordinal, distance) under the floor, by bands of latitude.
+def near_pairs(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M, spread_points: bool = False) -> DataFrame:
+    """Pairs (query, ordinal, distance) under the floor, by cubes in space.
 
-    A pair under the floor lies in the same or a neighbouring band, so the join is by
-    equality on the band.
+    Places are points on a sphere; two under the floor differ by less than it in each of x, y and
+    z, so they lie in the same cube of that width or in neighbouring ones, at the poles and the date
+    line too.  One side goes to its 27 cubes, the other to its own.
     """
-    degrees = floor_m / (math.pi * K.EARTH_RADIUS_M / 180) * 1.0001
-    band = lambda c: F.floor(F.col(c) / F.lit(degrees))
-    p = points.select(query, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), band("lat").alias("band"))
-    c = candidates.select(ordinal, "lat", "lon", F.explode(F.array(*(band("lat") + i for i in (-1, 0, 1)))).alias("band"))
-    pairs = p.join(c, "band").select(query, ordinal, haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")).alias("distance"))
-    return pairs.where(F.col("distance") < floor_m)
+    width = floor_m * 1.0001 / K.EARTH_RADIUS_M
 
+    def cubed(rows: DataFrame, name: str, spread: bool) -> DataFrame:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        cell = lambda c: F.floor(c / F.lit(width))
+        cubes = rows.select(
+            name, F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"),
+            cell(F.cos(lat) * F.cos(lon)).alias("x"), cell(F.cos(lat) * F.sin(lon)).alias("y"), cell(F.sin(lat)).alias("z"),
+        )
+        if spread:
+            for axis in "xyz":
+                cubes = cubes.withColumn(axis, F.explode(F.array(*(F.col(axis) + i for i in (-1, 0, 1)))))
+        return cubes
 
-def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M) -> DataFrame:
-    """The nearest candidate of each point; runner_up is the next one under the floor."""
-    return best_under(near_pairs(points, candidates, query, ordinal, floor_m), query, "distance", ordinal, floor_m)
+    pairs = cubed(points, query, spread_points).join(cubed(candidates, ordinal, not spread_points), ["x", "y", "z"])
+    distance = haversine_m(*(F.col(f"{n}_{c}") for n in (query, ordinal) for c in ("lat", "lon")))
+    return pairs.select(query, ordinal, distance.alias("distance")).where(F.col("distance") < floor_m)
+
+
+def _placed() -> Column:
+    return F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
 
 
-def label_pairs(queries: DataFrame, candidates: DataFrame, query: str, text: str, ordinal: str, label: str) -> DataFrame:
-    """(query, ordinal, distance = 1 - overlap) of the pairs that share a token.
+def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M) -> DataFrame:
+    """The nearest candidate of each point under the floor, with the next one however far.
 
-    A pair that shares none has overlap 0 and can't pass a floor, so the join is by token;
-    shared tokens are counted, not gathered.
+    Points with one candidate under the floor look for the next one in wider and wider cubes; each
+    round only those look that have found none.  Candidates without a place are ``skipped``.
+    """
+    good = candidates.where(_placed())
+    near = stored(two_nearest(near_pairs(points, good, query, ordinal, floor_m), query, "distance", ordinal), "geo-near")
+    counts = candidates.agg(F.count_if(_placed()).alias("good"), F.count(F.lit(1)).alias("all")).first()
+    done, radius = near.where("runner_up is not null"), floor_m
+    waiting = near.where("runner_up is null")
+    while counts["good"] > 1 and radius <= math.pi * K.EARTH_RADIUS_M and not waiting.isEmpty():
+        radius *= 8
+        first = waiting.select(query, F.col(ordinal).alias("taken"), F.col("distance").alias("first_distance"))
+        looking = points.join(first.select(query), query, "left_semi")
+        others = near_pairs(looking, good, query, ordinal, radius, spread_points=True).join(first, query).where(F.col(ordinal) != F.col("taken"))
+        found = others.groupBy(query).agg(F.min("distance").alias("next"))
+        waiting = stored(waiting.join(found, query, "left").select(query, ordinal, "distance", F.col("next").alias("runner_up")), "geo-wider")
+        done, waiting = done.union(waiting.where("runner_up is not null")), waiting.where("runner_up is null")
+    skipped = F.lit(counts["all"] - counts["good"]).cast("long").alias("skipped")
+    return _judged(done.union(waiting).select("*", skipped), query, ordinal, "distance")
+
+
+def _rarest(sets: DataFrame, name: str, others: DataFrame, least: float) -> DataFrame:
+    """(name, n, token): of each set so many tokens, those that ``others`` hold least, that any sharing of ``least`` or more hits one."""
+    held = others.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    tokens = sets.select(name, "n", F.explode("t").alias("token")).join(held, "token")
+    absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(name))
+    place = F.row_number().over(Window.partitionBy(name).orderBy("held", "token"))
+    needed = F.col("n") - F.greatest(F.ceil(F.col("n") * F.lit(least)), F.lit(1)) + 1
+    return tokens.withColumn("place", place).withColumn("absent", absent).where(F.col("place") + F.col("absent") <= needed).select(name, "n", "token")
+
+
+def label_pairs(q: DataFrame, c: DataFrame, query: str, ordinal: str, least: float) -> DataFrame:
+    """(query, ordinal, distance = 1 - overlap) of pairs of token sets (name, n, t) with an overlap of ``least`` or more.
+
+    Such a pair shares one of the rarest tokens of its smaller set, so only those meet the other side.
+    Pairs that meet are compared once, on whole sets.
     """
-    q = queries.select(query, T.tokens(text).alias("t")).select(query, F.size("t").alias("nq"), F.explode("t").alias("token"))
-    c = candidates.select(ordinal, T.tokens(label).alias("t")).select(ordinal, F.size("t").alias("nc"), F.explode("t").alias("token"))
-    shared = q.join(c, "token").groupBy(query, ordinal).agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nc").alias("nc"))
-    return shared.select(query, ordinal, (1 - F.col("n") / F.least("nq", "nc")).alias("distance"))
+    all_q, all_c = (x.select(name, F.col("n").alias(f"{name}_n"), F.explode("t").alias("token")) for x, name in ((q, query), (c, ordinal)))
+    small_c = _rarest(c, ordinal, q, least).join(all_q, "token").where(F.col("n") <= F.col(f"{query}_n")).select(query, ordinal)
+    small_q = _rarest(q, query, c, least).join(all_c, "token").where(F.col("n") < F.col(f"{ordinal}_n")).select(query, ordinal)
+    met = small_c.union(small_q).distinct()
+    both = met.join(q.select(query, F.col("t").alias("a")), query).join(c.select(ordinal, F.col("t").alias("b")), ordinal)
+    return both.select(query, ordinal, (1 - T.overlap("a", "b")).alias("distance"))
 
 
 def best_label(queries: DataFrame, candidates: DataFrame, query: str, text: str, ordinal: str, label: str, floor: float = K.OVERLAP_FLOOR) -> DataFrame:
-    return best_under(label_pairs(queries, candidates, query, text, ordinal, label), query, "distance", ordinal, 1 - floor)
+    """The candidate whose label shares most tokens with a query's text, if the overlap is above ``floor``.
+
+    The runner-up is sought among all candidates, but only for queries with a single one above the
+    floor; a candidate that shares nothing has distance 1.
+    """
+    sets = lambda rows, name, c: stored(rows.select(name, T.tokens(c).alias("t")).select(name, F.size("t").alias("n"), "t").where("n > 0"), "label-tokens")
+    q, c = sets(queries, query, text), sets(candidates, ordinal, label)
+    several = len(candidates.select(ordinal).take(2)) > 1
+    close = label_pairs(q, c, query, ordinal, floor).where(F.col("distance") < 1 - floor)
+    near = stored(two_nearest(close, query, "distance", ordinal), "label-near")
+    waiting = near.where("runner_up is null")
+    looking = q.join(waiting.select(query), query, "left_semi")
+    others = label_pairs(looking, c, query, ordinal, 0.0).join(waiting.select(query, F.col(ordinal).alias("taken")), query).where(F.col(ordinal) != F.col("taken"))
+    found = others.groupBy(query).agg(F.min("distance").alias("next"))
+    last = F.lit(1.0 if several else None).cast("double")
+    late = waiting.join(found, query, "left").select(query, ordinal, "distance", F.coalesce("next", last).alias("runner_up"))
+    return _judged(near.where("runner_up is not null").union(late).select("*", F.lit(0).cast("long").alias("skipped")), query, ordinal, "distance")
 
 
 def top_by(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

@@ -19,9 +19,9 @@ def ordered(rows: DataFrame, *by: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
-    rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows.repartitionByRange(*by).withColumn("range_nr", F.spark_partition_id()).write.parquet(path)
     held = spark.read.parquet(path)
-    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
-    return held.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("place", F.col("_own") + F.col("_b")).drop("_range", "_own", "_b")
+    sizes = held.groupBy("range_nr").agg(F.count(F.lit(1)).alias("rows_here"))
+    before = sizes.select("range_nr", F.coalesce(F.sum("rows_here").over(Window.orderBy("range_nr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    own = F.row_number().over(Window.partitionBy("range_nr").orderBy(*by))
+    return held.withColumn("own_place", own).join(before, "range_nr").withColumn("place", F.col("own_place") + F.col("rows_before")).drop("range_nr", "own_place", "rows_before")

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import col, text_or_empty
+from ..sources.store import stored
+from .ordering import ordered
+
+
+def load(origins: DataFrame, files: DataFrame, key: str = "origin", text: str = "robots") -> DataFrame:
+    """(key, text, reachable) for every origin: one without a file, or whose file could not be read, lets nothing through."""
+    joined = origins.select(key).distinct().join(files.select(key, text), key, "left")
+    return joined.withColumn("reachable", F.col(text).isNotNull())
 
 
 def lines(files: DataFrame, key: str = "origin", text: str = "robots") -> DataFrame:
@@ -102,16 +110,29 @@ def sitemap_entries(files: DataFrame, key: str = "sitemap", xml: str = "xml") ->
     return files.select(key, index.alias("is_index"), F.posexplode(locs).alias("pos", "loc"))
 
 
-def sitemap_walk(entries: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    """(sitemap, level) of all sitemaps reached from ``roots``, each at its first level.
+def sitemap_walk(entries: DataFrame, roots: DataFrame, limit: int | None = None) -> DataFrame:
+    """(sitemap, level, place, fetched) of all sitemaps reached from ``roots``, breadth first.
 
-    A level is a join of the frontier with the index entries; ``depth`` bounds the levels.
+    A level is a join of the stored frontier with the stored index entries, and the walk goes on
+    until a level has nothing new.  ``place`` is the order of discovery within the level: by the
+    place of the index, then by the place in it.  ``limit`` caps the sitemaps that are fetched over
+    all levels; what was discovered but not fetched is returned with ``fetched`` false.
     """
-    edges = entries.where("is_index").select("sitemap", F.col("loc").alias("child"))
-    frontier = roots.select(F.col(roots.columns[0]).alias("sitemap")).distinct().withColumn("level", F.lit(0))
-    seen = frontier
-    for level in range(1, depth + 1):
-        new = frontier.join(edges, "sitemap").select(F.col("child").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
-        frontier = new.withColumn("level", F.lit(level))
-        seen = seen.union(frontier)
-    return seen
+    edges = stored(entries.where("is_index").select("sitemap", "pos", F.col("loc").alias("child")), "sitemap-edges")
+    frontier = ordered(roots.select(F.col(roots.columns[0]).alias("sitemap")).distinct(), "sitemap")
+    seen, fetched, level = None, 0, 0
+    while True:
+        n = frontier.count()
+        if seen is not None and not n:
+            return seen
+        taken = n if limit is None else max(0, min(n, limit - fetched))
+        here = stored(frontier.select("sitemap", F.lit(level).alias("level"), "place", (F.col("place") <= taken).alias("fetched")), "sitemap-level")
+        seen = here if seen is None else seen.union(here)
+        fetched, level = fetched + taken, level + 1
+        found = here.where("fetched").join(edges, "sitemap").groupBy(F.col("child").alias("sitemap")).agg(F.min(F.struct("place", "pos")).alias("at"))
+        frontier = ordered(found.join(seen, "sitemap", "left_anti").select("sitemap", F.struct("at", "sitemap").alias("order")), "order")
+
+
+def sitemap_pages(entries: DataFrame, walked: DataFrame) -> DataFrame:
+    """(sitemap, loc) of the pages that fetched sitemaps name."""
+    return entries.where("not is_index").join(walked.where("fetched").select("sitemap"), "sitemap", "left_semi").select("sitemap", "loc")

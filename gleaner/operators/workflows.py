@@ -73,3 +73,24 @@ def gaps(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Rows numbered inside their group; a pause stands before each but the first."""
     nr = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return rows.withColumn("nr", nr).withColumn("paused", F.col("nr") > 1)
+
+
+def pauses(rows: DataFrame, group: str, order: str, base_s: float = K.HOST_INTERVAL_S, jitter: float = 0.0) -> DataFrame:
+    """``gaps`` with the range a pause may take: ``base_s`` to ``base_s * (1 + jitter)``, and null before the first."""
+    found = gaps(rows, group, order)
+    paused = lambda s: F.when(F.col("paused"), F.lit(float(s)))
+    return found.withColumns({"least_s": paused(base_s), "most_s": paused(base_s * (1 + jitter))})
+
+
+def normalize_args(raw: Column | str) -> Column:
+    """Arguments as a variant: null is the empty object, a JSON text what it holds."""
+    return F.coalesce(F.try_parse_json(col(raw)), F.parse_json(F.lit("{}")))
+
+
+def cli_arg(arg: Column | str) -> Column:
+    """struct(name, value) of ``--name=value``: the value is JSON text where it parses, else a JSON string; a bare ``--name`` is true."""
+    arg = col(arg)
+    value = F.regexp_extract(arg, "(?s)^--[^=]*=(.*)$", 1)
+    parsed = F.to_json(F.try_parse_json(value))
+    shown = F.when(~F.contains(arg, F.lit("=")), F.lit("true")).otherwise(F.coalesce(parsed, F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2)))
+    return F.struct(F.regexp_extract(arg, "^--([^=]*)", 1).alias("name"), shown.alias("value"))

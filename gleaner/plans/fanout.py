@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -12,6 +14,7 @@ from ..operators import transcripts as R
 from ..operators import workflows as W
 from ..operators.ordering import ordered
 from ..sources import readers as S
+from ..sources import store
 from .base import DERIVED, query
 
 #: What was asked for, what came back, and all there is.
@@ -126,9 +129,17 @@ def _(t):
     return O.batches(t("worklist")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("worklist_lookup", "SELECT count(*) AS items, count(DISTINCT title) AS titles FROM worklist")
+@query(
+    "worklist_lookup",
+    """WITH items AS (SELECT id, ordinal, title FROM worklist UNION ALL SELECT id, ordinal + 1000000, 'again ' || title FROM worklist WHERE ordinal % 5 = 1),
+       last AS (SELECT id, arg_max(title, ordinal) AS title FROM items GROUP BY id)
+       SELECT u.id, l.title, (SELECT count(*) FROM items) AS items, (SELECT count(DISTINCT id) FROM items) AS keys FROM universe u LEFT JOIN last l ON l.id = u.id""",
+)
 def _(t):
-    return t("worklist").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("title").alias("titles"))
+    """Ids are looked up in a work-list that repeats some; repeats count in its length, not in its keys."""
+    again = t("worklist").where("ordinal % 5 = 1").select("id", F.expr("ordinal + 1000000").alias("ordinal"), F.concat(F.lit("again "), "title").alias("title"))
+    items = t("worklist").union(again)
+    return O.lookup(items, t("universe")).select("id", "title").crossJoin(O.worklist_size(items))
 
 
 _AUTH = """auth AS (SELECT r.*, EXISTS (SELECT 1 FROM dispatched a WHERE starts_with(r.agent_id, a.wanted) OR starts_with(a.wanted, r.agent_id)) AS authorized FROM replies r)"""
@@ -232,18 +243,18 @@ def _(t):
     return rows.select("source", (F.size(F.array_except(F.json_object_keys("p"), allowed)) == 0).alias("closed"))
 
 
-@query("keymap_lookup", "SELECT source, item_id, CASE WHEN CAST(item_id AS BIGINT) % 2 = 0 THEN 'target-' || item_id END AS target FROM replies")
+@query("keymap_lookup", "SELECT source, item_id, CASE WHEN CAST(item_id AS BIGINT) % 2 = 0 THEN 'target-' || item_id END AS target, CASE WHEN item_id IS NULL OR CAST(item_id AS BIGINT) % 2 > 0 THEN 'unknown-key' END AS reason FROM replies")
 def _(t):
     rows = t("replies")
     keymap = rows.where("cast(item_id as long) % 2 = 0").select("item_id", F.concat(F.lit("target-"), "item_id").alias("target")).distinct()
-    return rows.join(keymap, "item_id", "left").select("source", "item_id", "target")
+    return O.mapped(rows, keymap).select("source", "item_id", "target", "reason")
 
 
 @query("index_map", "SELECT source, coalesce(CASE WHEN length(agent_id) % 2 = 0 THEN 'known-' || agent_id END, agent_id) AS agent FROM replies")
 def _(t):
     rows = t("replies")
     index = rows.where("length(agent_id) % 2 = 0").select("agent_id", F.concat(F.lit("known-"), "agent_id").alias("known")).distinct()
-    return rows.join(index, "agent_id", "left").select("source", F.coalesce("known", "agent_id").alias("agent"))
+    return S.indexed(rows, "agent_id", index, "agent").select("source", "agent")
 
 
 @query("normalize", "SELECT id, 'brand' AS field, CASE WHEN brand = 'Brand#1' THEN 'first' ELSE brand END AS value, brand = 'Brand#1' AS changed FROM produced WHERE brand <> 'Brand#2'")
@@ -257,8 +268,9 @@ def _(t):
 def _(t):
     rows = t("produced").where("brand in ('Brand#1', 'Brand#2')").select("brand").distinct()
     entry = F.expr("to_json(map('brand', map(brand, case when brand = 'Brand#1' then 'first' end)), map('ignoreNullFields', 'false'))")
-    parsed = F.from_json(entry, "map<string, map<string, string>>")
-    return rows.select(F.explode(parsed).alias("field", "m")).select("field", F.explode("m").alias("old", "new"))
+    path = f"{store.shared_folder(t.spark)}/value-maps-{uuid.uuid4().hex}"
+    rows.select(entry.alias("value")).write.text(path)
+    return S.value_maps(t.spark, path)
 
 
 # Records and lines ----------------------------------------------------------------------

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import fanout as O
 from ..operators import linkstate as L
 from ..operators import media as M
 from ..operators import quality as Q
 from ..operators import robots as R
 from ..operators.ordering import ordered
+from ..sources import readers, store
 from .base import DERIVED, query
 
 #: Pages of which some are error pages, some lack a title, and some are challenges.
@@ -90,37 +94,55 @@ def _(t):
     return t("made_pages").select("page_id", H.title("html").alias("title"))
 
 
-@query(
-    "html_title_decoded",
-    f"SELECT page_id, replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM made_pages",
-)
-def _(t):
-    return t("made_pages").select("page_id", H.title_decoded("html").alias("title"))
-
-
 @query(
     "html_ldjson",
-    r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>', 1), lambda x: json_valid(trim(x)))) AS n_blocks
+    r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<script[^>]+type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1), lambda x: json_valid(trim(x)))) AS n_blocks
         FROM made_pages""",
 )
 def _(t):
     return t("made_pages").select("page_id", F.size(H.ld_json("html")).cast("long").alias("n_blocks"))
 
 
-_LINES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
-    '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r' || chr(160) || ']+', ' ', 'g'))), lambda x: x <> '')"""
+_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _decoded(c: str) -> str:
+    """SQL that replaces the character references that the derived pages hold, by one pass over the text."""
+    code = "CASE WHEN k ILIKE '#x%' THEN try_cast('0x' || k[3:] AS BIGINT) WHEN k LIKE '#%' THEN try_cast(k[2:] AS BIGINT) END"
+    named = " ".join(f"WHEN lower(k) = '{n}' THEN '{x.replace(chr(39), chr(39) * 2)}'" for n, x in H.NAMED.items())
+    key = "regexp_extract(x, '(?i)&(#x?[0-9a-f]+|[a-z]+);', 1)"
+    one = f"CASE {named} WHEN {code} BETWEEN 1 AND 1114111 THEN chr(({code})::INT) ELSE '&' || k || ';' END".replace("k ", f"{key} ").replace("k[", f"{key}[").replace("(k)", f"({key})")
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '(?is)&(?:#x?[0-9a-f]+|[a-z]+);|[^&]+|&'), lambda x: CASE WHEN regexp_matches(x, '(?i)^&(#x?[0-9a-f]+|[a-z]+);$') THEN {one} ELSE x END), '')"
+
+
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'),
+    '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"""
+_LINES = rf"""
+    split AS (SELECT page_id, generate_subscripts(l, 1) AS nr, unnest(l) AS line FROM (SELECT page_id, string_split({_BARE}, chr(10)) AS l FROM entity_pages)),
+    lines AS (SELECT page_id, nr, regexp_replace(regexp_replace({_decoded('line')}, '[ \t\x{{00A0}}]+', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line FROM split),
+    texts AS (SELECT page_id, count(*) FILTER (line <> '') AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (line <> ''), '') AS lines FROM lines GROUP BY page_id)"""
+
+#: Pages with character references of every kind in their text and attributes, and odd attributes.
+DERIVED["entity_pages"] = """
+    SELECT page_id, url, replace(replace(html, '</body>', '<p>a &amp; b&nbsp;&#128512; &#x1F600; &#65533; &#0000065; &#38;amp; &bogus; &AMP; <b>x</b> &lt;i&gt;</p><a href="">none</a><a class="k" href="/q?a&amp;b=' || CAST(page_id AS STRING) || '">q</a></body>'), '<title>', '<title>&quot;A&#38;B&quot; ') AS html
+    FROM made_pages"""
 
 
-@query("html_text_lines", f"SELECT page_id, len({_LINES}) AS n_lines, sha256(array_to_string({_LINES}, chr(10))) AS sha FROM made_pages")
+@query("html_title_decoded", f"SELECT page_id, {_decoded('title')} AS title FROM (SELECT page_id, {_TITLE} AS title FROM entity_pages)")
+def _(t):
+    return t("entity_pages").select("page_id", H.title_decoded("html").alias("title"))
+
+
+@query("html_text_lines", f"WITH {_LINES} SELECT page_id, n_lines, sha256(lines) AS sha FROM texts")
 def _(t):
     lines = H.text_lines("html")
-    return t("made_pages").select("page_id", F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
+    return t("entity_pages").select("page_id", F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
 
 
-@query("html_parse", f"SELECT page_id, len({_LINES}) AS line_count, length(array_to_string({_LINES}, chr(10))) AS text_chars FROM made_pages")
+@query("html_parse", f"WITH {_LINES} SELECT page_id, n_lines AS line_count, length(lines) AS text_chars FROM texts")
 def _(t):
     s = H.page_summary("html")
-    return t("made_pages").select("page_id", s["line_count"].cast("long").alias("line_count"), s["text_chars"].cast("long").alias("text_chars"))
+    return t("entity_pages").select("page_id", s["line_count"].cast("long").alias("line_count"), s["text_chars"].cast("long").alias("text_chars"))
 
 
 @query(
@@ -133,14 +155,24 @@ def _(t):
     return t("made_pages").select("page_id", H.slice_between("html", "<ARTICLE>", "</article>").alias("part"))
 
 
+@query(
+    "html_slice_pattern",
+    r"""SELECT page_id, nullif(regexp_extract(html, '(?s)(<h[1-6][^>]*>.*?)(</h[1-6]>|$)', 1), '') AS part FROM made_pages""",
+)
+def _(t):
+    return t("made_pages").select("page_id", H.slice_between("html", "<h[1-6][^>]*>", "</h[1-6]>", pattern=True).alias("part"))
+
+
+_HREF = f"""SELECT page_id, generate_subscripts(a, 1) AS nr, unnest(a) AS tag FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*>') AS a FROM entity_pages)"""
+
+
 @query(
     "html_attrs",
-    r"""SELECT page_id, array_to_string(list_transform(list_filter(regexp_extract_all(html, '(?is)<a\b[^>]*>', 0), lambda x: regexp_matches(x, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']')),
-            lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1)), ' ') AS hrefs
-        FROM made_pages""",
+    rf"""WITH tags AS ({_HREF}), found AS (SELECT page_id, nr, regexp_extract(tag, '(?i)href=["'']([^"'']+)["'']', 1) AS v FROM tags)
+        SELECT p.page_id, coalesce(string_agg({_decoded('v')}, ' ' ORDER BY nr) FILTER (v <> ''), '') AS hrefs FROM entity_pages p LEFT JOIN found f ON f.page_id = p.page_id GROUP BY 1""",
 )
 def _(t):
-    return t("made_pages").select("page_id", F.array_join(H.attributes("html", "a", "href"), " ").alias("hrefs"))
+    return t("entity_pages").select("page_id", F.array_join(H.attributes("html", "a", "href"), " ").alias("hrefs"))
 
 
 @query(
@@ -443,9 +475,16 @@ def _(t):
     return _robots(t).groupBy("origin").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("blocked"))
 
 
-@query("src_robots_txt", "SELECT origin, robots IS NOT NULL AS reachable FROM robots_files")
+@query(
+    "src_robots_txt",
+    r"""SELECT o.origin, f.robots IS NOT NULL AS reachable, length(f.robots) AS chars FROM (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS origin FROM pages) o
+        LEFT JOIN (SELECT * FROM robots_files WHERE length(origin) % 5 > 0) f ON f.origin = o.origin""",
+)
 def _(t):
-    return t("robots_files").select("origin", F.col("robots").isNotNull().alias("reachable"))
+    """Origins of all pages; some have no file, some a file that could not be read."""
+    origins = t("pages").select(U.origin("url").alias("origin"))
+    found = R.load(origins, t("robots_files").where("length(origin) % 5 > 0"))
+    return found.select("origin", "reachable", F.length("robots").cast("long").alias("chars"))
 
 
 #: Sitemap files: an index to every ten maps, maps to pages.
@@ -464,14 +503,31 @@ def _(t):
     return R.sitemap_entries(t("sitemap_files")).select("sitemap", "is_index", "loc")
 
 
-@query(
-    "sitemap_walk",
-    f"""WITH {_MAPS} SELECT 'root' AS sitemap, 0 AS level UNION SELECT loc, 1 FROM entries WHERE sitemap = 'root' AND is_index
-        UNION SELECT loc, 2 FROM entries WHERE sitemap LIKE 'index%' AND is_index""",
-)
-def _(t):
+_WALK = f"""{_MAPS},
+    kids AS (SELECT loc, min(CASE sitemap WHEN 'index0' THEN 1 ELSE 2 END) AS parent FROM entries WHERE sitemap LIKE 'index%' AND is_index GROUP BY loc),
+    walked AS (SELECT 'root' AS sitemap, 0 AS level, 1 AS nr UNION ALL SELECT 'index0', 1, 2 UNION ALL SELECT 'index1', 1, 3
+        UNION ALL SELECT loc, 2, 3 + row_number() OVER (ORDER BY parent, loc) FROM kids)"""
+
+
+def _walk(t, limit=None):
     entries = R.sitemap_entries(t("sitemap_files"))
-    return R.sitemap_walk(entries, entries.where("sitemap = 'root'").select("sitemap").distinct(), depth=4)
+    return R.sitemap_walk(entries, entries.where("sitemap = 'root'").select("sitemap").distinct(), limit)
+
+
+@query("sitemap_walk", f"WITH {_WALK} SELECT sitemap, level FROM walked")
+def _(t):
+    return _walk(t).select("sitemap", "level")
+
+
+@query("fetch_cap", f"WITH {_WALK} SELECT sitemap, level, nr <= 40 AS fetched FROM walked")
+def _(t):
+    """The walk with a cap of forty fetches; what it found but did not fetch is listed too."""
+    return _walk(t, 40).select("sitemap", "level", "fetched")
+
+
+@query("sitemap_pages", f"WITH {_WALK} SELECT sitemap, loc FROM entries WHERE NOT is_index AND sitemap IN (SELECT sitemap FROM walked)")
+def _(t):
+    return R.sitemap_pages(R.sitemap_entries(t("sitemap_files")), _walk(t))
 
 
 @query("distinct_urls", f"SELECT DISTINCT substr(url, 1, 160) AS url FROM links WHERE NOT regexp_matches(url, '(?i){K.ASSET}') AND NOT regexp_matches(url, '(?i){K.THIRD_PARTY}')")
@@ -541,7 +597,7 @@ def _(t):
 
 @query("http_ok_range", "SELECT url, CASE WHEN http_status BETWEEN 200 AND 399 THEN 0 ELSE 1 END AS exit_code FROM link_states")
 def _(t):
-    return t("link_states").select("url", F.when(F.col("http_status").between(200, 399), 0).otherwise(1).alias("exit_code"))
+    return t("link_states").select("url", O.ok_exit("http_status").alias("exit_code"))
 
 
 @query("exit_code", f"SELECT page_id, CASE WHEN contains(lower(coalesce({_TITLE}, '')), 'just a moment') THEN 3 WHEN page_id % 6 = 1 THEN 2 WHEN coalesce({_TITLE}, '') = '' THEN 1 ELSE 0 END AS exit_code FROM made_pages")
@@ -554,8 +610,6 @@ def _(t):
 @query("snk_sentinel", "SELECT page_id AS id FROM pages WHERE NOT (page_id % 3 = 0)")
 def _(t):
     """Pages without a parsed record of more than zero bytes."""
-    from ..sources import store
-
     parsed = t("pages").where("page_id % 3 < 2").select(F.col("page_id").alias("id"), F.expr("case when page_id % 3 = 0 then 10 else 0 end").alias("bytes"))
     return store.pending(t("pages").select(F.col("page_id").alias("id")), parsed)
 
@@ -565,8 +619,6 @@ def _(t):
     f"""SELECT page_id AS id, to_json({{'title': {_TITLE}}}) IS NOT NULL AS parsed, CASE WHEN page_id % 2 = 0 THEN url END AS url, {_TITLE} AS title FROM made_pages""",
 )
 def _(t):
-    from ..sources import store
-
     rows = t("made_pages")
     raw = rows.select(F.col("page_id").alias("id"), F.col("html").alias("body"))
     before = rows.where("page_id % 2 = 0").select(F.col("page_id").alias("id"), "url", F.lit(None).cast("timestamp").alias("fetched_at"))
@@ -574,15 +626,26 @@ def _(t):
     return found.select("id", F.col("record").isNotNull().alias("parsed"), "url", F.get_json_object("record", "$.title").alias("title"))
 
 
-@query("src_pages_glob", "SELECT page_id, length(html) AS chars FROM pages")
-def _(t):
-    from ..sources.readers import replaced_utf8
-
-    return t("pages").select("page_id", F.length(replaced_utf8(F.encode("html", "UTF-8"))).cast("long").alias("chars"))
+def _new(t, name: str) -> str:
+    return f"{store.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("src_gzip")
+@query("src_pages_glob", "SELECT page_id % 40 AS bucket, sum(length(html) + 1) AS chars FROM pages GROUP BY 1")
 def _(t):
-    from ..sources.readers import gunzip
+    """Page files, a file for each of forty groups of pages, read back as files."""
+    path = _new(t, "pages")
+    t("pages").select((F.col("page_id") % 40).alias("bucket"), "html").repartition("bucket").write.partitionBy("bucket").text(path)
+    found = readers.pages(t.spark, path, "part-*")
+    bucket = F.regexp_extract("path", "/bucket=([0-9]+)/", 1).cast("long")
+    return found.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("html")).alias("chars"))
 
-    return t("pages").select("page_id", F.length(F.decode(gunzip(F.encode("html", "UTF-8")), "UTF-8")).alias("chars"))
+
+@query("src_gzip", "SELECT page_id, length(html) AS chars, sha256(html) AS sha FROM pages")
+def _(t):
+    """Gzip files of pages, read back as bytes and unpacked."""
+    path = _new(t, "gzip")
+    t("pages").select(F.to_json(F.struct("page_id", "html")).alias("value")).write.option("compression", "gzip").text(path)
+    whole = readers.responses(t.spark, path, "part-*")
+    lines = whole.select(F.explode(F.split(readers.replaced_utf8("content"), "\n")).alias("line")).where("line <> ''")
+    page = F.from_json("line", "page_id long, html string")
+    return lines.select(page.alias("p")).select("p.page_id", F.length("p.html").cast("long").alias("chars"), F.sha2("p.html", 256).alias("sha"))

@@ -12,9 +12,10 @@ from ..functions import sql as Q
 from ..operators import commands as C
 from ..operators import compose
 from ..operators import linkstate as L
+from ..operators import media as M
 from ..operators import sections as P
 from ..operators import workflows as W
-from ..sources import store
+from ..sources import readers, store
 from . import fanout as _fanout
 from .base import query
 
@@ -51,13 +52,10 @@ def _(t):
 
 @query("src_linkstate", "SELECT url, http_status, verified_via FROM link_states")
 def _(t):
-    """A state file, an object by url, through text and back."""
+    """A state file, objects by url, written and read back."""
     path = _new(t, "state")
-    entry = F.concat(F.lit('"'), F.col("url"), F.lit('":'), F.to_json(F.struct("http_status", "verified_via")))
-    rows = t("link_states").select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
-    rows.write.text(path)
-    lines = t.spark.read.text(path).select(F.from_json("value", "map<string, struct<http_status: int, verified_via: string>>").alias("m"))
-    return lines.select(F.explode("m").alias("url", "s")).select("url", "s.http_status", "s.verified_via")
+    store.write_states(t("link_states").select("url", "http_status", "verified_via"), path)
+    return readers.link_states(t.spark, path, "http_status: int, verified_via: string")
 
 
 @query(
@@ -70,27 +68,36 @@ def _(t):
     path = _new(t, "replies")
     orders = t("orders").groupBy((F.col("o_custkey") % 40).cast("string").alias("stem")).count()
     orders.select("stem", F.concat(F.col("count").cast("string"), F.lit(" orders")).alias("value")).repartition("stem").write.partitionBy("stem").text(path)
-    index = orders.where("cast(stem as long) % 2 = 0").select("stem", F.concat(F.lit("agent-"), "stem").alias("agent_id"))
-    found = t.spark.read.text(path, wholetext=True).select(F.col("stem").cast("string").alias("stem"), F.col("value").alias("text"))
-    joined = found.join(index, "stem", "left")
-    return joined.select(F.coalesce("agent_id", "stem").alias("agent_id"), F.when(F.col("agent_id").isNotNull(), F.col("stem")).alias("item_id"), "text")
+    index = orders.where("cast(stem as long) % 2 = 0").select(F.col("stem").alias("item_id"), F.concat(F.lit("agent-"), "stem").alias("agent_id"))
+    return readers.replies(t.spark, path, index, "/stem=([^/]*)/").select("agent_id", "item_id", "text")
 
 
 @query("src_transcripts", "SELECT regexp_extract(path, '[^/]*$') AS file, line_no, value FROM transcript_lines")
 def _(t):
-    """Transcripts as whole files below project/session/subagents, read back line by line with their places."""
-    lines = t("transcript_lines")
-    whole = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("l"))
-    text = whole.select("path", F.array_join("l.value", "\n").alias("value"))
-    rows = text.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return rows.withColumn("line_no", F.col("line_no").cast("long"))
+    """Whole transcripts written as rows, read back line by line with their places."""
+    path = _new(t, "transcripts")
+    whole = t("transcript_lines").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("l"))
+    whole.select("path", F.array_join("l.value", "\n").alias("value")).write.parquet(path)
+    rows = readers.transcript_lines(t.spark.read.parquet(path))
+    return rows.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.col("line_no").cast("long").alias("line_no"), "value")
+
+
+@query("src_transcript_files", "SELECT o_custkey % 30 AS agent, count(*) AS n_lines, sum(o_orderkey) AS total FROM orders GROUP BY 1")
+def _(t):
+    """Transcripts as files below project/session/subagents, one for each of thirty groups of customers."""
+    path = _new(t, "project")
+    rows = t("orders").select((F.col("o_custkey") % 30).alias("agent"), F.col("o_orderkey").cast("string").alias("value"))
+    rows.repartition("agent").write.partitionBy("agent").text(f"{path}/session/subagents")
+    found = readers.transcripts(t.spark, path, "part-*", "/subagents/agent=[0-9]+/").where("value <> ''")
+    agent = F.regexp_extract("path", "/agent=([0-9]+)/", 1).cast("long")
+    return found.groupBy(agent.alias("agent")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
 @query("src_sidecar", "SELECT path, coalesce(description, '') AS description, coalesce(tool_use_id, '') AS tool_use_id, stopped FROM transcript_sidecars")
 def _(t):
     packed = t("transcript_sidecars").select("path", F.to_json(F.struct("description", F.col("tool_use_id").alias("toolUseId"), F.col("stopped").alias("stoppedByUser"))).alias("value"))
-    m = F.from_json("value", "description string, toolUseId string, stoppedByUser boolean")
-    return packed.select("path", F.coalesce(m["description"], F.lit("")).alias("description"), F.coalesce(m["toolUseId"], F.lit("")).alias("tool_use_id"), m["stoppedByUser"].alias("stopped"))
+    found = readers.parse_sidecars(packed)
+    return found.select("path", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "stopped")
 
 
 @query("snk_recovered", f"WITH {_fanout._FOLD} SELECT target AS item_id, agent_id FROM folded WHERE complete AND coalesce(text, '') <> '' AND coalesce(target, '') <> ''")
@@ -101,35 +108,51 @@ def _(t):
     return t.spark.read.parquet(path).select("item_id", "agent_id")
 
 
-@query("snk_report", "SELECT mktsegment, n FROM (SELECT c_mktsegment AS mktsegment, count(*) AS n FROM customer GROUP BY 1)")
+@query("snk_report", "SELECT mktsegment, n, note FROM (SELECT c_mktsegment AS mktsegment, count(*) AS n, CASE WHEN count(*) % 2 = 0 THEN 'even' END AS note FROM customer GROUP BY 1)")
 def _(t):
-    counted = t("customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.count(F.lit(1)).alias("n"))
-    report = counted.select(F.to_json(F.struct("mktsegment", "n")).alias("value"))
-    parsed = F.from_json("value", "mktsegment string, n long")
-    return report.select(parsed["mktsegment"].alias("mktsegment"), parsed["n"].alias("n"))
+    """A report as JSON, written and read back; null fields are kept."""
+    n = F.count(F.lit(1))
+    counted = t("customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(n.alias("n"), F.when(n % 2 == 0, "even").alias("note"))
+    path = _new(t, "report")
+    store.report(counted).write.text(path)
+    lines = t.spark.read.text(path).where(F.array_contains(F.json_object_keys("value"), "note"))
+    return lines.select(F.from_json("value", "mktsegment string, n long, note string").alias("r")).select("r.*")
 
 
-@query("html_entities", "SELECT page_id, 'a<' || page_id || '> é € & &bogus; &lt; \"' AS text FROM pages")
+@query("html_entities", "SELECT page_id, 'a<' || page_id || '> é € & &bogus; &lt; \" \U0001f600\U0001f600 \ufffd A &amp; & &#1114112; ' || chr(13) AS text FROM pages")
 def _(t):
-    raw = F.concat(F.lit("a&lt;"), F.col("page_id").cast("string"), F.lit("&gt; &#233; &#x20AC; &amp; &bogus; &amp;lt; &quot;"))
+    raw = F.concat(F.lit("a&lt;"), F.col("page_id").cast("string"), F.lit("&gt; &#233; &#x20AC; &amp; &bogus; &amp;lt; &quot; &#128512;&#x1F600; &#65533; &#0000065; &#38;amp; &AMP; &#1114112; &#xD;"))
     return t("pages").select("page_id", H.decode_entities(raw).alias("text"))
 
 
-@query("html_regex_quote", "SELECT page_id, strpos(url, '.example.') > 0 AS found FROM pages")
+@query("html_regex_quote", "SELECT page_id, strpos(url, '.example.') > 0 AS found, strpos(html, '(' || page_id % 7 || ')') > 0 AS numbered FROM pages")
 def _(t):
-    return t("pages").select("page_id", F.col("url").rlike(r"\Q.example.\E").alias("found"))
+    number = F.concat(F.lit("("), (F.col("page_id") % 7).cast("string"), F.lit(")"))
+    return t("pages").select("page_id", F.regexp_like("url", H.regex_quote(F.lit(".example."))).alias("found"), F.regexp_like("html", H.regex_quote(number)).alias("numbered"))
 
 
-@query("max_buffer", "SELECT p_brand AS media_id, max(p_size) AS size, arg_min(p_partkey, struct_pack(s := -p_size, k := p_partkey)) AS seq FROM part GROUP BY 1")
+@query(
+    "max_buffer",
+    """SELECT media_id, max(size) AS size, arg_min(seq, struct_pack(s := -size, q := seq)) AS seq FROM (
+         SELECT p_partkey AS seq, CAST(p_partkey % 25 AS VARCHAR) AS media_id, p_size * 1000 AS size FROM part) WHERE size > 10000 GROUP BY 1""",
+)
 def _(t):
-    best = F.max(F.struct(F.col("p_size").alias("size"), (-F.col("p_partkey")).alias("back")))
-    return t("part").groupBy(F.col("p_brand").alias("media_id")).agg(best.alias("b")).select("media_id", F.col("b.size").alias("size"), (-F.col("b.back")).alias("seq"))
+    """Parts as responses with a buffer each: per image the largest, of equals the first."""
+    rows = t("part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("https://cdn.example.com/media/"), (F.col("p_partkey") % 25).cast("string"), F.lit("/full.jpg")).alias("url"), (F.col("p_size") * 1000).alias("size"))
+    return M.largest_media(rows, "/media/([0-9]+)/", F.col("size") > K.MIN_JPEG_BYTES)
+
+
+def _listed(*codes: str) -> str:
+    """The markers of locales as a list of SQL, each once, in order."""
+    words = dict.fromkeys(m.lower() for code in codes for m in K.LOCALES[code]["challenge_markers"])
+    return "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in words) + "]"
 
 
-@query("set_locale_dedupe", "SELECT page_id, len(list_distinct([CASE WHEN page_id % 2 = 0 THEN 'un momento' ELSE 'captcha' END, 'un momento'])) AS n FROM pages")
+@query("set_locale_dedupe", f"SELECT page_id, len(m) AS n, array_to_string(m, '|') AS shown FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_listed('es', 'it')} ELSE {_listed('en', 'en', 'es')} END AS m FROM pages)")
 def _(t):
-    both = F.array(F.when(F.col("page_id") % 2 == 0, F.lit(K.markers("challenge_markers", ("es",))[0])).otherwise(F.lit("captcha")), F.lit(K.markers("challenge_markers", ("it",))[0]))
-    return t("pages").select("page_id", F.size(F.array_distinct(both)).cast("long").alias("n"))
+    """The markers of several locales, each once, in order."""
+    shown = F.when(F.col("page_id") % 2 == 0, F.array(*map(F.lit, K.markers("challenge_markers", ("es", "it"))))).otherwise(F.array(*map(F.lit, K.markers("challenge_markers", ("en", "en", "es")))))
+    return t("pages").select("page_id", F.size(shown).cast("long").alias("n"), F.array_join(shown, "|").alias("shown"))
 
 
 @query("compose", "SELECT id, 'Look at ' || title || '.' AS text FROM worklist")
@@ -233,8 +256,7 @@ def _(t):
 
 @query("wf_normalize_args", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(props ->> '$.k' AS BIGINT) END AS k FROM events")
 def _(t):
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("props"))
-    args = F.coalesce(F.try_parse_json(raw), F.parse_json(F.lit("{}")))
+    args = W.normalize_args(F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("props")))
     return t("events").select("event_id", F.try_variant_get(args, "$.k", "long").alias("k"))
 
 
@@ -265,12 +287,12 @@ def _(t):
     return W.plan_calls(second.select("claim"), "claim", "Check {{file}}", "m1").select("claim", "model")
 
 
-@query("wf_cli_args", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS value FROM events")
+@query("wf_cli_args", """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'dry-run' ELSE 'key' END AS name, CASE event_id % 3 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '"' || event_type || '"' ELSE 'true' END AS value FROM events""")
 def _(t):
-    """``--key=value`` texts to values: JSON where it parses, else text."""
-    arg = F.concat(F.lit("--key="), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type")))
-    value = F.regexp_extract(arg, "^--[^=]*=(.*)$", 1)
-    return t("events").select("event_id", F.coalesce(F.try_parse_json(value).cast("string"), value).alias("value"))
+    """``--key=value`` texts to values: JSON where it parses, else text; a bare name is true."""
+    n = F.col("event_id") % 3
+    arg = F.when(n == 0, F.concat(F.lit("--key="), F.col("event_id").cast("string"))).when(n == 1, F.concat(F.lit("--key="), "event_type")).otherwise("--dry-run")
+    return t("events").select("event_id", W.cli_arg(arg).alias("a")).select("event_id", "a.*")
 
 
 @query("sql_functions", "SELECT c_custkey AS id, (c_custkey % 5 = 0 OR c_custkey % 7 = 0) AS empty, lower(c_name) AS norm FROM customer")

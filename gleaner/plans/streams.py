@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import circuit as C
+from ..operators import fanout as O
 from ..operators import workflows as W
+from ..sources import store
 from ..sources.store import shared_folder
 from .base import DERIVED, query
 
@@ -77,10 +81,12 @@ def _(t):
     return W.scroll_steps(t("attempts").select("item", F.col("attempt").alias("step"), "height"), "item")
 
 
-@query("pacing", "SELECT item, count(*) - 1 AS pauses FROM attempts WHERE NOT ok GROUP BY item")
+@query("pacing", "SELECT item, count(*) - 1 AS pauses, CAST(count(*) - 1 AS DOUBLE) AS least_s, CAST((count(*) - 1) * 1.5 AS DOUBLE) AS most_s FROM attempts WHERE NOT ok GROUP BY item")
 def _(t):
-    fetched = W.gaps(t("attempts").where("not ok"), "item", "attempt")
-    return fetched.groupBy("item").agg(F.count_if("paused").alias("pauses"))
+    """A pause before each fetch of an item but the first, of one interval up to half as much again."""
+    fetched = W.pauses(t("attempts").where("not ok"), "item", "attempt", jitter=0.5)
+    total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 6).alias(c)
+    return fetched.groupBy("item").agg(F.count_if("paused").alias("pauses"), total("least_s"), total("most_s"))
 
 
 @query("lock_stale", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unreadable' WHEN event_id % 3 = 0 THEN 'dead' WHEN value > 30 THEN 'stale' ELSE 'held' END AS state FROM events")
@@ -90,25 +96,19 @@ def _(t):
 
 @query(
     "drive_summary",
-    """SELECT state, count(*) AS n FROM (SELECT item, CASE WHEN item % 10 = 0 THEN 'skipped' WHEN bool_or(ok AND attempt <= 3) THEN 'done' ELSE 'failed' END AS state FROM attempts GROUP BY item) GROUP BY state""",
+    """SELECT state, count(*) AS n, sha256(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item)) AS items FROM (SELECT item, CASE WHEN item % 10 = 0 THEN 'skipped' WHEN bool_or(ok AND attempt <= 3) THEN 'done' ELSE 'failed' END AS state FROM attempts GROUP BY item) GROUP BY state""",
 )
 def _(t):
     tried = t("attempts").groupBy("item").agg(F.bool_or(F.expr("ok and attempt <= 3")).alias("ok"))
     state = F.when(F.col("item") % 10 == 0, "skipped").when(F.col("ok"), "done").otherwise("failed")
-    return tried.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("fetch_cap", "SELECT item, count(*) AS fetched FROM attempts WHERE attempt <= 4 GROUP BY item")
-def _(t):
-    from ..operators.matching import top_by
-
-    return top_by(t("attempts"), "item", [F.col("attempt")], 7).where("attempt <= 4").groupBy("item").agg(F.count(F.lit(1)).alias("fetched"))
+    found = O.drive_summary(tried.withColumn("state", state))
+    return found.select("state", "n", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256).alias("items"))
 
 
 @query("snk_census", "SELECT run, count(*) FILTER (status BETWEEN 200 AND 399) AS ok, count(*) FILTER (status NOT BETWEEN 200 AND 399) AS bad FROM outcomes GROUP BY run")
 def _(t):
-    fine = F.col("status").between(200, 399)
-    return t("outcomes").groupBy("run").agg(F.count_if(fine).alias("ok"), F.count_if(~fine).alias("bad"))
+    """A census of outcomes, persisted and read back."""
+    return store.write_census(O.outcome_census(t("outcomes"), "run"), f"{shared_folder(t.spark)}/census-{uuid.uuid4().hex}")
 
 
 # Streams: the tables are read as a file stream until they are used up, and the result is a stored table.
@@ -116,8 +116,6 @@ def _(t):
 
 def _run_stream(t, build, mode: str = "append"):
     """Run a stream over ``events`` to its end and read what it wrote."""
-    import uuid
-
     spark = t.spark
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = t("events")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType
 
 
 def json_records(spark: SparkSession, path: str, by: str = "id") -> DataFrame:
@@ -56,10 +56,36 @@ def drive_items(rows: DataFrame) -> DataFrame:
     return items.select("ordinal", F.coalesce("id", "url").alias("id"), F.coalesce("url", "id").alias("url"))
 
 
-def replies(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
-    """(agent_id, item_id, text, source) of reply files; ``index`` maps item_id to agent_id, else the stem is the agent."""
+def link_states(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """(url, fields) of state files, objects by address; a folder that holds none gives no rows."""
+    lines = spark.read.text(path).select(F.from_json("value", f"map<string, struct<{fields}>>").alias("m"))
+    return lines.select(F.explode("m").alias("url", "s")).select("url", "s.*")
+
+
+def value_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(field, old, new) of files with JSON value maps: field to old to new value."""
+    return explode_value_maps(spark.read.text(path), "value")
+
+
+def explode_value_maps(rows: DataFrame, value: str) -> DataFrame:
+    parsed = rows.select(F.from_json(value, "map<string, map<string, string>>").alias("m")).select(F.explode("m").alias("field", "m"))
+    return parsed.select("field", F.explode("m").alias("old", "new"))
+
+
+def indexed(rows: DataFrame, name: str, index: DataFrame, agent: str = "agent_id") -> DataFrame:
+    """``rows`` with ``agent``: what ``index`` (name, agent) says of the name, else the name itself."""
+    known = index.select(F.col(index.columns[0]).alias("known_name"), F.col(index.columns[1]).alias("known_agent"))
+    joined = rows.join(known, rows[name] == known["known_name"], "left")
+    return joined.withColumn(agent, F.coalesce("known_agent", name)).drop("known_name", "known_agent")
+
+
+def replies(spark: SparkSession, path: str, index: DataFrame | None = None, stem: str = r"([^/]*?)(\.[^./]*)?$") -> DataFrame:
+    """(agent_id, item_id, text, source) of reply files; ``index`` maps item_id to agent_id, else the stem is the agent.
+
+    ``stem``: the pattern whose first group takes the stem from a file's path.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
-    files = files.withColumn("stem", F.regexp_extract("source", r"([^/]*?)(\.[^./]*)?$", 1)).where("stem <> 'index'")
+    files = files.withColumn("stem", F.regexp_extract("source", stem, 1)).where("stem <> 'index'")
     if index is None:
         return files.select(F.col("stem").alias("agent_id"), F.lit(None).cast("string").alias("item_id"), "text", "source")
     named = index.select(F.col("item_id").alias("stem"), F.col("agent_id").alias("a"))
@@ -67,37 +93,48 @@ def replies(spark: SparkSession, path: str, index: DataFrame | None = None) -> D
     return joined.select(F.coalesce("a", "stem").alias("agent_id"), F.when(F.col("a").isNotNull(), F.col("stem")).alias("item_id"), "text", "source")
 
 
-def transcripts(spark: SparkSession, root: str) -> DataFrame:
+def transcript_lines(files: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
+    """(path, line_no, value) of whole transcripts."""
+    return files.select(path, F.posexplode(F.split(value, "\n")).alias("line_no", "value"))
+
+
+def transcripts(spark: SparkSession, root: str, files: str = "agent-*.jsonl", below: str = "/subagents/agent-[^/]*$") -> DataFrame:
     """(path, line_no, value) of ``agent-*.jsonl`` below ``root``/project/session/subagents.
 
     Line numbers come from the place in the whole file, so a file is read by one task.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.jsonl").text(root, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return rows.where(F.col("path").rlike("/subagents/agent-[^/]*$"))
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(root, wholetext=True)
+    rows = transcript_lines(whole.select(F.col("_metadata.file_path").alias("path"), "value"))
+    return rows.where(F.col("path").rlike(below))
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(path of the transcript, description, tool_use_id, stopped) of the ``.meta.json`` files."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").text(root, wholetext=True)
+    paths = F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl")
+    return parse_sidecars(files.select(paths.alias("path"), "value"))
+
+
+def parse_sidecars(files: DataFrame) -> DataFrame:
+    """(path, description, tool_use_id, stopped) of (path, value)."""
     m = F.from_json("value", "description string, toolUseId string, stoppedByUser boolean")
-    return files.select(
-        F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("path"),
-        m["description"].alias("description"),
-        m["toolUseId"].alias("tool_use_id"),
-        m["stoppedByUser"].alias("stopped"),
-    )
+    return files.select("path", m["description"].alias("description"), m["toolUseId"].alias("tool_use_id"), m["stoppedByUser"].alias("stopped"))
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
+def pages(spark: SparkSession, path: str, files: str = "*.html") -> DataFrame:
     """(path, html) of page files; broken bytes are replaced."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    return files.select("path", replaced_utf8("content").alias("html"))
+    return responses(spark, path, files).select("path", replaced_utf8("content").alias("html"))
+
+
+def responses(spark: SparkSession, path: str, files: str) -> DataFrame:
+    """(path, content) of response files; gzip data is unpacked, by its first bytes."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.when(F.substring("content", 1, 2) == F.unhex(F.lit("1F8B")), gunzip("content")).otherwise(F.col("content")).alias("content"))
 
 
-@F.pandas_udf(StringType())
-def replaced_utf8(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+def replaced_utf8(data: Column | str) -> Column:
+    """Bytes as text, with U+FFFD for what is no UTF-8."""
+    return F.make_valid_utf8((F.col(data) if isinstance(data, str) else data).cast("string"))
 
 
 @F.pandas_udf(BinaryType())

@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one only where none is configured."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session may go without: there driver and executors are one process, and a
+    folder below the warehouse serves.  A cluster without the setting is refused, because what
+    an executor wrote to its own disk would be lost.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gleaner-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back with the same schema."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Inputs below this size are dealt over all cores before costly work on each row.
+SMALL_BYTES = 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of ``df``, from the sizes of its files; nothing is read for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if Spark's own estimate of its size is less than a usual split.
+
+    A small file with one row group is one task however many cores wait.  Only the dealing
+    depends on the estimate, never the rows.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) < SMALL_BYTES else df
+
+
+def write_census(rolled: DataFrame, path: str) -> DataFrame:
+    """Persist a census and read it back; sorted by its columns inside each file."""
+    rolled.sortWithinPartitions(*rolled.columns).write.mode("overwrite").parquet(path)
+    return rolled.sparkSession.read.schema(rolled.schema).parquet(path)
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """``value``: each row as JSON for other programs, null fields kept."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """Link states as objects by address, a line each: {url: {...}}."""
+    others = [c for c in states.columns if c != "url"]
+    entry = F.create_map(F.col("url"), F.struct(*others))
+    states.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_raw(rows: DataFrame, path: str) -> None:
     """(id, body): append raw bodies."""
     rows.select("id", "body").write.mode("append").parquet(path)

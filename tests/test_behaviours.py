@@ -1,5 +1,7 @@
 """Rules that results must keep, on small rows."""
 
+import datetime
+import os
 import random
 
 import pytest
@@ -50,7 +52,7 @@ def test_titles_and_text(spark):
     assert one(spark, H.title("h"), h="<p>none") is None
     assert one(spark, H.visible_text("h"), h=html) == "A &amp; B x y z"
     assert one(spark, H.text_lines("h"), h="<p>x</p><div> </div>y<br/>z") == ["x", "y", "z"]
-    assert one(spark, H.decode_entities("h"), h="&#65;&#x20AC;&lt;&bad;&amp;lt;&#0;") == "A€<&bad;&lt;&#0;"
+    assert one(spark, H.decode_entities("h"), h="&#65;&#x20AC;&lt;&bad;&amp;lt;&#0;") == "A€<&bad;&lt;\0"
 
 
 def test_a_long_page_with_an_error_phrase_is_not_suspect(spark):
@@ -287,3 +289,110 @@ def test_flagship_has_no_python(spark):
     for name in ("soft_error_by_host", "field_census", "agree_compare", "breaker"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize(
+    "raw,shown",
+    [
+        ("&#128512;&#x1F600;", "\U0001f600\U0001f600"),
+        ("&#65533; &#xFFFD; &#0000065;", "\ufffd \ufffd A"),
+        ("&#38;amp; &amp;lt;", "&amp; &lt;"),
+        ("a\x01b &AMP; &bogus; &; &#x; &#1114112; &#99999999999;", "a\x01b & &bogus; &; &#x; &#1114112; &#99999999999;"),
+        ("&#xD800;", "\ufffd"),
+        ("plain", "plain"),
+        (None, None),
+    ],
+)
+def test_character_references_are_decoded_once(spark, raw, shown):
+    assert one(spark, H.decode_entities("v"), v=raw) == shown
+
+
+def test_lines_and_attributes_are_decoded(spark):
+    page = '<p>a &amp; b&nbsp;</p><script x>no</script><a href="">e</a><a data-href="d" HREF=\'/q?a&amp;b\'>l</a>'
+    assert one(spark, H.text_lines("v"), v=page) == ["a & b", "e l"]
+    assert one(spark, H.attributes("v", "a", "href"), v=page) == ["d"]
+    assert one(spark, H.attributes("v", "a", "href"), v=page.replace("data-href", "data-x")) == ["/q?a&b"]
+    assert one(spark, H.slice_between("v", r"b\d", r"e\d", pattern=True), v="a b1 c e2 d") == "b1 c "
+    assert one(spark, H.slice_between("v", "B1"), v="a b1 c") == "b1 c"
+    assert one(spark, H.slice_between("v", "(x", "+"), v="1 (X 2 + 3") == "(X 2 "
+
+
+def test_hires_takes_ids_as_they_are(spark):
+    assert one(spark, U.hires(F.col("v"), F.lit("a$1\\\\b"), 9), v="/{id}/{w}/{id}") == "/a$1\\\\b/9/{id}"
+
+
+def test_fixed_values_by_name():
+    assert K.get("BATCH_SIZE") == K.BATCH_SIZE and K.get("no.such", 3) == 3
+    assert K.get("LOCALES.en.challenge_markers") == K.LOCALES["en"]["challenge_markers"]
+    with pytest.raises(KeyError):
+        K.get("BATCH_SIZES")
+
+
+def test_sitemap_walk_goes_on_until_nothing_is_new_and_lists_what_a_limit_left(spark):
+    chain = [(f"m{i:02d}", True, 0, f"m{i + 1:02d}") for i in range(13)] + [("m00", True, 1, "side"), ("side", True, 0, "m00")]
+    entries = spark.createDataFrame(chain, "sitemap string, is_index boolean, pos int, loc string")
+    roots = spark.createDataFrame([("m00",)], "sitemap string")
+    found = {r["sitemap"]: r["level"] for r in robots.sitemap_walk(entries, roots).collect()}
+    assert found == {**{f"m{i:02d}": i for i in range(14)}, "side": 1}
+    limited = {r["sitemap"]: r["fetched"] for r in robots.sitemap_walk(entries, roots, 3).collect()}
+    assert limited == {"m00": True, "m01": True, "side": True, "m02": False}
+
+
+def test_runner_up_is_sought_beyond_the_floor(spark):
+    points = spark.createDataFrame([(1, 50.0, 10.0), (2, -60.0, 100.0), (3, 89.999, 0.0)], "q int, lat double, lon double")
+    places = spark.createDataFrame([(7, 50.001, 10.0), (8, 50.1, 10.0), (9, 89.999, 180.0), (10, None, 1.0)], "o int, lat double, lon double")
+    found = {r["q"]: r for r in matching.nearest_geo(points, places, "q", "o").collect()}
+    assert set(found) == {1, 3} and found[1]["o"] == 7 and found[3]["o"] == 9
+    assert 11_000 < found[1]["runner_up"] < 11_200 and found[3]["runner_up"] > 4_000_000 and found[1]["skipped"] == 1
+    alone = matching.nearest_geo(points, places.where("o = 7"), "q", "o").collect()
+    assert [(r["q"], r["runner_up"], r["margin"]) for r in alone] == [(1, None, None)]
+
+
+def test_best_label_equals_a_loop_over_all_candidates(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(40)] + ["common"]
+    text = lambda n: " ".join(["common"] * r.randint(0, 1) + [r.choice(words) for _ in range(r.randint(0, n))])
+    queries, labels = [(i, text(30)) for i in range(60)], [(i, text(8)) for i in range(25)]
+    q, c = spark.createDataFrame(queries, "q int, t string"), spark.createDataFrame(labels, "o int, l string")
+    for floor in (0.05, 0.4, 0.7):
+        want = {}
+        for i, t in queries:
+            scored = sorted((1 - (len(set(t.split()) & set(x.split())) / min(len(set(t.split())), len(set(x.split()))) if t and x else 0.0), o) for o, x in labels)
+            if scored[0][0] < 1 - floor:
+                want[i] = (scored[0][1], round(scored[0][0], 9), round(scored[1][0], 9))
+        found = matching.best_label(q, c, "q", "t", "o", "l", floor).collect()
+        assert {r["q"]: (r["o"], round(r["distance"], 9), round(r["runner_up"], 9)) for r in found} == want
+
+
+def test_sessions_equal_a_loop(spark):
+    from gleaner.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    events = sorted((r["user_id"], r["ts"]) for r in spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).collect())
+    last = max(ts for _, ts in events)
+    want, gap = [], datetime.timedelta(minutes=30)
+    for user, ts in events:
+        if want and want[-1][0] == user and ts < want[-1][2]:
+            want[-1][2:] = [max(want[-1][2], ts + gap), want[-1][3] + 1]
+        else:
+            want.append([user, ts, ts + gap, 1])
+    closed = [tuple(w) for w in want if w[2] <= last - datetime.timedelta(hours=2)]
+    found = [tuple(r) for r in registry.QUERIES["stream_sessions"](spark, folder).select("user_id", "starts", "ends", "n").collect()]
+    assert sorted(found) == sorted(closed)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        store.shared_folder(Session())
