@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..sources.store import stored
+from ..sources.store import spread, stored
 
 
 def two_nearest(pairs: DataFrame, query: str, distance: str, ordinal: str) -> DataFrame:
@@ -61,14 +61,14 @@ def near_pairs(points: DataFrame, candidates: DataFrame, query: str, ordinal: st
     """
     width = floor_m * 1.0001 / K.EARTH_RADIUS_M
 
-    def cubed(rows: DataFrame, name: str, spread: bool) -> DataFrame:
+    def cubed(rows: DataFrame, name: str, all_around: bool) -> DataFrame:
         lat, lon = F.radians("lat"), F.radians("lon")
         cell = lambda c: F.floor(c / F.lit(width))
         cubes = rows.select(
             name, F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"),
             cell(F.cos(lat) * F.cos(lon)).alias("x"), cell(F.cos(lat) * F.sin(lon)).alias("y"), cell(F.sin(lat)).alias("z"),
         )
-        if spread:
+        if all_around:
             for axis in "xyz":
                 cubes = cubes.withColumn(axis, F.explode(F.array(*(F.col(axis) + i for i in (-1, 0, 1)))))
         return cubes
@@ -125,7 +125,7 @@ def label_pairs(q: DataFrame, c: DataFrame, query: str, ordinal: str, least: flo
     small_c = _rarest(c, ordinal, q, least).join(all_q, "token").where(F.col("n") <= F.col(f"{query}_n")).select(query, ordinal)
     small_q = _rarest(q, query, c, least).join(all_c, "token").where(F.col("n") < F.col(f"{ordinal}_n")).select(query, ordinal)
     met = small_c.union(small_q).distinct()
-    both = met.join(q.select(query, F.col("t").alias("a")), query).join(c.select(ordinal, F.col("t").alias("b")), ordinal)
+    both = met.join(c.select(ordinal, F.col("t").alias("b")), ordinal).join(q.select(query, F.col("t").alias("a")), query)
     return both.select(query, ordinal, (1 - T.overlap("a", "b")).alias("distance"))
 
 
@@ -135,10 +135,14 @@ def best_label(queries: DataFrame, candidates: DataFrame, query: str, text: str,
     The runner-up is sought among all candidates, but only for queries with a single one above the
     floor; a candidate that shares nothing has distance 1.
     """
-    sets = lambda rows, name, c: stored(rows.select(name, T.tokens(c).alias("t")).select(name, F.size("t").alias("n"), "t").where("n > 0"), "label-tokens")
+
+    def sets(rows: DataFrame, name: str, c: str) -> DataFrame:
+        held = stored(spread(rows.select(name, c)).select(name, T.tokens(c).alias("t")), "label-tokens")  # filtered later, so found once
+        return held.select(name, F.size("t").alias("n"), "t").where("n > 0")
+
     q, c = sets(queries, query, text), sets(candidates, ordinal, label)
     several = len(candidates.select(ordinal).take(2)) > 1
-    close = label_pairs(q, c, query, ordinal, floor).where(F.col("distance") < 1 - floor)
+    close = stored(label_pairs(q, c, query, ordinal, floor), "label-pairs").where(F.col("distance") < 1 - floor)
     near = stored(two_nearest(close, query, "distance", ordinal), "label-near")
     waiting = near.where("runner_up is null")
     looking = q.join(waiting.select(query), query, "left_semi")
