@@ -11,8 +11,9 @@ Each task keeps the ids of recent pre-tokens in two generations of bounded size;
 result does not depend on them.
 
 Defined results: a null text counts as empty and has no ids; whole texts are encoded,
-special-token strings are ordinary text; an empty table gives an empty table; columns
-other than ``doc_id`` and ``text`` are ignored, and repeated rows are encoded each.
+special-token strings are ordinary text; rows without doc_id are left out; an empty table gives
+an empty table; columns other than ``doc_id`` and ``text`` are ignored, and repeated rows are
+encoded each.
 """
 
 from __future__ import annotations

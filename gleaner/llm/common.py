@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_folder
+from ..sources.store import plan_bytes, shared_folder, spread  # noqa: F401
 
 #: Rows in one Arrow batch; bounds the memory of a Python worker for long texts.
 BATCH_ROWS = 256
@@ -38,24 +38,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the size of ``df``, from the sizes of its files; nothing is read for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-#: Inputs below this size are dealt over all cores before Python tasks.
-SMALL_BYTES = 64 << 20
-
-
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt over all cores if Spark's own estimate of its size is less than a usual split.
-
-    A small file with one row group is one task however many cores wait.  Only the dealing
-    depends on the estimate, never the rows.
-    """
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if plan_bytes(docs) < SMALL_BYTES else docs
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, the text with null as empty, and named further columns.
 
