@@ -16,8 +16,10 @@ special token is that token, as the tokenizer has it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +40,10 @@ BROADCAST_ROWS = 200_000
 #: Buckets of one length that are added up together.
 UPPER = 1024
 #: Chunks in one generation of a worker's memory, and the longest chunk that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
+
+
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
 
 class WordEncoder:
@@ -46,9 +51,10 @@ class WordEncoder:
 
     A chunk is what stands between ASCII white space.  The tokenizer drops white space, and
     neither its normal form, nor its lower case, nor its splitting looks across, so the ids
-    of a text are those of its chunks.  A chunk of ASCII letters with ASCII punctuation
-    behind it is two pieces by the tokenizer's pattern and needs no Unicode tables; all
-    others are encoded by the tokenizer as they are.
+    of a text are those of its chunks.  A chunk of letters below U+0100, which are in normal
+    form and have one lower case, with ASCII punctuation behind them is two pieces by the
+    tokenizer's pattern and goes to its model as they are; all others are encoded by the
+    tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,44 +62,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # The model sees the bytes of UTF-8 as printable characters: others are moved up, in order.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.shown = dict(zip((b for b in range(256) if b not in printable), range(256, 512), strict=False))
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _ascii(self, letters: bytes, rest: bytes) -> list[int]:
-        return [t.id for part in (letters.lower(), rest) if part for t in self.model.tokenize(part.decode())]
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that are not remembered."""
-        found, others = {}, []
+    def _learn(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The chunks with their ids."""
+        others, model, shown = [], self.model.tokenize, self.shown
         for chunk in chunks:
-            letters = chunk.rstrip(b".,;:!?")
-            if letters.isalpha() and len(chunk) <= LONGEST:
-                ids = self._ascii(letters, chunk[len(letters) :])
-                found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            plain = _PLAIN(chunk.decode()) if len(chunk) <= LONGEST else None
+            if plain is None:
                 others.append(chunk)
-        for chunk, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
-            ids = e.ids
-            found[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+                continue
+            letters, rest = plain.groups()
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(shown)
+            ids = [t.id for t in model(letters)]
+            if rest:
+                ids += [t.id for t in model(rest)]
+            yield chunk, array("I", ids).tobytes()
+        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+        for chunk, e in zip(others, encoded, strict=True):
+            yield chunk, array("I", e.ids).tobytes()
 
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
+    def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.encode().split() for t in texts]  # bytes: splits at ASCII white space only
-        found: dict[bytes, bytes] = {}
-        missing = set()
-        for chunk in set().union(*split):
-            ids = self.new.get(chunk) or self.old.get(chunk)
+        new, old, missing = self.new, self.old, []
+        for chunk in set().union(*split).difference(new):
+            ids = old.get(chunk)
             if ids is None:
-                missing.add(chunk)
+                missing.append(chunk)
             else:
-                found[chunk] = ids
-        found.update(self._learn(missing))
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
-        for chunks in split:
-            yield b"".join(map(found.__getitem__, chunks))
+                new[chunk] = ids
+        new.update(self._learn(missing))
+        out = [b"".join(map(new.__getitem__, chunks)) for chunks in split]
+        for chunk in missing:
+            if len(chunk) > LONGEST:
+                del new[chunk]
+        if len(new) >= REMEMBERED:
+            self.old, self.new = new, {}
+        return out
 
 
 @lru_cache(maxsize=2)

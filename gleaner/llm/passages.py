@@ -47,9 +47,9 @@ LENGTH = 50
 #: Text bytes after which a task sends what it has gathered.
 CHUNK_BYTES = 24 << 20
 #: Buckets to a shuffle partition, at least and at most, and input bytes to a bucket between.
-LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1, 64, 8 << 20
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1, 64, 2 << 20
 #: Words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Contexts of one gram that go to one core; more are dealt over several.
 SHARE = 128
 #: Values of a payload from which it is worth compressing.

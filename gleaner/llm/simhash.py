@@ -38,7 +38,7 @@ SEED = 42
 #: The least depth at which nodes are dealt, and the fingerprints of a node from which it grows.
 DEPTH, NODE = 4, 1 << 18
 #: Pairs of nodes that are taken down a level at once.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 
 def fingerprint(text: str, words: int = SHINGLE) -> int:
