@@ -17,6 +17,8 @@ POLL_ATTEMPTS = 30
 POLL_INTERVAL_MS = 2000
 BODY_FLOOR = 2000
 ATTEMPTS = 3
+ATTEMPT_TIMEOUT_S = 180
+JITTER_LOW_S, JITTER_HIGH_S = 11, 15
 BACKOFF_S = 30
 BATCH_SIZE = 32
 LOCK_STALE_MINUTES = 30

@@ -19,6 +19,15 @@ def classify(status: Column | str, body: Column | str, error: Column | str) -> C
     )
 
 
+def reason(when: Column | str) -> Column:
+    """Why the breaker opened, where ``when`` holds: from kind, its counter, status and url."""
+    n = F.coalesce(*(F.when(F.col("kind") == name, F.col(f"n_{name}")) for name in K.BREAKER_LIMITS))
+    limit = F.coalesce(*(F.when(F.col("kind") == name, F.lit(most)) for name, most in K.BREAKER_LIMITS.items()))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    text = F.concat("kind", F.lit(" "), n, F.lit("x (limit "), limit, F.lit("); last status "), shown(F.col("status")), F.lit(" on "), shown(F.col("url")))
+    return F.when(col(when), text)
+
+
 def counters(events: DataFrame, run: str, order: list[str], kind: str = "kind") -> DataFrame:
     """``events`` with the three counters after each event, as if the breaker never opened.
 
@@ -37,16 +46,19 @@ def counters(events: DataFrame, run: str, order: list[str], kind: str = "kind")
 def trips(events: DataFrame, run: str, order: list[str], kind: str = "kind", limits: dict[str, int] | None = None) -> DataFrame:
     """Per run the first event at which a counter reaches its limit: its order columns, kind and counters.
 
-    Runs that stay closed have no row.
+    With status and url of that event, and the reason, where ``events`` has both columns.  Runs
+    that stay closed have no row.
     """
     limits = limits or K.BREAKER_LIMITS
     at = F.lit(False)
     for name, limit in limits.items():
         at = at | ((F.col(kind) == name) & (F.col(f"n_{name}") >= limit))
     hit = counters(events, run, order, kind).where(at)
-    kept = [kind, "n_refused", "n_throttled", "n_unreachable"]
+    told = {"status", "url"} <= set(events.columns)
+    kept = [kind, "n_refused", "n_throttled", "n_unreachable"] + ["status", "url"] * told
     first = hit.groupBy(run).agg(F.min(F.struct(*order, *kept)).alias("t"))
-    return first.select(run, *(F.col(f"t.{c}").alias(c) for c in [*order, *kept]))
+    found = first.select(run, *(F.col(f"t.{c}").alias(c) for c in [*order, *kept]))
+    return found.withColumn("reason", reason(F.lit(True))) if told else found
 
 
 def summary(events: DataFrame, run: str, order: list[str], kind: str = "kind") -> DataFrame:

@@ -22,24 +22,43 @@ def _parts(content: Column) -> Column:
     return F.when(F.startswith(F.trim(content), F.lit("[")), F.from_json(content, PARTS))
 
 
+def turns(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``lines`` with what a fold takes from each: spoken (of a user), agent, turn (of the assistant) with stop, kind and said."""
+    parsed = parse_lines(lines, value)
+    content = F.col("m.message.content")
+    parts = _parts(content)
+    spoken = F.when(parts.isNull(), content).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " "))
+    is_user = (F.col("m.type") == "user") & (F.col("m.message.role") == "user")
+    block = F.try_element_at(parts, F.lit(-1))
+    return parsed.withColumns(
+        {
+            "spoken": F.when(is_user, spoken),
+            "agent": F.col("m.agentId"),
+            "turn": F.coalesce(F.col("m.type") == "assistant", F.lit(False)),
+            "stop": F.col("m.message.stop_reason"),
+            "kind": block["type"],
+            "said": block["text"],
+        }
+    ).drop("m")
+
+
 def fold(lines: DataFrame, sidecars: DataFrame, path: str = "path", place: str = "line_no") -> DataFrame:
     """One row per transcript: path, agent_id, target, identified_by, text, complete, reason.
 
     ``sidecars``: (path, description, tool_use_id, stopped).  Only the first user message,
-    the last assistant message and the first agent id of a path are kept, by aggregation.
+    the last assistant message and the agent id of the first line of a path are kept, by aggregation.
     """
-    parsed = parse_lines(lines)
-    content = F.col("m.message.content")
-    parts = _parts(content)
-    spoken = F.when(parts.isNull(), content).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), " "))
-    is_user = (F.col("m.type") == "user") & (F.col("m.message.role") == "user")
-    last = F.struct(place, F.col("m.message.stop_reason").alias("stop"), F.try_element_at(parts, F.lit(-1)).alias("block"))
-    folded = parsed.groupBy(path).agg(
-        F.min(F.when(is_user & spoken.isNotNull(), F.struct(place, spoken.alias("t"))))["t"].alias("asked"),
-        F.max_by(last, F.when(F.col("m.type") == "assistant", F.col(place))).alias("last"),
-        F.min(F.struct(place, F.col("m.agentId").alias("a")))["a"].alias("agent"),
+    last = F.struct(place, "stop", F.struct(F.col("kind").alias("type"), F.col("said").alias("text")).alias("block"))
+    folded = turns(lines).groupBy(path).agg(
+        F.min(F.when(F.col("spoken").isNotNull(), F.struct(place, "spoken")))["spoken"].alias("asked"),
+        F.max_by(last, F.when(F.col("turn"), F.col(place))).alias("last"),
+        F.min(F.struct(place, "agent"))["agent"].alias("agent"),
     )
-    everything = lines.select(path).distinct().join(folded, path, "left").join(sidecars, path, "left")
+    return judged(lines.select(path).distinct().join(folded, path, "left").join(sidecars, path, "left"), path)
+
+
+def judged(folded: DataFrame, path: str = "path") -> DataFrame:
+    """The result of each folded transcript (path, asked, last, agent and the sidecar's columns)."""
     text = F.when(F.col("last.block.type") == "text", F.col("last.block.text"))
     complete = F.coalesce((F.col("last.stop") == "end_turn") & (F.col("last.block.type") == "text"), F.lit(False))
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(\.jsonl)?$", 1), "^agent-", "")
@@ -54,7 +73,7 @@ def fold(lines: DataFrame, sidecars: DataFrame, path: str = "path", place: str =
     marked = marker_item("asked")
     described, tool = F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("tool_use_id"), F.lit(""))
     how = F.when(marked.isNotNull(), "marker").when(described.isNotNull(), "description").when(tool.isNotNull(), "tool_use_id")
-    return everything.select(
+    return folded.select(
         path,
         F.coalesce("agent", stem).alias("agent_id"),
         F.coalesce(marked, described, tool).alias("target"),

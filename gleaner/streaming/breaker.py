@@ -1,18 +1,13 @@
-"""The circuit breaker on a stream of fetch outcomes, with its counters as keyed state."""
+"""The circuit breaker on a stream of fetch outcomes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as K
-from ..operators.circuit import classify
+from ..operators.circuit import classify, reason
+from .ordered import Machine, in_order
 
-OUT = "run string, seq long, kind string, opened boolean, n_refused int, n_throttled int, n_unreachable int"
-STATE = "n_refused int, n_throttled int, n_unreachable int, opened boolean"
 NAMES = ("refused", "throttled", "unreachable")
 
 
@@ -26,27 +21,32 @@ def step(counts: dict[str, int], kind: str | None) -> bool:
     return counts[kind] >= K.BREAKER_LIMITS[kind]
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    *numbers, opened = state.get if state.exists else (0, 0, 0, False)
-    counts = dict(zip(NAMES, numbers, strict=True))
-    rows = pd.concat(list(frames)).sort_values("seq")
-    out = []
-    for seq, kind in zip(rows["seq"], rows["kind"], strict=True):
+class Breaker(Machine):
+    """Each failure with the counters after it, up to the one at which the breaker opens."""
+
+    fields = "kind string, status int, url string"
+    kept = "n_refused int, n_throttled int, n_unreachable int, opened boolean"
+    out = "seq long, kind string, opened boolean, n_refused int, n_throttled int, n_unreachable int, status int, url string"
+
+    def start(self) -> tuple:
+        return 0, 0, 0, False
+
+    def step(self, kept: tuple, at: int, place: int, kind: str | None, status: int | None, url: str | None) -> tuple[tuple, list[tuple]]:
+        *numbers, opened = kept
         if opened:
-            break  # what comes after the trip is not counted
-        kind = None if pd.isna(kind) else kind
+            return kept, []  # what comes after the trip is not counted
+        counts = dict(zip(NAMES, numbers, strict=True))
         opened = step(counts, kind)
-        if kind is not None:
-            out.append((key[0], seq, kind, opened, *(counts[n] for n in NAMES)))
-    state.update((*(counts[n] for n in NAMES), bool(opened)))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        now = tuple(counts[n] for n in NAMES)
+        return (*now, opened), [(place, kind, opened, *now, status, url)] if kind is not None else []
 
 
-def watch(events: DataFrame) -> DataFrame:
-    """Failures of a stream (run, seq, status, body, error) with the counters after each, up to the trip.
+def watch(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Failures of a stream (run, seq, ts, status, url, body, error) with the counters after each, up to the trip.
 
-    Events of a run are ordered inside a batch; one that comes in a later batch than its
-    successors is counted when it comes, or dropped once the breaker is open.
+    ``reason`` says why it opened, at the trip only.  Events of a run count in the order of ts
+    and seq, in whatever batches they come.
     """
-    kinds = events.select("run", "seq", classify("status", "body", "error").alias("kind"))
-    return kinds.groupBy("run").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    kinds = events.withColumn("kind", classify("status", "body", "error"))
+    found = in_order(kinds, "run", "seq", Breaker(), late)
+    return found.withColumn("reason", reason("opened"))
