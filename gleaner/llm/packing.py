@@ -40,10 +40,11 @@ BROADCAST_ROWS = 200_000
 #: Buckets of one length that are added up together.
 UPPER = 1024
 #: Chunks in one generation of a worker's memory, and the longest chunk that is remembered.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARKS = b".,;:!?%&*#$"
 
 
 class WordEncoder:
@@ -67,23 +68,33 @@ class WordEncoder:
         self.shown = dict(zip((b for b in range(256) if b not in printable), range(256, 512), strict=False))
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+
+    def _modelled(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The chunks with their ids."""
-        others, model, shown = [], self.model.tokenize, self.shown
+        """The chunks with their ids; a word that is known without its marks, or in lower case, isn't modelled again."""
+        others, new, old, marks, modelled = [], self.new, self.old, self.marks, self._modelled
         for chunk in chunks:
-            plain = _PLAIN(chunk.decode()) if len(chunk) <= LONGEST else None
-            if plain is None:
+            word = chunk.rstrip(_MARKS)
+            rest = chunk[len(word) :]
+            if len(chunk) > LONGEST or not (word.isalpha() or _PLAIN(word.decode())):  # isalpha: ASCII letters
                 others.append(chunk)
                 continue
-            letters, rest = plain.groups()
-            letters = letters.lower()
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(shown)
-            ids = [t.id for t in model(letters)]
+            ids = (new.get(word) or old.get(word)) if rest else None
+            if ids is None:
+                known = word.lower() if word.isascii() else word.decode().lower().encode()
+                ids = new.get(known) or old.get(known)
+                if ids is None:
+                    ids = modelled(known.decode() if known.isascii() else known.decode("latin-1").translate(self.shown))
+                    if rest or known != word:
+                        new[known] = ids
             if rest:
-                ids += [t.id for t in model(rest)]
-            yield chunk, array("I", ids).tobytes()
+                if rest not in marks:
+                    marks[rest] = modelled(rest.decode())
+                ids += marks[rest]
+            yield chunk, ids
         encoded = self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
         for chunk, e in zip(others, encoded, strict=True):
             yield chunk, array("I", e.ids).tobytes()

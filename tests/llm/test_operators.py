@@ -513,7 +513,7 @@ def test_word_ids_are_the_librarys_for_every_character():
     path = public_tokenizers.path(packing.TOKENIZER)
     tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
     r = random.Random(1)
-    odd = ["a", "B", "É", "Σ", "ΑΣ", "İ", " ", "\t", "\n", "\x1c", "\x85", "'s", "'S", ".", ",", "!?", "5", "٣", "漢", "<|endoftext|>", "\U0001f600", "\u0301", "ß", "x" * 90]
+    odd = ["%%", "&", "*#$", "Word", "word,%", "É.", "a", "B", "É", "Σ", "ΑΣ", "İ", " ", "\t", "\n", "\x1c", "\x85", "'s", "'S", ".", ",", "!?", "5", "٣", "漢", "<|endoftext|>", "\U0001f600", "\u0301", "ß", "x" * 90]
     texts = [f"a{chr(c)}b {chr(c)} A{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts += ["".join(r.choice(odd) for _ in range(r.randint(0, 25))) for _ in range(10_000)]
     for at in range(0, len(texts), 20_000):
