@@ -12,11 +12,14 @@ from ..operators import fanout as O
 from ..operators import workflows as W
 from ..sources import store
 from ..sources.store import shared_folder
+from ..streaming import attempts, breaker, gate, transcripts, windows
+from ..streaming.ordered import started
+from . import fanout as _fanout
 from .base import DERIVED, query
 
 #: Events as fetch outcomes of a run per user, in the order of time.
 DERIVED["outcomes"] = """
-    SELECT user_id AS run, ts, event_id,
+    SELECT user_id AS run, ts, event_id, 'http://h' || user_id || '/' || event_id AS url,
         CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 429 WHEN event_type = 'error' THEN 503
             WHEN event_id % 97 = 5 THEN 403 WHEN event_type = 'view' AND value < 20 THEN -1 WHEN event_id % 11 = 0 THEN 404 ELSE 200 END AS status,
         CASE WHEN event_id % 211 = 7 THEN 'Please solve the CAPTCHA' ELSE 'fine' END AS body,
@@ -26,16 +29,17 @@ DERIVED["outcomes"] = """
 _KIND = """CASE WHEN contains(lower(body), 'captcha') OR status IN (401, 403, 407, 451) THEN 'refused' WHEN status IN (429, 503) THEN 'throttled' WHEN error IS NOT NULL OR status IS NULL OR status = -1 THEN 'unreachable' END"""
 _ORDER = "PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
 _COUNTED = f"""
-    kinds AS (SELECT run, ts, event_id, {_KIND} AS kind FROM outcomes),
+    kinds AS (SELECT run, ts, event_id, url, status, {_KIND} AS kind FROM outcomes),
     sums AS (SELECT *, sum(CASE WHEN kind = 'throttled' THEN 1 WHEN kind IS NULL THEN -1 ELSE 0 END) OVER w AS st, sum(CASE WHEN kind = 'unreachable' THEN 1 WHEN kind IS NULL THEN -1 ELSE 0 END) OVER w AS su,
         sum(CASE WHEN kind = 'refused' THEN 1 ELSE 0 END) OVER w AS nr FROM kinds WINDOW w AS ({_ORDER})),
-    counted AS (SELECT run, ts, event_id, kind, CAST(st - least(0, min(st) OVER w) AS BIGINT) AS n_throttled, CAST(su - least(0, min(su) OVER w) AS BIGINT) AS n_unreachable, CAST(nr AS BIGINT) AS n_refused FROM sums WINDOW w AS ({_ORDER})),
+    counted AS (SELECT run, ts, event_id, url, status, kind, CAST(st - least(0, min(st) OVER w) AS BIGINT) AS n_throttled, CAST(su - least(0, min(su) OVER w) AS BIGINT) AS n_unreachable, CAST(nr AS BIGINT) AS n_refused FROM sums WINDOW w AS ({_ORDER})),
     hits AS (SELECT * FROM counted WHERE (kind = 'refused' AND n_refused >= 1) OR (kind = 'throttled' AND n_throttled >= 3) OR (kind = 'unreachable' AND n_unreachable >= 5)),
-    trips AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts, event_id) = 1)"""
+    trips AS (SELECT *, kind || ' ' || CASE kind WHEN 'refused' THEN n_refused WHEN 'throttled' THEN n_throttled ELSE n_unreachable END || 'x (limit ' || CASE kind WHEN 'refused' THEN 1 WHEN 'throttled' THEN 3 ELSE 5 END
+        || '); last status ' || coalesce(CAST(status AS VARCHAR), 'none') || ' on ' || url AS reason FROM hits QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts, event_id) = 1)"""
 
 
 def _kinds(t):
-    return t("outcomes").select("run", "ts", "event_id", C.classify("status", "body", "error").alias("kind"))
+    return t("outcomes").select("run", "ts", "event_id", "status", "url", C.classify("status", "body", "error").alias("kind"))
 
 
 @query("circuit_classify", f"SELECT event_id, {_KIND} AS kind FROM outcomes")
@@ -43,9 +47,9 @@ def _(t):
     return _kinds(t).select("event_id", "kind")
 
 
-@query("breaker", f"WITH {_COUNTED} SELECT run, event_id, kind, n_refused, n_throttled, n_unreachable FROM trips")
+@query("breaker", f"WITH {_COUNTED} SELECT run, event_id, kind, n_refused, n_throttled, n_unreachable, status, url, reason FROM trips")
 def _(t):
-    return C.trips(_kinds(t), "run", ["ts", "event_id"]).select("run", "event_id", "kind", "n_refused", "n_throttled", "n_unreachable")
+    return C.trips(_kinds(t), "run", ["ts", "event_id"]).select("run", "event_id", "kind", "n_refused", "n_throttled", "n_unreachable", "status", "url", "reason")
 
 
 @query("breaker_counters", f"WITH {_COUNTED} SELECT event_id, n_refused, n_throttled, n_unreachable FROM counted")
@@ -111,60 +115,153 @@ def _(t):
     return store.write_census(O.outcome_census(t("outcomes"), "run"), f"{shared_folder(t.spark)}/census-{uuid.uuid4().hex}")
 
 
-# Streams: the tables are read as a file stream until they are used up, and the result is a stored table.
+# Streams: a table comes in five batches, in which rows are out of order by up to an hour (orders:
+# thirty days), and is read as a file stream until it is used up; the result is a stored table.
+# What the last watermark has not passed is not given, on streams as in their SQL.
 
+_BATCHES = 5
 
-def _run_stream(t, build, mode: str = "append"):
-    """Run a stream over ``events`` to its end and read what it wrote."""
-    spark = t.spark
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    source = t("events")
-    folder = f"{path}/source"
-    source.write.parquet(folder)
-    events = spark.readStream.schema(source.schema).parquet(folder)
-    out = build(events)
-    started = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+def _source(t, rows, ts: str, jitter):
+    """``rows`` with ``batch``: five parts of the range of ``ts``, by a time that is up to some seconds later (``jitter``)."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    span = max(1, ends["b"] - ends["a"])
+    return rows.withColumn("batch", F.least(F.lit(_BATCHES - 1), F.floor((at + jitter * 1_000_000 - ends["a"]) * _BATCHES / span)).cast("int"))
+
+
+def _stream(t, rows):
+    """The rows as a stream of their batches, one after the other."""
+    folder = f"{shared_folder(t.spark)}/source-{uuid.uuid4().hex}"
+    held, files = rows.drop("batch"), 0
+    for nr in range(_BATCHES):
+        part = rows.where(F.col("batch") == nr).drop("batch")
+        part = part.coalesce(max(1, part.rdd.getNumPartitions() // t.spark.sparkContext.defaultParallelism))
+        files = max(files, part.rdd.getNumPartitions())
+        part.write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(held.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def _drained(t, out):
+    """What the stream ``out`` gives until its sources are used up."""
+    path = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    started(out, path).awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def _events(t):
+    return _stream(t, _source(t, t("events"), "ts", F.col("event_id") % 60 * 60))
+
+
+_PASSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)"
 
 
 @query(
     "stream_breaker",
-    f"""WITH {_COUNTED.replace('ORDER BY ts, event_id', 'ORDER BY event_id')}
-        SELECT CAST(c.run AS VARCHAR) AS run, c.event_id AS seq, c.kind, t.event_id IS NOT NULL AND c.event_id = t.event_id AS opened, CAST(c.n_refused AS INT) AS n_refused, CAST(c.n_throttled AS INT) AS n_throttled, CAST(c.n_unreachable AS INT) AS n_unreachable
-        FROM counted c LEFT JOIN trips t ON t.run = c.run WHERE c.kind IS NOT NULL AND (t.run IS NULL OR c.event_id <= t.event_id)""",
+    f"""WITH {_COUNTED}
+        SELECT CAST(c.run AS VARCHAR) AS run, c.event_id AS seq, c.kind, t.event_id IS NOT NULL AND c.event_id = t.event_id AS opened,
+            CAST(c.n_refused AS INT) AS n_refused, CAST(c.n_throttled AS INT) AS n_throttled, CAST(c.n_unreachable AS INT) AS n_unreachable,
+            CASE WHEN c.event_id = t.event_id THEN t.reason END AS reason
+        FROM counted c LEFT JOIN trips t ON t.run = c.run WHERE c.kind IS NOT NULL AND (t.run IS NULL OR (c.ts, c.event_id) <= (t.ts, t.event_id)) AND c.ts <= {_PASSED}""",
+)
+def _(t):
+    """The batch operator's counters on a stream, whatever batches the rows come in."""
+    rows = _source(t, t("outcomes").withColumnRenamed("event_id", "seq"), "ts", F.col("seq") % 60 * 60)
+    return _drained(t, breaker.watch(_stream(t, rows))).drop("status", "url")
+
+
+#: Orders of a customer as attempts: pauses of days, a month of disorder.
+DERIVED["order_attempts"] = """
+    SELECT o_custkey AS item, o_orderdate AS ts, o_orderkey AS attempt, o_totalprice > 150000 AS ok, o_orderpriority = '1-URGENT' AS hit FROM orders"""
+_LATE, _BACKOFF, _TIMEOUT, _POLLS = "60 days", 5 * 86400, 200 * 86400, 4
+_SEQUENCE = """
+    seq AS (SELECT item, epoch(ts) AS tick, attempt, ok, hit, row_number() OVER w AS k, lag(epoch(ts)) OVER w AS before, first_value(epoch(ts)) OVER w AS began
+        FROM order_attempts WINDOW w AS (PARTITION BY item ORDER BY ts, attempt)),
+    passed AS (SELECT epoch(max(ts)) - 60 * 86400 AS until FROM order_attempts)"""
+
+
+def _order_attempts(t):
+    return _stream(t, _source(t, t("order_attempts"), "ts", F.col("attempt") % 30 * 86400))
+
+
+@query(
+    "stream_retry",
+    f"""WITH {_SEQUENCE},
+        decided AS (
+            SELECT item, k, CASE WHEN tick - before > {_BACKOFF + _TIMEOUT} THEN 'silent' WHEN ok THEN 'done' WHEN k = 3 THEN 'failed' END AS state,
+                CASE WHEN tick - before > {_BACKOFF + _TIMEOUT} THEN before + {_BACKOFF + _TIMEOUT} ELSE tick END AS decided_at FROM seq
+            UNION ALL SELECT item, max(k) + 1, 'silent', max(tick) + {_BACKOFF + _TIMEOUT} FROM seq GROUP BY item),
+        first AS (SELECT * FROM decided WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item ORDER BY k) = 1)
+        SELECT CAST(item AS VARCHAR) AS item, CASE WHEN state = 'done' THEN CAST(k AS INT) END AS attempt,
+            CAST((k - CASE WHEN state = 'silent' THEN 2 ELSE 1 END) * {_BACKOFF} AS BIGINT) AS waited_s, state
+        FROM first, passed WHERE decided_at <= until""",
 )
 def _(t):
-    from ..streaming.breaker import watch
+    """A customer's orders as attempts of which a large one works."""
+    return _drained(t, attempts.first_success(_order_attempts(t), "item", _LATE, 3, _BACKOFF, _TIMEOUT))
 
-    def build(events):
-        status = F.expr(
-            """case when event_type = 'error' and event_id % 3 = 0 then 429 when event_type = 'error' then 503
-               when event_id % 97 = 5 then 403 when event_type = 'view' and value < 20 then -1 when event_id % 11 = 0 then 404 else 200 end"""
-        )
-        body = F.expr("case when event_id % 211 = 7 then 'Please solve the CAPTCHA' else 'fine' end")
-        error = F.expr("case when event_type = 'view' and value < 5 then 'timed out' end")
-        return watch(events.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), status.alias("status"), body.alias("body"), error.alias("error")))
 
-    return _run_stream(t, build)
+@query(
+    "stream_poll",
+    f"""WITH {_SEQUENCE},
+        decided AS (
+            SELECT item, k, tick, CASE WHEN tick > began + {_POLLS * 86400 * 100} THEN 'over' WHEN hit THEN 'hit' WHEN k = {_POLLS} THEN 'over' END AS state, began FROM seq
+            UNION ALL SELECT item, max(k) + 1, NULL, 'over', min(began) FROM seq GROUP BY item),
+        first AS (SELECT * FROM decided WHERE state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item ORDER BY k) = 1)
+        SELECT CAST(item AS VARCHAR) AS item, CASE WHEN state = 'hit' THEN CAST(k AS INT) END AS attempt, CASE WHEN state = 'hit' THEN CAST((k - 1) * {100 * 86_400_000} AS BIGINT) END AS waited_ms
+        FROM first, passed WHERE least(coalesce(tick, 1e18), began + {_POLLS * 86400 * 100}) <= until""",
+)
+def _(t):
+    """A customer's orders as polls that wait for an urgent one; a timer ends those that never see it."""
+    return _drained(t, attempts.poll_until(_order_attempts(t), "item", _LATE, _POLLS, 100 * 86_400_000))
 
 
-@query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS starts, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2")
+@query(
+    "stream_transcripts",
+    f"""WITH {_fanout._FOLD}, ends AS (SELECT path, max(conv_id * 600 + line_no) AS tick FROM transcript_lines WHERE conv_id % 7 <> 6 GROUP BY path)
+        SELECT path, agent_id, target, identified_by, text, complete, reason FROM folded JOIN ends USING (path) WHERE tick + 60 <= (SELECT max(tick) - 3600 FROM ends)""",
+)
 def _(t):
-    from ..streaming.windows import tumbling
+    """Conversations that begin ten minutes after each other, with lines out of order; a minute of silence ends one."""
+    lines = t("transcript_lines").withColumn("ts", F.timestamp_seconds(86400 + F.col("conv_id") * 600 + F.col("line_no")))
+    rows = _source(t, lines, "ts", F.col("line_no") * 7 % 50 * 60)
+    return _drained(t, transcripts.fold(_stream(t, rows), t("transcript_sidecars"), "1 hour", 60))
+
 
-    return _run_stream(t, tumbling).select(F.col("starts").cast("timestamp_ntz").alias("starts"), "event_type", "n")
+DERIVED["sent_out"] = "SELECT o_orderkey AS id, o_orderdate AS ts FROM orders"
+DERIVED["came_back"] = """
+    SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 90 AS INT) AS ts FROM orders WHERE o_orderkey % 5 <> 0"""
 
 
-@query("stream_dedup", "SELECT event_id FROM events")
+@query(
+    "stream_gate",
+    """WITH passed AS (SELECT least((SELECT max(ts) FROM sent_out), (SELECT max(ts) FROM came_back)) - INTERVAL 60 DAY - INTERVAL 6 HOUR AS until),
+        joined AS (SELECT s.id AS asked, r.id AS made, s.ts AS asked_at, r.ts AS made_at FROM sent_out s FULL JOIN came_back r ON s.id = r.id AND r.ts >= s.ts AND r.ts <= s.ts + INTERVAL 60 DAY + INTERVAL 12 HOUR)
+        SELECT coalesce(asked, made) AS id, CASE WHEN asked IS NULL THEN 'extra' WHEN made IS NULL THEN 'missing' ELSE 'matched' END AS class FROM joined, passed
+        WHERE (asked IS NOT NULL AND made IS NOT NULL) OR (made IS NULL AND asked_at + INTERVAL 60 DAY + INTERVAL 12 HOUR < until) OR (asked IS NULL AND made_at < until)""",
+)
 def _(t):
-    from ..streaming.windows import deduplicated
+    """Orders as questions, and answers up to three months later; what has no answer after sixty days is missing."""
+    sent, back = (_stream(t, _source(t, t(name), "ts", F.abs("id") % 30 * 86400)) for name in ("sent_out", "came_back"))
+    return _drained(t, gate.census_gate(sent, back, "60 days 12 hours", "60 days 6 hours")).select("id", "class")
 
-    return _run_stream(t, lambda e: deduplicated(e).select("event_id"))
 
+@query("stream_dedup", "SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 5 = 1 AND ts < (SELECT min(ts) + INTERVAL 4 DAY FROM events)")
+def _(t):
+    """Events that come twice: ten minutes later (dropped), weeks later under their old time (late) or under a new one (given again)."""
+    events = _source(t, t("events"), "ts", F.col("event_id") % 60 * 60)
+    early = events.where(F.col("ts") < F.lit(events.agg(F.min("ts")).first()[0]) + F.expr("interval 4 days"))
+    soon = _source(t, t("events").where("event_id % 4 = 0").withColumn("ts", F.expr("ts + interval 10 minutes")), "ts", F.lit(0))
+    new = early.where("event_id % 5 = 1").withColumns({"ts": F.expr("ts + interval 18 days"), "batch": F.lit(3)})
+    late = early.where("event_id % 5 = 2").withColumn("batch", F.lit(_BATCHES - 1))
+    return _drained(t, windows.deduplicated(_stream(t, events.union(soon).union(new).union(late))).select("event_id"))
 
-@query("stream_sessions")
+
+@query("stream_tumbling", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS starts, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {_PASSED} GROUP BY 1, 2")
 def _(t):
-    from ..streaming.windows import sessions
+    return _drained(t, windows.tumbling(_events(t))).select(F.col("starts").cast("timestamp_ntz").alias("starts"), "event_type", "n")
+
 
-    return _run_stream(t, sessions)
+@query("stream_sessions")
+def _(t):
+    return _drained(t, windows.sessions(_events(t)))
