@@ -21,6 +21,7 @@ ATTEMPT_TIMEOUT_S = 180
 JITTER_LOW_S, JITTER_HIGH_S = 11, 15
 BACKOFF_S = 30
 BATCH_SIZE = 32
+LIST_SIZE = 1000
 LOCK_STALE_MINUTES = 30
 BODY_LIMIT = 400_000
 URL_LIMIT = 160

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import collapse, col, text_or_empty
+from .ordering import ordered
 
 #: The order of the parts of a composed prompt; an empty part is left out.
 SECTIONS = ("role", "process", "grounding", "census", "blocked", "anti_list", "field_rules", "schema", "self_report", "output", "restatement")
@@ -113,6 +114,20 @@ def assemble(parts: dict[str, Column]) -> Column:
     return F.concat_ws("\n\n", *named)
 
 
+def plan_manifest(prompts: DataFrame, item: str, prompt: str, document: str, run: str) -> DataFrame:
+    """``manifest`` of a plan, with what each prompt came from: run, and version, date and hash of the prompt document."""
+    found = version(F.lit(document))
+    held = manifest(prompts, item, prompt)
+    return held.withColumns({"run": F.lit(run), "prompt_version": found["number"], "prompt_dated": found["dated"], "document_sha256": F.sha2(F.lit(document), 256)})
+
+
+def dry_run(items: DataFrame, item: str, title: str) -> DataFrame:
+    """(place, line): a line for each item in the order of its id, and how many there are as the last one."""
+    lines = ordered(items.select(F.col(item).alias("item"), F.col(title).alias("title")), "item").select("place", padded(F.col("item"), F.col("title")).alias("line"))
+    n = F.count(F.lit(1))
+    return lines.union(items.agg((n + 1).alias("place"), F.concat(n.cast("string"), F.lit(" items")).alias("line")))
+
+
 def manifest(prompts: DataFrame, item: str, prompt: str) -> DataFrame:
     """Per prompt its length and hash: what a plan keeps beside the prompts."""
     return prompts.select(item, F.length(prompt).alias("chars"), F.sha2(F.col(prompt), 256).alias("sha256"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import fences as N
 from ..functions import text as T
+from .ordering import ordered
 from .quality import last_wins
 
 
@@ -163,9 +164,23 @@ def mapped(replies: DataFrame, keymap: DataFrame, item: str = "item_id") -> Data
     return joined.withColumn("reason", F.when(F.col("target").isNull(), F.lit("unknown-key")))
 
 
-def drive_summary(outcomes: DataFrame, item: str = "item", state: str = "state") -> DataFrame:
-    """(state, n, items): the items of each outcome, counted and in order."""
-    return outcomes.groupBy(state).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
+def lists(rows: DataFrame, group: str, order: str, value: str, size: int = K.LIST_SIZE) -> DataFrame:
+    """(group, part, n, values): the values of each group in order of ``order``, in lists of ``size``; only the last is shorter.
+
+    ``order`` is unique in a group.  Places are counted by ranges of the whole order, so a group of any
+    size is the work of many tasks, and no row holds more than ``size`` values.
+    """
+    placed = ordered(rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(value).alias("_v")), "_g", "_o")
+    first = placed.groupBy(F.col("_g").alias("_h")).agg(F.min("place").alias("_first"))
+    part = F.floor((F.col("place") - F.col("_first")) / F.lit(size)).cast("long")
+    dealt = placed.join(first, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", part.alias("part"), "_o", "_v")
+    packed = dealt.groupBy("_g", "part").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("_o", "_v"))).alias("_l"))
+    return packed.select(F.col("_g").alias(group), "part", "n", F.col("_l._v").alias("values"))
+
+
+def drive_summary(outcomes: DataFrame, item: str = "item", state: str = "state", size: int = K.LIST_SIZE) -> DataFrame:
+    """(state, part, n, items): the items of each outcome in order, in lists of at most ``size``."""
+    return lists(outcomes, state, item, item, size).withColumnRenamed("values", "items")
 
 
 def outcome_census(outcomes: DataFrame, group: str, status: str = "status") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import urls as U
 from ..functions.text import col
+from .fanout import lists
 
 TOP_KEYS = ("http_status", "last_checked", "verdicts", "verified_via")
 VERDICT_KEYS = ("content_status", "semantic_verified_at", "notes")
@@ -70,6 +71,12 @@ def merge_verdicts(states: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*(merged.alias(c) if c == "verdicts" else F.col(c) for c in states.columns))
 
 
+def host_buckets(links: DataFrame, ordinal: str, size: int = K.LIST_SIZE) -> DataFrame:
+    """(host, part, n, urls): the addresses of each host in order, in lists of at most ``size``."""
+    hosts = links.select(U.host("url").alias("host"), ordinal, "url")
+    return lists(hosts, "host", ordinal, "url", size).withColumnRenamed("values", "urls")
+
+
 def host_plan(links: DataFrame, ordinal: str, interval_s: float = K.HOST_INTERVAL_S) -> DataFrame:
     """Each link's slot in its host's serial queue and its start, in seconds after the host's first."""
     slot = F.row_number().over(Window.partitionBy("host").orderBy(ordinal)) - 1

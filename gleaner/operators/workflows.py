@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import col
+from .ordering import ordered
 
 
 def discover(names: DataFrame, name: str = "name", pattern: str = r"^[^.]") -> DataFrame:
-    """The names that fit, numbered in order."""
-    return names.where(F.col(name).rlike(pattern)).select(name)
+    """The distinct names that fit, with their ``place`` (from 1) in order."""
+    return ordered(names.where(F.col(name).rlike(pattern)).select(name).distinct(), name)
 
 
 def plan_calls(files: DataFrame, file: str, template: str, model: str | None) -> DataFrame:
@@ -34,6 +35,24 @@ def verdict_error(verdict: Column | str) -> Column:
     return F.when(~F.coalesce(v.isin(K.offered("verify_verdict")), F.lit(False)), F.lit("allowed: " + ", ".join(K.offered("verify_verdict"))))
 
 
+def verify_calls(claims: DataFrame, model: str | None, label: str = "claim") -> DataFrame:
+    """(label, prompt, model, sources) of nominated claims, a call each; what names no model is found by ``unpinned``."""
+    return claims.select(F.col("claim").alias(label), verify_prompt("claim").alias("prompt"), F.lit(model).cast("string").alias("model"), F.size("sources").cast("long").alias("sources"))
+
+
+def dry_run(first: DataFrame, second: str | None = None) -> DataFrame:
+    """(stage, calls, unpinned, note) of a chain that isn't run: only its first stage can be planned.
+
+    What a later stage (``second``) would do depends on replies that aren't there, so its numbers
+    are null and the note says so.
+    """
+    none = F.coalesce("model", F.lit("")) == ""
+    planned = first.agg(F.count(F.lit(1)).alias("calls"), F.count_if(none).alias("unpinned"))
+    one = F.struct(F.lit(1).alias("stage"), "calls", "unpinned", F.lit(None).cast("string").alias("note"))
+    two = F.struct(F.lit(2).alias("stage"), F.lit(None).cast("long").alias("calls"), F.lit(None).cast("long").alias("unpinned"), F.lit(second).alias("note"))
+    return planned.select(F.inline(F.array(one, two) if second else F.array(one)))
+
+
 def verify_prompt(claim: Column | str) -> Column:
     return F.concat(
         F.lit('Try to refute this claim with independent primary sources: "'),
@@ -82,6 +101,20 @@ def pauses(rows: DataFrame, group: str, order: str, base_s: float = K.HOST_INTER
     return found.withColumns({"least_s": paused(base_s), "most_s": paused(base_s * (1 + jitter))})
 
 
+def drawn(nr: Column, group: Column, low_s: float = K.JITTER_LOW_S, high_s: float = K.JITTER_HIGH_S, seed: int = 0) -> Column:
+    """The pause before place ``nr`` of ``group``, between ``low_s`` and ``high_s``; none before the first.
+
+    It is a hash of seed, group and place, so it is the same in every run, whichever task makes it.
+    """
+    part = F.pmod(F.xxhash64(F.lit(seed), group, nr.cast("long")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.when(nr > 1, F.lit(float(low_s)) + part * F.lit(float(high_s - low_s)))
+
+
+def drawn_pauses(rows: DataFrame, group: str, order: str, low_s: float = K.JITTER_LOW_S, high_s: float = K.JITTER_HIGH_S, seed: int = 0) -> DataFrame:
+    """``gaps`` with ``pause_s``, the pause that is drawn before each row but the first."""
+    return gaps(rows, group, order).withColumn("pause_s", drawn(F.col("nr"), F.col(group), low_s, high_s, seed))
+
+
 def normalize_args(raw: Column | str) -> Column:
     """Arguments as a variant: null is the empty object, a JSON text what it holds."""
     return F.coalesce(F.try_parse_json(col(raw)), F.parse_json(F.lit("{}")))

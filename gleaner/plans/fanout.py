@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import fences as N
+from ..operators import commands
 from ..operators import compose as C
 from ..operators import fanout as O
 from ..operators import transcripts as R
 from ..operators import workflows as W
 from ..operators.ordering import ordered
 from ..sources import readers as S
-from ..sources import store
+from ..sources import store, versions
 from .base import DERIVED, query
 
 #: What was asked for, what came back, and all there is.
@@ -60,9 +61,29 @@ def _(t):
     return O.strict_join(t("worklist"), t("produced"))
 
 
-@query("snk_apply", "SELECT count(*) AS written FROM produced WHERE id IN (SELECT id FROM worklist)")
+_APPLIED = """
+    SELECT (SELECT count(*) FROM produced WHERE id IN (SELECT id FROM worklist)) AS written, (SELECT count(*) FROM worklist WHERE id NOT IN (SELECT id FROM produced)) AS missing,
+        (SELECT count(*) FROM produced WHERE id NOT IN (SELECT id FROM worklist)) AS extra, false AS ok"""
+
+
+def _applied(t, dry_run: bool):
+    path = f"{store.shared_folder(t.spark)}/applied-{uuid.uuid4().hex}"
+    return store.write_applied(t("produced"), t("worklist"), path, dry_run), path
+
+
+@query("snk_apply", f"SELECT a.*, p.id, p.brand FROM ({_APPLIED}) a, (SELECT id, brand FROM produced WHERE id IN (SELECT id FROM worklist)) p")
+def _(t):
+    """The records that were asked for, written and read back, with the census that the write took."""
+    found, path = _applied(t, False)
+    numbers = [F.lit(found[c]).alias(c) for c in ("written", "missing", "extra")]
+    return versions.read(t.spark, path, "id string, brand string").select(*(c.cast("long").alias(n) for c, n in zip(numbers, ("written", "missing", "extra"), strict=True)), F.lit(found["ok"]).alias("ok"), "id", "brand")
+
+
+@query("snk_apply_dry_run", f"SELECT a.*, 0 AS versions FROM ({_APPLIED}) a")
 def _(t):
-    return O.strict_join(t("worklist"), t("produced")).agg(F.count(F.lit(1)).alias("written"))
+    """The same census without a write: nothing is there afterwards."""
+    found, path = _applied(t, True)
+    return versions.manifest(t.spark, path).agg(F.count(F.lit(1)).alias("versions")).select(*(F.lit(found[c]).cast("long").alias(c) for c in ("written", "missing", "extra")), F.lit(found["ok"]).alias("ok"), "versions")
 
 
 @query("invisible", "SELECT id FROM universe WHERE id NOT IN (SELECT id FROM produced)")
@@ -293,7 +314,15 @@ def _(t):
 
 @query("src_worklist", f"WITH {_ITEMS} SELECT id, url FROM named")
 def _(t):
-    return S.worklist(_items(t)).select("id", "url")
+    """A work-list that is refused if an entry has no key."""
+    return S.keyed(S.worklist(_items(t))).select("id", "url")
+
+
+@query("worklist_keyless", f"WITH {_ITEMS} SELECT l_orderkey, count(*) AS n FROM (SELECT l_orderkey, CASE WHEN json_type(r) = 'VARCHAR' THEN r ->> '$' ELSE r ->> '$.name' END AS id FROM items) WHERE id IS NULL GROUP BY 1")
+def _(t):
+    """By list the entries without a key, where keys are called ``name``."""
+    listed = _items(t).withColumn("ordinal", F.struct("l_orderkey", "ordinal"))
+    return S.keyless(S.worklist(listed, "name")).groupBy(F.col("ordinal.l_orderkey").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_drive_items", f"WITH {_ITEMS} SELECT coalesce(id, url) AS id, coalesce(url, id) AS url FROM named")
@@ -363,7 +392,8 @@ def _(t):
 
 @query("recover", f"WITH {_FOLD} SELECT path FROM folded WHERE starts_with(agent_id, 'a1') AND contains(path, 'p/s')")
 def _(t):
-    return _folded(t).where("startswith(agent_id, 'a1') and contains(path, 'p/s')").select("path")
+    lines, sidecars = t("transcript_lines").select("path", "line_no", "value"), t("transcript_sidecars")
+    return commands.find_transcripts(lines, sidecars, ["a1"], "p/", "s/sub").select("path")
 
 
 @query("recover_summary", f"WITH {_FOLD} SELECT count(*) AS transcripts, count(*) FILTER (complete AND target IS NOT NULL) AS recoverable, count(*) FILTER (identified_by = 'marker') AS by_marker, count(*) FILTER (identified_by = 'description') AS by_description, count(*) FILTER (identified_by = 'tool_use_id') AS by_tool_use_id FROM folded")
@@ -460,9 +490,14 @@ def _(t):
     return t("worklist").select("id", N.marker_item(b).alias("item"))
 
 
-@query("emit_dry_run", "SELECT id, rtrim(rpad(id, 40, ' ') || '  ' || rpad(title, 40, ' ')) AS line FROM worklist")
+@query(
+    "emit_dry_run",
+    """SELECT row_number() OVER (ORDER BY id) AS place, rtrim(rpad(id, 40, ' ') || '  ' || rpad(title, 40, ' ')) AS line FROM worklist
+       UNION ALL SELECT count(*) + 1, count(*) || ' items' FROM worklist""",
+)
 def _(t):
-    return t("worklist").select("id", C.padded(F.col("id"), F.col("title")).alias("line"))
+    """A line to an item in order, and a last one with their number."""
+    return C.dry_run(t("worklist"), "id", "title").withColumn("place", F.col("place").cast("long"))
 
 
 @query("run_id", "SELECT o_orderkey AS id, 'run-' || strftime(o_orderdate, '%Y%m%dT%H%M') || '-' || substr(sha1('run:' || strftime(o_orderdate, '%Y%m%dT%H%M')), 1, 6) AS run FROM orders")
@@ -470,9 +505,16 @@ def _(t):
     return t("orders").select(F.col("o_orderkey").alias("id"), C.run_id(F.lit("run"), "o_orderdate").alias("run"))
 
 
-@query("snk_plan", "SELECT id, length(title) AS chars, sha256(title) AS sha256 FROM worklist")
+_PLAN_DOCUMENT = "# Prompt\n\n**Prompt version: 7 (2024-05-06)**\n\nLook at {{title}}.\n"
+
+
+@query("snk_plan", f"SELECT id, length(title) AS chars, sha256(title) AS sha256, 'r1' AS run, 7 AS prompt_version, '2024-05-06' AS prompt_dated, sha256('{_PLAN_DOCUMENT}') AS document_sha256 FROM worklist")
 def _(t):
-    return C.manifest(t("worklist"), "id", "title").withColumn("chars", F.col("chars").cast("long"))
+    """A plan's manifest, written and read back."""
+    path = f"{store.shared_folder(t.spark)}/plan-{uuid.uuid4().hex}"
+    found = C.plan_manifest(t("worklist"), "id", "title", _PLAN_DOCUMENT, "r1").withColumn("chars", F.col("chars").cast("long"))
+    store.write_json(found, path)
+    return versions.read(t.spark, path, found.schema)
 
 
 @query("sec_assemble", "SELECT id, CASE WHEN ordinal % 2 = 0 THEN 'You check ' || id || chr(10) || chr(10) ELSE '' END || 'Answer with one block.' AS prompt FROM worklist")
@@ -484,14 +526,19 @@ def _(t):
 # Plans of calls -------------------------------------------------------------------------
 
 
-@query("src_batches", "SELECT id AS name FROM worklist WHERE regexp_matches(id, '^[^.].*7$')")
+@query("src_batches", "SELECT 'size=' || p_size AS name, row_number() OVER (ORDER BY 'size=' || p_size) AS place, n FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)")
 def _(t):
-    return W.discover(t("worklist").select(F.col("id").alias("name")), "name", "^[^.].*7$")
+    """Batch files as a folder holds them, a folder to a size of part, found and numbered in order."""
+    path = f"{store.shared_folder(t.spark)}/batches-{uuid.uuid4().hex}"
+    t("part").select("p_size", F.col("p_name").alias("value")).withColumnRenamed("p_size", "size").repartition("size").write.partitionBy("size").text(path)
+    lines = t.spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_extract("_metadata.file_path", "/(size=[^/]*)/", 1).alias("name"))
+    counts = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return W.discover(counts, "name").select("name", F.col("place").cast("long").alias("place")).join(counts, "name")
 
 
-@query("sorted_batches", "SELECT min(id) AS first, max(id) AS last FROM worklist WHERE regexp_matches(id, '7$')")
+@query("sorted_batches", "SELECT id AS name, row_number() OVER (ORDER BY id) AS place FROM worklist WHERE regexp_matches(id, '^[^.].*7$')")
 def _(t):
-    return W.discover(t("worklist").select(F.col("id").alias("name")), "name", "7$").agg(F.min("name").alias("first"), F.max("name").alias("last"))
+    return W.discover(t("worklist").select(F.col("id").alias("name")), "name", "^[^.].*7$").select("name", F.col("place").cast("long").alias("place"))
 
 
 @query("wf_plan_calls", "SELECT id, 'Read ' || id || ' and ' || id AS prompt, 'm1' AS model FROM worklist")
@@ -511,7 +558,17 @@ def _(t):
     return W.nominate(t("orders").select(claims.alias("safety_claims")), "safety_claims").select("claim", F.size("sources").cast("long").alias("n"))
 
 
-@query("wf_verify_calls", "SELECT 'claim ' || o_orderkey AS claim, true AS has_prompt FROM orders")
+_CLAIMS = "array(struct(concat('claim ', o_orderkey) as claim, slice(array('s1', 's2'), 1, cast(o_orderkey % 3 as int)) as sources))"
+
+
+@query("wf_verify_calls", """SELECT 'claim ' || o_orderkey AS claim, 'Try to refute this claim with independent primary sources: "claim ' || o_orderkey || '"' || chr(10) || 'If the evidence is mixed or stale, answer uncertain; then the original stays and a person decides.' AS prompt, 'm1' AS model, o_orderkey % 3 AS sources FROM orders WHERE o_orderkey % 3 >= 1""")
 def _(t):
-    rows = t("orders").select(F.concat(F.lit("claim "), "o_orderkey").alias("claim"))
-    return rows.select("claim", F.contains(W.verify_prompt("claim"), F.col("claim")).alias("has_prompt"))
+    """A call for each claim that has sources, with its prompt and its model."""
+    return W.verify_calls(W.nominate(t("orders").select(F.expr(_CLAIMS).alias("c")), "c"), "m1")
+
+
+@query("wf_dry_run", "SELECT 1 AS stage, count(*) AS calls, count(*) FILTER (ordinal % 3 = 1) AS unpinned, NULL AS note FROM worklist UNION ALL SELECT 2, NULL, NULL, 'not computed until stage one has run'")
+def _(t):
+    """A chain that isn't run: the second stage's calls depend on replies that aren't there."""
+    calls = t("worklist").select("id", F.expr("case when ordinal % 3 = 1 then '' else 'm1' end").alias("model"))
+    return W.dry_run(calls, "not computed until stage one has run")

@@ -298,10 +298,10 @@ def _(t):
     return t("pages").select("page_id", U.pin(F.expr(entry)).alias("p")).select("page_id", "p.host", "p.address")
 
 
-@query("host_buckets", f"SELECT {_HOST} AS host, count(*) AS n, string_agg(url, ' ' ORDER BY ordinal) AS urls FROM links GROUP BY 1")
+@query("host_buckets", f"SELECT host, (nr - 1) // 50 AS part, count(*) AS n, string_agg(url, ' ' ORDER BY ordinal) AS urls FROM (SELECT {_HOST} AS host, ordinal, url, row_number() OVER (PARTITION BY {_HOST} ORDER BY ordinal) AS nr FROM links) GROUP BY 1, 2")
 def _(t):
-    grouped = t("links").groupBy(U.host("url").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ordinal", "url"))).alias("u"))
-    return grouped.select("host", "n", F.array_join("u.url", " ").alias("urls"))
+    """A host's addresses in order, in lists of fifty."""
+    return L.host_buckets(t("links"), "ordinal", 50).select("host", "part", "n", F.array_join("urls", " ").alias("urls"))
 
 
 @query("host_serial", f"SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY ordinal) - 1 AS slot, CAST(row_number() OVER (PARTITION BY {_HOST} ORDER BY ordinal) - 1 AS DOUBLE) AS starts_s FROM links")

@@ -15,7 +15,7 @@ from ..operators import linkstate as L
 from ..operators import media as M
 from ..operators import sections as P
 from ..operators import workflows as W
-from ..sources import readers, store
+from ..sources import readers, store, versions
 from . import fanout as _fanout
 from .base import query
 
@@ -24,14 +24,27 @@ def _new(t, name: str) -> str:
     return f"{store.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("snk_raw_first", "SELECT page_id AS id, length(html) AS chars, page_id % 10 <> 7 AS parsed FROM made_pages")
+def _fussy(body: str | None) -> dict:
+    """A parser that fails on some pages."""
+    n = len(body or "")
+    if n % 10 == 7:
+        raise ValueError(f"a body of {n} characters")
+    return {"chars": n}
+
+
+@query(
+    "snk_raw_first",
+    """SELECT page_id AS id, length(html) AS chars, CASE WHEN length(html) % 10 <> 7 THEN length(html) END AS parsed_chars,
+           CASE WHEN length(html) % 10 = 7 THEN 'ValueError: a body of ' || length(html) || ' characters' END AS error, CASE WHEN page_id % 2 = 0 THEN url END AS url FROM made_pages""",
+)
 def _(t):
-    """Raw pages are written before they are parsed; a parser that fails leaves raw untouched."""
+    """Raw pages are written before they are parsed; where the parser fails, raw and the error are kept, and all else is parsed."""
     path = _new(t, "raw")
-    store.write_raw(t("made_pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")), path)
-    raw = t.spark.read.parquet(path)
-    parsed = store.parse(raw, F.when(F.col("id") % 10 != 7, F.to_json(F.struct(H.title("body").alias("title")))))
-    return raw.join(parsed, "id").select("id", F.length("body").cast("long").alias("chars"), (F.col("bytes") > 0).alias("parsed"))
+    pages = t("made_pages").select(F.col("page_id").alias("id"), F.col("html").alias("body"))
+    meta = t("made_pages").where("page_id % 2 = 0").select(F.col("page_id").alias("id"), "url", F.lit(None).cast("timestamp").alias("fetched_at"))
+    parsed = store.harvest(pages, _fussy, path, _new(t, "parsed"), meta)
+    found = t.spark.read.parquet(path).join(parsed, "id")
+    return found.select("id", F.length("body").cast("long").alias("chars"), F.get_json_object("record", "$.chars").cast("long").alias("parsed_chars"), "error", "url")
 
 
 @query("snk_read_back", "SELECT page_id AS id, sha256(html) AS sha FROM made_pages WHERE page_id % 5 = 2")
@@ -47,7 +60,7 @@ def _(t):
     """One JSON object per line, null fields kept, read back with a schema."""
     path = _new(t, "parsed")
     store.write_json(t("orders").select(F.col("o_orderkey").alias("id"), F.expr("case when o_orderkey % 3 > 0 then o_orderstatus end").alias("status")), path)
-    return t.spark.read.schema("id long, status string").json(path)
+    return versions.read(t.spark, path, "id long, status string")
 
 
 @query("src_linkstate", "SELECT url, http_status, verified_via FROM link_states")
@@ -93,6 +106,30 @@ def _(t):
     return found.groupBy(agent.alias("agent")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
+@query("sweep_in_place", "SELECT s.url, CASE WHEN coalesce(verified_via = 'fetch_js', false) AND http_status IN (200, 301, 302, 303, 307, 308) THEN http_status ELSE coalesce(head, -1) END AS http_status, '2024-03-04' AS last_checked, 3 AS version FROM link_states s LEFT JOIN probes p USING (url)")
+def _(t):
+    """States are written once and swept twice at the same path; each sweep is a version of its own."""
+    path = _new(t, "swept")
+    store.write_states(t("link_states").select("url", "http_status", F.lit("2024-01-01").alias("last_checked"), "verified_via"), path)
+    probed = t("probes").select("url", F.coalesce("head", F.lit(-1)).alias("status"))
+    fields = "http_status: int, last_checked: string, verified_via: string"
+    for day in ("2024-03-03", "2024-03-04"):
+        done = C.sweep_files(t.spark, path, probed, day, fields)
+    return readers.link_states(t.spark, path, fields).select("url", "http_status", "last_checked", F.lit(done["version"]).cast("int").alias("version"))
+
+
+@query("src_sidecar_files", "SELECT conv_id % 40 AS k, 'of ' || count(*) AS description, CASE WHEN conv_id % 40 % 2 = 0 THEN 'tool' END AS tool_use_id, count(*) % 2 = 0 AS stopped FROM conversations GROUP BY conv_id % 40")
+def _(t):
+    """A file for each of forty groups of conversations, read back as the sidecar of a transcript."""
+    path = _new(t, "sidecars")
+    n, k = F.count(F.lit(1)), F.col("agent")
+    packed = t("conversations").groupBy((F.col("conv_id") % 40).alias("agent")).agg(n.alias("n"))
+    value = F.to_json(F.struct(F.concat(F.lit("of "), "n").alias("description"), F.when(k % 2 == 0, "tool").alias("toolUseId"), (F.col("n") % 2 == 0).alias("stoppedByUser")))
+    packed.select("agent", value.alias("value")).repartition("agent").write.partitionBy("agent").text(path)
+    found = readers.sidecars(t.spark, path, "part-*", r"/part-[^/]*$")
+    return found.select(F.regexp_extract("path", r"agent=([0-9]+)\.jsonl$", 1).cast("long").alias("k"), "description", "tool_use_id", "stopped")
+
+
 @query("src_sidecar", "SELECT path, coalesce(description, '') AS description, coalesce(tool_use_id, '') AS tool_use_id, stopped FROM transcript_sidecars")
 def _(t):
     packed = t("transcript_sidecars").select("path", F.to_json(F.struct("description", F.col("tool_use_id").alias("toolUseId"), F.col("stopped").alias("stoppedByUser"))).alias("value"))
@@ -100,12 +137,13 @@ def _(t):
     return found.select("path", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("tool_use_id", F.lit("")).alias("tool_use_id"), "stopped")
 
 
-@query("snk_recovered", f"WITH {_fanout._FOLD} SELECT target AS item_id, agent_id FROM folded WHERE complete AND coalesce(text, '') <> '' AND coalesce(target, '') <> ''")
+@query("snk_recovered", f"WITH {_fanout._FOLD} SELECT target AS item_id, agent_id, text FROM folded WHERE complete AND coalesce(text, '') <> '' AND coalesce(target, '') <> '' QUALIFY row_number() OVER (PARTITION BY target ORDER BY path DESC) = 1")
 def _(t):
-    """Recovered replies written as a table, with the index from item to agent read back from it."""
+    """Recovered replies as text files and an index from items to agents, read back as replies."""
     path = _new(t, "recovered")
-    C.recover(t("transcript_lines").select("path", "line_no", "value"), t("transcript_sidecars")).write.parquet(path)
-    return t.spark.read.parquet(path).select("item_id", "agent_id")
+    store.write_replies(C.recover(t("transcript_lines").select("path", "line_no", "value"), t("transcript_sidecars")), path)
+    index = t.spark.read.schema("item_id string, agent_id string").json(f"{path}/index")
+    return readers.replies(t.spark, f"{path}/replies", index, "/stem=([^/]*)/").select("item_id", "agent_id", F.regexp_replace("text", "\n$", "").alias("text"))
 
 
 @query("snk_report", "SELECT mktsegment, n, note FROM (SELECT c_mktsegment AS mktsegment, count(*) AS n, CASE WHEN count(*) % 2 = 0 THEN 'even' END AS note FROM customer GROUP BY 1)")

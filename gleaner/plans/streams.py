@@ -70,6 +70,12 @@ def _(t):
 DERIVED["attempts"] = "SELECT l_orderkey AS item, l_linenumber AS attempt, min(l_quantity) < 12 AS ok, min(l_partkey) AS height FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
 
+DERIVED["harvest_items"] = "SELECT o_orderkey AS id, o_orderkey AS ordinal FROM orders"
+DERIVED["harvest_parsed"] = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 100 ELSE 0 END AS bytes FROM orders WHERE o_orderkey % 5 = 0"
+DERIVED["harvest_attempts"] = """
+    SELECT 0 AS run, item AS id, item AS at, attempt, ok, CASE WHEN ok THEN 200 ELSE 404 END AS status, 'http://h/' || item AS url, 'fine' AS body, CAST(NULL AS STRING) AS error FROM attempts WHERE item % 7 <> 3"""
+
+
 @query("retry_flat", "SELECT item, min(attempt) FILTER (ok) AS attempt, CAST((coalesce(min(attempt) FILTER (ok), count(*)) - 1) * 30 AS BIGINT) AS waited_s FROM attempts WHERE attempt <= 3 GROUP BY item")
 def _(t):
     return W.first_success(t("attempts"), "item").withColumn("waited_s", F.col("waited_s").cast("long"))
@@ -93,6 +99,31 @@ def _(t):
     return fetched.groupBy("item").agg(F.count_if("paused").alias("pauses"), total("least_s"), total("most_s"))
 
 
+@query("pacing_drawn", "SELECT item, count(*) - 1 AS pauses, true AS within, true AS vary FROM attempts WHERE NOT ok GROUP BY item")
+def _(t):
+    """The pauses of an item are drawn from the range, not all alike over the table, and the same in every run."""
+    drawn = W.drawn_pauses(t("attempts").where("not ok"), "item", "attempt", seed=3)
+    again = W.drawn_pauses(t("attempts").where("not ok"), "item", "attempt", seed=3).select("item", "nr", F.col("pause_s").alias("again"))
+    within = F.coalesce(F.every(F.col("pause_s").between(K.JITTER_LOW_S, K.JITTER_HIGH_S) & (F.col("pause_s") == F.col("again"))), F.lit(True))
+    vary = drawn.agg((F.countDistinct("pause_s") > 10).alias("vary"))
+    return drawn.join(again, ["item", "nr"]).groupBy("item").agg(F.count_if("paused").alias("pauses"), within.alias("within")).crossJoin(vary)  # one row
+
+
+@query(
+    "drive",
+    """WITH tried AS (SELECT id, min(attempt) FILTER (ok AND attempt <= 3) AS attempt, count(*) FILTER (attempt <= 3) AS n FROM harvest_attempts WHERE id NOT IN (SELECT id FROM harvest_parsed WHERE bytes > 0) GROUP BY id)
+        SELECT i.id, CASE WHEN p.id IS NOT NULL THEN 'skipped' WHEN t.attempt IS NOT NULL THEN 'done' WHEN n > 0 THEN 'failed' ELSE 'not reached' END AS state, t.attempt,
+            CAST((coalesce(t.attempt, n) - 1) * 30 AS BIGINT) AS waited_s, CASE WHEN t.id IS NOT NULL THEN row_number() OVER (PARTITION BY t.id IS NULL ORDER BY ordinal) > 1 END AS paused
+        FROM harvest_items i LEFT JOIN (SELECT id FROM harvest_parsed WHERE bytes > 0) p ON i.id = p.id LEFT JOIN tried t ON i.id = t.id""",
+)
+def _(t):
+    """Items, of which some are parsed already, with the attempts that were made at the others."""
+    from ..operators import commands
+
+    outcome, _, _ = commands.drive(t("harvest_items"), t("harvest_attempts"), t("harvest_parsed"), "run", ["at", "attempt"])
+    return outcome.select("id", "state", "attempt", F.col("waited_s").cast("long").alias("waited_s"), F.when(F.col("waited_s").isNotNull(), F.col("pause_s").isNotNull()).alias("paused"))
+
+
 @query("lock_stale", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unreadable' WHEN event_id % 3 = 0 THEN 'dead' WHEN value > 30 THEN 'stale' ELSE 'held' END AS state FROM events")
 def _(t):
     return t("events").select("event_id", W.lock_state(F.col("event_id") % 3 != 0, F.col("value"), F.col("event_id") % 5 != 0).alias("state"))
@@ -100,13 +131,14 @@ def _(t):
 
 @query(
     "drive_summary",
-    """SELECT state, count(*) AS n, sha256(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item)) AS items FROM (SELECT item, CASE WHEN item % 10 = 0 THEN 'skipped' WHEN bool_or(ok AND attempt <= 3) THEN 'done' ELSE 'failed' END AS state FROM attempts GROUP BY item) GROUP BY state""",
+    """SELECT state, (nr - 1) // 100 AS part, count(*) AS n, sha256(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item)) AS items
+       FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY item) AS nr FROM (SELECT item, CASE WHEN item % 10 = 0 THEN 'skipped' WHEN bool_or(ok AND attempt <= 3) THEN 'done' ELSE 'failed' END AS state FROM attempts GROUP BY item)) GROUP BY 1, 2""",
 )
 def _(t):
     tried = t("attempts").groupBy("item").agg(F.bool_or(F.expr("ok and attempt <= 3")).alias("ok"))
     state = F.when(F.col("item") % 10 == 0, "skipped").when(F.col("ok"), "done").otherwise("failed")
-    found = O.drive_summary(tried.withColumn("state", state))
-    return found.select("state", "n", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256).alias("items"))
+    found = O.drive_summary(tried.withColumn("state", state), size=100)
+    return found.select("state", "part", "n", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256).alias("items"))
 
 
 @query("snk_census", "SELECT run, count(*) FILTER (status BETWEEN 200 AND 399) AS ok, count(*) FILTER (status NOT BETWEEN 200 AND 399) AS bad FROM outcomes GROUP BY run")

@@ -5,10 +5,13 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from . import versions
+
 
 def json_records(spark: SparkSession, path: str, by: str = "id") -> DataFrame:
     """(ordinal, key, record) of whole-file JSON: an array, or an object whose values are the records.
@@ -20,10 +23,9 @@ def json_records(spark: SparkSession, path: str, by: str = "id") -> DataFrame:
 
 
 def explode_records(rows: DataFrame, variant: str) -> DataFrame:
-    rows.createOrReplaceTempView("_gleaner_records")
     keep = ", ".join(f"t.`{c}`" for c in rows.columns if c != variant)
     return rows.sparkSession.sql(
-        f"select {keep + ', ' if keep else ''}e.pos as ordinal, e.key, e.value as record from _gleaner_records t, lateral variant_explode(t.`{variant}`) e"
+        f"select {keep + ', ' if keep else ''}e.pos as ordinal, e.key, e.value as record from {{rows}} t, lateral variant_explode(t.`{variant}`) e", rows=rows
     )
 
 
@@ -47,7 +49,14 @@ def worklist(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def keyless(items: DataFrame) -> DataFrame:
     """The items without a key; a work-list with any is refused."""
-    return items.where(F.coalesce("id", F.lit("")) == "")
+    return items.where(F.coalesce(F.col("id").cast("string"), F.lit("")) == "")
+
+
+def keyed(items: DataFrame) -> DataFrame:
+    """``items``, refused while it runs if one has no key."""
+    known = F.coalesce(F.col("id").cast("string"), F.lit("")) != ""
+    told = F.concat(F.lit("work-list entry without a key at "), F.col("ordinal").cast("string"))
+    return items.withColumn("id", F.when(known, F.col("id")).otherwise(F.raise_error(told).cast(items.schema["id"].dataType)))
 
 
 def drive_items(rows: DataFrame) -> DataFrame:
@@ -56,10 +65,22 @@ def drive_items(rows: DataFrame) -> DataFrame:
     return items.select("ordinal", F.coalesce("id", "url").alias("id"), F.coalesce("url", "id").alias("url"))
 
 
-def link_states(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """(url, fields) of state files, objects by address; a folder that holds none gives no rows."""
-    lines = spark.read.text(path).select(F.from_json("value", f"map<string, struct<{fields}>>").alias("m"))
-    return lines.select(F.explode("m").alias("url", "s")).select("url", "s.*")
+def link_states(spark: SparkSession, path: str, fields: str, version: int | None = None) -> DataFrame:
+    """(url, fields) of state files, objects by address: the current version of ``path``, or plain files in it.
+
+    A path that holds none, or that isn't there yet, gives no rows.
+    """
+    if versions.latest(spark, path):
+        lines = versions.read(spark, path, "value string", version)
+    else:
+        try:
+            lines = spark.read.text(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            lines = spark.createDataFrame([], "value string")
+    states = lines.select(F.from_json("value", f"map<string, struct<{fields}>>").alias("m"))
+    return states.select(F.explode("m").alias("url", "s")).select("url", "s.*")
 
 
 def value_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +129,14 @@ def transcripts(spark: SparkSession, root: str, files: str = "agent-*.jsonl", be
     return rows.where(F.col("path").rlike(below))
 
 
-def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """(path of the transcript, description, tool_use_id, stopped) of the ``.meta.json`` files."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "agent-*.meta.json").text(root, wholetext=True)
-    paths = F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl")
-    return parse_sidecars(files.select(paths.alias("path"), "value"))
+def sidecars(spark: SparkSession, root: str, files: str = "agent-*.meta.json", ending: str = r"\.meta\.json$") -> DataFrame:
+    """(path of the transcript, description, tool_use_id, stopped) of the files beside transcripts.
+
+    ``ending``: what of a file's path gives way to ``.jsonl``.
+    """
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(root, wholetext=True)
+    paths = F.regexp_replace(F.col("_metadata.file_path"), ending, ".jsonl")
+    return parse_sidecars(found.select(paths.alias("path"), "value"))
 
 
 def parse_sidecars(files: DataFrame) -> DataFrame:
