@@ -46,6 +46,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return spread(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more))
 
 
+def one_row_each(docs: DataFrame, keep: DataFrame, hashed=F.xxhash64) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``keep`` (doc_id, row, distinct); of rows that repeat both, one.
+
+    ``row`` is ``hashed`` of the text, null as empty.  Rows are joined and told apart by the same
+    keys, so they are shuffled once.
+    """
+    whole = docs.select("doc_id", hashed(F.coalesce(F.col("text"), F.lit(""))).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    kept = whole.join(keep.hint("merge"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

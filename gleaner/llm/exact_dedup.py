@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts
+from .common import one_row_each, small_batches, stored, texts
 
 TABLE_BYTES = 48 << 20
 FAN_OUT = 16
@@ -211,8 +211,9 @@ def exact_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return docs.join(exact_classes(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """One document of each text, that of the largest doc_id, with all its columns; of rows that repeat doc_id and text one stays."""
+    keep = exact_classes(docs).where("kept").select("doc_id", F.col("text_sha256").alias("row")).distinct()
+    return one_row_each(docs, keep, lambda text: F.sha2(text, 256))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -54,13 +54,13 @@ def selected_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     )
     size = F.size("a")
 
-    def position(m: Column) -> Column:
-        at = -m["p"]
+    def position(at: Column) -> Column:
         start = F.greatest(at - (run - 1), F.lit(0))
         n = F.least(at + run, size) - start
-        return F.struct(m["h"].alias("fp"), at.alias("at"), start.alias("start"), F.slice("a", start + 1, n)["h"].alias("h"), F.slice("b", start + 1, n).alias("k"))
+        return F.struct(F.get("a", at)["h"].alias("fp"), at.alias("at"), start.alias("start"), F.slice("a", start + 1, n)["h"].alias("h"), F.slice("b", start + 1, n).alias("k"))
 
-    minima = F.array_distinct(F.transform(F.sequence(F.lit(0), size - run), lambda i: F.array_min(F.slice("a", i + 1, run))))
+    # Distinct positions are found by hashing, as they are integers; distinct structs would be compared each with all.
+    minima = F.array_distinct(F.transform(F.sequence(F.lit(0), size - run), lambda i: -F.array_min(F.slice("a", i + 1, run))["p"]))
     chosen = hashed.where(size >= run).withColumn("minima", minima)
     return chosen.select("doc_id", "row", F.explode(F.transform("minima", position)).alias("s")).select("doc_id", "row", "s.*")
 

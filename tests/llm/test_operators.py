@@ -433,6 +433,61 @@ def test_trie_pairs_are_all_pairs():
     assert sorted(found) == want
 
 
+def test_a_large_cluster_is_grouped_without_its_pairs():
+    """All values within three bits of one: 130 million linked pairs, which are never held."""
+    import tracemalloc
+    from itertools import combinations
+
+    base = 0x0123456789ABCDEF
+    fps = np.unique(np.array([base ^ sum(1 << b for b in bits) for k in range(4) for bits in combinations(range(64), k)], np.uint64))
+    assert len(fps) == 43745
+    groups = simhash.Groups(len(fps))
+    tracemalloc.start()
+    simhash.walk(fps, [(0, len(fps), 0, len(fps), 0)], 63, 4, groups)
+    assert (groups.settle() == 0).all()
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [3, 40, 1000])
+def test_nodes_of_skewed_prefixes_are_split(spark, most):
+    """Fingerprints that share their first bits, in whatever order bits are taken, and some that share none."""
+    r = random.Random(6)
+    fps = {r.getrandbits(20) for _ in range(150)} | {(0xABC << 50) | r.getrandbits(16) << 20 for _ in range(150)} | {r.getrandbits(64) for _ in range(20)} | {0, (1 << 64) - 1}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = reach(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4])
+    table = spark.createDataFrame([(s,) for s in signed], "fp long")
+    found = {x["node"]: x["root"] for x in components(simhash.near_links(table, 4, 4, most)).collect()}
+    assert {s: found.get(s, s) for s in signed} == want
+    order = list(range(63, -1, -1))
+    nodes = simhash._nodes(table, order, 4, most)
+    held = Counter(nodes.of(simhash.in_order(np.array(sorted(fps), np.uint64), order)).tolist())
+    assert all(n <= most or nodes.depth[i] >= 59 for i, n in held.items())
+
+
+def test_dropping_copies_leaves_one_row_of_each(spark):
+    rows = [(1, "a", "x"), (1, "b", "x"), (2, "a", "y"), (3, "c", "z"), (3, "c", "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(table).collect()) == [(1, "b"), (2, "a"), (3, "c")]
+    near = [(1, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "a b c d e", "z"), (2, "q w e r t y", "z"), (None, "a", "n")]
+    found = simhash.drop_near(spark.createDataFrame(near, "doc_id long, text string, row string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == [(1, "a b c d e"), (2, "q w e r t y")]
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_document(spark):
+    import time
+
+    def seconds(n):
+        table = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(n))), (2, "\n".join(f"line {i}" for i in range(n - 5, n)))], "doc_id long, text string")
+        began = time.time()
+        found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.delete_runs(table).select("doc_id", "n_lines", "n_removed").collect()}
+        assert found == {1: (n, 0), 2: (5, 5)}
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(200_000) < 60  # an hour and more where it is quadratic
+
+
 def test_simhash_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "y"), (1, None, "z"), (2, "a b c d e", "w")], "doc_id long, text string, fp string")
     found = simhash.near_classes(rows).collect()
