@@ -9,8 +9,10 @@ Every record has an id of its own, and decisions are about records, so rows that
 page_id keep their payloads.  Payloads are equal if length, SHA-1 and SHA-256 are.
 
 A file holds at most ``RECORDS_PER_FILE`` records of up to ``LARGE_BYTES``; larger ones lie
-in files of their own kind, of so few records that they too stay within ``FILE_BYTES`` (or
-hold one).  So the file that a task holds in memory is bounded in bytes, whatever a page is.
+in files of their own kind, one for each eightfold size, of so few records that they too stay
+within ``FILE_BYTES`` (or hold one).  So the file that a task holds in memory is bounded in
+bytes, whatever a page is, and a large page makes no small files of the others.  Files come to a
+task in Arrow batches that Spark bounds in bytes, and are unpacked one after the other.
 
 Defined results: a null html is the empty payload; a null or empty url has no
 ``WARC-Target-URI``; rows without page_id are left out, as no record could be named;
@@ -33,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, stored
+from .common import BATCH_ROWS, new_path, small_batches, stored  # noqa: F401
 
 END = "\r\n\r\n"
 #: Records in one archive file, payloads that lie apart, and what a file of those may hold.
 RECORDS_PER_FILE, LARGE_BYTES, FILE_BYTES = 500, 128 << 10, 64 << 20
-KINDS = ("usual", "large")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
@@ -118,9 +119,17 @@ def write_records(records: DataFrame, path: str, most: int = RECORDS_PER_FILE) -
     writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def _most(largest: int | None) -> dict[str, int]:
-    """Records to a file, by kind; ``largest``: bytes of the largest payload."""
-    return {"usual": RECORDS_PER_FILE, "large": max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, largest or 0)))}
+def _kinds() -> list[tuple[str, int]]:
+    """Kinds of payloads with the largest size of each, the last without one that counts."""
+    found = [("usual", LARGE_BYTES)]
+    while found[-1][1] < FILE_BYTES:
+        found.append(("large" if len(found) == 1 else f"large-{len(found)}", found[-1][1] * 8))
+    return [*found, ("huge", 1 << 62)]
+
+
+def _records_per_file(largest: int) -> int:
+    """The records of a kind with payloads up to ``largest`` that a file may hold."""
+    return max(1, min(RECORDS_PER_FILE, FILE_BYTES // largest))
 
 
 def write_responses(pages: DataFrame, path: str, date: str) -> dict[str, int]:
@@ -137,9 +146,13 @@ def write_responses(pages: DataFrame, path: str, date: str) -> dict[str, int]:
     small_batches(pages.sparkSession)
     rows = pages.where("page_id is not null").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
-    most = _most(rows.agg(F.max(size)).first()[0])
-    for kind, chosen in zip(KINDS, (size <= LARGE_BYTES, size > LARGE_BYTES), strict=True):
-        write_records(rows.where(chosen).mapInArrow(run, "value string"), f"{path}/{kind}", most[kind])
+    kinds, most, above = _kinds(), {}, -1
+    counts = rows.agg(*(F.count_if((size > low) & (size <= high)).alias(kind) for (kind, high), low in zip(kinds, [-1, *(x for _, x in kinds)], strict=False))).first()
+    for kind, largest in kinds:
+        if counts[kind] or kind == "usual":
+            most[kind] = _records_per_file(largest)
+            write_records(rows.where((size > above) & (size <= largest)).mapInArrow(run, "value string"), f"{path}/{kind}", most[kind])
+        above = largest
     return most
 
 
@@ -161,8 +174,7 @@ _HEADER_ARROW = pa.schema(
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the archive files below ``path``, one to an Arrow batch for large ones."""
-    small_batches(spark, 8)
+    """(path, content) of the archive files below ``path``."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
@@ -226,7 +238,7 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, m
         for b in batches:
             for data, decided in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 known = {r["record_id"]: {"record_id": fresh_id(r["first_id"], date), "page_id": r["page_id"], "url": r["url"], "date": date} for r in decided or []}
-                out = []
+                out: list[str] = []
                 for h, block in parse_archive(data):
                     record_id = fresh_id(h["WARC-Record-ID"], date)
                     name = (record_id, int(h["Page-Id"]), h.get("WARC-Target-URI"))
@@ -239,7 +251,7 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, date: str, m
                         out.append(revisit_record(*name, *digests, len(payload), date, original))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    for kind in KINDS:
+    for kind in most:
         files = archive_files(spark, f"{source}/{kind}").join(revisits, F.col("path") == F.col("file"), "left")
         write_records(files.select("content", "revisits").mapInArrow(run, "value string"), f"{target}/{kind}", most[kind])
 

@@ -598,3 +598,17 @@ def test_winnowing_indexes_selected_lines_only(spark):
     assert 0.35 * len(lines) < len(index) < 0.65 * len(lines)
     at = sorted(r["at"] for r in index)
     assert at[0] < line_dedup.RUN and all(b - a <= line_dedup.RUN for a, b in zip(at, at[1:], strict=False))
+
+
+def test_one_huge_page_makes_few_files_of_the_others(spark, tmp_path):
+    r = random.Random(2)
+    middle = "".join(r.choice("abcdefgh") for _ in range(140 << 10))
+    rows = [(i, f"http://h/{i}", f"{i} {middle}") for i in range(299)] + [(299, "http://h/299", middle * 290), (300, "u", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    most = warc.write_responses(table, f"{tmp_path}/a", "2024-01-01T00:00:00Z")
+    assert set(most) == {"usual", "large", "large-3"}
+    assert warc.archive_files(spark, f"{tmp_path}/a").count() <= 8
+    found = warc.read_headers(spark, f"{tmp_path}/a").collect()
+    assert sorted((x["page_id"], x["payload_bytes"]) for x in found) == [(i, len(h or "")) for i, _, h in rows]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (int(before), warc.BATCH_ROWS)
