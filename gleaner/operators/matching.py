@@ -105,52 +105,80 @@ def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: s
     return _judged(done.union(waiting).select("*", skipped), query, ordinal, "distance")
 
 
-def _rarest(sets: DataFrame, name: str, others: DataFrame, least: float) -> DataFrame:
-    """(name, n, token): of each set so many tokens, those that ``others`` hold least, that any sharing of ``least`` or more hits one."""
-    held = others.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    tokens = sets.select(name, "n", F.explode("t").alias("token")).join(held, "token")
-    absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(name))
-    place = F.row_number().over(Window.partitionBy(name).orderBy("held", "token"))
-    needed = F.col("n") - F.greatest(F.ceil(F.col("n") * F.lit(least)), F.lit(1)) + 1
-    return tokens.withColumn("place", place).withColumn("absent", absent).where(F.col("place") + F.col("absent") <= needed).select(name, "n", "token")
+#: Pairs that a token may make by itself; tokens of more are hot.
+HOT_PAIRS = 1 << 22
 
 
-def label_pairs(q: DataFrame, c: DataFrame, query: str, ordinal: str, least: float) -> DataFrame:
-    """(query, ordinal, distance = 1 - overlap) of pairs of token sets (name, n, t) with an overlap of ``least`` or more.
+def shared_tokens(q: DataFrame, c: DataFrame, query: str, ordinal: str) -> DataFrame:
+    """(query, ordinal, n_q, n_c, k): how many tokens two sets (name, n, token) share, for pairs that share any."""
+    both = q.select(query, F.col("n").alias("n_q"), "token").join(c.select(ordinal, F.col("n").alias("n_c"), "token"), "token")
+    return both.groupBy(query, ordinal).agg(F.first("n_q").alias("n_q"), F.first("n_c").alias("n_c"), F.count(F.lit(1)).alias("k"))
 
-    Such a pair shares one of the rarest tokens of its smaller set, so only those meet the other side.
-    Pairs that meet are compared once, on whole sets.
+
+def _with_hot(q: DataFrame, c: DataFrame, hot: DataFrame, counted: DataFrame, query: str, ordinal: str) -> DataFrame:
+    """``counted`` (over all but hot tokens) with what hot tokens add, for pairs that can be among the two best of a query.
+
+    With h the hot tokens of a set, a pair shares at least k tokens and at most k + min(h_q, h_c).
+    A pair whose most is below its query's second least is neither best nor next.  Pairs that share
+    hot tokens only share at most the hottest set's part; queries for which that reaches their
+    second least count all tokens.
     """
-    all_q, all_c = (x.select(name, F.col("n").alias(f"{name}_n"), F.explode("t").alias("token")) for x, name in ((q, query), (c, ordinal)))
-    small_c = _rarest(c, ordinal, q, least).join(all_q, "token").where(F.col("n") <= F.col(f"{query}_n")).select(query, ordinal)
-    small_q = _rarest(q, query, c, least).join(all_c, "token").where(F.col("n") < F.col(f"{ordinal}_n")).select(query, ordinal)
-    met = small_c.union(small_q).distinct()
-    both = met.join(c.select(ordinal, F.col("t").alias("b")), ordinal).join(q.select(query, F.col("t").alias("a")), query)
-    return both.select(query, ordinal, (1 - T.overlap("a", "b")).alias("distance"))
+    split = lambda rows, name: stored(rows.join(hot, "token").groupBy(name, "n").agg(F.collect_set("token").alias("hot")), "label-hot")
+    hot_q, hot_c = split(q, query), split(c, ordinal)
+    part = F.max(F.size("hot") / F.col("n")).alias("part")
+    hottest = hot_c.agg(part).first()["part"] or 0.0
+    least = F.least("n_q", "n_c")
+    held = counted.withColumn("low", F.col("k") / least)
+    second = held.withColumn("nr", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("low"), ordinal))).where("nr <= 2")
+    bound = second.groupBy(query).agg(F.max(F.when(F.col("nr") == 2, F.col("low"))).alias("bound"))
+    state = stored(
+        hot_q.select(query, (F.size("hot") / F.col("n")).alias("own")).join(bound, query, "left").select(query, (F.greatest("own", F.lit(hottest)) >= F.coalesce("bound", F.lit(0.0))).alias("open")),
+        "label-open",
+    )
+    opened = state.where("open").select(query)
+    whole = shared_tokens(q.join(opened, query, "left_semi"), c, query, ordinal)
+    bounded = held.join(opened, query, "left_anti").join(bound, query, "left")
+    hot_of = lambda rows, name, as_name: rows.select(name, F.col("hot").alias(as_name))
+    none = F.array().cast("array<string>")
+    near = bounded.join(hot_of(hot_q, query, "a"), query, "left").join(hot_of(hot_c, ordinal, "b"), ordinal, "left")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    most = (F.col("k") + F.least(F.size(a), F.size(b))) / least
+    close = near.where(most >= F.coalesce("bound", F.lit(0.0)))
+    return whole.union(close.select(query, ordinal, "n_q", "n_c", F.col("k") + F.size(F.array_intersect(a, b))))
+
+
+def label_pairs(q: DataFrame, c: DataFrame, query: str, ordinal: str) -> DataFrame:
+    """(query, ordinal, distance = 1 - overlap) of token sets (name, n, token); of each query at least the two nearest that share a token.
+
+    Pairs are counted token by token.  Tokens that would make too many pairs by themselves are left
+    out of that and met by bounds.
+    """
+    count = lambda rows, name: rows.groupBy("token").agg(F.count(F.lit(1)).alias(name))
+    hot = stored(count(q, "held_q").join(count(c, "held_c"), "token").where(F.col("held_q") * F.col("held_c") > HOT_PAIRS).select("token"), "label-hot-tokens")
+    if hot.isEmpty():
+        pairs = shared_tokens(q, c, query, ordinal)
+    else:
+        usual = lambda rows: rows.join(hot, "token", "left_anti")
+        counted = stored(shared_tokens(usual(q), usual(c), query, ordinal), "label-counts")
+        pairs = _with_hot(q, c, hot, counted, query, ordinal)
+    return pairs.select(query, ordinal, (1 - F.col("k") / F.least("n_q", "n_c")).alias("distance"))
 
 
 def best_label(queries: DataFrame, candidates: DataFrame, query: str, text: str, ordinal: str, label: str, floor: float = K.OVERLAP_FLOOR) -> DataFrame:
     """The candidate whose label shares most tokens with a query's text, if the overlap is above ``floor``.
 
-    The runner-up is sought among all candidates, but only for queries with a single one above the
-    floor; a candidate that shares nothing has distance 1.
+    The runner-up is the next of all candidates; one that shares nothing has distance 1.
     """
 
     def sets(rows: DataFrame, name: str, c: str) -> DataFrame:
-        held = stored(spread(rows.select(name, c)).select(name, T.tokens(c).alias("t")), "label-tokens")  # filtered later, so found once
-        return held.select(name, F.size("t").alias("n"), "t").where("n > 0")
+        held = spread(rows.select(name, c)).select(name, T.tokens(c).alias("t"))
+        return stored(held.select(name, F.size("t").alias("n"), F.explode("t").alias("token")), "label-tokens")  # counted and joined, so found once
 
-    q, c = sets(queries, query, text), sets(candidates, ordinal, label)
     several = len(candidates.select(ordinal).take(2)) > 1
-    close = stored(label_pairs(q, c, query, ordinal, floor), "label-pairs").where(F.col("distance") < 1 - floor)
-    near = stored(two_nearest(close, query, "distance", ordinal), "label-near")
-    waiting = near.where("runner_up is null")
-    looking = q.join(waiting.select(query), query, "left_semi")
-    others = label_pairs(looking, c, query, ordinal, 0.0).join(waiting.select(query, F.col(ordinal).alias("taken")), query).where(F.col(ordinal) != F.col("taken"))
-    found = others.groupBy(query).agg(F.min("distance").alias("next"))
+    pairs = label_pairs(sets(queries, query, text), sets(candidates, ordinal, label), query, ordinal)
+    near = two_nearest(pairs, query, "distance", ordinal).where(F.col("distance") < 1 - floor)
     last = F.lit(1.0 if several else None).cast("double")
-    late = waiting.join(found, query, "left").select(query, ordinal, "distance", F.coalesce("next", last).alias("runner_up"))
-    return _judged(near.where("runner_up is not null").union(late).select("*", F.lit(0).cast("long").alias("skipped")), query, ordinal, "distance")
+    return _judged(near.withColumn("runner_up", F.coalesce("runner_up", last)).withColumn("skipped", F.lit(0).cast("long")), query, ordinal, "distance")
 
 
 def top_by(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

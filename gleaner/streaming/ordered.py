@@ -74,12 +74,13 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
         ready = [r for r in rows if r[0] <= passed]
-        held = self.kept.get() if self.kept.exists() else None
+        held = self.kept.get()
         if not ready and held is None:
             return
-        machine, kept = self.machine, tuple(held) if held is not None else None
+        held = tuple(held) if held is not None else None
+        machine, kept = self.machine, held
         out: list[tuple] = []
 
         def ended(before: int) -> None:
@@ -100,7 +101,7 @@ class _InOrder(StatefulProcessor):
             self.waiting.clear()
         if kept is None:
             self.kept.clear()
-        else:
+        elif kept != held:
             self.kept.update(kept)
         due = machine.ends(kept) if kept is not None else None
         for at in ([later[0][0]] if later else []) + ([due] if due is not None else []):

@@ -348,7 +348,10 @@ def test_runner_up_is_sought_beyond_the_floor(spark):
     assert [(r["q"], r["runner_up"], r["margin"]) for r in alone] == [(1, None, None)]
 
 
-def test_best_label_equals_a_loop_over_all_candidates(spark):
+@pytest.mark.parametrize("hot_pairs", [matching.HOT_PAIRS, 250, 20])
+def test_best_label_equals_a_loop_over_all_candidates(spark, monkeypatch, hot_pairs):
+    """Also where tokens of many queries or labels are left to the bounds."""
+    monkeypatch.setattr(matching, "HOT_PAIRS", hot_pairs)
     r = random.Random(8)
     words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(40)] + ["common"]
     text = lambda n: " ".join(["common"] * r.randint(0, 1) + [r.choice(words) for _ in range(r.randint(0, n))])
