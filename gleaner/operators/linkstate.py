@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import urls as U
 from ..functions.text import col
+from ..sources.store import stored
 from .fanout import lists
+from .ordering import ordered
 
 TOP_KEYS = ("http_status", "last_checked", "verdicts", "verified_via")
 VERDICT_KEYS = ("content_status", "semantic_verified_at", "notes")
@@ -77,10 +81,69 @@ def host_buckets(links: DataFrame, ordinal: str, size: int = K.LIST_SIZE) -> Dat
     return lists(hosts, "host", ordinal, "url", size).withColumnRenamed("values", "urls")
 
 
-def host_plan(links: DataFrame, ordinal: str, interval_s: float = K.HOST_INTERVAL_S) -> DataFrame:
-    """Each link's slot in its host's serial queue and its start, in seconds after the host's first."""
-    slot = F.row_number().over(Window.partitionBy("host").orderBy(ordinal)) - 1
-    return links.withColumn("host", U.host("url")).withColumn("slot", slot).withColumn("starts_s", F.col("slot") * F.lit(interval_s))
+def longest_first(counts: dict[int, int], slots: int, interval_s: float) -> dict[int, list[float]]:
+    """When queues begin on ``slots`` of which each takes one at a time, the longest queues first.
+
+    ``counts``: how many queues there are of each number of links.  Of the queues of a number, rank r
+    begins at ``starts[r]``; behind the last, ranks go on in rounds of ``slots``, each by the time
+    of a queue later.  A queue takes an interval between two links.  Queues of a number are taken
+    one by one only until the slots are as near to each other as one queue is long; from then on a
+    round takes each slot once, so the work is by distinct numbers, not by queues.
+    """
+    free = [0.0] * slots
+    plan = {}
+    for n in sorted(counts, reverse=True):
+        taken, starts, left = (n - 1) * interval_s, [], counts[n]
+
+        def take() -> None:
+            starts.append(free[0])
+            heapq.heapreplace(free, free[0] + taken)
+
+        while left and (max(free) - free[0] > taken or (taken == 0 and not starts)):
+            if taken == 0:  # nothing takes time: all begin where the first slot is free
+                starts, left = [free[0]] * slots, 0
+                break
+            take()
+            left -= 1
+        for _ in range(min(left, slots)):
+            take()
+            left -= 1
+        rounds, rest = divmod(left, slots)
+        free = [x + rounds * taken for x in free]
+        for _ in range(rest):
+            heapq.heapreplace(free, free[0] + taken)
+        plan[n] = starts
+    return plan
+
+
+def host_plan(links: DataFrame, ordinal: str, interval_s: float = K.HOST_INTERVAL_S, max_hosts: int = K.MAX_HOSTS) -> DataFrame:
+    """``links`` with host, its ``slot`` in the host's serial queue, and ``starts_s``, in seconds from the begin of all.
+
+    Hosts run side by side, at most ``max_hosts`` at once, those with most links first (of equal ones
+    the one that is seen first); links of a host follow each other by an interval.  The makespan is
+    the largest ``starts_s``.  Places are counted by ranges, so no task holds a host or all hosts; the
+    driver holds the distinct numbers of links of hosts, at most about twice the root of all links.
+    """
+    spark = links.sparkSession
+    hosted = links.withColumn("host", F.coalesce(U.host("url"), F.lit("")))
+    placed = ordered(hosted, "host", ordinal)
+    queues = stored(placed.groupBy(F.col("host").alias("_h")).agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("_first"), F.min(ordinal).alias("_seen")), "host-queues")
+    counts = {r["_n"]: r["n"] for r in queues.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).collect()}
+    slots = max(1, min(max_hosts, sum(counts.values())))
+    plan = longest_first(counts, slots, interval_s)
+    before, first_rank = 0, {}
+    for n in sorted(counts, reverse=True):
+        first_rank[n], before = before, before + counts[n]
+    rows = [(n, first_rank[n], starts) for n, starts in plan.items()]
+    begins = spark.createDataFrame(rows, "_n long, _before long, _starts array<double>")
+    ranked = ordered(queues.withColumn("_minus", -F.col("_n")), "_minus", "_seen", "_h").withColumnRenamed("place", "_place").join(begins, "_n")
+    rank, size = F.col("_place") - 1 - F.col("_before"), F.size("_starts")
+    beyond = rank - size
+    periodic = F.get("_starts", (size - slots + F.pmod(beyond, F.lit(slots))).cast("int")) + (F.floor(beyond / slots) + 1) * (F.col("_n") - 1) * F.lit(interval_s)
+    begin = F.when(rank < size, F.get("_starts", rank.cast("int"))).otherwise(periodic)
+    queue = ranked.select("_h", "_first", begin.alias("_begin"))
+    slot = F.col("place") - F.col("_first")
+    return placed.join(queue, F.col("host") == F.col("_h")).select(*(c for c in hosted.columns), slot.alias("slot"), (F.col("_begin") + slot * F.lit(float(interval_s))).alias("starts_s"))
 
 
 def schema_problems(states: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def query(name: str, sql: str | None = None) -> Callable:
         if sql is not None:
             heads = ", ".join(f"{n} AS ({s})" for n, s in _ctes(sql, {}).items())
             body = sql.strip()
-            if heads and body[:5].upper() == "WITH ":
+            if heads and body[:15].upper() == "WITH RECURSIVE ":
+                body = f"WITH RECURSIVE {heads}, {body[15:]}"
+            elif heads and body[:5].upper() == "WITH ":
                 body = f"WITH {heads}, {body[5:]}"
             elif heads:
                 body = f"WITH {heads} {body}"

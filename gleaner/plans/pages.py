@@ -304,9 +304,27 @@ def _(t):
     return L.host_buckets(t("links"), "ordinal", 50).select("host", "part", "n", F.array_join("urls", " ").alias("urls"))
 
 
-@query("host_serial", f"SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY ordinal) - 1 AS slot, CAST(row_number() OVER (PARTITION BY {_HOST} ORDER BY ordinal) - 1 AS DOUBLE) AS starts_s FROM links")
+@query(
+    "host_serial",
+    f"""WITH RECURSIVE hosted AS (SELECT page_id, {_HOST} AS host, ordinal FROM links),
+        queues AS (SELECT host, n, row_number() OVER (ORDER BY n DESC, seen, host) AS nr FROM (SELECT host, count(*) AS n, min(ordinal) AS seen FROM hosted GROUP BY host)),
+        steps AS (SELECT CAST(0 AS BIGINT) AS nr, CAST(0 AS DOUBLE) AS began, list_transform(range(3), lambda x: CAST(0 AS DOUBLE)) AS free
+            UNION ALL SELECT q.nr, list_min(s.free), list_concat(list_slice(s.free, 1, list_position(s.free, list_min(s.free)) - 1), [list_min(s.free) + q.n - 1], list_slice(s.free, list_position(s.free, list_min(s.free)) + 1, 3))
+            FROM steps s JOIN queues q ON q.nr = s.nr + 1)
+        SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY ordinal) - 1 AS slot, began + row_number() OVER (PARTITION BY host ORDER BY ordinal) - 1 AS starts_s
+        FROM hosted JOIN queues USING (host) JOIN steps USING (nr)""",
+)
+def _(t):
+    """At most three hosts at once, so that some wait."""
+    return L.host_plan(t("links"), "ordinal", max_hosts=3).select("page_id", "host", F.col("slot").cast("long").alias("slot"), "starts_s")
+
+
+@query("host_makespan", f"WITH per AS (SELECT {_HOST} AS host, count(*) AS n FROM links GROUP BY 1) SELECT count(*) AS hosts, CAST(max(n) - 1 AS DOUBLE) AS longest_s, CAST(sum(n - 1) AS DOUBLE) AS one_by_one_s FROM per")
 def _(t):
-    return L.host_plan(t("links"), "ordinal").select("page_id", "host", F.col("slot").cast("long").alias("slot"), F.col("starts_s").cast("double").alias("starts_s"))
+    """With a slot for each host the longest queue is the makespan; with one slot all queues follow each other."""
+    alone = L.host_plan(t("links"), "ordinal", max_hosts=1).agg(F.max("starts_s").alias("one_by_one_s"))
+    wide = L.host_plan(t("links"), "ordinal", max_hosts=1 << 20).agg(F.countDistinct("host").alias("hosts"), F.max("starts_s").alias("longest_s"))
+    return wide.crossJoin(alone)  # one row each
 
 
 @query("live_count", "SELECT count(*) FILTER (http_status IN (200, 301, 302, 303, 307, 308)) AS live, count(*) AS total FROM link_states")

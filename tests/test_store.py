@@ -147,3 +147,50 @@ def test_pauses_are_drawn_once_and_for_all(spark):
     drawn = [v for v in one.values() if v is not None]
     assert all(11 <= v <= 15 for v in drawn) and len(set(drawn)) == len(drawn)
     assert {(r["g"], r["o"]): r["pause_s"] for r in workflows.drawn_pauses(rows, "g", "o", seed=2).collect()} != one
+
+
+def plain_starts(sizes, slots, interval):
+    import heapq
+
+    free, starts = [0.0] * slots, []
+    for n in sizes:
+        starts.append(free[0])
+        heapq.heapreplace(free, free[0] + (n - 1) * interval)
+    return starts
+
+
+def test_queues_begin_as_if_taken_one_by_one():
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    for _ in range(300):
+        sizes = sorted((r.choice([1, 2, 3, r.randint(1, 40)]) for _ in range(r.randint(1, 120))), reverse=True)
+        slots = r.randint(1, 12)
+        plan, found, rank = linkstate.longest_first(Counter(sizes), slots, 0.5), [], Counter()
+        for n in sizes:
+            k, starts = rank[n], plan[n]
+            rank[n] += 1
+            beyond = k - len(starts)
+            found.append(starts[k] if beyond < 0 else starts[len(starts) - slots + beyond % slots] + (beyond // slots + 1) * (n - 1) * 0.5)
+        assert found == plain_starts(sizes, slots, 0.5)
+
+
+def test_hosts_run_side_by_side_up_to_a_cap(spark):
+    links = [(i, f"http://h{i % 7}.test/{i}") for i in range(40)] + [(100 + i, f"http://big.test/{i}") for i in range(30)] + [(200, "no address"), (201, None)]
+    rows = spark.createDataFrame(links, "ordinal long, url string")
+    for cap in (1, 2, 5, 32):
+        found = linkstate.host_plan(rows, "ordinal", 0.5, cap).collect()
+        assert len(found) == len(links)
+        by_host = {}
+        for x in sorted(found, key=lambda x: x["ordinal"]):
+            by_host.setdefault(x["host"], []).append(x)
+        spans = []
+        for xs in by_host.values():
+            assert [x["slot"] for x in xs] == list(range(len(xs)))
+            assert [round(x["starts_s"] - xs[0]["starts_s"], 6) for x in xs] == [0.5 * k for k in range(len(xs))]
+            spans.append((xs[0]["starts_s"], xs[-1]["starts_s"]))
+        for at, _ in spans:
+            assert sum(a <= at < b for a, b in spans) <= cap
+        order = sorted(by_host.values(), key=lambda xs: (-len(xs), xs[0]["ordinal"]))
+        assert [xs[0]["starts_s"] for xs in order] == plain_starts([len(xs) for xs in order], min(cap, len(order)), 0.5)
