@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,27 +80,68 @@ def _placed() -> Column:
     return F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
 
 
+#: Grids of cubes, each moved by a part of its width: whatever lies near a place is in one cube with it in some grid.
+SHIFTS = 4
+
+
+def _xyz() -> list[Column]:
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
+
+
+def _in_grids(rows: DataFrame, widths: list[float], *keep: str) -> DataFrame:
+    """``rows`` once for each level (a width) and shift, with the cube that holds them; the widest cube of a grid holds all."""
+    grids = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(w).alias("w"), F.lit(w * j / SHIFTS).alias("by"), F.lit(j).alias("shift")) for k, w in enumerate(widths) for j in range(SHIFTS)))
+    dealt = rows.select(*keep, *(c.alias(n) for c, n in zip(_xyz(), "xyz", strict=True)), F.explode(grids).alias("g"))
+    return dealt.select(*keep, "g.level", "g.shift", *(F.floor((F.col(n) + 1 + F.col("g.by")) / F.col("g.w")).alias(n) for n in "xyz"))
+
+
+def next_nearest(near: DataFrame, points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float) -> DataFrame:
+    """(query, next): the distance to the nearest candidate besides the one that ``near`` (query, ordinal) has.
+
+    Cubes of doubling width are a tree over the places.  The narrowest cube of a query that holds
+    two candidates bounds the distance by its diagonal, from counts alone; then only candidates in
+    the cubes around the query at the width of that bound are compared.  So each query looks as
+    far as the places around it are thin, and no farther.
+    """
+    widths = [floor_m / K.EARTH_RADIUS_M]
+    while widths[-1] < 4:  # moved by up to a width, a cube of four holds the whole sphere
+        widths.append(widths[-1] * 2)
+    looking = points.join(near.select(query, F.col(ordinal).alias("taken")), query)
+    cube = ["level", "shift", "x", "y", "z"]
+    full = stored(_in_grids(candidates, widths).groupBy(*cube).agg(F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"), "geo-full")
+    level = _in_grids(looking, widths, query).join(full, cube).groupBy(query).agg(F.min("level").alias("level"))
+    bounded = stored(looking.join(level, query).select(query, "lat", "lon", "taken", (F.col("level") + 1).alias("level")), "geo-bounded")  # twice the width is over the diagonal
+    used = [r["level"] for r in bounded.select("level").distinct().collect()]  # at most one for each doubling
+    width = lambda: F.lit(floor_m / K.EARTH_RADIUS_M * 1.0001) * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c, by=0: F.floor(c / width()) + by
+    around = bounded.select(query, "taken", "level", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), *(F.explode(F.array(*(cell(c, i) for i in (-1, 0, 1)))).alias(n) if n == "x" else cell(c).alias(n) for c, n in zip(_xyz(), "xyz", strict=True)))
+    for axis in "yz":
+        around = around.withColumn(axis, F.explode(F.array(*(F.col(axis) + i for i in (-1, 0, 1)))))
+    levels = F.explode(F.array(*map(F.lit, used))) if used else F.explode(F.array().cast("array<int>"))
+    dealt = candidates.select(ordinal, "lat", "lon", levels.alias("level")).select(ordinal, "level", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), *(cell(c).alias(n) for c, n in zip(_xyz(), "xyz", strict=True)))
+    met = around.join(dealt, ["level", "x", "y", "z"]).where(F.col(ordinal) != F.col("taken"))
+    distance = haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("c_lat"), F.col("c_lon"))
+    return met.groupBy(query).agg(F.min(distance).alias("next"))
+
+
 def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M) -> DataFrame:
     """The nearest candidate of each point under the floor, with the next one however far.
 
-    Points with one candidate under the floor look for the next one in wider and wider cubes; each
-    round only those look that have found none.  Candidates without a place are ``skipped``.
+    Points with one candidate under the floor look for the next one as far as their surroundings
+    ask for.  Candidates without a place are ``skipped``.
     """
     good = candidates.where(_placed())
     near = stored(two_nearest(near_pairs(points, good, query, ordinal, floor_m), query, "distance", ordinal), "geo-near")
     counts = candidates.agg(F.count_if(_placed()).alias("good"), F.count(F.lit(1)).alias("all")).first()
-    done, radius = near.where("runner_up is not null"), floor_m
     waiting = near.where("runner_up is null")
-    while counts["good"] > 1 and radius <= math.pi * K.EARTH_RADIUS_M and not waiting.isEmpty():
-        radius *= 8
-        first = waiting.select(query, F.col(ordinal).alias("taken"), F.col("distance").alias("first_distance"))
-        looking = points.join(first.select(query), query, "left_semi")
-        others = near_pairs(looking, good, query, ordinal, radius, spread_points=True).join(first, query).where(F.col(ordinal) != F.col("taken"))
-        found = others.groupBy(query).agg(F.min("distance").alias("next"))
-        waiting = stored(waiting.join(found, query, "left").select(query, ordinal, "distance", F.col("next").alias("runner_up")), "geo-wider")
-        done, waiting = done.union(waiting.where("runner_up is not null")), waiting.where("runner_up is null")
+    done = near
+    if counts["good"] > 1 and not waiting.isEmpty():
+        found = next_nearest(waiting.select(query, ordinal), points, good, query, ordinal, floor_m)
+        late = waiting.join(found, query, "left").select(query, ordinal, "distance", F.col("next").alias("runner_up"))
+        done = near.where("runner_up is not null").union(late)
     skipped = F.lit(counts["all"] - counts["good"]).cast("long").alias("skipped")
-    return _judged(done.union(waiting).select("*", skipped), query, ordinal, "distance")
+    return _judged(done.select("*", skipped), query, ordinal, "distance")
 
 
 #: Pairs that a token may make by itself; tokens of more are hot.

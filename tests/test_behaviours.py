@@ -348,6 +348,32 @@ def test_runner_up_is_sought_beyond_the_floor(spark):
     assert [(r["q"], r["runner_up"], r["margin"]) for r in alone] == [(1, None, None)]
 
 
+@pytest.mark.parametrize("spread", [0.02, 3.0, 60.0])
+def test_nearest_geo_equals_a_loop(spark, spread):
+    """Clusters of several densities, far ones, the poles, the date line, repeated places and one alone."""
+    import math
+
+    r = random.Random(int(spread))
+    place = lambda lat, lon: (max(-90.0, min(90.0, r.gauss(lat, spread))), (r.gauss(lon, spread) + 180) % 360 - 180)
+    centres = [(0.0, 0.0), (89.9, 10.0), (-20.0, 179.99), (45.0, 90.0), (1e-6, -1e-6)]
+    places = [(i, *place(*centres[i % 5])) for i in range(120)] + [(120, 0.0, 0.0), (121, 0.0, 0.0), (122, -89.0, 0.0), (123, None, 1.0)]
+    points = [(i, lat + r.uniform(-0.005, 0.005) if abs(lat) < 89 else lat, lon) for i, lat, lon in places[:100]] + [(200, 0.0, 0.0), (201, -89.0, 0.005), (202, 30.0, -100.0)]
+
+    def apart(a, b):
+        x, y = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin((math.radians(b[2]) - math.radians(a[2])) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {}
+    for p in points:
+        first, second = sorted((apart(p, c), c[0]) for c in places if c[1] is not None)[:2]
+        if first[0] < 1500:
+            want[p[0]] = (first[1], round(first[0], 3), round(second[0], 3))
+    found = matching.nearest_geo(spark.createDataFrame(points, "q int, lat double, lon double"), spark.createDataFrame(places, "o int, lat double, lon double"), "q", "o").collect()
+    assert {x["q"]: (x["o"], round(x["distance"], 3), round(x["runner_up"], 3)) for x in found} == want
+    assert len(want) > 20 and all(x["skipped"] == 1 for x in found)
+
+
 @pytest.mark.parametrize("hot_pairs", [matching.HOT_PAIRS, 250, 20])
 def test_best_label_equals_a_loop_over_all_candidates(spark, monkeypatch, hot_pairs):
     """Also where tokens of many queries or labels are left to the bounds."""
