@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def _placed() -> Column:
 
 
 #: Grids of cubes, each moved by a part of its width: whatever lies near a place is in one cube with it in some grid.
-SHIFTS = 4
+#: From level to level cubes grow by a factor.
+SHIFTS, GROWTH = 2, 2
 
 
 def _xyz() -> list[Column]:
@@ -99,21 +102,21 @@ def _in_grids(rows: DataFrame, widths: list[float], *keep: str) -> DataFrame:
 def next_nearest(near: DataFrame, points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float) -> DataFrame:
     """(query, next): the distance to the nearest candidate besides the one that ``near`` (query, ordinal) has.
 
-    Cubes of doubling width are a tree over the places.  The narrowest cube of a query that holds
+    Cubes of growing width are a tree over the places.  The narrowest cube of a query that holds
     two candidates bounds the distance by its diagonal, from counts alone; then only candidates in
     the cubes around the query at the width of that bound are compared.  So each query looks as
     far as the places around it are thin, and no farther.
     """
     widths = [floor_m / K.EARTH_RADIUS_M]
     while widths[-1] < 4:  # moved by up to a width, a cube of four holds the whole sphere
-        widths.append(widths[-1] * 2)
+        widths.append(widths[-1] * GROWTH)
     looking = points.join(near.select(query, F.col(ordinal).alias("taken")), query)
     cube = ["level", "shift", "x", "y", "z"]
     full = stored(_in_grids(candidates, widths).groupBy(*cube).agg(F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"), "geo-full")
     level = _in_grids(looking, widths, query).join(full, cube).groupBy(query).agg(F.min("level").alias("level"))
-    bounded = stored(looking.join(level, query).select(query, "lat", "lon", "taken", (F.col("level") + 1).alias("level")), "geo-bounded")  # twice the width is over the diagonal
-    used = [r["level"] for r in bounded.select("level").distinct().collect()]  # at most one for each doubling
-    width = lambda: F.lit(floor_m / K.EARTH_RADIUS_M * 1.0001) * F.pow(F.lit(2.0), F.col("level"))
+    bounded = stored(looking.join(level, query).select(query, "lat", "lon", "taken", "level"), "geo-bounded")
+    used = [r["level"] for r in bounded.select("level").distinct().collect()]  # at most one for each width
+    width = lambda: F.lit(math.sqrt(3) * floor_m / K.EARTH_RADIUS_M * 1.0001) * F.pow(F.lit(float(GROWTH)), F.col("level"))  # noqa: E731  the diagonal of a cube
     cell = lambda c, by=0: F.floor(c / width()) + by
     around = bounded.select(query, "taken", "level", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), *(F.explode(F.array(*(cell(c, i) for i in (-1, 0, 1)))).alias(n) if n == "x" else cell(c).alias(n) for c, n in zip(_xyz(), "xyz", strict=True)))
     for axis in "yz":
