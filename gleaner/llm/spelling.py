@@ -39,6 +39,8 @@ LEAST_LENGTH, LEAST_COUNT, DROPPED, FORM_TIMES = 7, 2, 31, 10
 PASS_BYTES, CHUNK, TO_BLOCK = 32 << 20, 8192, 2
 #: Bytes of a text, words in a task's memory, and edits, that are handled at once.
 STRETCH, HELD, PROBED = 1 << 20, 200_000, 1 << 20
+#: Words whose edits one task generates, about.
+DEALT = 50_000
 
 _LETTER = rb"[A-Za-z\xc0-\xff]"
 _FOLD = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -241,7 +243,7 @@ def near_pairs(words: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     used = words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()  # at most the pattern's letters
     alphabet = bytes(sorted(ord(r["c"]) for r in used if r["c"]))
     chunks = stored(filter_chunks(words, blocks), "spelling-filters")
-    found = None
+    dealt, found = words.repartition(max(1, -(-sum(sizes.values()) // DEALT))), None  # a row is hundreds of probes
     for ranges in passes(blocks, max(1, pass_bytes // (8 * CHUNK))):
         filters: dict[int, tuple[int, np.ndarray]] = {}
         wanted = F.lit(False)
@@ -252,7 +254,7 @@ def near_pairs(words: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
             length, chunk = divmod(r["part"], 1 << 32)
             a, bits = filters[length]
             bits[(chunk - a) * CHUNK : (chunk - a + 1) * CHUNK] = np.frombuffer(r["bits"], np.uint64)
-        here = candidates(words, filters, blocks, alphabet)
+        here = candidates(dealt, filters, blocks, alphabet)
         found = here if found is None else found.union(here)
     exact = found.join(words.select(F.col("word").alias("edit"), F.col("n").alias("edit_n")).hint("merge"), "edit")
     one = F.struct("word", "n", F.col("edit").alias("near"), F.col("edit_n").alias("near_n"))
