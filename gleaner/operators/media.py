@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,37 @@ def flat_bands(width: Column, height: Column, rgb: Column, cfg: dict = K.GREY_BA
     return total
 
 
+@F.pandas_udf(LongType())
+def _flat_strips(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+    cfg = K.GREY_BANDS
+
+    def one(raw: bytes, rows: int, columns: int, deep: int) -> int:
+        pixels = np.frombuffer(raw, np.uint8).reshape(rows, columns, deep)[:, :, :3]
+        flat = 0
+        for i in range(cfg["bands"]):
+            top = int(rows * (cfg["height_start"] + cfg["height_span"] * i / cfg["bands"]))
+            strip = pixels[top : top + cfg["strip_px"]].reshape(-1, pixels.shape[2]).astype(np.float64)
+            level = np.abs(strip.mean(axis=0) - cfg["target_level"]) < cfg["mean_tolerance"]
+            flat += bool(level.all() and strip.var(axis=0).sum() < cfg["variance_max"])
+        return flat
+
+    given = zip(data, height, width, channels, strict=True)
+    return pd.Series([None if raw is None else one(raw, int(h), int(w), int(c)) for raw, h, w, c in given], dtype="Int64")
+
+
+def inspect_images(images: DataFrame) -> DataFrame:
+    """(path, bad, reason, flat) of decoded images (path, height, width, channels, data).
+
+    An image is bad if so many of its lower strips are the flat grey of a decoder's fill, or if it
+    couldn't be decoded at all (no data).
+    """
+    cfg = K.GREY_BANDS
+    seen = images.select("path", _flat_strips("data", "height", "width", "channels").alias("flat"))
+    filled = F.col("flat") >= cfg["min_bad_bands"]
+    reason = F.when(F.col("flat").isNull(), "undecodable").when(filled, F.concat("flat", F.lit(f"/{cfg['bands']} lower bands are decoder fill grey"))).otherwise("ok")
+    return seen.select("path", F.coalesce(filled, F.lit(True)).alias("bad"), reason.alias("reason"), "flat")
+
+
 def largest_media(responses: DataFrame, pattern: str, valid: Column) -> DataFrame:
     """(media_id, seq, size): per image the largest valid buffer, of equals the first; avatars are left out."""
     rows = responses.withColumn("media_id", U.media_id("url", pattern)).where(F.col("media_id").isNotNull() & ~U.is_avatar("url") & valid)

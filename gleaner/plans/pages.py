@@ -588,6 +588,27 @@ def _(t):
     return t("pages").select("page_id", M.jpeg_frame(data).alias("f")).select("page_id", "f.*")
 
 
+#: The head of a bitmap of 8 x 40 pixels of three bytes, with its lowest row first.
+_BITMAP = "424DF603000000000000360000002800000008000000280000000100180000000000C0030000130B0000130B00000000000000000000"
+
+
+@query(
+    "jpeg_band_files",
+    """SELECT k, CASE WHEN k % 4 = 3 THEN 'undecodable' WHEN k % 3 = 0 THEN '4/4 lower bands are decoder fill grey' WHEN k % 3 = 1 THEN '2/4 lower bands are decoder fill grey' ELSE 'ok' END AS reason, k % 4 = 3 OR k % 3 < 2 AS bad, n
+       FROM (SELECT page_id % 40 AS k, count(*) AS n FROM pages GROUP BY 1)""",
+)
+def _(t):
+    """An image file for each of forty groups of pages: all grey, grey below, striped, or no image; decoded by Spark and judged."""
+    path = _new(t, "images")
+    groups = t("pages").groupBy((F.col("page_id") % 40).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    grey, striped = (lambda rows, p=p: F.repeat(F.lit(p), 4 * rows) for p in ("808080808080", "00FF7F1040C0"))  # of eight pixels a row
+    pixels = F.when(F.col("k") % 3 == 0, grey(40)).when(F.col("k") % 3 == 1, F.concat(grey(12), striped(28))).otherwise(striped(40))
+    value = F.when(F.col("k") % 4 == 3, F.lit("no image")).otherwise(F.unhex(F.concat(F.lit(_BITMAP), pixels)).cast("string"))
+    groups.select("k", value.alias("value")).repartition("k").write.partitionBy("k").text(path)
+    found = M.inspect_images(readers.images(t.spark, path, "part-*"))
+    return found.select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"), "reason", "bad").join(groups, "k")
+
+
 @query("jpeg_bands", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 4 WHEN page_id % 3 = 1 THEN 2 ELSE 0 END AS flat FROM pages")
 def _(t):
     """Images of 8 x 40 pixels: all grey, grey in the last two bands, or striped."""

@@ -156,6 +156,17 @@ def responses(spark: SparkSession, path: str, files: str) -> DataFrame:
     return found.select("path", F.when(F.substring("content", 1, 2) == F.unhex(F.lit("1F8B")), gunzip("content")).otherwise(F.col("content")).alias("content"))
 
 
+def images(spark: SparkSession, path: str, files: str = "*.jp*g") -> DataFrame:
+    """(path, height, width, channels, data) of image files, decoded by Spark's image source; what can't be decoded has no data.
+
+    Spark lists no files of zero bytes; a work-list tells which are missing.  ``data``: rows from the top, pixels from the left, blue, green and red of each (one value if grey).
+    """
+    found = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", files).option("recursiveFileLookup", "true").load(path)
+    decoded = F.col("image.height") > 0
+    part = lambda c: F.when(decoded, F.col(f"image.{c}"))
+    return found.select(F.col("image.origin").alias("path"), part("height").alias("height"), part("width").alias("width"), part("nChannels").alias("channels"), part("data").alias("data"))
+
+
 def replaced_utf8(data: Column | str) -> Column:
     """Bytes as text, with U+FFFD for what is no UTF-8."""
     return F.make_valid_utf8((F.col(data) if isinstance(data, str) else data).cast("string"))

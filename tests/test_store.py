@@ -194,3 +194,29 @@ def test_hosts_run_side_by_side_up_to_a_cap(spark):
             assert sum(a <= at < b for a, b in spans) <= cap
         order = sorted(by_host.values(), key=lambda xs: (-len(xs), xs[0]["ordinal"]))
         assert [xs[0]["starts_s"] for xs in order] == plain_starts([len(xs) for xs in order], min(cap, len(order)), 0.5)
+
+
+def png(pixels):
+    """A picture of rows of (r, g, b)."""
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded_and_judged(spark, tmp_path):
+    from gleaner.operators import media
+
+    grey, busy = [(128, 128, 128)] * 16, [(k * 37 % 256, k * 91 % 256, k * 53 % 256) for k in range(16)]
+    files = {"whole": [busy] * 100, "filled": [busy] * 50 + [grey] * 50, "last": [busy] * 95 + [grey] * 5, "tinted": [[(128, 128, 20)] * 16] * 100}
+    for name, rows in files.items():
+        (tmp_path / f"{name}.jpg").write_bytes(png(rows))
+    (tmp_path / "broken.jpg").write_bytes(png([busy] * 100)[:60])
+    found = {r["path"].rsplit("/", 1)[1]: r for r in media.inspect_images(readers.images(spark, str(tmp_path))).collect()}
+    assert {n: r["bad"] for n, r in found.items()} == {"whole.jpg": False, "filled.jpg": True, "last.jpg": False, "tinted.jpg": False, "broken.jpg": True}
+    assert found["broken.jpg"]["reason"] == "undecodable" and "lower bands" in found["filled.jpg"]["reason"]
+    assert media.inspect_images(readers.images(spark, str(tmp_path)).where("path is null")).count() == 0
