@@ -64,6 +64,19 @@ def rules(files: DataFrame, key: str = "origin", text: str = "robots") -> DataFr
     )
 
 
+def literal(pattern: Column | str) -> Column:
+    """What a pattern says up to its first wildcard or its anchor; one that begins with neither / nor * may begin anywhere."""
+    p = col(pattern)
+    anywhere = ~F.startswith(p, F.lit("/")) & ~F.startswith(p, F.lit("*"))
+    return F.when(anywhere, F.lit("")).otherwise(F.regexp_extract(F.regexp_replace(p, r"\$$", ""), r"^[^*]*", 0))
+
+
+def is_literal(pattern: Column | str) -> Column:
+    """Whether all paths that begin with ``literal`` match."""
+    p = col(pattern)
+    return F.startswith(p, F.lit("/")) & ~F.contains(p, F.lit("*")) & ~F.endswith(p, F.lit("$"))
+
+
 def agents(files: DataFrame, key: str = "origin", text: str = "robots") -> DataFrame:
     """(key, agent, crawl_delay): every agent named, with its last delay that is a number."""
     grouped = groups(lines(files, key, text), key)
@@ -90,12 +103,18 @@ def allowed(links: DataFrame, files: DataFrame, agent: str, key: str = "origin",
 
     Of the applying group's rules that match, the longest pattern decides, allow before
     disallow; without a rule a link is allowed; without a robots text (null) none is.
-    Rules meet links by origin, so only an origin's own rules are tried.
+    Rules meet paths by equality on origin and what a pattern says literally up to its first
+    wildcard, for each length of that which the origin has, as one walk down a trie would; only
+    patterns with a wildcard or an anchor are then tried, and only where that much is equal.
     """
     named = agents(files, key, text)
     applies = rules(files, key, text).join(chosen_agent(named, agent, key), [key, "agent"], "left_semi")
     paths = links.withColumn("_path", U.robots_path(url))
-    hits = paths.select(key, "_path").distinct().join(applies, key).where("_path rlike regex")
+    held = applies.withColumns({"_literal": literal("pattern"), "_whole": is_literal("pattern")})
+    lengths = held.groupBy(key).agg(F.collect_set(F.length("_literal")).alias("_lengths"))
+    each = paths.select(key, "_path").distinct().join(lengths, key).select(key, "_path", F.explode("_lengths").alias("_n")).where(F.length("_path") >= F.col("_n"))
+    met = each.withColumn("_literal", F.substr(F.col("_path"), F.lit(1), F.col("_n"))).join(held, [key, "_literal"])
+    hits = met.where("_whole or _path rlike regex")
     best = hits.groupBy(key, "_path").agg(F.max(F.struct("length", "allow"))["allow"].alias("_allow"))
     reach = files.select(key, F.col(text).isNotNull().alias("_reach"))
     joined = paths.join(best, [key, "_path"], "left").join(reach, key, "left")

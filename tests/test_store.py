@@ -220,3 +220,38 @@ def test_images_are_decoded_and_judged(spark, tmp_path):
     assert {n: r["bad"] for n, r in found.items()} == {"whole.jpg": False, "filled.jpg": True, "last.jpg": False, "tinted.jpg": False, "broken.jpg": True}
     assert found["broken.jpg"]["reason"] == "undecodable" and "lower bands" in found["filled.jpg"]["reason"]
     assert media.inspect_images(readers.images(spark, str(tmp_path)).where("path is null")).count() == 0
+
+
+def test_robots_rules_equal_a_loop_over_all(spark):
+    import random
+    import re
+
+    from gleaner.operators import robots
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ab/?.") for _ in range(r.randint(0, 4)))
+    files, links, want = [], [], {}
+    for o in range(12):
+        said = []
+        for _ in range(r.randint(0, 12)):
+            pattern = r.choice(["/", "/", "*", ""]) + word() + r.choice(["", "", "*" + word(), "$"])
+            said.append((r.choice(["allow", "disallow"]), pattern))
+        files.append((f"http://o{o}", "User-agent: *\n" + "\n".join(f"{k}: {v}" for k, v in said)))
+        rules = []
+        for k, v in said:
+            if v or k == "allow":
+                p = v if v[:1] in ("/", "*") else "*" + v
+                body, end = (p[:-1], "$") if p.endswith("$") else (p, "")
+                rules.append((len(v), k == "allow", re.compile("^" + ".*".join(map(re.escape, body.split("*"))) + end)))
+        for i in range(25):
+            path = "/" + word() + word()
+            best = max(((n, allow) for n, allow, x in rules if x.search(path)), default=(0, True))
+            links.append((len(links), f"http://o{o}", f"http://o{o}{path}"))
+            want[links[-1][0]] = path, best[1]
+    table = spark.createDataFrame(links, "id long, origin string, url string")
+    paths = {x["id"]: x["p"] for x in table.select("id", robots.U.robots_path("url").alias("p")).collect()}
+    found = robots.allowed(table, spark.createDataFrame(files, "origin string, robots string"), "any").collect()
+    assert len(found) == len(links)
+    same = {i for i, (path, _) in want.items() if paths[i] == path}
+    assert len(same) > 150
+    assert {x["id"]: x["allowed"] for x in found if x["id"] in same} == {i: want[i][1] for i in same}
