@@ -34,6 +34,8 @@ from .common import small_batches, texts
 
 #: Pre-tokens in one generation of a worker's memory of encoded pre-tokens.
 REMEMBERED = 400_000
+#: Characters of the longest pre-token that is remembered.
+LONGEST = 64
 
 
 #: A character outside the Basic Multilingual Plane.
@@ -160,7 +162,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Remembered(dict):
-    """Pre-token to its ids as packed bytes; two generations of bounded size."""
+    """Pre-token to its ids as packed bytes; two generations of bounded size, and nothing longer than ``LONGEST`` characters."""
 
     def __init__(self, encode, most: int = REMEMBERED) -> None:
         self.encode, self.most, self.old = encode, most, {}
@@ -170,6 +172,8 @@ class Remembered(dict):
         if found is None:
             ids = self.encode(token)
             found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(token) > LONGEST:
+            return found
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

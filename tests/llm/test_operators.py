@@ -612,3 +612,15 @@ def test_one_huge_page_makes_few_files_of_the_others(spark, tmp_path):
     found = warc.read_headers(spark, f"{tmp_path}/a").collect()
     assert sorted((x["page_id"], x["payload_bytes"]) for x in found) == [(i, len(h or "")) for i, _, h in rows]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (int(before), warc.BATCH_ROWS)
+
+
+def test_long_pre_tokens_are_not_remembered(spark):
+    """Unique pre-tokens of 10 KB leave nothing behind, and rows that repeat give a row each."""
+    r = random.Random(9)
+    memory = byte_bpe._coder(byte_bpe.RANKS)[1]
+    for _ in range(20):
+        byte_bpe.encode_text("".join(r.choice("abcdefghijklmnop") for _ in range(10_000)), byte_bpe.RANKS)
+    assert max(map(len, [*memory, *memory.old]), default=0) <= byte_bpe.LONGEST
+    rows = spark.createDataFrame([(1, "same text"), (1, "same text"), (2, None)], "doc_id long, text string")
+    found = byte_bpe.round_trip(rows).collect()
+    assert len(found) == 3 and len({tuple(x) for x in found}) == 2
