@@ -574,7 +574,13 @@ def _(t):
     return M.largest_media(rows, "/media/([0-9]+)/", F.col("size") > K.MIN_JPEG_BYTES)
 
 
-@query("jpeg_frame")
+@query(
+    "jpeg_frame",
+    """WITH sized AS (SELECT page_id, page_id % 4 AS k, 8 * strlen(html) + CASE page_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 7 ELSE 0 END AS size FROM pages),
+        framed AS (SELECT *, k < 3 AND size > 3 AS starts, CASE k WHEN 0 THEN size - 2 WHEN 2 THEN size - 5 ELSE -1 END AS end_at FROM sized)
+        SELECT page_id, size, starts, end_at, CASE WHEN size = 0 THEN 'empty' WHEN NOT starts THEN 'not a jpeg' WHEN end_at < 0 THEN 'truncated (no EOI)' WHEN size <= 10000 THEN 'too small (' || size || 'b)' WHEN k = 2 THEN 'ok (3b trailing after EOI)' ELSE 'ok' END AS state,
+            size > 10000 AND starts AND end_at > 0 AS valid, k = 0 AS strict FROM framed""",
+)
 def _(t):
     """Buffers made of page bytes: framed, cut off, too small, or no image at all."""
     body = F.encode(F.repeat("html", 8), "UTF-8")
