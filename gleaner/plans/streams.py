@@ -111,7 +111,7 @@ def _(t):
 
 @query(
     "drive",
-    """WITH tried AS (SELECT id, min(attempt) FILTER (ok AND attempt <= 3) AS attempt, count(*) FILTER (attempt <= 3) AS n FROM harvest_attempts WHERE id NOT IN (SELECT id FROM harvest_parsed WHERE bytes > 0) GROUP BY id)
+    """WITH tried AS (SELECT id, min(attempt) FILTER (ok) AS attempt, count(*) AS n FROM harvest_attempts WHERE attempt <= 3 AND id NOT IN (SELECT id FROM harvest_parsed WHERE bytes > 0) GROUP BY id)
         SELECT i.id, CASE WHEN p.id IS NOT NULL THEN 'skipped' WHEN t.attempt IS NOT NULL THEN 'done' WHEN n > 0 THEN 'failed' ELSE 'not reached' END AS state, t.attempt,
             CAST((coalesce(t.attempt, n) - 1) * 30 AS BIGINT) AS waited_s, CASE WHEN t.id IS NOT NULL THEN row_number() OVER (PARTITION BY t.id IS NULL ORDER BY ordinal) > 1 END AS paused
         FROM harvest_items i LEFT JOIN (SELECT id FROM harvest_parsed WHERE bytes > 0) p ON i.id = p.id LEFT JOIN tried t ON i.id = t.id""",
