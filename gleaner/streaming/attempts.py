@@ -88,3 +88,34 @@ def first_success(attempts: DataFrame, item: str, late: str = "2 hours", most: i
 def poll_until(snapshots: DataFrame, item: str, late: str = "2 hours", most: int = K.POLL_ATTEMPTS, interval_ms: int = K.POLL_INTERVAL_MS) -> DataFrame:
     """(item, attempt, waited_ms) of a stream of snapshots (item, ts, attempt, hit); nulls where none hits in time."""
     return in_order(snapshots, item, "attempt", Poll(most, interval_ms), late)
+
+
+class Scroll(Machine):
+    """The first step at which the place reached is at or past the height seen then; none once no step came for a while."""
+
+    fields = "height long"
+    kept = "last long, done boolean"
+    out = "steps long"
+
+    def __init__(self, step_px: int, silence_s: int) -> None:
+        self.step_px, self.silence = step_px, silence_s * SECOND
+
+    def start(self) -> tuple:
+        return 0, False
+
+    def step(self, kept: tuple, at: int, place: int, height: int | None) -> tuple[tuple, list[tuple]]:
+        if kept[1]:
+            return kept, []
+        reached = height is not None and place * self.step_px >= height
+        return (at, reached), [(place,)] if reached else []
+
+    def ends(self, kept: tuple) -> int | None:
+        return None if kept[1] else kept[0] + self.silence
+
+    def end(self, kept: tuple) -> tuple[tuple, list[tuple]]:
+        return (kept[0], True), [(None,)]
+
+
+def scroll_steps(seen: DataFrame, item: str, late: str = "2 hours", preset: str = "text", silence_s: int = 60) -> DataFrame:
+    """(item, steps) of a stream of steps (item, ts, step, height); null where the end was not reached within the silence."""
+    return in_order(seen, item, "step", Scroll(K.SCROLL_STEP_PX[preset], silence_s), late)

@@ -153,3 +153,13 @@ def test_repeats_within_the_watermark_are_dropped(spark, stream, tmp_path):
     found = result(spark, windows.deduplicated(stream(batches, schema)).select("event_id"), tmp_path)
     # 2 comes again behind the watermark, 1 once its first is forgotten.
     assert sorted(r["event_id"] for r in found) == [1, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_scrolls_end_at_the_height_of_their_step(spark, stream, tmp_path):
+    schema = "item string, ts timestamp, step long, height long"
+    at = lambda s: BEGIN + timedelta(seconds=s)
+    px = K.SCROLL_STEP_PX["text"]
+    heights = {"short": [px], "grows": [px + 1, 2 * px + 1, 3 * px], "shrinks": [9 * px, 8 * px, 2 * px, px], "never": [9 * px] * 4, "unknown": [None, None]}
+    rows = [(item, at(10 * k), k + 1, h) for item, hs in heights.items() for k, h in enumerate(hs)]
+    found = result(spark, attempts.scroll_steps(stream([*shuffled(rows, 4), [("last", LAST, 1, 0)]], schema), "item", "30 days"), tmp_path)
+    assert {r["item"]: r["steps"] for r in found} == {"short": 1, "grows": 3, "shrinks": 3, "never": None, "unknown": None}
