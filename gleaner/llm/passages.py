@@ -10,8 +10,11 @@ contexts that meet over the network on 128-bit digests of their contents.
    reads twice are compared there, and only the smallest document's anchors are sent, so a
    passage that a third of all documents share arrives once per task, not once per document.
 2. ``_resolve`` takes all anchors of a hash bucket.  Contexts that seem equal ask to be
-   verified.  Where a gram has different contexts of different documents, the first holder of
-   each asks for its text to be put into suffix order.  A gram of many contexts is split:
+   verified.  A window reaches half way from its gram to one end of the context or the other,
+   so contexts that share one agree in the gram with one of its halves; an anchor carries 16
+   bits of both.  Where different contexts of different documents agree in one, the first
+   holder of each asks for its text to be put into suffix order; chance repeats of a gram,
+   whose share grows with the corpus, send nothing.  A gram of many such contexts is split:
    they are cut into shares of their windows, and each share goes to its own core, the
    symbols that all windows of the share have in common (in the end the window itself).
 3. ``_contexts`` cuts the contexts, or their shares, out of the texts, or takes the digests;
@@ -136,6 +139,21 @@ def pick_anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), width) == grams)
 
 
+def halves(h: Hasher, p: np.ndarray, gram: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits (0: too near an end) of the gram at each of ``p`` with what stands before it, and with what stands behind.
+
+    Of the ``LENGTH - gram`` other symbols of a window, ``before`` precede the gram or ``behind`` follow it.
+    """
+    before = (LENGTH - gram) // 2
+    behind = LENGTH - gram + 1 - before
+
+    def bits(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        short = np.maximum(_mix(h.runs(start.clip(0), end.clip(max=n))) >> _U(48), _U(1)).astype(np.uint16)
+        return np.where((start >= 0) & (end <= n), short, np.uint16(0))
+
+    return bits(p - before, p + gram), bits(p, p + gram + behind)
+
+
 class Symbols:
     """Turns a text into hashed symbols; ``kind`` is ``bytes`` or ``words``."""
 
@@ -257,7 +275,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        f, c, p, left, right = (np.concatenate([h[i] for h in held]) for i in range(3, 8))
+        f, c, p, left, right, ahead, behind = (np.concatenate([h[i] for h in held]) for i in range(3, 10))
         sizes = [len(h[3]) for h in held]
         d, r, text = (np.repeat(np.array(x, t), sizes) for x, t in (([h[0] for h in held], np.int64), ([h[1] for h in held], _U), (range(len(held)), np.int64)))
         out: Rows = ([], [], [])
@@ -288,10 +306,10 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
             # Spans travel on with the anchors, dealt over all buckets.
             out[0][:] = [(b * 7919) % anchor_buckets for b in out[0]]
         at = np.flatnonzero(~settled)
-        f, c, d, r, p = f[at], c[at], d[at], r[at], p[at].astype(np.uint32)
+        f, c, d, r, p, ahead, behind = f[at], c[at], d[at], r[at], p[at].astype(np.uint32), ahead[at], behind[at]
         bucket = ((f >> _U(32)) % _U(anchor_buckets)).astype(np.int32)
         f = f.astype(np.uint32)  # the rest of the hash is in the bucket
-        _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at]), out)
+        _send(bucket, ANCHORS, lambda at: _pack(f[at], c[at], _steps(d[at]), r[at], p[at], ahead[at], behind[at]), out)
         yield from _rows(out)
 
     for b in batches:
@@ -309,7 +327,7 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
             start, end = np.maximum(p - (width - 1), 0), np.minimum(p + LENGTH, n)
             left, right = p - start, end - p
             c = _mix(h.runs(start, end) + left.astype(_U) * _U(0x9FB21C651E98DF25) + right.astype(_U) * _U(0xA24BAED4963EE407))
-            held.append((doc_id, row_hash(data), data, g[p], c, p, left, right))
+            held.append((doc_id, row_hash(data), data, g[p], c, p, left, right, *halves(h, p, gram, n)))
             size += len(data)
         if size >= CHUNK_BYTES:
             yield from flush()
@@ -322,13 +340,25 @@ def _anchor(batches: Iterator[pa.RecordBatch], kind: str, gram: int, anchor_buck
 
 
 def entries(payloads: list[bytes]) -> list[np.ndarray]:
-    """Gram hash, context hash, doc_id, row and place of packed anchors."""
-    found = [_unpack(x, "u4", "u8", "i8", "u8", "u4") for x in payloads]
-    columns = [np.concatenate([x[i] for x in found]) for i in range(5)]
+    """Gram hash, context hash, doc_id, row, place and the bits of both halves of packed anchors."""
+    found = [_unpack(x, "u4", "u8", "i8", "u8", "u4", "u2", "u2") for x in payloads]
+    columns = [np.concatenate([x[i] for x in found]) for i in range(7)]
     columns[2] = np.concatenate([np.cumsum(x[2]) for x in found])
     return columns
 
 
+def _meeting(gram: np.ndarray, half: np.ndarray, least: np.ndarray, most: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which contexts agree in the gram and this half with another one, of different documents and with something new among them."""
+    key = gram.astype(np.int64) << 16 | half
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    sizes = np.diff(np.r_[starts, len(key)])
+    met = (sizes > 1) & (np.minimum.reduceat(least[order], starts) < np.maximum.reduceat(most[order], starts)) & np.logical_or.reduceat(new[order], starts)
+    found = np.empty(len(key), bool)
+    found[order] = np.repeat(met, sizes)
+    return found & (half > 0)
+
+
 class Requests:
     """Requests and spans of a task, sent on once there are many."""
 
@@ -340,25 +370,22 @@ class Requests:
         self.waiting[kind].append(columns)
         self.count += len(columns[0])
 
-    def ask(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray, new: np.ndarray | None = None) -> None:
+    def ask(self, f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray, ahead: np.ndarray, behind: np.ndarray, new: np.ndarray | None = None) -> None:
         """What the holders of grams have to send; only groups with something ``new`` matter, if that is given."""
         order = np.lexsort((c, f))
         f, c, d, r, p = f[order], c[order], d[order], r[order], p[order].astype(np.int64)
         begins = np.r_[True, f[1:] != f[:-1]]
         context = begins | np.r_[True, c[1:] != c[:-1]]
         firsts, inside = np.flatnonzero(context), np.cumsum(context) - 1
-        starts, group = np.flatnonzero(begins), np.cumsum(begins) - 1
         least, most = np.minimum.reduceat(d, firsts), np.maximum.reduceat(d, firsts)
-        contexts = np.bincount(group, context)
-        same, mixed = least < most, (contexts > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
-        if new is not None:
-            new = new[order]
-            same &= np.logical_or.reduceat(new, firsts)
-            mixed &= np.logical_or.reduceat(new, starts)
-        verify = same[inside]
+        fresh = np.ones(len(firsts), bool) if new is None else np.logical_or.reduceat(new[order], firsts)
+        verify = ((least < most) & fresh)[inside]
         self.add(DIGESTS, d[verify], r[verify], p[verify], np.zeros(int(verify.sum()), np.int32))
-        texts = (d == least[inside]) & mixed[group]
-        level = np.ceil(np.log2(np.maximum(contexts[group[texts]] / SHARE, 1))).astype(np.int32)
+        gram = (np.cumsum(begins) - 1)[firsts]
+        mixed = _meeting(gram, ahead[order][firsts], least, most, fresh) | _meeting(gram, behind[order][firsts], least, most, fresh)
+        texts = (d == least[inside]) & mixed[inside]
+        contexts = np.bincount(gram, mixed)  # of a gram, those that are sent
+        level = np.ceil(np.log2(np.maximum(contexts[gram[inside[texts]]] / SHARE, 1))).astype(np.int32)
         self.add(TEXTS, d[texts], r[texts], p[texts], level)
 
     def flush(self) -> Iterator[pa.RecordBatch]:

@@ -46,12 +46,12 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _TEXT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _payload(f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray) -> bytes:
+def _payload(f: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, p: np.ndarray, *halves: np.ndarray) -> bytes:
     """Entries in the order of (gram hash, context hash), of equal ones the first document and place."""
     order = np.lexsort((p, r, d, c, f))
-    f, c, d, r, p = (x[order] for x in (f, c, d, r, p))
+    f, c, d, r, p, *halves = (x[order] for x in (f, c, d, r, p, *halves))
     new = np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1])]
-    return _pack(f[new], c[new], _steps(d[new]), r[new], p[new])
+    return _pack(f[new], c[new], _steps(d[new]), r[new], p[new], *(x[new] for x in halves))
 
 
 def _merge_join(batch: pa.Table, runs: pa.Table, doc_buckets: int) -> pa.Table:
@@ -62,19 +62,19 @@ def _merge_join(batch: pa.Table, runs: pa.Table, doc_buckets: int) -> pa.Table:
     if spans := [payloads[i] for i in np.flatnonzero(kinds == SPANS).tolist()]:
         ask.add(SPANS, *_spans(spans))
     if mine := [payloads[i] for i in np.flatnonzero(kinds == ANCHORS).tolist()]:
-        f, c, d, r, p = entries(mine)
+        f, c, d, r, p, *halves = entries(mine)
         order = np.lexsort((c, f))
-        f, c, d, r, p = (x[order] for x in (f, c, d, r, p))
+        f, c, d, r, p, *halves = mine = [x[order] for x in (f, c, d, r, p, *halves)]
         grams = f[np.r_[True, f[1:] != f[:-1]]]
-        held = [[], [], [], [], []]
+        held: list[list] = [[] for _ in mine]
         for payload in runs.column("payload").to_pylist():
             run = entries([payload])  # sorted, as the batch is: both are walked by search
             low, high = np.searchsorted(run[0], grams, "left"), np.searchsorted(run[0], grams, "right")
             hit = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
             for column, values in zip(held, run, strict=True):
                 column.append(values[hit])
-        old = [np.concatenate(x) if x else np.empty(0, y.dtype) for x, y in zip(held, (f, c, d, r, p), strict=True)]
-        both = [np.concatenate(x) for x in zip((f, c, d, r, p), old, strict=True)]
+        old = [np.concatenate(x) if x else np.empty(0, y.dtype) for x, y in zip(held, mine, strict=True)]
+        both = [np.concatenate(x) for x in zip(mine, old, strict=True)]
         several = shared(both[0])
         if len(several):
             ask.ask(*(x[several] for x in both), several < len(f))
@@ -87,7 +87,7 @@ def _merge_join(batch: pa.Table, runs: pa.Table, doc_buckets: int) -> pa.Table:
         if not known.all():
             out[0].append(int(batch.column("part")[0].as_py()))
             out[1].append(HISTORY)
-            out[2].append(_payload(*(x[~known] for x in (f, c, d, r, p))))
+            out[2].append(_payload(*(x[~known] for x in mine)))
     found = [*_rows(out), *ask.flush()]
     return pa.Table.from_batches(found) if found else pa.table({"part": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
 

@@ -624,3 +624,29 @@ def test_long_pre_tokens_are_not_remembered(spark):
     rows = spark.createDataFrame([(1, "same text"), (1, "same text"), (2, None)], "doc_id long, text string")
     found = byte_bpe.round_trip(rows).collect()
     assert len(found) == 3 and len({tuple(x) for x in found}) == 2
+
+
+@pytest.mark.parametrize("kind, gram", [("bytes", suffix_dedup.GRAM), ("words", substring_dedup.GRAM)])
+def test_grams_that_meet_by_chance_ask_for_no_texts(spark, kind, gram):
+    r = random.Random(8)
+    joint = "" if kind == "bytes" else " "
+    some = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") if kind == "bytes" else f"w{r.randrange(10**6)}" for _ in range(n)]
+    # Runs of half a window recur everywhere, those of half a window and a gram nowhere.
+    runs = [some(passages.LENGTH // 2 + 5) for _ in range(20)]
+    chance = [(i, joint.join(joint.join([*some(30), *run]) for run in r.sample(runs, 10))) for i in range(30)]
+    # Whole windows, cut out of passages at every offset to the anchors.
+    passage = some(300)
+    whole = [(100 + k, joint.join([*some(40), *passage[k : k + passages.LENGTH], *some(40)])) for k in range(200)] + [(99, joint.join(passage))]
+
+    def asked(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        dealt = passages.buckets(docs)
+        found = passages.resolve(passages.anchors(docs, kind, gram, dealt), dealt[1]).where(F.col("kind") == passages.TEXTS).collect()
+        return {(int(d), int(p)) for d, _, p, _ in zip(*passages._spans([x["payload"] for x in found]), strict=True)}
+
+    assert not asked(chance)
+    assert {d for d, _ in asked(whole)} == {99, *range(100, 300)}
+    digest = suffix_dedup.copies_digest if kind == "bytes" else substring_dedup.repeats_digest
+    gone = {x["doc_id"]: x["n_removed"] for x in digest(spark.createDataFrame([*chance, *whole], "doc_id long, text string")).collect()}
+    assert all(gone[i] == 0 for i in range(30)) and gone[99] == 0
+    assert all(gone[100 + k] >= passages.LENGTH for k in range(200))
