@@ -26,9 +26,9 @@ contexts that meet over the network on 128-bit digests of their contents.
 5. ``_apply`` cuts the spans found out of each document.
 
 A row is known by doc_id and a hash of its text, so rows that share a doc_id keep their own
-spans.  Anchors, spans and requests travel as packed arrays, a row per bucket, so a row
-stands for thousands of them; the number of buckets follows the input and the session's
-shuffle partitions.  Documents are dealt by a hash of doc_id.
+spans.  Anchors, spans, requests and contexts travel as packed arrays, a row per bucket, so a
+row stands for thousands of them; the number of buckets follows the input and the session's
+shuffle partitions.  Documents are dealt by a hash of doc_id, with their texts compressed.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import parts, plan_bytes, small_batches, whole_groups
 from .suffixes import repeated_windows
@@ -51,6 +51,8 @@ LENGTH = 50
 CHUNK_BYTES = 24 << 20
 #: Buckets to a shuffle partition, at least and at most, and input bytes to a bucket between.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1, 64, 2 << 20
+#: Input bytes to a bucket of anchors; the more of a document's anchors share a bucket, the better they pack.
+ANCHOR_BYTES = 8 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 #: Contexts of one gram that go to one core; more are dealt over several.
@@ -427,12 +429,26 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
 # Step 3 ---------------------------------------------------------------------------------
 
 
-#: A context or a share of it; or packed digests (``at`` is DIGESTED) or spans (REPEATED) in place of the text.
-_CONTEXT = "core long, doc_id long, row long, at int, end int, context binary"
+#: A context or a share of it.
 _CONTEXT_ARROW = pa.schema(
     [("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())]
 )
-DIGESTED, REPEATED = -1, -2
+#: What a packed row of ``_contexts`` holds: digests, spans, or a table of contexts.
+DIGESTED, REPEATED, WHOLE = 0, 1, 2
+_SENT = "bucket int, part int, kind int, payload binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+
+
+def fold(t: pa.Table) -> bytes:
+    """A table as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def unfold(values: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in values])
 
 
 def shares(width: int, level: int) -> list[tuple[int, int]]:
@@ -453,6 +469,7 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
     vd, vr, vp, _ = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == DIGESTS])
     columns: list[list] = [[] for _ in range(6)]
     digests: list[tuple] = []
+    unpacked = zstandard.ZstdDecompressor().decompress
     digest, strong = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     seen = set()
     known = np.unique(np.concatenate([d, vd]))
@@ -460,7 +477,7 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
         low = int(np.searchsorted(known, doc_id, "left"))
         if low == len(known) or known[low] != doc_id:
             continue
-        data = text.encode()
+        data = unpacked(text)
         row = row_hash(data)
         some, verify = _of_row(d, r, doc_id, row), _of_row(vd, vr, doc_id, row)
         if (some.start == some.stop and verify.start == verify.stop) or (doc_id, row) in seen:
@@ -494,6 +511,9 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
     table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
     table = table.filter(pa.array(stays, pa.bool_()))
     out: Rows = ([], [], [])
+    if table.num_rows:
+        mine = np.mod(table.column("core").to_numpy(), anchor_buckets).astype(np.int32)
+        _send(mine, WHOLE, lambda at: fold(table.take(pa.array(at))), out)
     if digests:
         sizes = [len(x[2]) for x in digests]
         vd, vr = np.repeat(np.array([x[0] for x in digests], np.int64), sizes), np.repeat(np.array([x[1] for x in digests], _U), sizes)
@@ -506,11 +526,9 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
     d, r, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
     if len(d):
         _send_spans(*_joined(d, r, a, b), doc_buckets, out, REPEATED)
-    n = len(out[0])
-    # Digests go by their bucket; spans, which are settled, anywhere.
-    keys = [digest(b"%d %d" % (part, 0 if k == DIGESTED else i)) - (1 << 63) for i, (part, k) in enumerate(zip(out[0], out[1], strict=True))]
-    packed_rows = [pa.array(x, t) for x, t in zip((keys, [0] * n, [0] * n, out[1], out[0], out[2]), _CONTEXT_ARROW.types, strict=True)]
-    return pa.concat_tables([table, pa.Table.from_arrays(packed_rows, schema=_CONTEXT_ARROW)])
+    # Contexts and digests go by their bucket; spans, which are settled, anywhere.
+    keys = [part if k != REPEATED else (part * 7919) % anchor_buckets for part, k in zip(out[0], out[1], strict=True)]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip((keys, *out), _SENT_ARROW.types, strict=True)], schema=_SENT_ARROW)
 
 
 # Step 4 ---------------------------------------------------------------------------------
@@ -595,16 +613,15 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) ->
             _send_spans(*_joined(d, r, a, b), doc_buckets, out)
         yield from _rows(out)
 
-    for t in whole_groups(batches, 8192, 16 << 20):
-        mark = t.column("at").to_numpy()
-        repeated = t.filter(pa.array(mark == REPEATED))
-        yield from _rows((repeated.column("end").to_pylist(), [SPANS] * repeated.num_rows, repeated.column("context").to_pylist()))
-        digested = t.filter(pa.array(mark == DIGESTED))
-        if digested.num_rows:
-            waiting.append(_verified(digested.column("context").to_pylist()))
-        texts = t.filter(pa.array(mark >= 0)).combine_chunks()
-        if texts.num_rows:
-            waiting += _ordered(texts, kind)
+    for t in whole_groups(batches, 1):
+        kinds, payloads = t.column("kind").to_numpy(), t.column("payload").to_pylist()
+        of = lambda kind: [payloads[i] for i in np.flatnonzero(kinds == kind).tolist()]
+        if repeated := of(REPEATED):
+            yield from _rows(([p for p, k in zip(t.column("part").to_pylist(), kinds, strict=True) if k == REPEATED], [SPANS] * len(repeated), repeated))
+        if digested := of(DIGESTED):
+            waiting.append(_verified(digested))
+        if whole := of(WHOLE):
+            waiting += _ordered(unfold(whole).combine_chunks(), kind)
         count += sum(len(x[0]) for x in waiting[-3:])
         if count > 1_000_000:
             yield from flush()
@@ -626,9 +643,10 @@ def merged(start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int]]:
 def _apply(docs: pa.Table, packed: pa.Table, row: Callable[[int, bytes, tuple | None], tuple], schema: pa.Schema) -> pa.Table:
     """``row(doc_id, text bytes, spans)`` for each document, and what else the document carries."""
     d, r, a, b = _spans(packed.column("payload").to_pylist())
+    unpacked = zstandard.ZstdDecompressor().decompress
     rows = []
     for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        data = text.encode()
+        data = unpacked(text)
         low = int(np.searchsorted(d, doc_id, "left"))
         some = _of_row(d, r, doc_id, row_hash(data)) if low < len(d) and d[low] == doc_id else slice(0, 0)
         rows.append(row(doc_id, data, (a[some], b[some]) if some.stop > some.start else None))
@@ -640,11 +658,26 @@ def _apply(docs: pa.Table, packed: pa.Table, row: Callable[[int, bytes, tuple |
 # The plan -------------------------------------------------------------------------------
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column, a text, is compressed UTF-8."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        first = pa.array([pack(x.encode()) for x in b.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([first, *b.columns[1:]], names=b.schema.names)
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` compressed, so that less of it is shuffled."""
+    rows = docs.select("text", *(c for c in docs.columns if c != "text"))
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(_compressed, StructType([StructField("text", BinaryType()), *rows.schema.fields[1:]]))
+
+
 def buckets(docs: DataFrame) -> tuple[int, int]:
     """Anchor and document buckets for ``docs``, from the session's partitions and Spark's estimate of the size."""
     n = parts(docs.sparkSession)
-    by_size = min(plan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS * n)  # the estimate may be far too high
-    return max(LEAST_BUCKETS * n, by_size), max(LEAST_BUCKETS * n, by_size)
+    by_size = lambda per: max(LEAST_BUCKETS * n, min(plan_bytes(docs) // per, MOST_BUCKETS * n))  # noqa: E731  the estimate may be far too high
+    return by_size(ANCHOR_BYTES), by_size(BUCKET_BYTES)
 
 
 def anchors(docs: DataFrame, kind: str, gram: int, dealt: tuple[int, int]) -> DataFrame:
@@ -669,12 +702,12 @@ def cut(docs: DataFrame, resolved: DataFrame, kind: str, gram: int, dealt_by: tu
     small_batches(docs.sparkSession)
     anchor_buckets, doc_buckets = dealt_by
     part = F.pmod(F.xxhash64("doc_id"), F.lit(doc_buckets)).cast("int")
-    dealt = docs.withColumn("part", part)
-    asked = dealt if corpus is None else corpus.select("doc_id", "text").withColumn("part", part)
+    dealt = compressed(docs).withColumn("part", part)
+    asked = dealt if corpus is None else compressed(corpus.select("doc_id", "text")).withColumn("part", part)
     spans = resolved.where(F.col("kind") == SPANS).select("part", "payload")
     requests = resolved.where(F.col("kind").isin(TEXTS, DIGESTS))
-    contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram, anchor_buckets, doc_buckets), _CONTEXT)
-    more = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
+    contexts = asked.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(lambda a, b: _contexts(a, b, kind, gram, anchor_buckets, doc_buckets), _SENT)
+    more = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _windows(it, kind, doc_buckets), PACKED)
     spans = spans.union(more.select("part", "payload"))
     result = StructType.fromDDL(ddl)
     if "carried" in docs.columns:
