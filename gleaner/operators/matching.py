@@ -128,13 +128,23 @@ def next_nearest(near: DataFrame, points: DataFrame, candidates: DataFrame, quer
     return met.groupBy(query).agg(F.min(distance).alias("next"))
 
 
+def _at_places(candidates: DataFrame, ordinal: str) -> DataFrame:
+    """Of the candidates at one and the same place the two that come first; no other is ever best or next."""
+    first = candidates.withColumn("nr", F.row_number().over(Window.partitionBy("lat", "lon").orderBy(ordinal)))
+    return first.where("nr <= 2").select(ordinal, "lat", "lon")
+
+
 def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: str, floor_m: float = K.GEO_FLOOR_M) -> DataFrame:
     """The nearest candidate of each point under the floor, with the next one however far.
 
     Points with one candidate under the floor look for the next one as far as their surroundings
-    ask for.  Candidates without a place are ``skipped``.
+    ask for.  Candidates without a place are ``skipped``.  Rows at one and the same place are
+    compared once, so many at few places cost no more than the places; the result is joined back.
     """
-    good = candidates.where(_placed())
+    good = stored(_at_places(candidates.where(_placed()), ordinal), "geo-places")
+    every = stored(points.where(_placed()).groupBy(query).agg(F.sort_array(F.collect_list(F.struct("lat", "lon"))).alias("at")), "geo-points")
+    lead = stored(every.groupBy("at").agg(F.min(query).alias(query)), "geo-leads")
+    points = lead.select(query, F.explode("at").alias("p")).select(query, "p.lat", "p.lon")
     near = stored(two_nearest(near_pairs(points, good, query, ordinal, floor_m), query, "distance", ordinal), "geo-near")
     counts = candidates.agg(F.count_if(_placed()).alias("good"), F.count(F.lit(1)).alias("all")).first()
     waiting = near.where("runner_up is null")
@@ -144,7 +154,8 @@ def nearest_geo(points: DataFrame, candidates: DataFrame, query: str, ordinal: s
         late = waiting.join(found, query, "left").select(query, ordinal, "distance", F.col("next").alias("runner_up"))
         done = near.where("runner_up is not null").union(late)
     skipped = F.lit(counts["all"] - counts["good"]).cast("long").alias("skipped")
-    return _judged(done.select("*", skipped), query, ordinal, "distance")
+    found = lead.join(done, query).drop(query)  # by place, for each point there
+    return _judged(every.join(found, "at").select("*", skipped), query, ordinal, "distance")
 
 
 #: Pairs that a token may make by itself; tokens of more are hot.

@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators import circuit, commands, compose, fanout, linkstate, matching, media, ordering, quality, robots, scalars, transcripts
 from gleaner.sources import readers, store
+from gleaner.streaming import breaker as stream_breaker
 
 
 def one(spark, column, **values):
@@ -425,3 +427,41 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         store.shared_folder(Session())
+
+
+def test_many_rows_at_few_places_are_compared_by_place(spark):
+    place = lambda i: (50.0 + i % 5 * 0.01, 10.0 + i % 3 * 0.01)
+    points = spark.createDataFrame([(i, *place(i)) for i in range(3000)] + [(3000, *place(1)), (3000, *place(7)), (3001, None, 1.0)], "q int, lat double, lon double")
+    places = spark.createDataFrame([(i, *place(i + 1)) for i in range(3000)] + [(4000, 51.0, 10.0)], "o int, lat double, lon double")
+    assert matching._at_places(places, "o").count() == 31
+    found = {r["q"]: (r["o"], r["distance"], r["runner_up"]) for r in matching.nearest_geo(points, places, "q", "o").collect()}
+    assert found == {i: ((i - 1) % 15, 0.0, 0.0) for i in range(3000)} | {3000: (0, 0.0, 0.0)}
+    thin = {r["q"]: (r["o"], r["distance"] == 0, r["runner_up"] > 0) for r in matching.nearest_geo(points, places.where("o in (0, 4000)"), "q", "o").collect() if r["q"] % 15 == 1 or r["q"] == 3000}
+    assert thin == {q: (0, True, True) for q in [*range(1, 3000, 15), 3000]}
+
+
+def test_a_run_as_long_as_the_table_is_counted_in_ranges(spark):
+    r = random.Random(3)
+    rows = [(run, i, r.choice([None, None, "throttled", "unreachable", "refused"] if run else [None, "throttled", "unreachable"])) for run, n in ((0, 5000), (1, 40), (2, 1)) for i in range(n)]
+    want, state = [], {}
+    for run, i, kind in rows:
+        counts = state.setdefault(run, dict.fromkeys(("refused", "throttled", "unreachable"), 0))
+        stream_breaker.step(counts, kind)
+        want.append((run, i, counts["refused"], counts["throttled"], counts["unreachable"]))
+    r.shuffle(rows)
+    found = circuit.counters(spark.createDataFrame(rows, "run int, at int, kind string"), "run", ["at"])
+    assert sorted(tuple(x) for x in found.select("run", "at", "n_refused", "n_throttled", "n_unreachable").collect()) == want
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("_range#" in x or "_nr#" in x for x in dealt)  # before, all events of a run met in one task
+
+
+def test_end_markers_count_within_the_tail_only(spark):
+    cases = [b"\xff\xd8" + b"x" * 20_000 + b"\xff\xd9" + b"y" * n for n in (K.JPEG_TAIL - 3, K.JPEG_TAIL - 2, K.JPEG_TAIL - 1)]
+    cases += [b"\xff\xd8\xff\xd9\xff\xd9\xd9\xff", b"\xff\xd9", b"\xff", bytes(range(256)) * 300, b"\xff\xd8" + b"\x00" * 9998 + b"\xff\xd9\xff"]
+    frames = spark.createDataFrame(list(enumerate(cases)), "id int, data binary").select("id", media.jpeg_frame("data").alias("f"))
+    assert "Python" not in frames._jdf.queryExecution().executedPlan().toString()  # no batch of buffers in a Python worker
+    for x in frames.collect():
+        raw = cases[x["id"]]
+        at = raw.rfind(b"\xff\xd9")
+        at = at if at >= len(raw) - K.JPEG_TAIL else -1
+        assert (x["f"]["size"], x["f"]["end_at"], x["f"]["starts"], x["f"]["strict"]) == (len(raw), at, len(raw) > 3 and raw[:2] == b"\xff\xd8", raw[:2] == b"\xff\xd8" and raw[-2:] == b"\xff\xd9")
