@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import col, is_challenge_body
+from ..sources.store import stored
 
 
 def classify(status: Column | str, body: Column | str, error: Column | str) -> Column:
@@ -33,14 +34,28 @@ def counters(events: DataFrame, run: str, order: list[str], kind: str = "kind")
 
     A success lowers throttled and unreachable by one, but not under zero: with S the running
     sum of +1 and -1, that is S less the smallest S so far or zero.  Refusals never go down.
+
+    A run may be as long as the table: events are dealt by ranges of run and order and stored, so
+    that ranges stay as they are.  S and its smallest are taken inside each range of a run and
+    moved by the sum of the ranges before, of which there is one row for each.
     """
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = events
-    for name in ("throttled", "unreachable"):
-        step = F.when(F.col(kind) == name, 1).when(F.col(kind).isNull(), -1).otherwise(0)
-        out = out.withColumn(f"_s_{name}", F.sum(step).over(w))
-        out = out.withColumn(f"n_{name}", F.col(f"_s_{name}") - F.least(F.lit(0), F.min(f"_s_{name}").over(w))).drop(f"_s_{name}")
-    return out.withColumn("n_refused", F.sum(F.when(F.col(kind) == "refused", 1).otherwise(0)).over(w))
+    names = ("throttled", "unreachable")
+    inside = Window.partitionBy(run, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(run).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = stored(events.repartitionByRange(run, *order).withColumn("_range", F.spark_partition_id()), "circuit-ranges")
+    steps = {n: F.when(F.col(kind) == n, 1).when(F.col(kind).isNull(), -1).otherwise(0) for n in names}
+    steps["refused"] = F.when(F.col(kind) == "refused", 1).otherwise(0)
+    summed = held.withColumns({f"_s_{n}": F.sum(step).over(inside) for n, step in steps.items()})
+    summed = summed.withColumns({f"_m_{n}": F.min(f"_s_{n}").over(inside) for n in names})
+    least = [F.min(f"_s_{n}").alias(f"_l_{n}") for n in names]
+    ranges = summed.withColumns({f"_t_{n}": step for n, step in steps.items()}).groupBy(run, "_range").agg(*(F.sum(f"_t_{n}").alias(f"_t_{n}") for n in steps), *least)
+    based = ranges.withColumns({f"_b_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in steps})
+    based = based.withColumns({f"_low_{n}": F.least(F.lit(0), F.min(F.col(f"_b_{n}") + F.col(f"_l_{n}")).over(before)) for n in names})
+    carried = stored(based.select(F.col(run).alias("_run"), F.col("_range").alias("_nr"), *(f"_b_{n}" for n in steps), *(f"_low_{n}" for n in names)), "circuit-carried")
+    both = summed.join(carried, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_range") == F.col("_nr")))
+    lowest = lambda n: F.least(f"_low_{n}", F.col(f"_b_{n}") + F.col(f"_m_{n}"))
+    counted = [(F.col(f"_b_{n}") + F.col(f"_s_{n}") - lowest(n)).alias(f"n_{n}") for n in names]
+    return both.select(*events.columns, *counted, (F.col("_b_refused") + F.col("_s_refused")).alias("n_refused"))
 
 
 def trips(events: DataFrame, run: str, order: list[str], kind: str = "kind", limits: dict[str, int] | None = None) -> DataFrame:
@@ -63,7 +78,7 @@ def trips(events: DataFrame, run: str, order: list[str], kind: str = "kind", lim
 
 def summary(events: DataFrame, run: str, order: list[str], kind: str = "kind") -> DataFrame:
     """Per run whether it opened and the failures up to there."""
-    found = trips(events, run, order, kind).select(run, F.struct(*order).alias("_t"))
+    found = stored(trips(events, run, order, kind).select(run, F.struct(*order).alias("_t")), "circuit-trips")  # one row to a run
     joined = events.join(found, run, "left")
     counted = joined.where(F.col(kind).isNotNull() & (F.col("_t").isNull() | (F.struct(*order) <= F.col("_t"))))
     return counted.groupBy(run).agg(F.max(F.col("_t").isNotNull()).alias("open"), F.count(F.lit(1)).alias("failures"))

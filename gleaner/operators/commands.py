@@ -85,7 +85,7 @@ def drive(items: DataFrame, attempts: DataFrame, parsed: DataFrame, run: str, or
     ``pause_s`` the pause before the first, none before the first item that is fetched.
     """
     kinds = attempts.withColumn("kind", circuit.classify("status", "body", "error"))
-    stops = circuit.trips(kinds, run, order)
+    stops = store.stored(circuit.trips(kinds, run, order), "drive-stops")  # of known size, so a run of very many attempts isn't dealt by its name
     made = attempts.join(stops.select(run, F.struct(*order).alias("_stop")), run, "left").where(F.col("_stop").isNull() | (F.struct(*order) <= F.col("_stop")))
     have = parsed.where("bytes > 0").select("id").distinct().withColumn("skipped", F.lit(True))
     todo = items.join(have, "id", "left")
