@@ -6,49 +6,37 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from ..functions import constants as K
 from ..functions import urls as U
-
-
-FRAME = StructType(
-    [
-        StructField("size", LongType()),
-        StructField("starts", BooleanType()),
-        StructField("end_at", LongType()),
-        StructField("state", StringType()),
-        StructField("valid", BooleanType()),
-        StructField("strict", BooleanType()),
-    ]
-)
-
-
-@F.pandas_udf(FRAME)
-def jpeg_frame(data: pd.Series) -> pd.DataFrame:
-    """Where a JPEG begins and ends; an end marker counts within the last 64 KiB."""
-
-    def one(raw: bytes | None) -> tuple:
-        raw = bytes(raw or b"")
-        starts = len(raw) > 3 and raw.startswith(b"\xff\xd8")
-        at = raw.rfind(b"\xff\xd9")
-        if at < len(raw) - K.JPEG_TAIL:
-            at = -1
-        trailing = len(raw) - at - 2
-        if not raw:
-            state = "empty"
-        elif not starts:
-            state = "not a jpeg"
-        elif at < 0:
-            state = "truncated (no EOI)"
-        elif len(raw) <= K.MIN_JPEG_BYTES:
-            state = f"too small ({len(raw)}b)"
-        else:
-            state = f"ok ({trailing}b trailing after EOI)" if trailing else "ok"
-        strict = raw.startswith(b"\xff\xd8") and raw.endswith(b"\xff\xd9")
-        return len(raw), starts, at, state, len(raw) > K.MIN_JPEG_BYTES and starts and at > 0, strict
-
-    return pd.DataFrame([one(x) for x in data], columns=["size", "starts", "end_at", "state", "valid", "strict"])
+from ..functions.text import col
+
+
+def jpeg_frame(data: Column | str) -> Column:
+    """Where a JPEG begins and ends (size, starts, end_at, state, valid, strict); an end marker counts within the last 64 KiB."""
+    raw = F.coalesce(col(data), F.lit(b""))
+    size = F.octet_length(raw).cast("long")
+    part = lambda start, n: F.substring(raw, start, n)
+    head, begin, end = part(F.lit(1), F.lit(2)), F.lit(b"\xff\xd8"), F.lit(b"\xff\xd9")
+    starts = (size > 3) & (head == begin)
+    # One character for each byte of the tail; the last marker is the first one from behind.
+    before = F.greatest(size - K.JPEG_TAIL, F.lit(0))
+    tail = F.decode(part((before + 1).cast("int"), F.lit(K.JPEG_TAIL)), "ISO-8859-1")
+    back = F.locate("\xd9\xff", F.reverse(tail))
+    at = F.when(back > 0, size - back - 1).otherwise(F.lit(-1)).cast("long")
+    trailing = size - at - 2
+    state = (
+        F.when(size == 0, "empty")
+        .when(~starts, "not a jpeg")
+        .when(at < 0, "truncated (no EOI)")
+        .when(size <= K.MIN_JPEG_BYTES, F.concat(F.lit("too small ("), size, F.lit("b)")))
+        .when(trailing > 0, F.concat(F.lit("ok ("), trailing, F.lit("b trailing after EOI)")))
+        .otherwise("ok")
+    )
+    strict = (head == begin) & (part(F.greatest(size - 1, F.lit(1)).cast("int"), F.lit(2)) == end)
+    valid = (size > K.MIN_JPEG_BYTES) & starts & (at > 0)
+    return F.struct(size.alias("size"), starts.alias("starts"), at.alias("end_at"), state.alias("state"), valid.alias("valid"), strict.alias("strict"))
 
 
 def flat_bands(width: Column, height: Column, rgb: Column, cfg: dict = K.GREY_BANDS) -> Column:
