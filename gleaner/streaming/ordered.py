@@ -1,8 +1,10 @@
 """Ordered operators on streams, in the order of event time however the rows fall into batches.
 
-Rows of a key wait in list state until the watermark passes them; an event-time timer then
-hands them on, sorted by time and place, to a ``Machine``: an operator that is one step for
-each row.  A machine may also end by itself at a time that it names (a poll that never hits, a
+Keys are dealt into ``BUCKETS`` by their hash, and a bucket is what the state store knows: a
+call to the store costs far more than a step, and it is made for thousands of rows.  The rows of
+a bucket wait in list state, a block for each batch, until the watermark passes them; an
+event-time timer then hands them on, sorted by key, time and place, to a ``Machine`` for each
+key: an operator that is one step for each row.  A machine may also end by itself at a time that it names (a poll that never hits, a
 transcript that fell silent), and a timer sees to that where no row comes.  Ends and rows are
 taken in the order of event time, so the result is that of the rows as a whole; only rows that
 come behind the watermark of the batch before are left out, as everywhere on streams.  Nothing
@@ -13,6 +15,7 @@ State lives in the RocksDB store, which ``started`` sets for the query it starts
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -57,57 +60,74 @@ def _timer(at: int) -> int:
     return -(-at // 1000)
 
 
+#: Groups of keys in the state store; a checkpoint holds for one number only.
+BUCKETS = 4096
+
+
 class _InOrder(StatefulProcessor):
-    def __init__(self, machine: Machine, waiting: StructType, names: list[str]) -> None:
-        self.machine, self.schema, self.names = machine, waiting, names
+    def __init__(self, machine: Machine, names: list[str]) -> None:
+        self.machine, self.names = machine, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.kept = handle.getValueState("kept", self.machine.kept)
+        self.waiting = handle.getListState("waiting", "first long, rows string")  # JSON: [key, at, place, fields]
+        self.kept = handle.getValueState("kept", "due long, keys string")  # JSON: {key: kept}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[2:]) for r in rows]  # behind key and ts
-        self.waiting.appendList(new)
-        self.handle.registerTimer(_timer(min(at for at, *_ in new)))
+        new = [tuple(r[2:]) for r in rows]  # behind bucket and ts
+        first = min(r[1] for r in new)
+        self.waiting.appendValue((first, json.dumps(new)))
+        self.handle.registerTimer(_timer(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
-        ready = [r for r in rows if r[0] <= passed]
-        held = self.kept.get()
-        if not ready and held is None:
-            return
-        held = tuple(held) if held is not None else None
-        machine, kept = self.machine, held
-        out: list[tuple] = []
-
-        def ended(before: int) -> None:
-            nonlocal kept
-            while kept is not None and (due := machine.ends(kept)) is not None and due <= before:
-                kept, found = machine.end(kept)
-                out.extend(found)
-
-        for at, place, *row in ready:
-            ended(at - 1)
-            kept, found = machine.step(machine.start() if kept is None else kept, at, place, *row)
-            out.extend(found)
-        ended(passed)
-        later = rows[len(ready) :]
-        if ready and later:
-            self.waiting.put(later)
-        elif ready:
+        blocks, state = list(self.waiting.get()), self.kept.get()
+        if all(b[0] > passed for b in blocks) and (state is None or state[0] is None or state[0] > passed):
+            return  # what this timer was for came with an earlier one
+        machine = self.machine
+        held = json.loads(state[1]) if state is not None else {}
+        ready: dict[str, list] = {}
+        later = []
+        for b in blocks:
+            for r in json.loads(b[1]):
+                if r[1] <= passed:
+                    ready.setdefault(r[0], []).append(r[1:])
+                else:
+                    later.append(r)
+        out = Row(*self.names)
+        due: int | None = None
+        for name in {**held, **ready}:
+            kept = tuple(held[name]) if name in held else None
+            rows = sorted(ready.get(name, ()), key=lambda r: r[:2])
+            for at, place, *row in [*rows, (None, None)]:
+                before = passed if at is None else at - 1
+                while kept is not None and (ends := machine.ends(kept)) is not None and ends <= before:
+                    kept, found = machine.end(kept)
+                    for x in found:
+                        yield out(name, *x)
+                if at is not None:
+                    kept, found = machine.step(machine.start() if kept is None else kept, at, place, *row)
+                    for x in found:
+                        yield out(name, *x)
+            if kept is None:
+                held.pop(name, None)
+                continue
+            held[name] = kept
+            ends = machine.ends(kept)
+            if ends is not None and (due is None or ends < due):
+                due = ends
+        first = min((r[1] for r in later), default=None)
+        if first is not None:
+            self.waiting.put([(first, json.dumps(later))])
+        elif blocks:
             self.waiting.clear()
-        if kept is None:
+        if held:
+            self.kept.update((due, json.dumps(held)))
+        elif state is not None:
             self.kept.clear()
-        elif kept != held:
-            self.kept.update(kept)
-        due = machine.ends(kept) if kept is not None else None
-        for at in ([later[0][0]] if later else []) + ([due] if due is not None else []):
+        for at in {first, due} - {None}:
             self.handle.registerTimer(_timer(at))
-        for r in out:
-            yield Row(*self.names)(*key, *r)
 
     def close(self) -> None:
         pass
@@ -120,16 +140,17 @@ def in_order(events: DataFrame, key: str, place: str, machine: Machine, late: st
     are left out, since they have no place in any order.
     """
     fields = StructType.fromDDL(machine.fields).fieldNames()
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int").alias("_bucket")
     at = F.unix_micros("ts").alias("at")
     rows = (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .where(F.col(key).isNotNull() & F.col("ts").isNotNull())
         .withWatermark("ts", late)
-        .select(F.col(key).cast("string").alias(key), "ts", at, F.col(place).cast("long").alias("place"), *fields)
+        .select(bucket, "ts", F.col(key).cast("string").alias(key), at, F.col(place).cast("long").alias("place"), *fields)
     )
-    waiting = StructType.fromDDL(f"at long, place long, {machine.fields}")
     out = f"{key} string, {machine.out}"
-    return rows.groupBy(key).transformWithState(_InOrder(machine, waiting, StructType.fromDDL(out).fieldNames()), out, "append", "eventTime")
+    names = StructType.fromDDL(out).fieldNames()
+    return rows.groupBy("_bucket").transformWithState(_InOrder(machine, names), out, "append", "eventTime")
 
 
 def started(out: DataFrame, path: str, mode: str = "append", **trigger):

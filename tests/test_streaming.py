@@ -163,3 +163,12 @@ def test_scrolls_end_at_the_height_of_their_step(spark, stream, tmp_path):
     rows = [(item, at(10 * k), k + 1, h) for item, hs in heights.items() for k, h in enumerate(hs)]
     found = result(spark, attempts.scroll_steps(stream([*shuffled(rows, 4), [("last", LAST, 1, 0)]], schema), "item", "30 days"), tmp_path)
     assert {r["item"]: r["steps"] for r in found} == {"short": 1, "grows": 3, "shrinks": 3, "never": None, "unknown": None}
+
+
+def test_the_state_store_knows_buckets_of_keys(spark, stream, tmp_path):
+    """Calls to the store are made by bucket; before, each of many keys was a group of its own."""
+    schema = "item string, ts timestamp, attempt long, hit boolean"
+    rows = [(f"k{i}", BEGIN + timedelta(seconds=i % 7 + j), j, j == i % 3) for i in range(400) for j in range(4)]
+    out = attempts.poll_until(stream([*shuffled(rows, 6, 2), [("last", LAST, 1, True)]], schema), "item", "30 days")
+    assert "TransformWithState" in (plan := out._jdf.queryExecution().analyzed().toString()) and "_bucket" in plan
+    assert {r["item"]: r["attempt"] for r in result(spark, out, tmp_path)} == {f"k{i}": i % 3 + 1 for i in range(400)}
