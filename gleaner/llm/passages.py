@@ -20,7 +20,7 @@ contexts that meet over the network on 128-bit digests of their contents.
 3. ``_contexts`` cuts the contexts, or their shares, out of the texts, or takes the digests;
    equal ones in one task are settled there, so only the smallest document's is sent.
 4. ``_windows`` takes all digests, and all contexts of a core: equal ones are repeated as a
-   whole, and the windows of different ones are put into suffix order.  The longest previous
+   whole, and the windows of different ones are put into suffix order, a run of cores at a time.  The longest previous
    factor, from the next smaller documents before and behind in that order, decides
    (``suffixes``).
 5. ``_apply`` cuts the spans found out of each document.
@@ -57,6 +57,8 @@ ANCHOR_BYTES = 8 << 20
 REMEMBERED = 200_000
 #: Contexts of one gram that go to one core; more are dealt over several.
 SHARE = 128
+#: Bytes of contexts, in whole cores, that are put into suffix order at once; an order takes some hundred times that memory.
+ORDERED_BYTES = 1 << 19
 #: Values of a payload from which it is worth compressing.
 LEAST_COMPRESSED = 24
 
@@ -568,6 +570,16 @@ def _verified(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     return d[again], r[again], a, a + n[again]
 
 
+def _whole_cores(one: np.ndarray, core: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """``one``, places of contexts in the order of their cores, in runs of whole cores that hold about ``ORDERED_BYTES``."""
+    if not len(one):
+        return
+    begins = np.flatnonzero(np.r_[True, core[one][1:] != core[one][:-1]])
+    before = np.cumsum(np.fromiter((len(texts[i]) for i in one.tolist()), np.int64, len(one)))[begins[1:] - 1]
+    run = np.r_[0, before // ORDERED_BYTES]
+    yield from np.split(one, begins[np.flatnonzero(np.diff(run)) + 1])
+
+
 def _ordered(t: pa.Table, kind: str) -> list[tuple[np.ndarray, ...]]:
     """Spans of the contexts of whole cores that start in smaller documents too, as a whole or window by window."""
     core, docs, row, at, end = (t.column(i).to_numpy() for i in range(5))
@@ -587,24 +599,25 @@ def _ordered(t: pa.Table, kind: str) -> list[tuple[np.ndarray, ...]]:
     starts = np.flatnonzero(np.r_[True, core[firsts][1:] != core[firsts][:-1]])
     differ = np.minimum.reduceat(docs[firsts], starts) < np.maximum.reduceat(docs[firsts], starts)
     one = firsts[np.repeat(differ, np.diff(np.r_[starts, len(firsts)]))]
-    if len(one):
-        which, offset = repeated_windows([texts[i] for i in one.tolist()], docs[one], kind, LENGTH)
-        # Every row that is first with this context has its windows.
-        holders = np.flatnonzero(~whole)
-        holders = holders[np.argsort(same[holders], kind="stable")]
-        mine = same[one[which]]
+    # Every row that is first with a context has its windows.
+    holders = np.flatnonzero(~whole)
+    holders = holders[np.argsort(same[holders], kind="stable")]
+    for some in _whole_cores(one, core, texts):
+        which, offset = repeated_windows([texts[i] for i in some.tolist()], docs[some], kind, LENGTH)
+        if not len(which):
+            continue
+        mine = same[some[which]]
         low, high = np.searchsorted(same[holders], mine, "left"), np.searchsorted(same[holders], mine, "right")
         times = high - low
         inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         who = holders[np.repeat(low, times) + inside]
         start = at[who].astype(np.int64) + np.repeat(offset, times)
-        found.append((docs[who], row[who], start, start + LENGTH))
+        found.append(_joined(docs[who], row[who], start, start + LENGTH))
     return found
 
 
 def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     waiting: list[tuple[np.ndarray, ...]] = []
-    count = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         out: Rows = ([], [], [])
@@ -622,10 +635,9 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) ->
             waiting.append(_verified(digested))
         if whole := of(WHOLE):
             waiting += _ordered(unfold(whole).combine_chunks(), kind)
-        count += sum(len(x[0]) for x in waiting[-3:])
-        if count > 1_000_000:
+        if sum(len(x[0]) for x in waiting) > 1_000_000:
             yield from flush()
-            waiting, count = [], 0
+            waiting = []
     yield from flush()
 
 

@@ -5,10 +5,12 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -347,6 +349,27 @@ def test_passages_of_rows_that_share_an_id(spark, run):
     assert kept == sorted([(1, digest(a)), (2, digest("")), (2, digest(b)), (2, digest(b)), (3, digest(after)), (3, digest(c)), (4, digest(""))])
 
 
+def test_suffix_orders_hold_a_run_of_cores_not_a_bucket():
+    """The memory of an order doesn't grow with the contexts of a bucket, and what it finds is the same."""
+    r = random.Random(8)
+    some = lambda n, of=b"abcdefgh": bytes(r.choices(of, k=n))
+    rows, want = [], set()
+    for core in range(12_000):
+        window, row = some(50), core - (1 << 63)
+        one, other = some(15, b"ABCD") + window + some(15, b"ABCD"), some(20, b"WXYZ") + window + some(11, b"WXYZ")
+        rows += [(core, 1, row, 0, 80, one), (core, 2, row, 100 * core, 100 * core + 81, other)]
+        want.add((2, core, 100 * core + 20, 100 * core + 70))
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), passages._CONTEXT_ARROW.types, strict=True)], schema=passages._CONTEXT_ARROW)
+    tracemalloc.start()
+    try:
+        found = passages._ordered(table, "bytes")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {x for part in found for x in zip(*(c.tolist() for c in part), strict=True)} == want
+    assert peak < 120 << 20  # all contexts in one order took 299 million bytes
+
+
 def test_longest_previous_factors_by_brute_force():
     r = random.Random(6)
     for depth in (5, 12):
