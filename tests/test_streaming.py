@@ -146,6 +146,24 @@ def test_census_gate_of_streams(spark, stream, tmp_path):
         )
 
 
+def test_the_gate_keeps_buckets_of_keys_not_rows(spark, stream, tmp_path):
+    """Before, each row was several entries of three stateful operators. Repeats count once within the lateness."""
+    at = lambda m: BEGIN + timedelta(minutes=m)
+    asked = [[(i, at(i % 50)) for i in range(600)] + [(1000, at(0))], [(1000, at(50)), (2000, at(100))], [(5000, at(400))], [(6000, at(401))], [(1000, at(450)), (3000, at(401))]]
+    made = [[(i, at(i % 50 + 60)) for i in range(0, 600, 2)], [(i, at(i % 50 + 5)) for i in range(1, 600, 4)] + [(4000, at(90))], [(5001, at(400))], [(6001, at(401))], [(1000, at(460)), (3000, at(462))]]
+    last = [[(-1 - n, LAST + timedelta(days=n))] for n in range(2)]
+    out = gate.census_gate(stream([*asked, *last], "id long, ts timestamp"), stream([*made, *last], "id long, ts timestamp"), "1 hour", "2 hours")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "_bucket" in plan and "Join" not in plan
+    want = [(i, "matched" if i % 2 == 0 or i % 4 == 1 else "missing") for i in range(600)]
+    # 1000 comes again within the lateness (dropped) and hours later, when it is new.
+    want += [(1000, "missing"), (1000, "matched"), (2000, "missing"), (3000, "missing"), (3000, "extra"), (4000, "extra")]
+    want += [(5000, "missing"), (5001, "extra"), (6000, "missing"), (6001, "extra")]
+    rows = [r for r in result(spark, out, tmp_path) if r["id"] >= 0]
+    assert sorted((r["id"], r["class"]) for r in rows) == sorted(want)
+    assert all((r["asked_at"] is None) == (r["class"] == "extra") and (r["made_at"] is None) == (r["class"] == "missing") for r in rows)
+
+
 def test_repeats_within_the_watermark_are_dropped(spark, stream, tmp_path):
     schema = "event_id long, ts timestamp"
     at = lambda h: BEGIN + timedelta(hours=h)
