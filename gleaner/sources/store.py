@@ -191,10 +191,14 @@ def write_replies(results: DataFrame, path: str, files: int | None = None) -> No
     """Recovered replies (agent_id, item_id, text) below ``path``: a text file to each item, and ``index``, which maps items to agents.
 
     An item's folder is named by its id, as ``readers.replies`` reads it.  Of repeated items the
-    reply of the largest source stays.
+    reply of the largest source stays.  ``files``: tasks that write, else at least as many as cores.
+    A file costs some 20 ms however small it is, so the tasks are of a fixed number, which Spark does
+    not coalesce by size, and each moves its own files into place; without ``_SUCCESS`` they aren't whole.
     """
+    spark = results.sparkSession
     last = results.groupBy("item_id").agg(F.max_by(F.struct("agent_id", "text"), F.struct("source", "agent_id")).alias("r")).select("item_id", "r.*")
     held = stored(last, "replies")
-    dealt = held.select(F.col("item_id").alias("stem"), F.col("text").alias("value"))
-    (dealt.repartition(files, "stem") if files else dealt.repartition("stem")).write.mode("errorifexists").partitionBy("stem").text(f"{path}/replies")
+    tasks = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = held.select(F.col("item_id").alias("stem"), F.col("text").alias("value")).repartition(tasks, "stem")
+    dealt.write.mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("stem").text(f"{path}/replies")
     held.select("item_id", "agent_id").write.mode("errorifexists").json(f"{path}/index")

@@ -105,6 +105,15 @@ def test_recovered_replies_are_files_with_an_index(spark, tmp_path):
     assert sorted((r["agent_id"], r["item_id"], r["text"].rstrip("\n")) for r in found.collect()) == [("a1", "i1", "first\nline"), ("a3", "i2", "later")]
 
 
+def test_many_replies_are_written_by_several_tasks(spark, tmp_path):
+    """A file to each item takes its time however small it is; before, Spark made one task of them all."""
+    rows = spark.range(40).selectExpr("concat('a', id) as agent_id", "concat('text ', id) as text", "cast(id as string) as source", "concat('i', id) as item_id")
+    store.write_replies(rows, f"{tmp_path}/r")
+    files = [f for f in (tmp_path / "r" / "replies").rglob("part-*") if not f.name.endswith(".crc")]
+    assert {f.parent.name for f in files} == {f"stem=i{i}" for i in range(40)} and len(files) == 40
+    assert len({f.name.split("-")[1] for f in files}) > 1 and (tmp_path / "r" / "replies" / "_SUCCESS").exists()
+
+
 def test_work_lists_with_keyless_entries_are_refused(spark):
     items = spark.createDataFrame([(0, "a"), (1, None), (2, "")], "ordinal long, id string")
     assert readers.keyless(items).count() == 2
