@@ -7,8 +7,9 @@ contexts that meet over the network on 128-bit digests of their contents.
 1. ``_anchor`` picks anchors: in every run of ``LENGTH`` symbols the smallest hash of
    ``gram`` symbols (all of equals), so two equal runs have equal anchors at equal places.
    An anchor's context is all that any window choosing it can cover.  Contexts that one task
-   reads twice are compared there, and only the smallest document's anchors are sent, so a
-   passage that a third of all documents share arrives once per task, not once per document.
+   reads twice within ``CHUNK_BYTES`` are compared there, and only the smallest document's anchors
+   are sent, so a passage that a third of all documents share arrives once per chunk, not once
+   per document.
 2. ``_resolve`` takes all anchors of a hash bucket.  Contexts that seem equal ask to be
    verified.  A window reaches half way from its gram to one end of the context or the other,
    so contexts that share one agree in the gram with one of its halves; an anchor carries 16
@@ -20,8 +21,8 @@ contexts that meet over the network on 128-bit digests of their contents.
 3. ``_contexts`` cuts the contexts, or their shares, out of the texts, or takes the digests;
    equal ones in one task are settled there, so only the smallest document's is sent.
 4. ``_windows`` takes all digests, and all contexts of a core: equal ones are repeated as a
-   whole, and the windows of different ones are put into suffix order, a run of cores at a time.  The longest previous
-   factor, from the next smaller documents before and behind in that order, decides
+   whole, and the windows of different ones are put into suffix order.  A bucket's contexts are
+   unpacked and ordered some cores at a time.  The longest previous factor, from the next smaller documents before and behind in that order, decides
    (``suffixes``).
 5. ``_apply`` cuts the spans found out of each document.
 
@@ -47,18 +48,22 @@ from .common import parts, plan_bytes, small_batches, whole_groups
 from .suffixes import repeated_windows
 
 LENGTH = 50
-#: Text bytes after which a task sends what it has gathered.
-CHUNK_BYTES = 24 << 20
+#: Text bytes after which a task sends what it has gathered; of bytes, anchors take some twenty times that memory.
+CHUNK_BYTES = 8 << 20
 #: Buckets to a shuffle partition, at least and at most, and input bytes to a bucket between.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1, 64, 2 << 20
 #: Input bytes to a bucket of anchors; the more of a document's anchors share a bucket, the better they pack.
 ANCHOR_BYTES = 8 << 20
 #: Words whose hashes a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Contexts of one gram that go to one core; more are dealt over several.
 SHARE = 128
 #: Bytes of contexts, in whole cores, that are put into suffix order at once; an order takes some hundred times that memory.
 ORDERED_BYTES = 1 << 19
+#: Bytes of contexts, in whole cores, that are unpacked into Python's objects at once.
+HELD_BYTES = 4 << 20
+#: Spans and requests that a task gathers before it sends them on.
+GATHERED = 250_000
 #: Values of a payload from which it is worth compressing.
 LEAST_COMPRESSED = 24
 
@@ -423,7 +428,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
                 several = shared(columns[0])
                 if len(several):
                     out.ask(*(x[several] for x in columns))
-        if out.count > 1_000_000:
+        if out.count > GATHERED:
             yield from out.flush()
     yield from out.flush()
 
@@ -433,7 +438,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa
 
 #: A context or a share of it.
 _CONTEXT_ARROW = pa.schema(
-    [("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.binary())]
+    [("core", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("end", pa.int32()), ("context", pa.large_binary())]
 )
 #: What a packed row of ``_contexts`` holds: digests, spans, or a table of contexts.
 DIGESTED, REPEATED, WHOLE = 0, 1, 2
@@ -460,6 +465,33 @@ def shares(width: int, level: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _context_table(found: list[tuple]) -> pa.Table:
+    """Contexts as a table; ``found`` has doc_id, row, cores, starts, ends, sizes and the joined contexts of each cut."""
+    counts = [len(x[2]) for x in found]
+    core, at, end, sizes = (np.concatenate([np.empty(0, t), *(x[i] for x in found)]) for i, t in ((2, _U), (3, np.int32), (4, np.int32), (5, np.int32)))
+    docs, row = np.repeat(np.array([x[0] for x in found], np.int64), counts), np.repeat(np.array([x[1] for x in found], _U), counts)
+    offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    contexts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(x[6] for x in found))])
+    signed = [(x ^ _U(1 << 63)).view(np.int64) for x in (core, row)]
+    return pa.Table.from_arrays([pa.array(x) for x in (signed[0], docs, signed[1], at, end)] + [contexts], schema=_CONTEXT_ARROW)
+
+
+def _settled(t: pa.Table) -> np.ndarray:
+    """Which contexts a smaller document has too, in the same core; only cores that occur twice are unpacked."""
+    gone = np.zeros(t.num_rows, bool)
+    core, docs = t.column("core").to_numpy(), t.column("doc_id").to_numpy()
+    twice = shared(core)
+    if len(twice):
+        twice = twice[np.lexsort((docs[twice], core[twice]))]
+        starts = np.flatnonzero(np.r_[True, core[twice][1:] != core[twice][:-1]])
+        contexts = t.column("context").combine_chunks()
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(twice)], strict=True):
+            first: dict[bytes, int] = {}
+            for i in twice[start:end].tolist():  # in the order of doc_id
+                gone[i] = first.setdefault(contexts[i].as_py(), docs[i]) < docs[i]
+    return gone
+
+
 def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buckets: int, doc_buckets: int) -> pa.Table:
     """Per request the digest of its context, or the text of it or of its shares with the hash of the core.
 
@@ -469,17 +501,15 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
     asked_kind, payloads = packed.column("kind").to_pylist(), packed.column("payload").to_pylist()
     d, r, p, levels = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == TEXTS])
     vd, vr, vp, _ = _spans([x for x, k in zip(payloads, asked_kind, strict=True) if k == DIGESTS])
-    columns: list[list] = [[] for _ in range(6)]
+    found: list[tuple] = []
     digests: list[tuple] = []
     unpacked = zstandard.ZstdDecompressor().decompress
     digest, strong = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     seen = set()
     known = np.unique(np.concatenate([d, vd]))
-    for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        low = int(np.searchsorted(known, doc_id, "left"))
-        if low == len(known) or known[low] != doc_id:
-            continue
-        data = unpacked(text)
+    ids, texts = docs.column("doc_id").to_numpy(), docs.column("text")
+    for i in np.flatnonzero(np.isin(ids, known)).tolist():
+        doc_id, data = int(ids[i]), unpacked(texts[i].as_py())
         row = row_hash(data)
         some, verify = _of_row(d, r, doc_id, row), _of_row(vd, vr, doc_id, row)
         if (some.start == some.stop and verify.start == verify.stop) or (doc_id, row) in seen:
@@ -497,25 +527,20 @@ def _contexts(docs: pa.Table, packed: pa.Table, kind: str, gram: int, anchor_buc
                 start, end = np.maximum(at - hi, 0), np.minimum(at - lo + LENGTH, places.n)
                 ok = end - start >= LENGTH
                 a, start, end = at[ok], start[ok], end[ok]
-                cores = [digest(x, level << 8 | share) - (1 << 63) for x in places.pieces(a - lo, a - hi + LENGTH)]
-                n = len(cores)
-                found = (cores, [doc_id] * n, [row - (1 << 63)] * n, start.tolist(), end.tolist(), places.pieces(start, end))
-                for column, values in zip(columns, found, strict=True):
-                    column.extend(values)
-    cores, ids, rows, starts, ends, texts = columns
-    first: dict[tuple[int, bytes], int] = {}
-    for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True):
-        if doc_id < first.setdefault(key, doc_id):
-            first[key] = doc_id
-    stays = [doc_id == first[key] for key, doc_id in zip(zip(cores, texts, strict=True), ids, strict=True)]
-    gone = ~np.array(stays, bool)
-    spans = [(np.array(ids, np.int64)[gone], np.array(rows, np.int64).view(_U)[gone] ^ _U(1 << 63), np.array(starts, np.int64)[gone], np.array(ends, np.int64)[gone])]
-    table = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT_ARROW.types, strict=True)], schema=_CONTEXT_ARROW)
-    table = table.filter(pa.array(stays, pa.bool_()))
+                cores = np.array([digest(x, level << 8 | share) for x in places.pieces(a - lo, a - hi + LENGTH)], _U)
+                cut_out = places.pieces(start, end)
+                sizes = np.fromiter(map(len, cut_out), np.int32, len(cut_out))
+                found.append((doc_id, row, cores, start.astype(np.int32), end.astype(np.int32), sizes, b"".join(cut_out)))
+    table = _context_table(found)
+    found.clear()
+    gone = _settled(table)
+    spans = [tuple(table.column(i).to_numpy()[gone] for i in (1, 2, 3, 4))]
+    spans = [(d, r.view(_U) ^ _U(1 << 63), a.astype(np.int64), b.astype(np.int64)) for d, r, a, b in spans]
     out: Rows = ([], [], [])
-    if table.num_rows:
-        mine = np.mod(table.column("core").to_numpy(), anchor_buckets).astype(np.int32)
-        _send(mine, WHOLE, lambda at: fold(table.take(pa.array(at))), out)
+    stays = np.flatnonzero(~gone)
+    if len(stays):
+        mine = np.mod(table.column("core").to_numpy()[stays], anchor_buckets).astype(np.int32)
+        _send(mine, WHOLE, lambda at: fold(table.take(pa.array(stays[at]))), out)
     if digests:
         sizes = [len(x[2]) for x in digests]
         vd, vr = np.repeat(np.array([x[0] for x in digests], np.int64), sizes), np.repeat(np.array([x[1] for x in digests], _U), sizes)
@@ -616,6 +641,19 @@ def _ordered(t: pa.Table, kind: str) -> list[tuple[np.ndarray, ...]]:
     return found
 
 
+def _core_runs(t: pa.Table) -> Iterator[pa.Table]:
+    """``t``, contexts, dealt by a hash of the core into tables of about ``HELD_BYTES``."""
+    n = -(-t.nbytes // HELD_BYTES)
+    if n <= 1:
+        yield t.combine_chunks()
+        return
+    run = _mix(t.column("core").to_numpy().view(_U)) % _U(n)
+    for i in range(n):
+        some = t.filter(pa.array(run == _U(i)))
+        if some.num_rows:
+            yield some.combine_chunks()
+
+
 def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     waiting: list[tuple[np.ndarray, ...]] = []
 
@@ -633,11 +671,15 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: str, doc_buckets: int) ->
             yield from _rows(([p for p, k in zip(t.column("part").to_pylist(), kinds, strict=True) if k == REPEATED], [SPANS] * len(repeated), repeated))
         if digested := of(DIGESTED):
             waiting.append(_verified(digested))
+            if len(waiting[-1][0]) > GATHERED:
+                yield from flush()
+                waiting = []
         if whole := of(WHOLE):
-            waiting += _ordered(unfold(whole).combine_chunks(), kind)
-        if sum(len(x[0]) for x in waiting) > 1_000_000:
-            yield from flush()
-            waiting = []
+            for some in _core_runs(unfold(whole)):
+                waiting += _ordered(some, kind)
+                if sum(len(x[0]) for x in waiting) > GATHERED:
+                    yield from flush()
+                    waiting = []
     yield from flush()
 
 

@@ -370,6 +370,51 @@ def test_suffix_orders_hold_a_run_of_cores_not_a_bucket():
     assert peak < 120 << 20  # all contexts in one order took 299 million bytes
 
 
+def _peak(run):
+    """What ``run`` returns, and the most memory that Python and numpy held meanwhile."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_windows_unpack_some_cores_of_a_bucket_not_all():
+    """A bucket's contexts become Python's objects some cores at a time, and what is found is the same."""
+    r = random.Random(9)
+    bucket, want = [], set()
+    for payload in range(40):
+        rows = [(r.getrandbits(63), 1, i, 0, 600, r.randbytes(600)) for i in range(1000)]
+        window, row = r.randbytes(50), payload - (1 << 63)
+        rows += [(payload, 1, row, 0, 80, r.randbytes(30) + window), (payload, 2, row, 7, 87, window + r.randbytes(30))]
+        want.add((2, payload, 7, 57))
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), passages._CONTEXT_ARROW.types, strict=True)], schema=passages._CONTEXT_ARROW)
+        bucket.append((0, 0, passages.WHOLE, passages.fold(table)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bucket, strict=True), passages._SENT_ARROW.types, strict=True)], schema=passages._SENT_ARROW)
+    sent, peak = _peak(lambda: list(passages._windows(iter([batch]), "bytes", 3)))
+    assert {x for b in sent for x in zip(*(c.tolist() for c in passages._spans(b.column("payload").to_pylist())), strict=True)} == want
+    assert peak < 40 << 20  # 24 MB of it are the payloads; all contexts at once took 56 million bytes
+
+
+def test_anchors_hold_a_chunk_of_texts():
+    """The memory of anchors is that of eight MB of texts, however many a task reads."""
+    letters = np.random.default_rng(4).integers(97, 123, (160, 100_000), np.uint8)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [x.tobytes().decode()]}) for i, x in enumerate(letters)]
+    sent, peak = _peak(lambda: sum(b.num_rows for b in passages._anchor(iter(batches), "bytes", 20, 4, 4)))
+    assert sent == 8  # two chunks for four buckets
+    assert peak < 140 << 20  # all texts in one chunk took 190 million bytes
+
+
+def test_contexts_of_equal_texts_are_settled_once():
+    """Contexts of a group that a smaller document has in the same core go as spans; rows that share a doc_id keep theirs."""
+    r = random.Random(10)
+    rows = [(core, doc, row, 0, 60, text) for core in range(50) for text in (r.randbytes(60), r.randbytes(60)) for doc, row in ((7, 1), (3, 2), (3, 3), (9, 4))]
+    rows += [(1000 + i, 5, i, 0, 60, r.randbytes(60)) for i in range(50)]
+    r.shuffle(rows)
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), passages._CONTEXT_ARROW.types, strict=True)], schema=passages._CONTEXT_ARROW)
+    assert passages._settled(table).tolist() == [doc in (7, 9) for _, doc, *_ in rows]
+
+
 def test_longest_previous_factors_by_brute_force():
     r = random.Random(6)
     for depth in (5, 12):
